@@ -18,9 +18,9 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from .common import table
 
 #: Rows from which centroids are learned, centroids of each half, rounds, and their seed.
-LEARN_ROWS, CENTROIDS, ROUNDS, SEED = 16_384, 24, 12, 99
+LEARN_ROWS, CENTROIDS, ROUNDS, SEED = 16_384, 64, 12, 99
 #: A query visits cells until they hold this share of all rows, and this many rows, at least.
-SHARE, VISITED = 0.35, 4_000
+SHARE, VISITED = 0.5, 4_000
 #: Queries that are broadcast at once, and rows that a task compares with them at once.
 QUERY_BLOCK, GATHERED = 8_192, 4_096
 #: GEMM results may differ from the exact sum by less than this, relative to the largest.

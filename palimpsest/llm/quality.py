@@ -9,90 +9,109 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import WORD, fold_of, labelled_sample, small_batches, table, with_labels
+from .common import fold_of, hashed_words, labelled_sample, mix, small_batches, table, text_chunks, with_labels
 
 #: Labelled rows to train from, at most.
-LEARN_ROWS = 6_000
-#: Hash buckets, components, character n-gram sizes.
-BUCKETS, DIMENSIONS, SHORTEST, LONGEST = 1 << 15, 12, 2, 4
-#: Passes, rows in a step, step size, and seed.
-EPOCHS, BATCH, RATE, SEED = 12, 16, 0.35, 31
-#: Words whose buckets a worker keeps.
-KEPT = 200_000
+LEARN_ROWS = 4_000
+#: Hash buckets, components, n-gram sizes in bytes of UTF-8.
+BUCKETS, DIMENSIONS, SHORTEST, LONGEST = 1 << 16, 8, 2, 4
+#: Passes, step size, and seed.
+EPOCHS, RATE, SEED = 8, 0.1, 31
 #: Rows with this score or more are of quality.
 THRESHOLD = 0.7
 
+#: Buckets of the marks of a text: its length's binary digits, and words that follow their like.
+_MARKS = 40
+_REPEATED = 39
 
-def buckets_of(word: str) -> np.ndarray:
-    """The word's bucket and those of the character n-grams of the word between marks."""
-    marked = f"<{word}>"
-    grams = {marked} | {marked[i : i + n] for n in range(SHORTEST, LONGEST + 1) for i in range(len(marked) - n + 1)}
-    return np.array(sorted(xxhash.xxh3_64_intdigest(g.encode("utf-8", "surrogatepass")) % BUCKETS for g in grams), np.int64)
-
-
-def features(text: str | None, known: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets and weights of a text, whose sum is 1: words weigh alike, and a word's buckets too; none without words."""
-    counts: dict[str, int] = {}
-    words = WORD.findall(text) if text else []
-    for w in words:
-        counts[w] = counts.get(w, 0) + 1
-    if not counts:
-        return np.zeros(0, np.int64), np.zeros(0, np.float32)
-    if len(known) > KEPT:
-        known.clear()
-    parts, weights = [], []
-    for w, n in counts.items():
-        b = known.get(w)
-        if b is None:
-            b = known[w] = buckets_of(w)
-        parts.append(b)
-        weights.append(n / len(b))
-    sizes = np.array([len(b) for b in parts])
-    return np.concatenate(parts), np.repeat(np.array(weights, np.float32) / len(words), sizes)
+
+def features_of(column):
+    """Yields (row, buckets, weights) for every text of an Arrow column.
+
+    A word has a bucket for itself and for the n-grams of its bytes between marks, which weigh
+    alike, as words do. Each bucket comes once. Texts without words have the length mark alone.
+    """
+    for row, data, offsets in text_chunks(column):
+        h, first, starts, ends = hashed_words(data, offsets, places=True)
+        size = ends - starts
+        at = np.r_[0, np.cumsum(size + 2)]
+        marked = np.zeros(at[-1], np.uint64)
+        marked[at[:-1]], marked[at[1:] - 1] = 1, 2
+        inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        marked[np.repeat(at[:-1] + 1, size) + inner] = data[np.repeat(starts, size) + inner].astype(np.uint64) + np.uint64(3)
+        word = np.repeat(np.arange(len(size)), size + 2)
+        grams = 1 + sum((np.maximum(0, size + 2 - n + 1) for n in range(SHORTEST, LONGEST + 1)), np.zeros(len(size), np.int64))
+        share = (1.0 / grams).astype(np.float32)
+        buckets = [h]
+        owners = [np.arange(len(size))]
+        run = marked
+        for n in range(2, LONGEST + 1):
+            run = run[: len(run) - 1] * np.uint64(0x9E3779B97F4A7C15) + marked[n - 1 :]
+            if n >= SHORTEST:
+                whole = np.flatnonzero(word[: len(run)] == word[n - 1 :]) if len(run) else np.zeros(0, np.int64)
+                buckets.append(mix(run[whole] + np.uint64(n)))
+                owners.append(word[whole])
+        keys = [(b % np.uint64(BUCKETS - _MARKS)).astype(np.int64) + _MARKS for b in buckets]
+        same = np.r_[False, h[1:] == h[:-1]] if len(h) else np.zeros(0, bool)
+        for i in range(len(offsets) - 1):
+            a, b = int(first[i]), int(first[i + 1])
+            marks, held = [min(_REPEATED - 1, int(b - a).bit_length())], [0.1]
+            if b - a > 1 and (n := int(same[a + 1 : b].sum())):
+                marks.append(_REPEATED)
+                held.append(n / (b - a))
+            parts, weights = [np.array(marks)], [np.array(held, np.float32)]
+            for k, o in zip(keys, owners):
+                lo, hi = np.searchsorted(o, (a, b))
+                parts.append(k[lo:hi])
+                weights.append(share[o[lo:hi]] / np.float32(max(1, b - a)))
+            yield row + i, np.concatenate(parts), np.concatenate(weights)
 
 
 class Model:
     def __init__(self, vectors: np.ndarray, output: np.ndarray, bias: np.ndarray):
         self.vectors, self.output, self.bias = vectors, output, bias
 
-    def hidden(self, buckets: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        return weights @ self.vectors[buckets] if len(buckets) else np.zeros(self.vectors.shape[1], np.float32)
+    def classes(self, hidden: np.ndarray) -> np.ndarray:
+        z = hidden @ self.output + self.bias
+        z = np.exp(z - z.max())
+        return z / z.sum()
 
     def probability(self, buckets: np.ndarray, weights: np.ndarray) -> float:
-        """Of label 1, by softmax over the two outputs."""
-        z = self.hidden(buckets, weights) @ self.output + self.bias
-        z = np.exp(z - z.max())
-        return float(z[1] / z.sum())
+        """Of label 1."""
+        return float(self.classes(weights @ self.vectors[buckets])[1])
 
 
 def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[int]) -> Model:
-    """Stochastic gradient descent; both classes weigh alike. With one class or none, scores are 1/2 or lean to it by the bias."""
+    """Stochastic gradient descent, with steps that shrink for buckets that have moved much; both classes weigh alike.
+
+    Each row has a bucket once. Without rows, all scores are 1/2.
+    """
     rng = np.random.default_rng(SEED)
     vectors = rng.uniform(-1 / DIMENSIONS, 1 / DIMENSIONS, (BUCKETS, DIMENSIONS)).astype(np.float32)
-    model = Model(vectors, np.zeros((DIMENSIONS, 2), np.float32), np.zeros(2, np.float32))
+    model = Model(vectors, rng.uniform(-1, 1, (DIMENSIONS, 2)).astype(np.float32), np.zeros(2, np.float32))
     y = np.array(labels, np.int64)
     if not len(y):
+        model.output[:] = 0
         return model
-    weight = len(y) / (2.0 * np.maximum(np.bincount(y, minlength=2), 1))
-    scale = np.ones(len(y), np.float32) * weight[y]
+    share = len(y) / (2.0 * np.maximum(np.bincount(y, minlength=2), 1))
+    moved, out_moved = np.full(BUCKETS, 1e-12, np.float32), 1e-6
     for epoch in range(EPOCHS):
         rate = RATE * (1 - epoch / EPOCHS)
-        for lo in range(0, len(y), BATCH) if epoch == 0 else rng.permutation(np.arange(0, len(y), BATCH)):
-            for i in range(lo, min(lo + BATCH, len(y))):
-                buckets, weights = rows[i]
-                h = model.hidden(buckets, weights)
-                z = h @ model.output + model.bias
-                z = np.exp(z - z.max())
-                error = z / z.sum()
-                error[y[i]] -= 1.0
-                error = (error * scale[i] * rate).astype(np.float32)
-                back = model.output @ error
-                model.output -= np.outer(h, error)
-                model.bias -= error
-                np.subtract.at(model.vectors, buckets, np.outer(weights * len(np.unique(buckets)) ** 0.5, back)) if len(buckets) else None
+        for i in rng.permutation(len(y)):
+            buckets, weights = rows[i]
+            hidden = weights @ vectors[buckets]
+            error = model.classes(hidden)
+            error[y[i]] -= 1.0
+            error = (error * share[y[i]]).astype(np.float32)
+            back = model.output @ error
+            moved[buckets] += weights**2 * (back @ back)
+            step = np.outer(hidden, error)
+            out_moved += float((step**2).sum())
+            vectors[buckets] -= np.outer(rate * weights / np.sqrt(moved[buckets]), back)
+            model.output -= (rate / out_moved**0.5) * step
+            model.bias -= 0.01 * rate * error
     return model
 
 
@@ -103,17 +122,14 @@ def learn_from(documents: DataFrame, labels: DataFrame) -> Model:
     sample = labelled_sample(known, fold_of(F.col("doc_id"), 4) != 2, LEARN_ROWS, ["quality"])
 
     def run(batches):
-        cache: dict[str, np.ndarray] = {}
         for batch in batches:
-            rows = [_dense(*features(t, cache)) for t in batch.column(1).to_pylist()]
+            rows = [_dense(b, w) for _, b, w in features_of(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([b for b, _ in rows], pa.list_(pa.int32())), pa.array([w for _, w in rows], pa.list_(pa.float32())), batch.column(2)], ["doc_id", "buckets", "weights", "quality"])
 
     found = sample.select("doc_id", "text", F.col("quality").cast("int").alias("quality")).mapInArrow(run, "doc_id long, buckets array<int>, weights array<float>, quality int")
     found = found.toArrow().sort_by([("doc_id", "ascending")])
     rows = [(np.array(b, np.int64), np.array(w, np.float32)) for b, w in zip(found["buckets"].to_numpy(), found["weights"].to_numpy())]
-    order = np.random.default_rng(SEED).permutation(len(rows))
-    y = found["quality"].to_pylist()
-    return train([rows[i] for i in order], [y[i] for i in order])
+    return train(rows, found["quality"].to_pylist())
 
 
 def _dense(buckets: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -126,16 +142,16 @@ def _dense(buckets: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.nda
 def score_quality(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id and score (0 to 1) of every row.
 
-    Null and wordless texts score what the bias alone gives; repeated rows are scored each; other
+    Null and wordless texts score what the mark of their length gives; repeated rows are scored each; other
     columns are ignored; an empty table gives no rows.
     """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.vectors, model.output, model.bias))
 
     def run(batches):
-        own, cache = Model(*shared.value), {}
+        own = Model(*shared.value)
         for batch in batches:
-            scores = [own.probability(*features(t, cache)) for t in batch.column(1).to_pylist()]
+            scores = [own.probability(b, w) for _, b, w in features_of(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
