@@ -142,3 +142,11 @@ def window_hashes(h: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
     for j in range(width):
         out = out * factor + h[j : j + n]
     return mix(out + np.uint64(width))
+
+
+def sequence_hash(h: np.ndarray) -> int:
+    """Of the words in their order; 0 for none."""
+    if not len(h):
+        return 0
+    places = 2 * np.arange(len(h), dtype=np.uint64) + np.uint64(1)
+    return int(mix((mix(h) * places).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(h))).astype(np.int64)[0])

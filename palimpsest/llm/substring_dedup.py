@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import WORD, cut, hashed_words, small_batches, table, text_chunks, window_hashes
+from .common import WORD, cut, hashed_words, sequence_hash, small_batches, table, text_chunks, window_hashes
 
 #: Words in a window, and in the k-grams among which it has its anchor.
 WIDTH, ANCHOR = 20, 8
@@ -154,7 +154,7 @@ def _sequences(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            rows = [(d, t, len(w), int(window_hashes(w, len(w), 1).astype(np.int64)[0]) if len(w) else 0) for w, (d, t) in texts_of(batch.column(1), batch.column(0), batch.column(2))]
+            rows = [(d, t, len(w), sequence_hash(w)) for w, (d, t) in texts_of(batch.column(1), batch.column(0), batch.column(2))]
             yield _batch(schema, *(zip(*rows) if rows else ((),) * 4))
 
     return docs.mapInArrow(run, "doc_id long, tag int, n_words long, seq long")
