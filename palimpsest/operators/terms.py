@@ -1,0 +1,131 @@
+"""Term extraction: domains, n-grams, scores, filter."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from ..functions.texts import plain_tokens, runs, shape_factor, special_tokens, term_kind, term_tokens
+
+# Keywords that speak for a domain.
+DOMAINS = {
+    "database": """sql postgres postgresql mysql mongodb redis index query table schema database wal checkpoint vacuum transaction
+        commit acid mvcc lock deadlock isolation gin gist brin btree hash pg_dump pg_restore pg_basebackup libpq join select insert
+        update delete trigger procedure function cursor psql vacuumdb reindexdb analyze initdb pg_ctl pgbench replication standby
+        primary backup streaming logical physical""".split(),
+    "legal": """contract tort civil criminal statute regulation compliance liability damages plaintiff defendant jurisdiction court
+        judge verdict judgment appeal injunction remedy settlement arbitration patent trademark copyright privacy gdpr ccpa breach
+        negligence fraud""".split(),
+    "medical": """diagnosis treatment therapy medication patient symptom disease condition clinical trial study mri ct x-ray pet
+        ultrasound imaging radiology pathology histology cardiology neurology oncology hematology immunology genetics pharmacology
+        icd snomed loinc hipaa fda surgery procedure test examination prescription dosage pharma""".split(),
+}
+
+
+def domain_scores(docs: DataFrame, domains: dict[str, list[str]], core: dict[str, list[str]] | None = None) -> DataFrame:
+    """A point for each keyword that a text contains, two more for each core one.
+
+    The dictionaries are literals of one projection, so that no text is joined or moved.
+    """
+    text, core = F.lower(F.col("text")), core or {}
+    held = lambda words, points: [F.when(F.contains(text, F.lit(w)), points).otherwise(0) for w in words]
+    total = lambda parts: sum(parts, F.lit(0))
+    scores = [F.struct(F.lit(d).alias("domain"), total(held(sorted(set(w)), 1) + held(core.get(d, []), 2)).alias("score"), F.lit(k).alias("place")) for k, (d, w) in enumerate(domains.items())]
+    return docs.select("doc_id", F.explode(F.array(*scores)).alias("s")).select("doc_id", "s.*")
+
+
+def detect_domain(scores: DataFrame, least: float = 0.3) -> DataFrame:
+    """The domain of the best score, with the lead over the second as confidence; general if that is low."""
+    ordered = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), "place", "domain")))
+    top = scores.groupBy("doc_id").agg(ordered.alias("o"))
+    first, second = -F.col("o")[0]["minus"], F.when(F.size("o") > 1, -F.get("o", F.lit(1))["minus"]).otherwise(0)
+    confidence = (first - second) / (first + 1)
+    good = (first > 0) & (confidence >= least)
+    return top.select("doc_id", F.when(good, F.col("o")[0]["domain"]).otherwise("general").alias("domain"), confidence.cast("double").alias("confidence"))
+
+
+def fallback_domains(scores: DataFrame, most: int = 3) -> DataFrame:
+    """Up to three domains with a score, best first."""
+    ordered = F.array_sort(F.collect_list(F.when(F.col("score") > 0, F.struct((-F.col("score")).alias("minus"), "place", "domain"))))
+    return scores.groupBy("doc_id").agg(F.slice(F.transform(ordered, lambda s: s["domain"]), 1, most).alias("domains"))
+
+
+def effective_domain(doc_domain: Column, doc_confidence: Column, block_domain: Column, block_confidence: Column) -> Column:
+    """A block's domain if it is sure, and surer by a fifth than its document's."""
+    return F.when((block_confidence >= 0.5) & (block_confidence > 1.2 * doc_confidence), block_domain).otherwise(doc_domain)
+
+
+def term_counts(docs: DataFrame, most: int = 3, least: int = 3) -> DataFrame:
+    """Occurrences of each n-gram in each document."""
+    tokens = docs.select("doc_id", term_tokens(F.col("text"), least).alias("tokens"))
+    parts = tokens.select("doc_id", special_tokens(F.col("tokens"), least).alias("special"), plain_tokens(F.col("tokens")).alias("plain"))
+    grams = parts.select("doc_id", F.explode(F.concat("special", runs(F.col("plain"), most))).alias("term"))
+    return grams.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("freq"))
+
+
+def with_tfidf(counts: DataFrame) -> DataFrame:
+    """Share of the document's n-grams, times a factor for the term's shape (H4)."""
+    totals = counts.groupBy("doc_id").agg(F.sum("freq").alias("total"))
+    return counts.join(totals, "doc_id").withColumn("tfidf", F.col("freq") / F.col("total") * shape_factor(F.col("term"))).drop("total")
+
+
+def with_cvalue(counts: DataFrame) -> DataFrame:
+    """log2(words) times frequency, less the mean frequency of the longer terms that hold it.
+
+    A term of two words is held by one of three that has both in this order; so each longer term
+    gives its ordered pairs, and equal pairs join.
+    """
+    words = F.split("term", " ")
+    sized = counts.withColumn("len", F.size(words))
+    three = sized.where("len = 3").select("doc_id", F.col("freq").alias("held_freq"), words.alias("w"))
+    pair = lambda i, j: F.concat_ws(" ", F.col("w")[i], F.col("w")[j])
+    pairs = three.select("doc_id", "held_freq", F.explode(F.array_distinct(F.array(pair(0, 1), pair(0, 2), pair(1, 2)))).alias("term"))
+    held = pairs.groupBy("doc_id", "term").agg(F.avg("held_freq").alias("nested"))
+    joined = sized.join(held, ["doc_id", "term"], "left")
+    value = F.log2("len") * (F.col("freq") - F.coalesce("nested", F.lit(0.0)))
+    return joined.withColumn("cvalue", F.when(F.col("nested").isNull(), value).otherwise(F.greatest(F.lit(0.0), value))).drop("nested")
+
+
+def with_score(terms: DataFrame, tfidf: float = 1.0, cvalue: float = 1.0, freq: float = 0.5, length: float = 0.5, most: int = 3) -> DataFrame:
+    """Weighted sum of the measures, 0 at least (H8)."""
+    total = tfidf * F.col("tfidf") + cvalue * F.col("cvalue") + freq * F.log2(1 + F.col("freq")) + length * F.col("len") / most
+    return terms.withColumn("score", F.greatest(F.lit(0.0), total))
+
+
+def filter_terms(terms: DataFrame, domain: str, roots: list[str], white: list[str] = (), black: list[str] = ()) -> DataFrame:
+    """Rules in order: lists, prefixes, compounds, hyphens, acronyms, n-grams, each with its confidence."""
+    low = F.lower("term")
+    kind = term_kind(F.col("term"))
+    parts = F.split(low, "[- ]")
+    has_root = F.arrays_overlap(parts, F.array(*map(F.lit, roots))) if roots else F.lit(False)
+    letters = F.exists(F.split(low, "-"), lambda p: F.length(p) <= 1)
+    camel = F.regexp_extract_all("term", F.lit("[A-Z][a-z]+"), 0)
+    noise = (F.size(camel) >= 3) & (F.size(F.array_distinct(camel)) == 1)
+    confidence = (
+        F.when(low.isin(*black) if black else F.lit(False), None)
+        .when(low.isin(*white) if white else F.lit(False), 1.0)
+        .when(kind == "pg_prefix", 0.95)
+        .when(kind == "camelcase", F.when(~noise, 0.85))
+        .when(kind == "hyphenated", F.when(letters, None).when(has_root, 0.75).when(F.lit(domain == "general"), 0.6))
+        .when(kind == "acronym", F.when(F.col("score") > 2, 0.7))
+        .otherwise(F.when((F.col("score") > 3) & has_root, 0.6))
+    )
+    kept = terms.withColumn("confidence", confidence.cast("double")).where(F.col("confidence").isNotNull())
+    return kept.withColumn("namespace", F.concat(F.lit(f"{domain}."), low)).withColumn("kind", kind)
+
+
+def top_terms(terms: DataFrame, most: int = 200) -> DataFrame:
+    """(H15)"""
+    order = Window.partitionBy("doc_id").orderBy(F.desc("score"), "term")
+    return terms.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+
+
+def term_cooccurrence(terms: DataFrame, least: int = 3, weight: float = 0.1) -> DataFrame:
+    """Pairs of terms in ``least`` documents or more, by the rarer one's documents."""
+    own = terms.select("doc_id", "term").distinct()
+    a, b = own.alias("a"), own.alias("b")
+    pairs = a.join(b, (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.term") < F.col("b.term")))
+    counts = pairs.groupBy(F.col("a.term").alias("in"), F.col("b.term").alias("out")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    f = own.groupBy("term").agg(F.count(F.lit(1)).alias("f"))
+    both = counts.join(f.select(F.col("term").alias("in"), F.col("f").alias("fi")), "in").join(f.select(F.col("term").alias("out"), F.col("f").alias("fo")), "out")
+    scored = both.select("in", "out", "n", (F.col("n") / F.least("fi", "fo")).alias("weight"))
+    return scored.where(F.col("weight") >= weight)
