@@ -17,8 +17,8 @@ could should may might must shall can need it its this that these those i you he
 where when why how all each every both few more most other some such no not only same so than too very just also now
 here there then once
 """.split()
-# Patterns of term tokens, in their order.
-TERM_PATTERNS = [r"(?i)pg_[a-z0-9_]+", r"[A-Z][a-z]+(?:[A-Z][a-z]+)+", r"[A-Za-z]+(?:-[A-Za-z]+)+", r"\b[A-Z]{2,8}\b"]
+# Patterns of term tokens, in their order; words end at ASCII letters, digits and underscores.
+TERM_PATTERNS = [r"(?i)pg_[a-z0-9_]+", r"[A-Z][a-z]+(?:[A-Z][a-z]+)+", r"[A-Za-z]+(?:-[A-Za-z]+)+", r"(?<![A-Za-z0-9_])[A-Z]{2,8}(?![A-Za-z0-9_])"]
 WORD_PATTERN = r"[A-Za-z][a-z]+"
 CAMEL_PART = r"[A-Z][a-z]+[A-Z]"
 

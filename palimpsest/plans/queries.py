@@ -422,7 +422,8 @@ def domain_fallback(spark, d):
 
 
 def _tokens():
-    special = ", ".join(f"regexp_extract_all(text, '{p}')" for p in T.TERM_PATTERNS)
+    ascii_bounds = [p.replace("(?<![A-Za-z0-9_])", r"\b").replace("(?![A-Za-z0-9_])", r"\b") for p in T.TERM_PATTERNS]
+    special = ", ".join(f"regexp_extract_all(text, '{p}')" for p in ascii_bounds)
     stop = ", ".join(f"'{w}'" for w in T.TERM_STOPWORDS)
     return f"list_concat({special}, list_filter(regexp_extract_all(text, '{T.WORD_PATTERN}'), lambda w: length(w) >= 3 AND NOT list_contains([{stop}], lower(w))))"
 
