@@ -42,25 +42,18 @@ def fold_of(doc_id: Column, folds: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
 
 
-def labelled_sample(documents: DataFrame, keep: Column, limit: int, extra: list[str]) -> DataFrame:
-    """At most ``limit`` rows for which ``keep`` holds: those whose id hashes lowest.
+def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, keep: Column, limit: int) -> DataFrame:
+    """Rows (doc_id, text, ``label``) of at most ``limit`` ids for which ``keep`` holds: those whose id hashes lowest.
 
-    Only ids travel to pick them; texts are read for the picked rows alone. ``limit`` bounds
-    what the learning step reads, and so what it may hold.
+    Only ids and labels travel to pick them; texts are read where they lie, by a broadcast of the
+    ids picked. ``limit`` bounds what the learning step reads. Of contradicting labels of one id
+    the largest counts; ids without a label, or null, are left out.
     """
-    ids = documents.where(keep).select("doc_id").distinct()
-    ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    picked = [r[0] for r in ids.collect()]
-    spark = documents.sparkSession
-    frame = spark.createDataFrame([(i,) for i in picked], "doc_id bigint")
-    return documents.where(keep).join(F.broadcast(frame), "doc_id").select("doc_id", "text", *extra)
-
-
-def with_labels(documents: DataFrame, labels: DataFrame, label: str) -> DataFrame:
-    """Documents that have a label 0 or 1; of contradicting rows of one id, the larger label counts."""
-    known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull())
-    known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("__label"))
-    return documents.select("doc_id", "text").join(known, "doc_id")
+    known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).alias(label))
+    ids = documents.where(keep).select("doc_id").distinct().join(known, "doc_id")
+    picked = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).collect()
+    frame = documents.sparkSession.createDataFrame([tuple(r) for r in picked], ids.schema)
+    return documents.select("doc_id", "text").join(F.broadcast(frame), "doc_id")
 
 
 # --- hashing the words of whole Arrow batches ---------------------------------------------------

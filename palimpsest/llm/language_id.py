@@ -124,7 +124,8 @@ def learn_from(documents: DataFrame) -> tuple:
     """Prototypes from the documents with a language that aren't held out (LEARN_ROWS of them, at most)."""
     small_batches(documents.sparkSession)
     keep = (fold_of(F.col("doc_id"), 3) != 1) & F.col("lang").isNotNull() & F.col("text").isNotNull()
-    return learn_prototypes(labelled_sample(documents, keep, LEARN_ROWS, ["lang"]))
+    langs = documents.select("doc_id", "lang")
+    return learn_prototypes(labelled_sample(documents, langs, "lang", keep, LEARN_ROWS))
 
 
 def identify_language(docs: DataFrame, model: tuple) -> DataFrame:

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import fold_of, hashed_words, labelled_sample, mix, small_batches, table, text_chunks, with_labels
+from .common import fold_of, hashed_words, labelled_sample, mix, small_batches, table, text_chunks
 
 #: Labelled rows to train from, at most.
 LEARN_ROWS = 4_000
@@ -118,8 +118,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[int]) -> Model
 def learn_from(documents: DataFrame, labels: DataFrame) -> Model:
     """A model from the labelled documents that aren't held out (LEARN_ROWS of them, at most)."""
     small_batches(documents.sparkSession)
-    known = with_labels(documents, labels, "quality").withColumnRenamed("__label", "quality")
-    sample = labelled_sample(known, fold_of(F.col("doc_id"), 4) != 2, LEARN_ROWS, ["quality"])
+    sample = labelled_sample(documents, labels.where(F.col("quality").isin(0, 1)), "quality", fold_of(F.col("doc_id"), 4) != 2, LEARN_ROWS)
 
     def run(batches):
         for batch in batches:

@@ -15,10 +15,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import fold_of, labelled_sample, small_batches, table, with_labels
+from .common import fold_of, labelled_sample, small_batches, table
 
 #: Labelled rows from which lexicon and scale are learned, at most.
-LEARN_ROWS = 20_000
+LEARN_ROWS = 12_000
 #: Lexicon words and exception phrases, at most; the strongest are kept.
 LEXICON, EXCEPTIONS = 20_000, 5_000
 #: A lexicon word follows this many different words in toxic texts, and is so many times likelier there.
@@ -123,8 +123,8 @@ def learn_lexicon(sample: DataFrame) -> tuple[dict[str, float], list[str], float
             return {}, [], 1.0
         pairs = sample.mapInArrow(_words_of, "word string, previous string, toxic int")
         one = F.col("toxic") == 1
-        context = pairs.groupBy("word", "previous").agg(F.count(F.when(one, 1)).alias("bad"), F.count(F.when(~one, 1)).alias("good"))
-        seen = context.groupBy("word").agg(F.count(F.when(F.col("bad") > 0, 1)).alias("contexts"), F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+        by_context = [F.count(F.when(one, 1)).alias("bad"), F.count(F.when(~one, 1)).alias("good")]
+        seen = pairs.groupBy("word", "previous").agg(*by_context).groupBy("word").agg(F.count(F.when(F.col("bad") > 0, 1)).alias("contexts"), F.sum("bad").alias("bad"), F.sum("good").alias("good"))
         odds = F.log((F.col("bad") + 0.5) / (bad + 1)) - F.log((F.col("good") + 0.5) / (good + 1))
         found = seen.where(F.col("contexts") >= CONTEXTS).withColumn("odds", odds).where(F.col("odds") >= math.log(ODDS))
         found = found.orderBy(F.desc("odds"), "word").limit(LEXICON).collect()
@@ -134,7 +134,7 @@ def learn_lexicon(sample: DataFrame) -> tuple[dict[str, float], list[str], float
         weights = {r["word"]: r["odds"] / top for r in found}
         # Pairs of a lexicon word and the word before it that clean texts have as often are no sign of toxicity.
         known = sample.sparkSession.createDataFrame([(w,) for w in weights], "word string")
-        excused = context.join(F.broadcast(known), "word").where("previous <> '' AND good >= 3")
+        excused = pairs.join(F.broadcast(known), "word").groupBy("word", "previous").agg(*by_context).where("previous <> '' AND good >= 3")
         excused = excused.where((F.col("good") + 0.5) / (good + 1) >= (F.col("bad") + 0.5) / (bad + 1))
         excused = [f"{r['previous']} {r['word']}" for r in excused.orderBy(F.desc("good"), "word", "previous").limit(EXCEPTIONS).collect()]
         return weights, excused, _scale(sample, weights, excused)
@@ -176,8 +176,8 @@ def _scored(docs: DataFrame, model: tuple, what: str) -> DataFrame:
 def learn_from(documents: DataFrame, labels: DataFrame) -> tuple:
     """A model from the labelled documents that aren't held out (LEARN_ROWS of them, at most)."""
     small_batches(documents.sparkSession)
-    known = with_labels(documents, labels, "toxic").withColumnRenamed("__label", "toxic")
-    return learn_lexicon(labelled_sample(known, fold_of(F.col("doc_id"), 3) != 1, LEARN_ROWS, ["toxic"]))
+    sample = labelled_sample(documents, labels.where(F.col("toxic").isin(0, 1)), "toxic", fold_of(F.col("doc_id"), 3) != 1, LEARN_ROWS)
+    return learn_lexicon(sample)
 
 
 def score_toxicity(docs: DataFrame, model: tuple) -> DataFrame:
