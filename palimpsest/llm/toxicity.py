@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import fold_of, labelled_sample, small_batches, table
 
 #: Labelled rows from which lexicon and scale are learned, at most.
-LEARN_ROWS = 12_000
+LEARN_ROWS = 20_000
 #: Lexicon words and exception phrases, at most; the strongest are kept.
 LEXICON, EXCEPTIONS = 20_000, 5_000
 #: A lexicon word follows this many different words in toxic texts, and is so many times likelier there.
