@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.scores import cosine
@@ -45,24 +48,27 @@ def degrees(edges: DataFrame, soft: int = 400, hard: int = 500) -> DataFrame:
     return counted.select("entity", "links", (F.col("links") >= soft).alias("split"), (F.col("links") >= hard).alias("frozen"))
 
 
-def resolve_aliases(aliases: DataFrame, rounds: int = 32) -> DataFrame:
+def resolve_aliases(aliases: DataFrame) -> DataFrame:
     """Each alias with what it stands for at last; aliases that lead round in a circle resolve to null.
 
-    Rows (alias, target). Every round doubles the steps taken, so that a chain of n needs log n joins.
+    Rows (alias, target); of several targets of an alias the largest counts. Every round doubles
+    the steps taken, so that chains among n aliases end within log n rounds, and what still moves is circular.
     """
-    step = aliases.select("alias", F.col("target").alias("canonical"))
-    for _ in range(rounds):
-        nxt = step.select(F.col("alias").alias("canonical"), F.col("canonical").alias("further"))
-        moved = step.join(nxt, "canonical", "left").select("alias", F.coalesce("further", "canonical").alias("canonical"), F.col("further").isNotNull().alias("moved"))
-        step = moved.select("alias", "canonical").checkpoint() if _checkpointed(aliases) else moved.select("alias", "canonical").persist()
-        if moved.where("moved").limit(1).count() == 0:
-            return step
-    left = aliases.select(F.col("alias").alias("canonical"), F.lit(True).alias("circle")).distinct()
-    return step.join(left, "canonical", "left").select("alias", F.when(F.col("circle").isNull(), F.col("canonical")).alias("canonical"))
-
-
-def _checkpointed(df: DataFrame) -> bool:
-    return df.sparkSession.sparkContext.getCheckpointDir() is not None
+    step = _cut(aliases.groupBy("alias").agg(F.max("target").alias("canonical")))
+    for _ in range(step.count().bit_length()):
+        further = step.select(F.col("alias").alias("canonical"), F.col("canonical").alias("further"))
+        moved = step.join(further, "canonical", "left").groupBy("alias").agg(F.max(F.coalesce("further", "canonical")).alias("canonical"))
+        step = _cut(moved)
+    known = step.select(F.col("alias").alias("canonical"), F.lit(True).alias("circle"))
+    return step.join(known, "canonical", "left").select("alias", F.when(F.col("circle").isNull(), F.col("canonical")).alias("canonical"))
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the cluster's folder; a temporary one only where none is named."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "checkpoints"))
+    return df.checkpoint()
 
 
 def repoint(edges: DataFrame, canonical: DataFrame, weight: float = 0.9) -> DataFrame:

@@ -13,7 +13,7 @@ def event_stream(spark: SparkSession, folder: str, schema: StructType | str, fil
 
 def mention_counts(events: DataFrame, by: str, ts: str = "ts", window: str = "1 hour", late: str = "1 hour") -> DataFrame:
     """Events of each key and window; windows close when the watermark passes them."""
-    counted = events.withWatermark(ts, late) if events.isStreaming else events
+    counted = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late) if events.isStreaming else events
     counted = counted.groupBy(F.window(ts, window).alias("w"), by).agg(F.count(F.lit(1)).alias("n"))
     return counted.select(F.col("w.start").alias("start"), by, "n")
 
@@ -22,7 +22,7 @@ def first_messages(messages: DataFrame, session: str, text: str, ts: str = "ts",
     """A message for each session and first characters (J3); in a stream, state is kept as long as the watermark."""
     keyed = messages.where(F.trim(text) != "").withColumn("prefix", F.substring(text, 1, prefix))
     if messages.isStreaming:
-        return keyed.withWatermark(ts, late).dropDuplicatesWithinWatermark([session, "prefix"])
+        return keyed.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).dropDuplicatesWithinWatermark([session, "prefix"])
     return keyed.dropDuplicates([session, "prefix"])
 
 
