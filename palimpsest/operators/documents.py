@@ -119,3 +119,39 @@ def leader_clusters(vectors: DataFrame, group: str, near: float = 0.7, most: int
         return frame[["id"]].assign(group=key[0], cluster=out)
 
     return few.select(group, "id", "embedding").groupBy(group).applyInPandas(run, "id long, group long, cluster int")
+
+
+def markdown_features(text: Column) -> Column:
+    """Headings, their levels, code, tables, lists and paragraphs over 20 characters (H57); null counts as empty."""
+    text = F.coalesce(text, F.lit(""))
+    heads = F.regexp_extract_all(text, F.lit(r"(?m)^#{1,6}\s+[^\n]+"), F.lit(0))
+    blanks = F.lit(" \t\n\r\f\x0b")
+    paragraphs = F.filter(F.split(text, r"\n\n+"), lambda p: F.length(F.btrim(p, blanks)) > 20)
+    return F.struct(
+        F.size(heads).alias("headings"), F.size(F.array_distinct(F.transform(heads, lambda h: F.length(F.regexp_extract(h, "^#+", 0))))).alias("levels"),
+        text.rlike(r"(?s)```\w*\n.*?```").alias("code"), text.rlike(r"\|[^\n]+\|[\r\n]+\|[-:| ]+\|").alias("table"),
+        (text.rlike(r"(?m)^\s*[-*+]\s+") | text.rlike(r"(?m)^\s*[0-9]+\.\s+")).alias("list"), F.size(paragraphs).alias("paragraphs"),
+        F.when(F.size(paragraphs) > 0, F.aggregate(paragraphs, F.lit(0), lambda s, p: s + F.length(p)) / F.size(paragraphs)).otherwise(0.0).alias("mean"),
+    )
+
+
+def markdown_structure(features: Column) -> Column:
+    """Score of ``markdown_features``."""
+    point = lambda holds, x: F.when(holds, x).otherwise(0.0)
+    f = features
+    return point(f["headings"] >= 3, 0.4) + point(f["levels"] >= 2, 0.2) + point(f["code"], 0.1) + point(f["table"], 0.1) + point(f["list"], 0.1) + point(f["paragraphs"] > 5, 0.1)
+
+
+def sections(docs: DataFrame) -> DataFrame:
+    """doc_id, number, title and content of every stretch that begins with a heading; what precedes the first has no title."""
+    parts = docs.select("doc_id", F.posexplode(F.split("text", r"(?m)(?=^#{1,6}[ \t]+\S)")).alias("section", "content"))
+    title = F.regexp_extract("content", r"\A#{1,6}[ \t]+([^\n]*)", 1)
+    return parts.where("content <> ''").select("doc_id", "section", F.when(title != "", F.btrim(title)).alias("title"), "content")
+
+
+def fixed_pieces(docs: DataFrame, size: int = 2000, least: int = 100) -> DataFrame:
+    """doc_id, piece number and content of pieces of ``size`` characters, blanks at their ends left out; those under ``least`` are not given."""
+    blanks = F.lit(" \t\n\r\f\x0b")
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.length("text") / size).cast("int") - 1))
+    pieces = docs.where("text IS NOT NULL").select("doc_id", F.posexplode(F.transform(starts, lambda i: F.btrim(F.substring(F.col("text"), i * size + 1, F.lit(size)), blanks))).alias("piece", "content"))
+    return pieces.where(F.length("content") >= least)

@@ -137,3 +137,17 @@ def merge_synonyms(relations: DataFrame, frequencies: DataFrame, least: float =
     both = pairs.join(f.select(F.col("id").alias("in"), F.col("frequency").alias("fi")), "in").join(f.select(F.col("id").alias("out"), F.col("frequency").alias("fo")), "out")
     first = F.col("fi") >= F.col("fo")
     return both.select(F.when(first, F.col("in")).otherwise(F.col("out")).alias("primary"), F.when(first, F.col("out")).otherwise(F.col("in")).alias("merged"), (F.col("fi") + F.col("fo")).alias("frequency"))
+
+
+# Names that tell a term's kind: pattern, what it belongs to, how.
+NAMING_RULES = [
+    ("^pg_", "system_object", "is_a"), ("(?i)index$", "index", "part_of"), ("(?i)buffer$", "memory", "part_of"),
+    ("^shared_|^max_|^min_|^default_", "configuration", "is_a"), ("(?i)dump|restore|backup|import|export$", "tool", "is_a"),
+]
+
+
+def structural_relations(terms: DataFrame) -> DataFrame:
+    """A relation for every rule that a term's name (``normalized``) follows (C14); the targets are names that the store adds."""
+    rules = F.array(*[F.when(F.col("normalized").rlike(p), F.struct(F.lit(t).alias("target"), F.lit(r).alias("type"))) for p, t, r in NAMING_RULES])
+    found = terms.select("id", F.explode(F.filter(rules, lambda r: r.isNotNull())).alias("r"))
+    return found.select("id", "r.target", "r.type", F.lit(0.8).alias("weight"), F.lit(0.95).alias("confidence"), F.lit("rule").alias("method"))

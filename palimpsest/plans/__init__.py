@@ -1,0 +1,3 @@
+"""Queries of the engine."""
+
+from . import more_queries, queries  # noqa: F401

@@ -113,3 +113,34 @@ def test_diversity_penalties(spark):
     df = spark.createDataFrame([(1, 9.0, "alpha beta gamma delta", "x"), (2, 8.0, "alpha beta gamma delta", "x"), (3, 7.0, "other words entirely here", None)], "id long, score double, content string, cluster string")
     found = {r["id"]: round(r["score"], 6) for r in search.rerank(df).collect()}
     assert found == {1: 1.0, 2: 0.6, 3: 0.9}
+
+
+def test_model_answers(spark):
+    from palimpsest.functions import answers
+
+    said = "---三元组---\nWAL | protects | data\nWAL | holds | a|b\naa aa aa aa | is | x1\nno triple\n---SUMMARY---\nshort\nthe log of changes\n---TOPIC---\nstorage"
+    frame = spark.createDataFrame([(said,), ("",), (None,)], "a string").select(answers.sectioned(F.col("a")).alias("s"), answers.ranking(F.col("a"), 3).alias("r")).collect()
+    assert [tuple(t) for t in frame[0].s.triples] == [("WAL", "protects", "data"), ("WAL", "holds", "a|b")]
+    assert (frame[0].s.summary, frame[0].s.topic) == ("the log of changes", "storage")
+    assert all((x.s.triples, x.s.summary, x.s.topic, x.r) == ([], "", "", [0, 1, 2]) for x in frame[1:])
+    told = spark.createDataFrame([("2 2 9 99999999999999999999 0",)], "a string").select(answers.ranking(F.col("a"), 4).alias("r")).first()
+    assert told.r == [2, 0, 1, 3]
+
+
+def test_encoders_and_models(spark):
+    from palimpsest.sources import models
+
+    frame = spark.createDataFrame([(1, "a b"), (2, ""), (3, None), (4, "a b")], "id long, t string")
+    got = {r.id: r.embedding for r in models.embed(frame, "id", "t", models.hashed_encoder(8), "query").collect()}
+    assert got[2] == got[3] == [] and got[1] == got[4] and abs(sum(x * x for x in got[1]) - 1) < 1e-9
+    told = {r.id: r.answer for r in models.complete(frame, "id", "t", lambda prompts: [p.upper() for p in prompts]).collect()}
+    assert told == {1: "A B", 2: "", 3: None, 4: "A B"}
+    assert models.unit([[3.0, 4.0]]) == [0.6, 0.8] and models.unit([0.0]) == [] and models.unit([float("nan")]) == []
+
+
+def test_sections_and_pieces(spark):
+    frame = spark.createDataFrame([(1, "before\n# A\nx\n## B \ny"), (2, ""), (3, None)], "doc_id long, text string")
+    got = documents.sections(frame).orderBy("doc_id", "section").collect()
+    assert [(r.doc_id, r.title, r.content) for r in got] == [(1, None, "before\n"), (1, "A", "# A\nx\n"), (1, "B", "## B \ny")]
+    pieces = documents.fixed_pieces(frame, 8, 3).orderBy("piece").collect()
+    assert [(r.piece, r.content) for r in pieces] == [(0, "before\n#"), (1, "A\nx\n##"), (2, "B \ny")]
