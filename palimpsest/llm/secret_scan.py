@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import string
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -71,9 +72,17 @@ def ratio_of(run: str, ratio: np.ndarray) -> float:
 def all_spans(text: str, ratio: np.ndarray, cut: float = CUT) -> list[tuple[str, int, int]]:
     """Base spans, and runs that the models call random and no base span touches; by start, then kind."""
     spans = base_spans(text)
+    starts, ends = [], []  # of the text that base spans cover, in order and apart
+    for _, s, e in sorted(spans, key=lambda x: x[1]):
+        if ends and s < ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
     for m in RUN.finditer(text):
         a, b = m.span()
-        if ratio_of(m[0], ratio) > cut and not any(s < b and a < e for _, s, e in spans if _ != "markov"):
+        k = bisect_left(starts, b) - 1  # the last that begins before the run ends
+        if (k < 0 or ends[k] <= a) and ratio_of(m[0], ratio) > cut:
             spans.append(("markov", a, b))
     return sorted(spans, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
