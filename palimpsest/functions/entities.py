@@ -61,6 +61,12 @@ def ascii_bounds(pattern: str) -> str:
     return pattern.replace(r"\b", _EDGE)
 
 
+def whole_words(pattern: str) -> str:
+    """Alternatives that begin with letters, between such bounds, in either case; their first letters are looked for first."""
+    heads = "".join(sorted({p[0] for p in pattern.split("|")}))
+    return f"(?i)(?=[{heads}])(?<![A-Za-z0-9_])({pattern}){_EDGE}"
+
+
 def normal_name(name: Column, aliases: dict[str, str] = ALIASES) -> Column:
     """The name that an alias stands for, or the name with a capital first letter."""
     plain = F.btrim(name, F.lit(BLANKS))
@@ -74,7 +80,7 @@ def pattern_entities(text: Column) -> Column:
     The kinds name finitely many entities, so the array of distinct names stays short for any text.
     """
     kind = lambda k, p: F.transform(
-        F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("(?i)" + ascii_bounds(rf"\b({p})\b")), F.lit(0)),
+        F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(whole_words(p)), F.lit(0)),
         lambda m: F.struct(normal_name(m).alias("name"), F.lit(k).alias("entity_type"), m.alias("original")),
     )
     found = F.concat(*[kind(k, p) for k, p in KINDS.items()])
