@@ -1,4 +1,4 @@
-"""Steps around models: summaries, profiles, topics, merges, relations, compiled blocks; the hierarchy and the context.
+"""Steps around models: summaries, profiles, topics, merges, relations, compiled blocks; the hierarchy and the context.
 
 A model is a callable (see ``sources.models``); what a prompt holds of each group is bounded, by
 ranks that are cut before the shuffle.
@@ -41,6 +41,14 @@ def profiles(messages: DataFrame, session: str, text: str, model: Model, *order:
     return answer.select(session, A.profile(F.col("answer")).alias("p")).select(session, "p.*")
 
 
+def entities_or_model(docs: DataFrame, key: str, text: str, model: Model, known: DataFrame | None = None) -> DataFrame:
+    """Entities by patterns, and those that a model names in texts without any (H23, H24); keys are unique."""
+    found = E.extract_entities(docs, key, text, known)
+    said = complete(docs.join(found.select(key).distinct(), key, "left_anti"), key, text, model)
+    named = said.select(key, F.explode(E.answered_entities(F.col("answer"))).alias("e")).select(key, "e.name", "e.confidence", F.lit("model").alias("source"))
+    return found.unionByName(named, allowMissingColumns=True)
+
+
 def name_topics(clusters: DataFrame, memories: DataFrame, model: Model) -> DataFrame:
     """Name and description of clusters (cluster, memory) from 200 characters of their five first memories.
 

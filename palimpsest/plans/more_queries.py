@@ -39,7 +39,7 @@ def repair_json(spark, d):
     return read(spark, d, "events").select("event_id", said["id"].alias("id"), said["kind"].alias("kind"), F.size(said["tags"]).alias("tags"))
 
 
-@query(None)
+@query("SELECT o_orderkey, 1 AS triples, concat('of order ', o_orderkey) AS summary, 'orders' AS topic FROM orders")
 def parse_sections(spark, d):
     answer = F.concat(F.lit("---TRIPLES---\n"), F.col("o_orderpriority"), F.lit(" | has status | "), F.col("o_orderstatus"), F.lit("x\nno triple\n---SUMMARY---\nof order "), F.col("o_orderkey"), F.lit("\n---TOPIC---\norders"))
     said = A.sectioned(answer)

@@ -26,6 +26,12 @@ def test_entities_of_odd_texts(spark):
     assert entities.extract_entities(docs.limit(0), "doc_id", "text", docs.select(F.lit("a").alias("name"), F.lit(1.0).alias("confidence"))).count() == 0
 
 
+def test_a_model_names_what_patterns_do_not(spark):
+    docs = spark.createDataFrame([(1, "uses git"), (2, "a talk"), (3, None)], "doc_id long, text string")
+    found = memories.entities_or_model(docs, "doc_id", "text", lambda prompts: ['{"entities": [{"name": "k8s"}]}' for _ in prompts])
+    assert sorted((r["doc_id"], r["name"], r["source"], r["entity_type"]) for r in found.collect()) == [(1, "Git", "regex", "tool"), (2, "Kubernetes", "model", None)]
+
+
 def test_answers_that_cannot_be_read(spark):
     for said in (F.lit(None).cast("string"), F.lit(""), F.lit("{"), F.lit("[]"), F.lit("---TOPIC---")):
         assert one(spark, answers.clusters(said)) == []
