@@ -1,13 +1,15 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Word n-grams that few test items hold seed matches in the documents; around the seeds, the item
-is aligned with the document's words, so that edited and paraphrased copies score as well. Test
+Every word n-gram of a test item, however many items hold it, seeds matches in the documents; around
+the seeds, the item is aligned with the document's words, so that edited and paraphrased copies score
+as well. An alignment without three equal words in a row is not looked for. Test
 items are a query set: they are broadcast in blocks of bounded size, and no document is moved.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +17,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import small_batches, table
 
-#: Words in a seed, and items that may share a seed; an item whose seeds are all shared by more keeps the least shared.
-SEED_WORDS, SHARED_BY = 3, 8
+#: Words in a seed; items of fewer words are one seed.
+SEED_WORDS = 3
 #: Alignment scores of equal words, unequal words and skipped words.
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: A document is contaminated if an item reaches this share of the score of a whole copy.
@@ -48,59 +50,84 @@ def alignment(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
 
 
 class Items:
-    """Test items, their words as numbers, and the seeds that lead to them."""
+    """Test items, their words as numbers, and the seeds that lead to them; items of equal words are one."""
 
     def __init__(self, items: list[tuple[int, str]]):
         self.numbers: dict[str, int] = {}
-        self.ids = [i for i, _ in items]
-        self.words = [np.array([self.numbers.setdefault(w, len(self.numbers)) for w in tokens(t)], np.int64) for _, t in items]
-        holders: dict[tuple, set[int]] = {}
-        own: list[list[tuple]] = []
-        for k, words in enumerate(self.words):
-            n = min(SEED_WORDS, len(words))
-            own.append([tuple(words[i : i + n].tolist()) for i in range(len(words) - n + 1)] if n else [])
-            for seed in own[-1]:
-                holders.setdefault(seed, set()).add(k)
-        self.seeds: dict[tuple, list[int]] = {}
-        for k, seeds in enumerate(own):
-            rare = [s for s in seeds if len(holders[s]) <= SHARED_BY]
-            for seed in set(rare or sorted(seeds, key=lambda s: len(holders[s]))[:1]):
-                self.seeds.setdefault(seed, []).append(k)
-        self.short = sorted({len(s) for s in self.seeds})
-        self.first = {s[0] for s in self.seeds}
-
-    def matches(self, text: str | None) -> list[tuple[int, float, int, int]]:
-        """(item, score, start, end) of every item found, at its best place, in words of the text."""
-        found = tokens(text)
-        words = [self.numbers.get(w, -1) for w in found]
-        first, hits = self.first, {}
-        for i, word in enumerate(words):
-            if word in first:
-                for n in self.short:
-                    for k in self.seeds.get(tuple(words[i : i + n]), ()):
-                        hits.setdefault(k, []).append(i)
-        out, line = [], np.array(words, np.int64)
-        for k, places in hits.items():
-            size = len(self.words[k])
-            best, reach = (0.0, 0, 0), -1
-            groups: list[list[int]] = []
-            for p in places:
-                if p > reach:
-                    groups.append([p, p])
-                groups[-1][1] = p
-                reach = p + 2 * size
-            # Two seeds or more, unless one is a third of the item: a lone triple of common words is no copy.
-            for a, b in groups:
-                if size > 3 * SEED_WORDS and sum(a <= p <= b for p in places) < 2:
-                    continue
-                lo, hi = max(0, a - 2 * size), min(len(line), b + 2 * size)
-                score, end = alignment(self.words[k], line[lo:hi])
-                if score > best[0]:
-                    best = score, max(0, lo + end - size), lo + end
-            if best[0] >= THRESHOLD * MATCH * size:
-                out.append((self.ids[k], best[0] / (MATCH * size), best[1], best[2]))
+        same: dict[tuple, list[int]] = {}
+        for i, t in items:
+            same.setdefault(tuple(self.numbers.setdefault(w, len(self.numbers)) for w in tokens(t)), []).append(i)
+        same.pop((), None)
+        self.ids = list(same.values())
+        self.words = [np.array(w, np.int64) for w in same]
+        #: By length of seeds: their keys in order, where each one's holders start, the holders, and each holder's seeds.
+        self.seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, dict[int, np.ndarray]]] = {}
+        for n in range(1, SEED_WORDS + 1):
+            own = {k: np.unique(self._keys(w, n)) for k, w in enumerate(self.words) if min(SEED_WORDS, len(w)) == n}
+            if own:
+                keys, seed = np.unique(np.concatenate(list(own.values())), return_inverse=True)
+                holder = np.repeat(np.array(list(own), np.int64), [len(s) for s in own.values()])
+                order = np.argsort(seed, kind="stable")
+                starts = np.searchsorted(seed[order], np.arange(len(keys) + 1))
+                self.seeds[n] = keys, starts, holder[order], {k: np.searchsorted(keys, s) for k, s in own.items()}
+
+    def _keys(self, words: np.ndarray, n: int) -> np.ndarray:
+        """A number for each run of n words, -1 where a word is in no item; BLOCK_WORDS words make no equal ones."""
+        out = words[: max(0, len(words) - n + 1)].copy()
+        unknown = out < 0
+        for j in range(1, n):
+            word = words[j : j + len(out)]
+            out = out * len(self.numbers) + word
+            unknown |= word < 0
+        out[unknown] = -1
         return out
 
+    def matches(self, text: str | None) -> Iterator[tuple[int, float, int, int]]:
+        """(item, score, start, end) of every item found, at its best place, in words of the text.
+
+        All items that share a seed with the text are looked at. An item is only left unaligned where
+        too few of its words are there for the score.
+        """
+        line = np.array([self.numbers.get(w, -1) for w in tokens(text)], np.int64)
+        there = np.zeros(len(self.numbers) + 1, bool)
+        there[line] = True
+        there[-1] = False
+        for n, (keys, starts, holders, own) in self.seeds.items():
+            here = self._keys(line, n)
+            seed = np.minimum(np.searchsorted(keys, here), len(keys) - 1)
+            at = np.flatnonzero(keys[seed] == here)
+            if not len(at):
+                continue
+            seed = seed[at]
+            near = np.unique(np.concatenate([holders[starts[s] : starts[s + 1]] for s in np.unique(seed).tolist()]))
+            for k in near.tolist():
+                words = self.words[k]
+                least = THRESHOLD * MATCH * len(words)
+                if MATCH * int(there[words].sum()) < least:
+                    continue
+                held = np.zeros(len(keys), bool)
+                held[own[k]] = True
+                score, start, end = self._best(words, line, at[held[seed]], least)
+                if score >= least:
+                    for i in self.ids[k]:
+                        yield i, score / (MATCH * len(words)), start, end
+
+    def _best(self, words: np.ndarray, line: np.ndarray, places: np.ndarray, least: float) -> tuple[int, int, int]:
+        """Score, start and end of the best alignment around the places, if it reaches ``least``."""
+        size, best = len(words), (0, 0, 0)
+        mine = np.zeros(len(self.numbers) + 1, bool)
+        mine[words] = True
+        for group in np.split(places, np.flatnonzero(np.diff(places) > 2 * size) + 1):
+            lo, hi = max(0, int(group[0]) - 2 * size), min(len(line), int(group[-1]) + 2 * size)
+            # A score of the threshold takes under 2 * size words of the text, of which so many are the item's.
+            known = np.r_[0, np.cumsum(mine[line[lo:hi]])]
+            if MATCH * int((known[min(2 * size, hi - lo) :] - known[: max(1, len(known) - 2 * size)]).max()) < least:
+                continue
+            score, end = alignment(words, line[lo:hi])
+            if score > best[0]:
+                best = score, max(0, lo + end - size), lo + end
+        return best
+
 
 def _blocks(items: DataFrame) -> list[list[tuple[int, str]]]:
     blocks, block, held = [], [], 0
@@ -153,7 +180,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
             known = Items(shared.value)
             for batch in batches:
                 at = batch.schema.get_field_index("text")
-                yield batch.filter(pa.array([not known.matches(t) for t in batch.column(at).to_pylist()], pa.bool_()))
+                yield batch.filter(pa.array([next(known.matches(t), None) is None for t in batch.column(at).to_pylist()], pa.bool_()))
 
         clean = clean.mapInArrow(run, clean.schema)
     return clean

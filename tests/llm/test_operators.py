@@ -276,6 +276,36 @@ def test_decontamination_finds_edited_copies(spark):
     assert decontamination.contaminated(frame(spark, rows), items.where("false")).count() == 0
 
 
+def brute_leaks(rows, items):
+    """(doc_id, item_id, score) of items that share three words in a row with a document and align with it."""
+    out = []
+    for d, t in rows:
+        b = decontamination.tokens(t)
+        for i, x in items:
+            a = decontamination.tokens(x)
+            n = min(3, len(a))
+            runs = {tuple(a[j : j + n]) for j in range(len(a) - n + 1)} if a else set()
+            if not runs & {tuple(b[j : j + n]) for j in range(len(b) - n + 1)}:
+                continue
+            number = {w: k for k, w in enumerate({*a, *b})}
+            score, _ = decontamination.alignment(np.array([number[w] for w in a]), np.array([number[w] for w in b]))
+            if score >= 0.6 * 2 * len(a):
+                out.append((d, i, score / (2 * len(a))))
+    return sorted(out)
+
+
+def test_decontamination_is_brute_force_on_shared_and_templated_items(spark):
+    rng = random.Random(21)
+    equal, stem, broken = words(rng, 26, 4000), words(rng, 13, 4000), words(rng, 20, 4000)
+    items = [(i, " ".join(equal)) for i in range(9)] + [(20 + i, " ".join([*stem, f"last{i}"])) for i in range(12)] + [(50, " ".join(broken)), (51, "one two"), (52, "w1")]
+    inserted = [w for j, x in enumerate(broken) for w in ((x, "new") if j > 2 and j % 2 else (x,))]
+    rows = [(1, " ".join(words(rng, 30) + equal + words(rng, 30))), (2, " ".join(words(rng, 5) + [*stem, "last4"])), (3, " ".join(stem[:7])), (4, " ".join(inserted)), (5, "two one two"), (6, "w1")]
+    rows += [(100 + i, " ".join(words(rng, 60, 4000))) for i in range(40)]
+    found = decontamination.contaminated(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["score"]) for r in found) == brute_leaks(rows, items)
+    assert {(1, i) for i in range(9)} | {(2, 20 + i) for i in range(12)} | {(4, 50)} <= {(r["doc_id"], r["item_id"]) for r in found}
+
+
 def test_alignment_is_smith_waterman():
     rng = np.random.default_rng(12)
     for _ in range(30):
