@@ -10,17 +10,22 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..functions.scores import cosine
 
 
-def cooccurrence(edges: DataFrame, least: int = 3, hub: int = 1000) -> DataFrame:
+def cooccurrence(edges: DataFrame, least: int = 3, block: int = 1000) -> DataFrame:
     """Pairs of entities in ``least`` memories or more, weighted by their mentions.
 
-    A memory of more than ``hub`` entities is no evidence of relation; it is reported by
-    ``hub_memories`` rather than paired.
+    A memory of more than ``block`` entities is dealt into blocks of about that many by their hash,
+    and every two of its blocks are paired in a task of their own.
     """
     own = edges.select("memory", "entity").distinct()
-    size = F.count(F.lit(1)).over(Window.partitionBy("memory"))
-    own = own.withColumn("size", size).where(F.col("size") <= hub).drop("size")
-    a, b = own.alias("a"), own.alias("b")
-    pairs = a.join(b, (F.col("a.memory") == F.col("b.memory")) & (F.col("a.entity") < F.col("b.entity")))
+    # At most one memory in ``block`` rows is large.
+    sizes = edges.groupBy("memory").agg(F.approx_count_distinct("entity").alias("size")).where(F.col("size") > block)
+    dealt = own.join(F.broadcast(sizes), "memory", "left").withColumn("blocks", F.coalesce(F.ceil(F.col("size") / block), F.lit(1)))
+    dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("entity"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select("memory", "entity", "mine", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"))
+    a, b = dealt.alias("a"), dealt.alias("b")
+    met = (F.col("a.memory") == F.col("b.memory")) & (F.col("a.low") == F.col("b.low")) & (F.col("a.high") == F.col("b.high")) & (F.col("a.entity") < F.col("b.entity"))
+    # Two entities of one block meet wherever it is paired, and count where it is paired with itself.
+    pairs = a.join(b, met & ((F.col("a.mine") != F.col("b.mine")) | (F.col("a.low") == F.col("a.high"))))
     counts = pairs.groupBy(F.col("a.entity").alias("in"), F.col("b.entity").alias("out")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
     mentions = own.groupBy("entity").agg(F.count(F.lit(1)).alias("m"))
     left = mentions.select(F.col("entity").alias("in"), F.col("m").alias("ma"))
@@ -28,10 +33,6 @@ def cooccurrence(edges: DataFrame, least: int = 3, hub: int = 1000) -> DataFrame
     return counts.join(left, "in").join(right, "out").select("in", "out", "n", (F.col("n") / F.sqrt(F.col("ma") * F.col("mb"))).alias("weight"))
 
 
-def hub_memories(edges: DataFrame, hub: int = 1000) -> DataFrame:
-    return edges.groupBy("memory").agg(F.countDistinct("entity").alias("entities")).where(F.col("entities") > hub)
-
-
 def prune(relations: DataFrame, least: float) -> DataFrame:
     """Edges of this weight or more; the lighter ones go."""
     return relations.where(F.col("weight") >= least)

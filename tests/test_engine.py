@@ -72,6 +72,23 @@ def test_alias_circles_resolve_to_nothing(spark):
     assert {r[0]: r[1] for r in graph.resolve_aliases(df).collect()} == {1: 3, 2: 3, 7: 3, 5: None, 6: None}
 
 
+@pytest.mark.parametrize(("size", "block"), [(1100, {}), (40, {"block": 7})])
+def test_cooccurrence_pairs_large_memories(spark, size, block):
+    own = {1: range(size), 2: range(0, size, 9), 3: range(5), 4: [7]}
+    df = spark.createDataFrame([(m, e) for m, es in own.items() for e in es] + [(3, 1), (None, 2), (2, None)], "memory long, entity long")
+    expected, mentions = {}, {}
+    for es in [*map(list, own.values()), [2]]:
+        for k, a in enumerate(es):
+            mentions[a] = mentions.get(a, 0) + 1
+            if es != [2]:
+                for b in es[k + 1 :]:
+                    expected[a, b] = expected.get((a, b), 0) + 1
+    expected = {p: n for p, n in expected.items() if n >= 2}
+    found = graph.cooccurrence(df, 2, **block).collect()
+    assert {(r["in"], r["out"]): r["n"] for r in found} == expected and len(found) == len(expected)
+    assert all(abs(r["weight"] - r["n"] / (mentions[r["in"]] * mentions[r["out"]]) ** 0.5) < 1e-12 for r in found)
+
+
 def test_expressions(spark):
     row = spark.range(1).select(
         scores.cosine(F.array(F.lit(1.0), F.lit(0.0)), F.array(F.lit(0.0), F.lit(0.0))).alias("zero"),
