@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import table
+from .common import mix, table
 
 #: Rows from which centroids are learned, centroids of each half, rounds, and their seed.
 LEARN_ROWS, CENTROIDS, ROUNDS, SEED = 16_384, 64, 12, 99
@@ -96,24 +96,41 @@ def exact_scores(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return total
 
 
-def _best(ids: np.ndarray, x: np.ndarray, own: int, q: np.ndarray, rough: np.ndarray, top: int):
-    """The first ``top`` rows by exact score, ties by id."""
-    if len(ids) > top + 1:
-        least = np.partition(rough, len(rough) - top - 1)[len(rough) - top - 1]
+def prints(x: np.ndarray) -> np.ndarray:
+    """A hash of each vector, by which rows of one id and score are told apart."""
+    total = np.zeros(len(x), np.uint64)
+    for column in np.ascontiguousarray((x + 0.0).T).view(np.uint64):
+        total = mix(total * np.uint64(0xC2B2AE3D27D4EB4F) + mix(column))
+    return total.view(np.int64)
+
+
+def _best(ids: np.ndarray, x: np.ndarray, marks: np.ndarray, q: np.ndarray, rough: np.ndarray, top: int):
+    """The first ``top`` rows, none of them repeated, by exact score, ties by id."""
+    if len(ids) > top:
+        least = np.partition(rough, len(rough) - top)[len(rough) - top]
         near = rough >= least - SLACK * max(1.0, np.abs(rough).max())
-        ids, x = ids[near], x[near]
-    keep = ids != own
-    ids, x = ids[keep], x[keep]
+        ids, x, marks = ids[near], x[near], marks[near]
     scores = exact_scores(np.broadcast_to(q, x.shape), x)
-    order = np.lexsort((ids, -scores))[:top]
-    return ids[order], scores[order]
+    order = np.lexsort((marks, ids, -scores))[:top]
+    return ids[order], scores[order], marks[order]
+
+
+def _merged(a, b, top: int):
+    """The first ``top`` of two lists of (ids, scores, prints), repeated rows once."""
+    ids, scores, marks = (np.r_[p, q] for p, q in zip(a, b))
+    order = np.lexsort((marks, ids, -scores))
+    ids, scores, marks = ids[order], scores[order], marks[order]
+    new = np.r_[True, (ids[1:] != ids[:-1]) | (scores[1:] != scores[:-1]) | (marks[1:] != marks[:-1])]
+    return ids[new][:top], scores[new][:top], marks[new][:top]
 
 
 def _few_copies(ids: np.ndarray, x: np.ndarray, top: int) -> np.ndarray:
-    """Rows that can be among the first ``top``: of equal vectors, those of the smallest ids."""
+    """Rows that can be among the first ``top``: repeated ones once, and of equal vectors those of the smallest ids."""
     _, group = np.unique(x, axis=0, return_inverse=True)
     order = np.lexsort((ids, group.ravel()))
-    g = group.ravel()[order]
+    g, i = group.ravel()[order], ids[order]
+    new = np.r_[True, (g[1:] != g[:-1]) | (i[1:] != i[:-1])]
+    order, g = order[new], g[new]
     place = np.arange(len(g)) - np.searchsorted(g, g)
     return order[place <= top]
 
@@ -140,32 +157,29 @@ def _search(rows: DataFrame, block, top: int) -> DataFrame:
 
     def run(batches):
         codebooks, query_ids, queries, probes = shared.value
-        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        best: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for ids, x in _gathered(batches, queries.shape[1]):
             few = _few_copies(ids, x, top)
             ids, x = ids[few], x[few]
             cells = _cell(x, codebooks)
             order = np.argsort(cells, kind="stable")
             ids, x, cells = ids[order], x[order], cells[order]
+            marks = prints(x)
             visit = probes[:, cells]
             for lo in range(0, len(queries), 512):
                 rough = queries[lo : lo + 512] @ x.T
                 for k, scores in enumerate(rough, lo):
-                    seen = visit[k]
+                    seen = visit[k] & (ids != query_ids[k])
                     if k in best and len(best[k][1]) == top:
                         seen = seen & (scores >= best[k][1][-1] - SLACK * max(1.0, abs(best[k][1][-1])))
                     if not seen.any():
                         continue
-                    found, exact = _best(ids[seen], x[seen], query_ids[k], queries[k], scores[seen], top)
-                    if k in best:
-                        found, exact = np.r_[best[k][0], found], np.r_[best[k][1], exact]
-                        first = np.lexsort((found, -exact))[:top]
-                        found, exact = found[first], exact[first]
-                    best[k] = found, exact
-        for k, (found, exact) in best.items():
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), query_ids[k], np.int64)), pa.array(found), pa.array(exact)], ["query_id", "vec_id", "score"])
+                    found = _best(ids[seen], x[seen], marks[seen], queries[k], scores[seen], top)
+                    best[k] = _merged(best[k], found, top) if k in best else found
+        for k, (found, exact, which) in best.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), query_ids[k], np.int64)), pa.array(found), pa.array(exact), pa.array(which)], ["query_id", "vec_id", "score", "print"])
 
-    return rows.select("vec_id", "embedding").mapInArrow(run, "query_id long, vec_id long, score double")
+    return rows.select("vec_id", "embedding").mapInArrow(run, "query_id long, vec_id long, score double, print long")
 
 
 def _block_of(rows: list, codebooks, held: np.ndarray, enough: int):
@@ -185,15 +199,16 @@ def nearest(vectors: DataFrame, is_query, top: int = 20, share: float = SHARE, v
     A query never finds rows of its own id; ties go to the smaller vec_id; fewer rows than ``top``
     are all returned. Null, zero or not finite vectors, and rows without id, take no part; of
     vectors of several lengths, those of the most common length do. Of repeated rows of one
-    id and vector one counts. Other columns are ignored; no queries or an empty table give no rows.
+    id and vector one counts. A query id of several vectors is asked by each, and a row counts by its
+    best score. Other columns are ignored; no queries or an empty table give no rows.
     """
     spark = vectors.sparkSession
     out = "query_id long, rank int, vec_id long, score double"
     rows = usable(vectors)
     widths = rows.groupBy(F.size("embedding").alias("w")).count().orderBy(F.desc("count"), "w").limit(1).collect()
-    if not widths or widths[0]["w"] < 2:
+    if not widths:
         return spark.createDataFrame([], out)
-    width, total = widths[0]["w"], widths[0]["count"]
+    width = widths[0]["w"]
     rows = rows.where(F.size("embedding") == width)
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(LEARN_ROWS).collect()
     x, rng, half = np.array([r["embedding"] for r in sample]), np.random.default_rng(SEED), width // 2
@@ -202,17 +217,17 @@ def nearest(vectors: DataFrame, is_query, top: int = 20, share: float = SHARE, v
 
     def count(batches):
         for batch in batches:
-            _, own = vectors_of(batch.column(0))
-            cells, n = np.unique(_cell(own, shared.value), return_counts=True) if len(own) else (np.zeros(0, np.int64),) * 2
-            yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(n, pa.int64())], ["cell", "n"])
+            at, own = vectors_of(batch.column(0))
+            cells = _cell(own, shared.value) if len(own) else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), batch.column(1).take(pa.array(at)), pa.array(prints(own))], ["cell", "vec_id", "print"])
 
     held = np.zeros(len(codebooks[0]) * len(codebooks[1]), np.int64)
-    for r in rows.select("embedding").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+    for r in rows.select("embedding", "vec_id").mapInArrow(count, "cell long, vec_id long, print long").distinct().groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect():
         held[r["cell"]] = r["n"]
 
-    queries = rows.where(is_query).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    queries = queries.repartitionByRange(max(1, spark.sparkContext.defaultParallelism), "vec_id").sortWithinPartitions("vec_id")
-    enough = max(visited, int(share * total))
+    queries = rows.where(is_query).select("vec_id", "embedding").distinct()
+    queries = queries.repartitionByRange(max(1, spark.sparkContext.defaultParallelism), "vec_id", "embedding").sortWithinPartitions("vec_id", "embedding")
+    enough = max(visited, int(share * held.sum()))
     parts, block = [], []
     for r in queries.toLocalIterator():
         block.append(r)
@@ -227,7 +242,8 @@ def nearest(vectors: DataFrame, is_query, top: int = 20, share: float = SHARE, v
     for p in parts[1:]:
         found = found.union(p)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = found.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    found = found.groupBy("query_id", "vec_id", "print").agg(F.max("score").alias("score"))
+    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 

@@ -186,6 +186,24 @@ def test_nearest_finds_nine_of_ten_and_orders_ties(spark):
     assert ann.nearest(df.where("false"), F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize(("gathered", "width"), [(4096, 8), (64, 8), (64, 1)])
+def test_nearest_counts_repeated_rows_once(spark, monkeypatch, gathered, width):
+    monkeypatch.setattr(ann, "GATHERED", gathered)
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.integers(-9, 10, width).astype(float) + 0.5) for i in range(120)]
+    # Ids of several vectors, among them queries, and one near row that is repeated often.
+    rows += [(i, rng.integers(-9, 10, width).astype(float) + 0.5) for i in (0, 0, 3, 20, 41)] + [(500, np.full(width, 20.0))] * 30
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in rows * 3], "vec_id long, embedding array<double>")
+    found = {}
+    for r in ann.nearest(df, F.col("vec_id") % 20 == 0, share=1.0).orderBy("query_id", "rank").collect():
+        found.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    once = {(i, tuple(v)) for i, v in rows}
+    for q in {i for i, _ in once if i % 20 == 0}:
+        asked = np.array([v for i, v in once if i == q])
+        best = sorted((-(asked @ np.array(v)).max(), i) for i, v in once if i != q)[:20]
+        assert found[q] == [(n, i, -s) for n, (s, i) in enumerate(best, 1)]
+
+
 def test_cells_come_by_falling_sum():
     rng = np.random.default_rng(4)
     a, b, held = rng.normal(size=6), rng.normal(size=7), np.ones(42, int)
