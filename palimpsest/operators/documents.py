@@ -1,4 +1,4 @@
-"""Documents: chunks, structure, context windows, samples."""
+"""Documents: chunks, structure, context windows, samples."""
 
 from __future__ import annotations
 

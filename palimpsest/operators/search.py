@@ -1,4 +1,4 @@
-"""Retrieval: vector and graph search, merging, reranking."""
+"""Retrieval: vector and graph search, merging, reranking."""
 
 from __future__ import annotations
 

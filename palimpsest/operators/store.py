@@ -1,4 +1,4 @@
-"""Tables of the store: keyed merges, patches, deletes, upkeep."""
+"""Tables of the store: keyed merges, patches, deletes, upkeep."""
 
 from __future__ import annotations
 
