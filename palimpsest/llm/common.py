@@ -14,28 +14,49 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 WORD = re.compile(WORD_PATTERN)
 
-#: Text bytes that are hashed at once; temporaries take about 60 times as much.
+#: Text bytes that are hashed at once; temporaries take about 60 times as much. Longer texts are divided at blanks.
 CHUNK_BYTES = 1 << 20
+#: Rows and bytes of an Arrow batch, at most (a row that is larger comes alone).
+BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; one of this machine's only where there is no other machine."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return folder or os.path.join(tempfile.gettempdir(), "checkpoints")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the reliable checkpoint folder of the cluster and forget its lineage."""
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "checkpoints"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Arrow batches of few rows, so that long texts don't fill a Python worker."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Arrow batches of few rows and bytes, so that long texts don't fill a Python worker.
+
+    Plans read these settings when they run, so they stay set in the session; smaller ones are left alone.
+    """
+    for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", BATCH_BYTES)):
+        held = re.fullmatch(r"(-?[0-9]+)b?", str(spark.conf.get(f"spark.sql.execution.arrow.{name}")).lower())
+        if held is None or not 0 < int(held[1]) <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
+
+
+def named_apart(name: str, *taken: DataFrame) -> str:
+    """``name``, or that with underscores in front, that no column of the tables has (whatever its case)."""
+    held = {c.lower() for df in taken for c in df.columns}
+    while name.lower() in held:
+        name = f"_{name}"
+    return name
 
 
 def fold_of(doc_id: Column, folds: int) -> Column:
@@ -105,8 +126,41 @@ def text_chunks(column):
 def hashed_words(data: np.ndarray, offsets: np.ndarray, lower: bool = False, places: bool = False):
     """Word hashes of consecutive texts and the first word of each text (one more entry at the end).
 
-    With ``places``, also the words' first and past-the-end bytes in ``data``.
+    With ``places``, also the words' first and past-the-end bytes in ``data``. A text above
+    CHUNK_BYTES is hashed piece by piece.
     """
+    if len(data) <= CHUNK_BYTES:
+        h, starts, ends = _hashed(data, offsets, lower)
+    else:
+        parts = []
+        for a, b in _pieces(data):
+            inner = offsets[(offsets > a) & (offsets < b)] - a
+            part = _hashed(data[a:b], np.r_[0, inner, b - a], lower)
+            parts.append((part[0], part[1] + a, part[2] + a))
+        h, starts, ends = (np.concatenate(p) for p in zip(*parts))
+    first = np.searchsorted(starts, offsets)
+    return (h, first, starts, ends) if places else (h, first)
+
+
+def _pieces(data: np.ndarray):
+    """Consecutive (start, end) of about CHUNK_BYTES that end at blanks; a longer word stays whole."""
+    at = 0
+    while at < len(data):
+        end = at + CHUNK_BYTES
+        while end < len(data):
+            near = data[end : end + 4096]
+            blank = np.flatnonzero((near == 32) | ((near >= 9) & (near <= 13)))
+            if len(blank):
+                end += int(blank[0])
+                break
+            end += 4096
+        end = min(end, len(data))
+        yield at, end
+        at = end
+
+
+def _hashed(data: np.ndarray, offsets: np.ndarray, lower: bool):
+    """Hashes, first and past-the-end bytes of all words."""
     if lower:
         data = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
     inside = ~((data == 32) | ((data >= 9) & (data <= 13)))
@@ -120,9 +174,17 @@ def hashed_words(data: np.ndarray, offsets: np.ndarray, lower: bool = False, pla
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power, out=total[1:])
     h = (total[ends] - total[starts]) * (inverse[starts] if len(starts) else np.zeros(0, np.uint64))
-    h = mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    first = np.searchsorted(starts, offsets)
-    return (h, first, starts, ends) if places else (h, first)
+    return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), starts, ends
+
+
+def word_places(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first word of each text (one more entry at the end), and the words' first and past-the-end bytes."""
+    inside = ~((data == 32) | ((data >= 9) & (data <= 13)))
+    brk = np.zeros(len(data) + 1, bool)
+    brk[offsets] = True
+    starts = np.flatnonzero(inside & (~np.r_[False, inside[:-1]] | brk[:-1])) if len(data) else np.zeros(0, np.int64)
+    ends = np.flatnonzero(inside & (~np.r_[inside[1:], False] | brk[1:])) + 1 if len(data) else np.zeros(0, np.int64)
+    return np.searchsorted(starts, offsets), starts, ends
 
 
 def window_hashes(h: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
@@ -135,11 +197,3 @@ def window_hashes(h: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
     for j in range(width):
         out = out * factor + h[j : j + n]
     return mix(out + np.uint64(width))
-
-
-def sequence_hash(h: np.ndarray) -> int:
-    """Of the words in their order; 0 for none."""
-    if not len(h):
-        return 0
-    places = 2 * np.arange(len(h), dtype=np.uint64) + np.uint64(1)
-    return int(mix((mix(h) * places).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(h))).astype(np.int64)[0])

@@ -1,51 +1,55 @@
 """Substring dedup by suffix automata of reference passages.
 
-``remove_reference_spans`` is the plain form: automata of shards of a reference are broadcast,
-documents are streamed through them for matching statistics, and maximal spans of the least
-length or more go.
-
-``dedup_substrings`` removes what the corpus itself repeats. Automata of all its text would have
-to be streamed against all documents once for each shard, work that grows with the square of the
-corpus; so the reference of the automata is the passages that are frequent, which one scan finds
-(their number is bounded), and the other repeats, which are too many for broadcasts and rare
-enough for a shuffle, are found by the hashes of their windows:
-
-1. Documents that repeat an earlier one word for word go whole.
-2. Windows found frequent anywhere are the reference: their first places are collected, joined to
-   passages, and made into automata. No occurrence of a frequent window is shuffled.
-3. Of the k-grams in a window, that of the least hash is the window's anchor. Only windows whose
-   anchor occurs twice can repeat; their hashes are shuffled, and all but the first place removed.
+``remove_reference_spans`` is the plain form for a reference of its own: automata of its shards
+are broadcast, documents are streamed through them for matching statistics, and maximal spans of
+the least length or more go.
+
+``dedup_substrings`` removes what the corpus itself repeats. There the reference is the corpus, so
+that broadcasts of all its shards would grow with it, and streaming every document through every
+shard would grow with its square. Hashes therefore choose the shard that a passage must be
+streamed through, and say nothing about what is equal; the shards' automata decide on the words:
+
+1. Of the k-grams in a window, that of the least hash is the window's anchor; consecutive windows
+   with one anchor are a run. Equal windows have equal anchors, so that only runs whose anchor
+   occurs twice can repeat. Only anchors' hashes and places are shuffled to find them.
+2. The words of these runs travel to the shard of their anchor. A shard's automaton is built from
+   the distinct passages that meet there, each passage is streamed through it, and every window is
+   judged by the first place at which the automaton's state for it was seen.
+3. Anchors found hot (at most KEPT_APART are known to all tasks), and those that turn out to have
+   many distinct passages, send single windows instead, each to a shard of its own; a task sends
+   equal passages once. So no key holds more than a row for each task and a bounded group.
+
+Texts are shuffled once, however often they are read, to meet what was found out about them.
 """
 
 from __future__ import annotations
 
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import WORD, cut, hashed_words, sequence_hash, small_batches, table, text_chunks, window_hashes
+from .common import WORD, hashed_words, mix, small_batches, table, text_chunks, window_hashes, word_places
 
 #: Words in a window, and in the k-grams among which it has its anchor.
 WIDTH, ANCHOR = 20, 8
-#: A window or anchor is frequent if some batch of 512 documents holds it so often; at most so many are kept apart.
-FREQUENT, KEPT_APART = 3, 65_536
-#: Words in an automaton.
-SHARD_WORDS = 250_000
-#: Rows of spans by document that may be broadcast, and spans in them.
-BROADCAST_ROWS, BROADCAST_SPANS = 1_000_000, 4_000_000
+#: An anchor is hot if some task's tile holds it so often; at most so many are kept apart (8 bytes each, broadcast).
+HOT, KEPT_APART = 16, 65_536
+#: Runs that are counted together, and passages (and bytes of them) that are compared before they are sent.
+TILE_RUNS, TILE_PASSAGES, TILE_BYTES = 1_000_000, 100_000, 16 << 20
+#: Words in an automaton, and distinct passages of one anchor beyond which it counts as hot.
+SHARD_WORDS, CROWD = 20_000, 4_000
 
 
 class SuffixAutomaton:
     """All runs of words of some passages; a run's first place in them is kept."""
 
-    def __init__(self, passages: list[np.ndarray]):
+    def __init__(self, passages):
         self.next: list[dict] = [{}]
         self.link, self.length, self.end = [-1], [0], [-1]
         at = 0
         for passage in passages:
             last = 0
-            for word in passage.tolist():
+            for word in passage:
                 last = self._extend(last, word, at)
                 at += 1
 
@@ -56,7 +60,7 @@ class SuffixAutomaton:
         self.end.append(end)
         return len(self.next) - 1
 
-    def _split(self, p: int, word: int) -> int:
+    def _split(self, p: int, word) -> int:
         """The state of the longest run that ends as p's and goes on with the word, made if it shares one."""
         q = self.next[p][word]
         if self.length[q] == self.length[p] + 1:
@@ -68,7 +72,7 @@ class SuffixAutomaton:
             p = self.link[p]
         return clone
 
-    def _extend(self, last: int, word: int, at: int) -> int:
+    def _extend(self, last: int, word, at: int) -> int:
         if word in self.next[last]:
             return self._split(last, word)
         new = self._state(self.length[last] + 1, {}, 0, at)
@@ -80,11 +84,11 @@ class SuffixAutomaton:
             self.link[new] = self._split(p, word)
         return new
 
-    def matches(self, words: np.ndarray, least: int) -> list[tuple[int, int]]:
-        """(start, place) of every run of ``least`` words that the passages hold: where it starts here and, first, there."""
+    def states(self, words, least: int) -> list[tuple[int, int]]:
+        """(start, state) of every run of ``least`` words that the passages hold; equal runs have one state."""
         found, state, size = [], 0, 0
-        moves, link, length, end = self.next, self.link, self.length, self.end
-        for i, word in enumerate(words.tolist()):
+        moves, link, length = self.next, self.link, self.length
+        for i, word in enumerate(words):
             while state and word not in moves[state]:
                 state = link[state]
                 size = length[state]
@@ -95,9 +99,13 @@ class SuffixAutomaton:
                 s = state
                 while length[link[s]] >= least:
                     s = link[s]
-                found.append((i - least + 1, end[s] - least + 1))
+                found.append((i - least + 1, s))
         return found
 
+    def matches(self, words, least: int) -> list[tuple[int, int]]:
+        """(start, place) of every run of ``least`` words that the passages hold: where it starts here and, first, there."""
+        return [(i, self.end[s] - least + 1) for i, s in self.states(words, least)]
+
 
 def covered(starts, width: int, n: int) -> np.ndarray:
     """Which of n words lie in windows of ``width`` words from ``starts`` on."""
@@ -108,197 +116,315 @@ def covered(starts, width: int, n: int) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
-def _spans(starts: np.ndarray) -> list[dict]:
-    """Runs of consecutive numbers, end exclusive."""
-    if not len(starts):
-        return []
-    cuts = np.flatnonzero(np.diff(starts) > 1)
-    return [{"a": int(a), "b": int(b) + 1} for a, b in zip(starts[np.r_[0, cuts + 1]], starts[np.r_[cuts, len(starts) - 1]])]
-
+# --- runs of windows with one anchor ---------------------------------------------------------------
+
+
+def _first_least(x: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """The least of every m consecutive values, and where it first is."""
+    at, size = np.arange(len(x)), 1
+    while size < m:
+        step = min(size, m - size)
+        later = x[step:] < x[:-step]
+        at = np.where(later, at[step:], at[:-step])
+        x = np.minimum(x[step:], x[:-step])
+        size += step
+    return x, at
+
+
+class Runs:
+    """Runs of windows of consecutive texts that share their anchor."""
+
+    def __init__(self, h: np.ndarray, first: np.ndarray, width: int):
+        none = np.zeros(0, np.int64)
+        self.width, self.first = width, first
+        self.anchor, self.start, self.count, self.row = np.zeros(0, np.uint64), none, none, none
+        if len(h) < width:
+            return
+        k = min(ANCHOR, width)
+        least, place = _first_least(window_hashes(h, k, seed=7), width - k + 1)
+        owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
+        inside = np.flatnonzero(owner[: len(least)] == owner[width - 1 :])
+        if not len(inside):
+            return
+        new = np.r_[True, (place[inside[1:]] != place[inside[:-1]]) | (owner[inside[1:]] != owner[inside[:-1]])]
+        begin = np.flatnonzero(new)
+        #: Anchors' hashes, first windows (words of the chunk), windows, and texts of the chunk.
+        self.start = inside[begin]
+        self.count = np.diff(np.r_[begin, len(inside)])
+        self.anchor, self.row = least[self.start], owner[self.start]
+
+    def place(self, which=slice(None)) -> np.ndarray:
+        """The first window of each run as a word of its text."""
+        return self.start[which] - self.first[self.row[which]]
 
-def texts_of(batch_column, *columns):
-    """Yields (word hashes, values of the columns) for each text."""
-    values = [c.to_pylist() for c in columns]
-    for row, data, offsets in text_chunks(batch_column):
-        h, first = hashed_words(data, offsets)
-        for i in range(len(offsets) - 1):
-            yield h[first[i] : first[i + 1]], [v[row + i] for v in values]
 
-
-def window_anchors(words: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each window of a text: its hash, its anchor's hash and place."""
-    windows = window_hashes(words, width)
-    if not len(windows):
-        return windows, windows, np.zeros(0, np.int64)
-    k = min(ANCHOR, width)
-    grams = window_hashes(words, k, seed=7)
-    view = np.lib.stride_tricks.sliding_window_view(grams, width - k + 1)
-    places = np.argmin(view, 1) + np.arange(len(view))
-    return windows, grams[places], places
+def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    if not len(known) or not len(x):
+        return np.zeros(len(x), bool)
+    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
 
 
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.astype(np.int64))
 
 
-def _batch(schema: dict, *columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, schema.values())], list(schema))
+def _hot_anchors(rows: DataFrame, width: int) -> np.ndarray:
+    """Hashes, sorted, of the anchors that some tile holds often: those with the most runs, KEPT_APART at most."""
 
-
-_SPAN = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
-_SQL_SPAN = "array<struct<a: long, b: long>>"
-
-
-def _sequences(docs: DataFrame) -> DataFrame:
-    schema = {"doc_id": pa.int64(), "tag": pa.int32(), "n_words": pa.int64(), "seq": pa.int64()}
+    def tally(parts):
+        values, counts = np.unique(np.concatenate(parts), return_counts=True)
+        often = counts >= HOT
+        return pa.RecordBatch.from_arrays([_signed(values[often]), _signed(counts[often])], ["anchor", "n"])
 
     def run(batches):
+        parts, held = [], 0
         for batch in batches:
-            rows = [(d, t, len(w), sequence_hash(w)) for w, (d, t) in texts_of(batch.column(1), batch.column(0), batch.column(2))]
-            yield _batch(schema, *(zip(*rows) if rows else ((),) * 4))
+            for _, data, offsets in text_chunks(batch.column(0)):
+                parts.append(Runs(*hashed_words(data, offsets), width).anchor)
+                held += len(parts[-1])
+            if held >= TILE_RUNS:
+                yield tally(parts)
+                parts, held = [], 0
+        if parts:
+            yield tally(parts)
 
-    return docs.mapInArrow(run, "doc_id long, tag int, n_words long, seq long")
+    counts = rows.select("text").mapInArrow(run, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
+    top = counts.orderBy(F.desc("n"), "anchor").limit(KEPT_APART).toPandas()["anchor"]
+    return np.sort(top.to_numpy(np.int64).astype(np.uint64))
 
 
-def _frequent(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of frequent windows and of frequent anchors."""
-    schema = {"anchor": pa.bool_(), "hash": pa.int64(), "n": pa.int64()}
-
-    def run(batches):
-        for batch in batches:
-            parts = [window_anchors(w, width) for w, _ in texts_of(batch.column(1))]
-            for k in (0, 1):
-                hashes = [p[0] if k == 0 else p[1][np.unique(p[2], return_index=True)[1]] for p in parts]
-                values, counts = np.unique(np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), return_counts=True)
-                keep = counts >= FREQUENT
-                yield _batch(schema, [bool(k)] * int(keep.sum()), _signed(values[keep]), _signed(counts[keep]))
+#: How rows are told apart, and in which order their places count: rows without id last.
+_KEY = ["late", "doc_id", "tag"]
+_PLACES = "late int, doc_id long, tag long, a int, b int"
 
-    counts = cut(docs.mapInArrow(run, "anchor boolean, hash long, n long").groupBy("anchor", "hash").agg(F.sum("n").alias("n")))
-    top = [counts.where(F.col("anchor") == k).orderBy(F.desc("n"), "hash").limit(KEPT_APART).toPandas()["hash"] for k in (False, True)]
-    return tuple(np.sort(t.to_numpy(np.int64).astype(np.uint64)) for t in top)
 
+def _repeated_runs(rows: DataFrame, width: int, hot) -> DataFrame:
+    """Spans (first window, past the last) by row, of the runs whose anchor occurs twice, hot ones aside."""
 
-def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
-    if not len(known) or not len(x):
-        return np.zeros(len(x), bool)
-    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
-
-
-def _reference(docs: DataFrame, width: int, frequent) -> list[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
-    """Shards of passages made of the frequent windows' first places: words, and the document and place of each word."""
-    spark = docs.sparkSession
-
-    def firsts(batches):
-        schema = {"hash": pa.int64(), "doc_id": pa.int64(), "pos": pa.int64()}
-        for batch in batches:
-            best: dict[int, tuple[int, int]] = {}
-            for words, (doc,) in texts_of(batch.column(1), batch.column(0)):
-                windows = window_hashes(words, width)
-                for p in np.flatnonzero(_among(windows, frequent.value[0])).tolist():
-                    key = int(windows[p])
-                    best[key] = min(best.get(key, (doc, p)), (doc, p))
-            yield _batch(schema, _signed(np.array(list(best), np.uint64)), [d for d, _ in best.values()], [p for _, p in best.values()])
-
-    first = docs.mapInArrow(firsts, "hash long, doc_id long, pos long").groupBy("hash").agg(F.min(F.struct("doc_id", "pos")).alias("f"))
-    places: dict[int, set[int]] = {}
-    for r in first.collect():  # KEPT_APART rows at most
-        places.setdefault(r["f"]["doc_id"], set()).add(r["f"]["pos"])
-    if not places:
-        return []
-    shared = spark.sparkContext.broadcast(places)
-    windows = spark.sparkContext.broadcast(frequent.value[0])
-
-    def passages(batches):
-        schema = {"doc_id": pa.int64(), "pos": pa.int64(), "words": pa.list_(pa.int64())}
+    def run(batches):
         for batch in batches:
-            out = []
-            for words, (doc,) in texts_of(batch.column(1), batch.column(0)):
-                starts = shared.value.get(doc)
-                if starts and len(words) >= width:
-                    known = np.flatnonzero(_among(window_hashes(words, width), windows.value))
-                    for s in _spans(np.array(sorted(starts.intersection(known.tolist())), np.int64)):
-                        out.append((doc, s["a"], words[s["a"] : s["b"] + width - 1].astype(np.int64)))
-            yield _batch(schema, *(zip(*out) if out else ((),) * 3))
-
-    rows = docs.mapInArrow(passages, "doc_id long, pos long, words array<long>").distinct().collect()
-    shards, shard, held = [], [], 0
-    for r in sorted(rows, key=lambda r: (r["doc_id"], r["pos"])):
-        shard.append(r)
-        held += len(r["words"])
-        if held >= SHARD_WORDS:
-            shards.append(shard)
-            shard, held = [], 0
-    shards += [shard] if shard else []
-    return [([np.array(r["words"], np.int64).astype(np.uint64) for r in s], np.concatenate([np.full(len(r["words"]), r["doc_id"]) for r in s]), np.concatenate([np.arange(len(r["words"])) + r["pos"] for r in s])) for s in shards]
-
-
-def _candidates(docs: DataFrame, width: int, frequent) -> DataFrame:
-    """doc_id and spans of window starts whose anchor occurs twice, but not frequently."""
-    schema = {"anchor": pa.int64(), "doc_id": pa.int64(), "tag": pa.int32(), "a": pa.int32(), "b": pa.int32()}
+            late, ids, tags = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            for row, data, offsets in text_chunks(batch.column(3)):
+                runs = Runs(*hashed_words(data, offsets), width)
+                cold = np.flatnonzero(~_among(runs.anchor, hot.value))
+                at, a = runs.row[cold] + row, runs.place(cold).astype(np.int32)
+                columns = [_signed(runs.anchor[cold]), late[at], ids[at], tags[at], a, a + runs.count[cold].astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], ["anchor", *_KEY, "a", "b"])
+
+    posts = rows.select(*_KEY, "text").mapInArrow(run, f"anchor long, {_PLACES}")
+    often = posts.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("anchor"))).where("n > 1")
+    return often.groupBy(*_KEY).agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+
+
+_SENT = ["route", *_KEY, "a", "b", "words"]
+_SENT_SQL = f"route long, {_PLACES}, words binary"
+_SENT_TYPES = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+
+
+def _span_ends(spans) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first, past the last) of all spans of an Arrow column of lists."""
+    flat = spans.flatten()
+    sizes = spans.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(len(spans)), sizes), *(flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
+
+
+class _Tile:
+    """Passages of a task that wait to be sent; of equal ones only the first is, the others are known to repeat it."""
+
+    def __init__(self):
+        self.columns, self.words, self.bytes = [], [], 0
+
+    def add(self, route, same, late, ids, tags, a, b, words: list[bytes]) -> None:
+        self.columns.append((route, same, late, ids, tags, a, b))
+        self.words += words
+        self.bytes += sum(map(len, words))
+
+    def full(self) -> bool:
+        return len(self.words) >= TILE_PASSAGES or self.bytes >= TILE_BYTES
+
+    def send(self) -> pa.RecordBatch:
+        """Rows to judge, and rows without words, whose windows all repeat one that this tile sends."""
+        route, same, late, ids, tags, a, b = (np.concatenate(c) for c in zip(*self.columns))
+        order = np.lexsort((tags, a, ids, late, same, route))
+        last, now = order[:-1], order[1:]
+        alike = np.r_[False, (route[now] == route[last]) & (same[now] == same[last])]
+        head = order[np.maximum.accumulate(np.where(alike, 0, np.arange(len(order))))]
+        here = (late[order] == late[head]) & (ids[order] == ids[head]) & (a[order] == a[head])
+        twice = np.r_[False, alike[1:] & here[1:] & (tags[now] == tags[last]) & (a[now] == a[last])]
+        again = alike & ~here
+        keep = ~twice
+        order, again = order[keep], again[keep]
+        # What repeats within the tile needs no shard: it goes by the hash of its row, so that no shard is loaded with it.
+        to = np.where(again, mix(tags[order].astype(np.uint64)).astype(np.int64), route[order].astype(np.int64))
+        words = pa.array([None if g else self.words[i] for i, g in zip(order.tolist(), again.tolist())], pa.binary())
+        columns = [pa.array(c[order], t) for c, t in zip((late, ids, tags, a, b), _SENT_TYPES[1:6])]
+        self.__init__()
+        return pa.RecordBatch.from_arrays([pa.array(to), *columns, words], _SENT)
+
+
+def _passages(joined: DataFrame, width: int, hot) -> DataFrame:
+    """Passages with the shard that each must be streamed through; rows: late, doc_id, tag, text, spans."""
 
     def run(batches):
+        tile = _Tile()
         for batch in batches:
-            hashes, ids, tags, firsts, ends = [], [], [], [], []
-            for words, (doc, tag) in texts_of(batch.column(1), batch.column(0), batch.column(2)):
-                _, anchors, places = window_anchors(words, width)
-                _, start, held = np.unique(places, return_index=True, return_counts=True)
-                rare = ~_among(anchors[start], frequent.value[1])
-                start, held = start[rare], held[rare]
-                hashes.append(anchors[start])
-                ids.append(np.full(len(start), doc, np.int64))
-                tags.append(np.full(len(start), tag, np.int32))
-                firsts.append(start)
-                ends.append(start + held)
-            none = [np.zeros(0, np.int64)]
-            yield _batch(schema, _signed(np.concatenate(hashes or none)), np.concatenate(ids or none), np.concatenate(tags or none).astype(np.int32), np.concatenate(firsts or none).astype(np.int32), np.concatenate(ends or none).astype(np.int32))
-
-    posts = docs.mapInArrow(run, "anchor long, doc_id long, tag int, a int, b int")
-    repeated = posts.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("anchor"))).where("n > 1")
-    return repeated.groupBy("doc_id", "tag").agg(F.sort_array(F.collect_list(F.struct(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")))).alias("spans"))
-
-
-def _by_document(docs: DataFrame, spans: DataFrame, name: str) -> DataFrame:
-    """Left join of an array of spans to documents; broadcast only while it is small."""
-    spans = spans.select(F.col("doc_id").alias("__id"), F.col("tag").alias("__tag"), F.col("spans").alias(name))
-    rows, held = spans.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size(name)), F.lit(0))).first()
-    if rows <= BROADCAST_ROWS and held <= BROADCAST_SPANS:
-        spans = F.broadcast(spans)
-    return docs.join(spans, (F.col("doc_id") == F.col("__id")) & (F.col("tag") == F.col("__tag")), "left").drop("__id", "__tag")
-
-
-def _rare_repeats(docs: DataFrame, width: int, frequent) -> DataFrame:
-    """doc_id and spans of the starts of windows, frequent ones aside, whose words start earlier too."""
-    schema = {"w1": pa.int64(), "w2": pa.int64(), "doc_id": pa.int64(), "tag": pa.int32(), "pos": pa.int32()}
+            late, ids, tags = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            at, begin, end = _span_ends(batch.column(4))
+            for row, data, offsets in text_chunks(batch.column(3)):
+                h, first, starts, ends = hashed_words(data, offsets, places=True)
+                runs, windows = Runs(h, first, width), window_hashes(h, width)
+                mine = (at >= row) & (at < row + len(offsets) - 1)
+                a = begin[mine] + first[at[mine] - row]
+                count = end[mine] - begin[mine]
+                whole = runs.anchor[np.searchsorted(runs.start, a)] if len(a) else np.zeros(0, np.uint64)
+                crowd = np.flatnonzero(_among(runs.anchor, hot.value))
+                single = np.repeat(runs.start[crowd], runs.count[crowd])
+                single += np.arange(len(single)) - np.repeat(np.cumsum(runs.count[crowd]) - runs.count[crowd], runs.count[crowd])
+                route = np.r_[whole, mix(windows[single])]
+                a, count = np.r_[a, single], np.r_[count, np.ones(len(single), np.int64)]
+                same = windows[a] + np.uint64(0x9E3779B97F4A7C15) * mix(windows[a + count - 1] + count.astype(np.uint64))
+                text = np.searchsorted(first, a, "right") - 1
+                place = (a - first[text]).astype(np.int32)
+                lo, hi = starts[a].tolist(), ends[a + count + width - 2].tolist()
+                raw = data.tobytes()
+                tile.add(route, same, late[text + row], ids[text + row], tags[text + row], place, place + count.astype(np.int32), [raw[x:y] for x, y in zip(lo, hi)])
+                if tile.full():
+                    yield tile.send()
+        if tile.words:
+            yield tile.send()
+
+    return joined.select(*_KEY, "text", "spans").mapInArrow(run, _SENT_SQL)
+
+
+# --- judging passages in their shards ---------------------------------------------------------------
+
+
+class _Shard:
+    """Passages of some anchors: the distinct ones make an automaton, and all are streamed through it."""
+
+    def __init__(self, width: int, crowd: int | None):
+        self.width, self.crowd = width, crowd
+        self.out: list[tuple] = []
+        self.route, self.seen, self.crowded = None, {}, False
+        self.groups: list[dict] = []
+        self.words = 0
+
+    def take(self, route: int, late: int, doc: int, tag: int, a: int, b: int, words: bytes | None) -> None:
+        if words is None:
+            self.out.append((route, late, doc, tag, a, b, None))
+            return
+        if route != self.route:
+            self._close()
+            self.route = route
+        if self.crowded:
+            self._scatter(words, [(late, doc, tag, a, b)])
+            return
+        key = (b - a, words)
+        held = self.seen.get(key)
+        if held is None:
+            if self.crowd is not None and len(self.seen) >= self.crowd:
+                self.crowded = True
+                for (_, w), rows in self.seen.items():
+                    self._scatter(w, rows)
+                self.seen = {}
+                self._scatter(words, [(late, doc, tag, a, b)])
+            else:
+                self.seen[key] = [(late, doc, tag, a, b)]
+        elif held[0][:2] == (late, doc) and held[0][3] == a:
+            if held[-1][2] != tag:
+                held.append((late, doc, tag, a, b))
+        else:  # rows come by place, so that an equal passage at the first place is known
+            self.out.append((route, late, doc, tag, a, b, None))
+
+    def _scatter(self, words: bytes, rows: list[tuple]) -> None:
+        """Single windows, each to a shard of its own."""
+        own = words.split()
+        for late, doc, tag, a, b in rows:
+            for k in range(b - a):
+                window = b" ".join(own[k : k + self.width])
+                self.out.append((_route_of(window), late, doc, tag, a + k, a + k + 1, window))
+
+    def _close(self) -> None:
+        if self.seen:
+            self.groups.append(self.seen)
+            self.words += sum(n + self.width - 1 for n, _ in self.seen)
+        self.seen, self.crowded = {}, False
+        if self.words >= SHARD_WORDS:
+            self.judge()
+
+    def judge(self) -> None:
+        """Windows of the passages held that start earlier in another passage of their group."""
+        passages = [(w.split(), rows) for group in self.groups for (_, w), rows in group.items()]
+        self.groups, self.words = [], 0
+        automaton = SuffixAutomaton(w for w, _ in passages)
+        found, first = [], {}
+        for words, rows in passages:
+            late, doc, _, a, _ = rows[0]
+            states = automaton.states(words, self.width)
+            found.append(states)
+            for i, s in states:
+                here = (late, doc, a + i)
+                if s not in first or here < first[s]:
+                    first[s] = here
+        for (_, rows), states in zip(passages, found):
+            for late, doc, tag, a, _ in rows:
+                begin = None
+                for i, s in states:
+                    if first[s] < (late, doc, a + i):
+                        begin = i if begin is None else begin
+                    elif begin is not None:
+                        self.out.append((tag, late, doc, tag, a + begin, a + i, None))
+                        begin = None
+                if begin is not None:
+                    self.out.append((tag, late, doc, tag, a + begin, a + len(states), None))
+
+    def flush(self):
+        if self.out:
+            columns = [pa.array(c, t) for c, t in zip(zip(*self.out), _SENT_TYPES)]
+            self.out = []
+            yield pa.RecordBatch.from_arrays(columns, _SENT)
+
+
+def _route_of(window: bytes) -> int:
+    h, _ = hashed_words(np.frombuffer(window, np.uint8), np.array([0, len(window)]))
+    return int(mix(window_hashes(h, len(h))).astype(np.int64)[0])
+
+
+def _judged(sent: DataFrame, width: int, crowd: int | None) -> DataFrame:
+    """Rows without words: spans of windows that start earlier too. Rows with words: windows of crowded anchors."""
 
     def run(batches):
+        shard = _Shard(width, crowd)
         for batch in batches:
-            out = ([], [], [], [], [])
-            for words, (doc, tag, spans) in texts_of(batch.column(1), batch.column(0), batch.column(2), batch.column(3)):
-                windows, anchors, _ = window_anchors(words, width)
-                if not len(windows):
-                    continue
-                chosen = _among(anchors, frequent.value[1])
-                for s in spans or ():
-                    chosen[s["a"] : s["b"]] = True
-                starts = np.flatnonzero(chosen & ~_among(windows, frequent.value[0]))
-                for column, values in zip(out, (windows[starts], window_hashes(words, width, seed=3)[starts], np.full(len(starts), doc, np.int64), np.full(len(starts), tag, np.int32), starts)):
-                    column.append(values)
-            none = [np.zeros(0, np.int64)]
-            w1, w2, ids, tags, pos = (np.concatenate(c or none) for c in out)
-            yield _batch(schema, _signed(w1), _signed(w2), ids, tags.astype(np.int32), pos.astype(np.int32))
-
-    found = cut(_candidates(docs, width, frequent))
-    posts = _by_document(docs, found, "spans").mapInArrow(run, "w1 long, w2 long, doc_id long, tag int, pos int")
-    first = F.min(F.struct("doc_id", "pos")).over(Window.partitionBy("w1", "w2"))
-    later = posts.withColumn("first", first).where(F.struct("doc_id", "pos") > F.col("first"))
-
-    def join(batches):
-        schema = {"doc_id": pa.int64(), "tag": pa.int32(), "spans": _SPAN}
-        for batch in batches:
-            out = [_spans(np.unique(np.array(p, np.int64))) for p in batch.column(2).to_pylist()]
-            yield _batch(schema, batch.column(0), batch.column(1), pa.array(out, _SPAN))
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                shard.take(*row)
+            yield from shard.flush()
+        shard._close()
+        shard.judge()
+        yield from shard.flush()
+
+    return sent.repartition("route").sortWithinPartitions("route", "late", "doc_id", "a", "tag").select(*_SENT).mapInArrow(run, _SENT_SQL)
+
 
-    return later.groupBy("doc_id", "tag").agg(F.collect_list("pos").alias("pos")).mapInArrow(join, f"doc_id long, tag int, spans {_SQL_SPAN}")
+# --- removing -----------------------------------------------------------------------------------------
+
+
+def _kept_texts(data: np.ndarray, first: np.ndarray, starts: np.ndarray, ends: np.ndarray, keep: np.ndarray) -> list[str]:
+    """The kept words of each text, joined by single blanks."""
+    at = np.flatnonzero(keep)
+    text = np.searchsorted(first, at, "right") - 1
+    size = ends[at] - starts[at]
+    joined = size + np.r_[text[1:] == text[:-1], False][: len(at)]
+    dest = np.r_[0, np.cumsum(joined)]
+    out = np.full(int(dest[-1]), 32, np.uint8)
+    for lo in range(0, len(at), 1 << 18):
+        s, n, d = starts[at[lo : lo + (1 << 18)]], size[lo : lo + (1 << 18)], dest[lo : min(len(at), lo + (1 << 18))]
+        inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        out[np.repeat(d, n) + inner] = data[np.repeat(s, n) + inner]
+    ends_at = dest[np.searchsorted(text, np.arange(len(first) - 1), "right")]
+    begin_at = dest[np.searchsorted(text, np.arange(len(first) - 1), "left")]
+    raw = out.tobytes()
+    return [raw[a:b].decode("utf-8", "replace") for a, b in zip(begin_at.tolist(), ends_at.tolist())]
 
 
 def dedup_substrings(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -312,45 +438,42 @@ def dedup_substrings(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """
     spark = docs.sparkSession
     small_batches(spark)
-    last = F.lit((1 << 63) - 1)
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), last).alias("doc_id"), "text", F.hash("text").alias("tag"))
-    sequences = cut(_sequences(rows))
-    long = sequences.where(F.col("n_words") >= width)
-    firsts = long.groupBy("seq", "n_words").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    copies = cut(long.join(firsts, ["seq", "n_words"]).where("doc_id > first").select("doc_id", "tag").distinct())
-    ids = copies.groupBy("doc_id", "tag").agg(F.array(F.struct(F.lit(0).cast("long").alias("a"), F.lit(1).cast("long").alias("b"))).alias("spans"))
-    marked = _by_document(rows, ids, "copy")
-    single = marked.where("copy IS NULL").select("doc_id", "text", "tag")
-
-    frequent = spark.sparkContext.broadcast(_frequent(single, width))
-    shards = [spark.sparkContext.broadcast(s) for s in _reference(single, width, frequent)]
-    later = cut(_rare_repeats(single, width, frequent))
-    schema = {"doc_id": pa.int64(), "n_words": pa.int64(), "n_removed": pa.int64(), "kept": pa.string()}
+    doc = F.col("doc_id").cast("long")
+    rows = docs.select(doc.isNull().cast("int").alias("late"), F.coalesce(doc, F.lit(0).cast("long")).alias("doc_id"), F.xxhash64("text").alias("tag"), "text")
+    hot = spark.sparkContext.broadcast(_hot_anchors(rows, width))
+    known = rows.join(_repeated_runs(rows, width, hot).hint("shuffle_hash"), _KEY, "left")
+    judged = _judged(_judged(_passages(known, width, hot), width, CROWD), width, None)
+    later = judged.groupBy(*_KEY).agg(F.collect_set(F.struct("a", "b")).alias("spans"))
 
     def run(batches):
-        automata = [(SuffixAutomaton(s.value[0]), s.value[1], s.value[2]) for s in shards]
         for batch in batches:
-            out = []
-            texts = batch.column(1).to_pylist()
-            hashed = texts_of(batch.column(1), batch.column(0), batch.column(2), batch.column(3))
-            for text, (h, (doc, copy, spans)) in zip(texts, hashed):
-                n = len(h)
-                starts = [np.arange(s["a"], s["b"]) for s in spans or ()]
-                if copy is not None and n >= width:
-                    starts.append(np.arange(n - width + 1))
-                elif n >= width and _among(window_hashes(h, width), frequent.value[0]).any():
-                    for automaton, ids, places in automata:
-                        starts += [[i] for i, p in automaton.matches(h, width) if (ids[p], places[p]) < (doc, i)]
-                gone = covered(np.concatenate(starts), width, n) if starts else np.zeros(n, bool)
-                words = WORD.findall(text or "")
-                if gone.any():
-                    words = [w for w, g in zip(words, gone.tolist()) if not g]
-                out.append((doc, n, int(gone.sum()), " ".join(words)))
-            yield _batch(schema, *(zip(*out) if out else ((),) * 4))
-
-    joined = _by_document(marked, later, "spans").select("doc_id", "text", "copy", "spans")
-    done = joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
-    return done.withColumn("doc_id", F.nullif("doc_id", last))
+            at, begin, end = _span_ends(batch.column(3))
+            for row, data, offsets in text_chunks(batch.column(2)):
+                first, starts, ends = word_places(data, offsets)
+                mine = (at >= row) & (at < row + len(offsets) - 1)
+                base = first[at[mine] - row]
+                change = np.zeros(len(starts) + 1, np.int64)
+                np.add.at(change, begin[mine] + base, 1)
+                np.add.at(change, end[mine] + (width - 1) + base, -1)
+                gone = np.cumsum(change[:-1]) > 0
+                total = np.r_[0, np.cumsum(gone)]
+                n = len(offsets) - 1
+                late, ids = (batch.column(k).slice(row, n).to_numpy(zero_copy_only=False) for k in (0, 1))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids, mask=late == 1), pa.array(np.diff(first)), pa.array(np.diff(total[first])), pa.array(_kept_texts(data, first, starts, ends, ~gone), pa.string())],
+                    ["doc_id", "n_words", "n_removed", "kept"],
+                )
+
+    joined = rows.join(later.hint("shuffle_hash"), _KEY, "left").select("late", "doc_id", "text", "spans")
+    return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
+
+
+def _texts_of(batch_column):
+    """Word hashes of each text."""
+    for _, data, offsets in text_chunks(batch_column):
+        h, first = hashed_words(data, offsets)
+        for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
+            yield h[a:b].tolist()
 
 
 def remove_reference_spans(docs: DataFrame, reference: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -373,15 +496,16 @@ def remove_reference_spans(docs: DataFrame, reference: DataFrame, width: int = W
     schema = {"doc_id": pa.int64(), "n_words": pa.int64(), "n_removed": pa.int64(), "kept": pa.string()}
 
     def run(batches):
-        automata = [SuffixAutomaton([h for h, _ in texts_of(pa.array(s.value, pa.string()))]) for s in shards]
+        automata = [SuffixAutomaton(_texts_of(pa.array(s.value, pa.string()))) for s in shards]
         for batch in batches:
             out = []
-            for text, (h, (doc,)) in zip(batch.column(1).to_pylist(), texts_of(batch.column(1), batch.column(0))):
-                starts = [i for a in automata for i, _ in a.matches(h, width)]
+            for doc, text, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _texts_of(batch.column(1))):
+                starts = [i for a in automata for i, _ in a.states(h, width)]
                 gone = covered(starts, width, len(h)) if starts else np.zeros(len(h), bool)
                 words = [w for w, g in zip(WORD.findall(text or ""), gone.tolist()) if not g]
                 out.append((doc, len(h), int(gone.sum()), " ".join(words)))
-            yield _batch(schema, *(zip(*out) if out else ((),) * 4))
+            columns = zip(*out) if out else ((),) * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.values())], list(schema))
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
 

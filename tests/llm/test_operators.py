@@ -6,9 +6,9 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Row, functions as F
 
-from palimpsest.llm import ann, decontamination, language_id, line_dedup, mixing, ngram_join, quality, secret_scan, substring_dedup, toxicity
+from palimpsest.llm import ann, common, decontamination, language_id, line_dedup, mixing, ngram_join, quality, secret_scan, substring_dedup, toxicity
 from palimpsest.llm.common import WORD, hashed_words, text_chunks
 from palimpsest.llm.components import connected
 
@@ -112,25 +112,41 @@ def test_ngram_join_without_ids_or_rows(spark):
 
 def brute_substrings(rows, width):
     first, out = {}, []
+    place = lambda d, p: (d is None, d or 0, p)
     for d, t in rows:
         w = WORD.findall(t or "")
         for p in range(len(w) - width + 1):
             key = tuple(w[p : p + width])
-            first[key] = min(first.get(key, (d, p)), (d, p))
+            first[key] = min(first.get(key, place(d, p)), place(d, p))
     for d, t in rows:
         w = WORD.findall(t or "")
         gone = set()
         for p in range(len(w) - width + 1):
-            if first[tuple(w[p : p + width])] < (d, p):
+            if first[tuple(w[p : p + width])] < place(d, p):
                 gone.update(range(p, p + width))
         out.append((d, len(w), len(gone), " ".join(x for i, x in enumerate(w) if i not in gone)))
-    return sorted(out)
+    return sorted(out, key=lambda r: (r[0] is None, r[0] or 0, *r[1:]))
+
+
+@pytest.mark.parametrize(("hot", "crowd", "passages"), [(16, 4000, 100_000), (2, 4000, 1), (10**9, 1, 7), (10**9, 2, 100_000)])
+def test_substring_dedup_is_brute_force(spark, monkeypatch, hot, crowd, passages):
+    monkeypatch.setattr(substring_dedup, "HOT", hot)
+    monkeypatch.setattr(substring_dedup, "CROWD", crowd)
+    monkeypatch.setattr(substring_dedup, "TILE_PASSAGES", passages)
+    rng = random.Random(3)
+    shared = words(rng, 25)
+    rows = corpus(6) + [(500 + i, "x y " * 30) for i in range(5)] + [(600, "a b c " * 20), (601, "z " * 25)]
+    rows += [(700 + i, " ".join(words(rng, 9) + shared + words(rng, 9))) for i in range(40)] + [((1 << 63) - 1, " ".join(shared)), (-5, "\t".join(shared))]
+    rows += [(None, rows[0][1]), (None, " ".join(shared)), (750, " ".join(shared[1:])), (750, " ".join(words(rng, 3) + shared))]
+    found = substring_dedup.dedup_substrings(frame(spark, rows))
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, (Row(doc_id=d, n_words=n, n_removed=r, kept=k) for d, n, r, k in brute_substrings(rows, 20))))
 
 
-@pytest.mark.parametrize("frequent", [3, 10**9])
-def test_substring_dedup_is_brute_force(spark, monkeypatch, frequent):
-    monkeypatch.setattr(substring_dedup, "FREQUENT", frequent)
-    rows = corpus(6) + [(500 + i, "x y " * 30) for i in range(5)]
+def test_substring_dedup_of_very_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(common, "CHUNK_BYTES", 1 << 12)
+    rng = random.Random(4)
+    long = words(rng, 60_000, 10**6)
+    rows = [(1, " ".join(long)), (2, " ".join(words(rng, 10_000, 10**6) + long[500:30_000])), (3, "x" * 100_000 + " " + " ".join(long[-40:])), (4, "ä" * 5000)]
     found = substring_dedup.dedup_substrings(frame(spark, rows))
     assert sorted(tuple(r) for r in found.collect()) == brute_substrings(rows, 20)
 
