@@ -245,6 +245,7 @@ class _Tile:
     def send(self) -> pa.RecordBatch:
         """Rows to judge, and rows without words, whose windows all repeat one that this tile sends."""
         route, same, late, ids, tags, a, b = (np.concatenate(c) for c in zip(*self.columns))
+        words = self.words
         order = np.lexsort((tags, a, ids, late, same, route))
         last, now = order[:-1], order[1:]
         alike = np.r_[False, (route[now] == route[last]) & (same[now] == same[last])]
@@ -252,14 +253,19 @@ class _Tile:
         here = (late[order] == late[head]) & (ids[order] == ids[head]) & (a[order] == a[head])
         twice = np.r_[False, alike[1:] & here[1:] & (tags[now] == tags[last]) & (a[now] == a[last])]
         again = alike & ~here
-        keep = ~twice
-        order, again = order[keep], again[keep]
-        # What repeats within the tile needs no shard: it goes by the hash of its row, so that no shard is loaded with it.
-        to = np.where(again, mix(tags[order].astype(np.uint64)).astype(np.int64), route[order].astype(np.int64))
-        words = pa.array([None if g else self.words[i] for i, g in zip(order.tolist(), again.tolist())], pa.binary())
-        columns = [pa.array(c[order], t) for c, t in zip((late, ids, tags, a, b), _SENT_TYPES[1:6])]
         self.__init__()
-        return pa.RecordBatch.from_arrays([pa.array(to), *columns, words], _SENT)
+        sent, known = order[~twice & ~again], order[again]
+        # What repeats within the tile needs no shard: its windows are joined to spans, which go by the hash of their row.
+        known = known[np.lexsort((a[known], tags[known], ids[known], late[known]))]
+        last, now = known[:-1], known[1:]
+        new = np.r_[True, (late[now] != late[last]) | (ids[now] != ids[last]) | (tags[now] != tags[last]) | (a[now] > b[last])][: len(known)]
+        begin, end = known[new], known[np.r_[np.flatnonzero(new)[1:], len(known)] - 1][: int(new.sum())]
+        rows = np.r_[sent, begin]
+        to = np.r_[route[sent].astype(np.int64), tags[begin] ^ ids[begin]]
+        past = np.r_[b[sent], b[end]]
+        columns = [pa.array(c, t) for c, t in zip((late[rows], ids[rows], tags[rows], a[rows], past), _SENT_TYPES[1:6])]
+        text = pa.array([words[i] for i in sent.tolist()] + [None] * len(begin), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(to), *columns, text], _SENT)
 
 
 def _passages(joined: DataFrame, width: int, hot) -> DataFrame:
@@ -334,7 +340,7 @@ class _Shard:
             if held[-1][2] != tag:
                 held.append((late, doc, tag, a, b))
         else:  # rows come by place, so that an equal passage at the first place is known
-            self.out.append((route, late, doc, tag, a, b, None))
+            self.out.append((tag ^ doc, late, doc, tag, a, b, None))
 
     def _scatter(self, words: bytes, rows: list[tuple]) -> None:
         """Single windows, each to a shard of its own."""
@@ -373,10 +379,10 @@ class _Shard:
                     if first[s] < (late, doc, a + i):
                         begin = i if begin is None else begin
                     elif begin is not None:
-                        self.out.append((tag, late, doc, tag, a + begin, a + i, None))
+                        self.out.append((tag ^ doc, late, doc, tag, a + begin, a + i, None))
                         begin = None
                 if begin is not None:
-                    self.out.append((tag, late, doc, tag, a + begin, a + len(states), None))
+                    self.out.append((tag ^ doc, late, doc, tag, a + begin, a + len(states), None))
 
     def flush(self):
         if self.out:
