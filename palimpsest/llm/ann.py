@@ -2,9 +2,13 @@
 
 Each half of the vectors is quantised by its own centroids, learned from a bounded sample; the
 pair of centroids is a row's cell. A query visits cells from a heap, by falling sum of its halves'
-inner products with the centroids, until the cells visited hold enough rows; those rows are
-reranked by the exact measure. Queries come in blocks of bounded size that are broadcast, and the
-rows stay where they are read, so that a hot cell is shared by all tasks.
+inner products with the centroids, until the cells visited hold enough vectors; only rows of these
+cells are scored, by the exact measure.
+
+Cells lie in blocks of bounded size: small ones share a block, and a hot one is dealt over many.
+A query travels to the blocks of its cells with the sum at which it stopped, from which a block
+tells its cells. Rows travel to their block once; nothing but centroids and the counts of cells
+(CENTROIDS squared, at most) is known to the driver or to all tasks.
 """
 
 from __future__ import annotations
@@ -18,37 +22,28 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from .common import mix, table
 
 #: Rows from which centroids are learned, centroids of each half, rounds, and their seed.
-LEARN_ROWS, CENTROIDS, ROUNDS, SEED = 16_384, 64, 12, 99
-#: A query visits cells until they hold this share of all rows, and this many rows, at least.
-SHARE, VISITED = 0.5, 4_000
-#: Queries that are broadcast at once, and rows that a task compares with them at once.
-QUERY_BLOCK, GATHERED = 8_192, 4_096
+LEARN_ROWS, CENTROIDS, ROUNDS, SEED = 16_384, 256, 12, 99
+#: A query visits cells until they hold this share of all distinct vectors, and this many, at least.
+SHARE, VISITED = 0.3, 4_000
+#: Rows of a block, at most and at least (fewer give small tables more tasks), and queries answered together.
+BLOCK_ROWS, LEAST_ROWS, TOGETHER = 65_536, 1_024, 256
 #: GEMM results may differ from the exact sum by less than this, relative to the largest.
 SLACK = 1e-9
 
 
-def vectors_of(column) -> tuple[np.ndarray, np.ndarray]:
-    """(row numbers, matrix) of an Arrow list column: rows of the most common length, finite and not zero."""
-    rows, out = [], []
-    for i, v in enumerate(column.to_pylist()):
-        if v and None not in v:
-            rows.append(i)
-            out.append(v)
-    if not out:
-        return np.zeros(0, np.int64), np.zeros((0, 0))
-    width = len(out[0])
-    same = [len(v) == width for v in out]
-    rows = np.array(rows)[same]
-    matrix = np.array([v for v, s in zip(out, same) if s], np.float64)
-    good = np.isfinite(matrix).all(1) & (matrix != 0).any(1)
-    return rows[good], matrix[good]
+def matrix_of(column, width: int) -> np.ndarray:
+    """An Arrow column of lists of ``width`` numbers, none of them null, in double precision."""
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return flat.astype(np.float64).reshape(len(column), width)
 
 
 def usable(vectors: DataFrame) -> DataFrame:
     """Rows with an id whose vector takes part: neither null nor zero, and with finite components only."""
     v = F.col("embedding")
+    kind = vectors.schema["embedding"].dataType.elementType.typeName()
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    kept = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(v, lambda x: x.cast("double")).alias("embedding"))
+    own = v if kind in ("float", "double") else F.transform(v, lambda x: x.cast("double"))
+    kept = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), own.alias("embedding"))
     return kept.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite & F.exists(v, lambda x: x != 0))
 
 
@@ -59,8 +54,10 @@ def _centroids(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
     for _ in range(ROUNDS):
         near = np.argmax(x @ centres.T - (centres**2).sum(1) / 2, 1)
         held = np.bincount(near, minlength=len(centres))
+        order = np.argsort(near, kind="stable")
+        some = np.flatnonzero(held)
         sums = np.zeros_like(centres)
-        np.add.at(sums, near, x)
+        sums[some] = np.add.reduceat(x[order], (np.cumsum(held) - held)[some], 0)
         centres = np.where(held[:, None] > 0, sums / np.maximum(held, 1)[:, None], centres)
     return centres
 
@@ -71,21 +68,31 @@ def _cell(x: np.ndarray, codebooks) -> np.ndarray:
     return parts[0] * len(codebooks[1]) + parts[1]
 
 
-def cells_by_sum(first: np.ndarray, second: np.ndarray, held: np.ndarray, enough: int) -> list[int]:
-    """Cells (i, j) by falling first[i] + second[j], until they hold ``enough`` rows."""
-    a, b = np.argsort(-first, kind="stable"), np.argsort(-second, kind="stable")
-    heap, seen, out, rows = [(-(first[a[0]] + second[b[0]]), 0, 0)], {(0, 0)}, [], 0
+def cells_by_sum(first: np.ndarray, second: np.ndarray, held: np.ndarray, enough: int) -> tuple[np.ndarray, float]:
+    """Cells (i, j) that hold something by falling first[i] + second[j], until they hold ``enough``, and the last one's sum.
+
+    The next cell of each i waits in the heap.
+    """
+    i, j = np.nonzero(held.reshape(len(first), len(second)))
+    rank = np.empty(len(second), np.int64)
+    rank[np.argsort(-second, kind="stable")] = np.arange(len(second))
+    j = j[np.argsort(i * len(second) + rank[j])]
+    cells = i * len(second) + j
+    falling, n = (-(first[i] + second[j])).tolist(), held[cells].tolist()
+    cuts = np.flatnonzero(np.r_[True, i[1:] != i[:-1], True][: len(i) + 1]).tolist()
+    heap = [(falling[p], p, end) for p, end in zip(cuts[:-1], cuts[1:])]
+    heapq.heapify(heap)
+    out, rows, last = [], 0, float("inf")
     while heap and rows < enough:
-        _, i, j = heapq.heappop(heap)
-        cell = int(a[i]) * len(second) + int(b[j])
-        if held[cell]:
-            out.append(cell)
-            rows += int(held[cell])
-        for p in ((i + 1, j), (i, j + 1)):
-            if p[0] < len(a) and p[1] < len(b) and p not in seen:
-                seen.add(p)
-                heapq.heappush(heap, (-(first[a[p[0]]] + second[b[p[1]]]), *p))
-    return out
+        s, p, end = heap[0]
+        if p + 1 < end:
+            heapq.heapreplace(heap, (falling[p + 1], p + 1, end))
+        else:
+            heapq.heappop(heap)
+        out.append(p)
+        rows += n[p]
+        last = -s
+    return cells[out], last
 
 
 def exact_scores(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -105,7 +112,7 @@ def prints(x: np.ndarray) -> np.ndarray:
 
 
 def _best(ids: np.ndarray, x: np.ndarray, marks: np.ndarray, q: np.ndarray, rough: np.ndarray, top: int):
-    """The first ``top`` rows, none of them repeated, by exact score, ties by id."""
+    """The first ``top`` rows by exact score, ties by id; no row is repeated."""
     if len(ids) > top:
         least = np.partition(rough, len(rough) - top)[len(rough) - top]
         near = rough >= least - SLACK * max(1.0, np.abs(rough).max())
@@ -115,15 +122,6 @@ def _best(ids: np.ndarray, x: np.ndarray, marks: np.ndarray, q: np.ndarray, roug
     return ids[order], scores[order], marks[order]
 
 
-def _merged(a, b, top: int):
-    """The first ``top`` of two lists of (ids, scores, prints), repeated rows once."""
-    ids, scores, marks = (np.r_[p, q] for p, q in zip(a, b))
-    order = np.lexsort((marks, ids, -scores))
-    ids, scores, marks = ids[order], scores[order], marks[order]
-    new = np.r_[True, (ids[1:] != ids[:-1]) | (scores[1:] != scores[:-1]) | (marks[1:] != marks[:-1])]
-    return ids[new][:top], scores[new][:top], marks[new][:top]
-
-
 def _few_copies(ids: np.ndarray, x: np.ndarray, top: int) -> np.ndarray:
     """Rows that can be among the first ``top``: repeated ones once, and of equal vectors those of the smallest ids."""
     _, group = np.unique(x, axis=0, return_inverse=True)
@@ -135,62 +133,70 @@ def _few_copies(ids: np.ndarray, x: np.ndarray, top: int) -> np.ndarray:
     return order[place <= top]
 
 
-def _gathered(batches, width: int):
-    """(ids, matrix) of GATHERED rows or somewhat more at a time."""
-    ids, parts, held = [], [], 0
-    for batch in batches:
-        at, x = vectors_of(batch.column(1))
-        if len(at) and x.shape[1] == width:
-            ids.append(np.array(batch.column(0).to_pylist(), np.int64)[at])
-            parts.append(x)
-            held += len(at)
-        if held >= GATHERED:
-            yield np.concatenate(ids), np.concatenate(parts)
-            ids, parts, held = [], [], 0
-    if held:
-        yield np.concatenate(ids), np.concatenate(parts)
-
-
-def _search(rows: DataFrame, block, top: int) -> DataFrame:
-    """Each task's best rows for every query of the block."""
-    shared = rows.sparkSession.sparkContext.broadcast(block)
-
-    def run(batches):
-        codebooks, query_ids, queries, probes = shared.value
-        best: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        for ids, x in _gathered(batches, queries.shape[1]):
-            few = _few_copies(ids, x, top)
-            ids, x = ids[few], x[few]
-            cells = _cell(x, codebooks)
-            order = np.argsort(cells, kind="stable")
-            ids, x, cells = ids[order], x[order], cells[order]
-            marks = prints(x)
-            visit = probes[:, cells]
-            for lo in range(0, len(queries), 512):
-                rough = queries[lo : lo + 512] @ x.T
-                for k, scores in enumerate(rough, lo):
-                    seen = visit[k] & (ids != query_ids[k])
-                    if k in best and len(best[k][1]) == top:
-                        seen = seen & (scores >= best[k][1][-1] - SLACK * max(1.0, abs(best[k][1][-1])))
-                    if not seen.any():
-                        continue
-                    found = _best(ids[seen], x[seen], marks[seen], queries[k], scores[seen], top)
-                    best[k] = _merged(best[k], found, top) if k in best else found
-        for k, (found, exact, which) in best.items():
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), query_ids[k], np.int64)), pa.array(found), pa.array(exact), pa.array(which)], ["query_id", "vec_id", "score", "print"])
-
-    return rows.select("vec_id", "embedding").mapInArrow(run, "query_id long, vec_id long, score double, print long")
-
-
-def _block_of(rows: list, codebooks, held: np.ndarray, enough: int):
-    ids = np.array([r[0] for r in rows], np.int64)
-    queries = np.array([r[1] for r in rows], np.float64)
-    half = codebooks[0].shape[1]
-    first, second = queries[:, :half] @ codebooks[0].T, queries[:, half:] @ codebooks[1].T
-    probes = np.zeros((len(ids), len(held)), bool)
-    for k in range(len(ids)):
-        probes[k, cells_by_sum(first[k], second[k], held, enough)] = True
-    return codebooks, ids, queries, probes
+class _Layout:
+    """Which blocks hold a cell's rows: cells come in order, and a block takes ``size`` rows or so."""
+
+    def __init__(self, rows: np.ndarray, size: int):
+        past = np.cumsum(rows)
+        self.first = (past - rows) // size
+        self.count = np.maximum(past - 1, past - rows) // size - self.first + 1
+
+    def of_rows(self, cells: np.ndarray, marks: np.ndarray) -> np.ndarray:
+        """The rows of one cell are dealt over its blocks by a hash of id and vector."""
+        return self.first[cells] + (marks.astype(np.uint64) % self.count[cells].astype(np.uint64)).astype(np.int64)
+
+    def of_cells(self, cells: np.ndarray) -> np.ndarray:
+        begin, n = self.first[cells], self.count[cells]
+        return np.unique(np.repeat(begin - np.cumsum(n) + n, n) + np.arange(int(n.sum())))
+
+
+class _Block:
+    """Rows of some cells, sorted by cell, repeated ones once."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, codebooks, top: int):
+        few = _few_copies(ids, x, top)
+        ids, x = ids[few], x[few]
+        cells = _cell(x, codebooks)
+        order = np.argsort(cells, kind="stable")
+        self.ids, self.x, self.codebooks, self.top = ids[order], x[order], codebooks, top
+        self.marks = prints(self.x)
+        self.cells, self.starts = np.unique(cells[order], return_index=True)
+        self.ends = np.r_[self.starts[1:], len(ids)]
+
+    def answer(self, query_ids: np.ndarray, q: np.ndarray, least: np.ndarray):
+        """(query, ids, scores, prints) of the best rows in the cells whose sum is ``least`` or more."""
+        half, other = self.codebooks[0].shape[1], len(self.codebooks[1])
+        first, second = q[:, :half] @ self.codebooks[0].T, q[:, half:] @ self.codebooks[1].T
+        visit = first[:, self.cells // other] + second[:, self.cells % other] >= least[:, None] - SLACK * np.maximum(1.0, np.abs(least[:, None]))
+        rough = np.full((len(q), len(self.ids)), -np.inf)
+        for k in np.flatnonzero(visit.any(0)).tolist():
+            asking, lo, hi = np.flatnonzero(visit[:, k]), self.starts[k], self.ends[k]
+            rough[asking, lo:hi] = q[asking] @ self.x[lo:hi].T
+        rough[query_ids[:, None] == self.ids] = -np.inf
+        for k in range(len(q)):
+            seen = np.flatnonzero(rough[k] > -np.inf)
+            if len(seen):
+                yield query_ids[k], *_best(self.ids[seen], self.x[seen], self.marks[seen], q[k], rough[k, seen], self.top)
+
+
+def _index(rows: DataFrame, width: int, learn: int):
+    """Centroids of both halves, and each cell's distinct vectors and rows."""
+    spark = rows.sparkSession
+    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(learn).select("embedding").toArrow()
+    x, rng, half = matrix_of(sample.column(0).combine_chunks(), width), np.random.default_rng(SEED), width // 2
+    codebooks = _centroids(x[:, :half], CENTROIDS, rng), _centroids(x[:, half:], CENTROIDS, rng)
+    shared = spark.sparkContext.broadcast(codebooks)
+
+    def count(batches):
+        for batch in batches:
+            x = matrix_of(batch.column(0), width)
+            yield pa.RecordBatch.from_arrays([pa.array(_cell(x, shared.value), pa.int64()), pa.array(prints(x))], ["cell", "print"])
+
+    marks = rows.select("embedding").mapInArrow(count, "cell long, print long").groupBy("cell", "print").agg(F.count(F.lit(1)).alias("n"))
+    cells = marks.groupBy("cell").agg(F.count(F.lit(1)).alias("distinct"), F.sum("n").alias("rows")).toPandas()
+    distinct, held = np.zeros((2, len(codebooks[0]) * len(codebooks[1])), np.int64)
+    distinct[cells["cell"]], held[cells["cell"]] = cells["distinct"], cells["rows"]
+    return codebooks, distinct, held
 
 
 def nearest(vectors: DataFrame, is_query, top: int = 20, share: float = SHARE, visited: int = VISITED) -> DataFrame:
@@ -203,44 +209,78 @@ def nearest(vectors: DataFrame, is_query, top: int = 20, share: float = SHARE, v
     best score. Other columns are ignored; no queries or an empty table give no rows.
     """
     spark = vectors.sparkSession
-    out = "query_id long, rank int, vec_id long, score double"
     rows = usable(vectors)
     widths = rows.groupBy(F.size("embedding").alias("w")).count().orderBy(F.desc("count"), "w").limit(1).collect()
     if not widths:
-        return spark.createDataFrame([], out)
-    width = widths[0]["w"]
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    width, total = widths[0]
     rows = rows.where(F.size("embedding") == width)
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(LEARN_ROWS).collect()
-    x, rng, half = np.array([r["embedding"] for r in sample]), np.random.default_rng(SEED), width // 2
-    codebooks = _centroids(x[:, :half], CENTROIDS, rng), _centroids(x[:, half:], CENTROIDS, rng)
-    shared = spark.sparkContext.broadcast(codebooks)
+    codebooks, distinct, held = _index(rows, width, LEARN_ROWS)
+    size = min(BLOCK_ROWS, max(LEAST_ROWS, total // (4 * spark.sparkContext.defaultParallelism)))
+    enough = max(visited, int(np.ceil(share * distinct.sum())))
+    shared = spark.sparkContext.broadcast((codebooks, distinct, _Layout(held, size), enough))
+    kind = rows.schema["embedding"].dataType.simpleString()
+    number = pa.float32() if "float" in kind else pa.float64()
+    names = ["block", "asked", "vec_id", "least", "embedding"]
+    sent = f"block long, asked int, vec_id long, least double, embedding {kind}"
+
+    def batch_of(blocks, asked, ids, least, column):
+        n = len(ids)
+        return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(np.full(n, asked, np.int32)), pa.array(ids, pa.int64()), pa.array(least, pa.float64()), column.cast(pa.list_(number))], names)
+
+    def place(batches):
+        codebooks, _, layout, _ = shared.value
+        for batch in batches:
+            ids, x = batch.column(0).to_numpy(), matrix_of(batch.column(1), width)
+            blocks = layout.of_rows(_cell(x, codebooks), prints(np.c_[x, ids]))
+            yield batch_of(blocks, 0, ids, np.zeros(len(ids)), batch.column(1))
 
-    def count(batches):
+    def ask(batches):
+        codebooks, distinct, layout, enough = shared.value
+        half = codebooks[0].shape[1]
+        for batch in batches:
+            ids, x = batch.column(0).to_numpy(), matrix_of(batch.column(1), width)
+            for lo in range(0, len(ids), TOGETHER):
+                q = x[lo : lo + TOGETHER]
+                first, second = q[:, :half] @ codebooks[0].T, q[:, half:] @ codebooks[1].T
+                found = [cells_by_sum(f, s, distinct, enough) for f, s in zip(first, second)]
+                blocks = [layout.of_cells(c) for c, _ in found]
+                at = np.repeat(np.arange(len(q)), [len(b) for b in blocks])
+                least = np.array([s for _, s in found])
+                yield batch_of(np.concatenate(blocks), 1, ids[lo + at], least[at], batch.column(1).take(pa.array(lo + at)))
+
+    def answer(batches):
+        def answered(block, parts):
+            ids, q, least = (np.concatenate(p) for p in zip(*parts))
+            for lo in range(0, len(ids), TOGETHER):
+                some = slice(lo, lo + TOGETHER)
+                for query, found, scores, marks in block.answer(ids[some], q[some], least[some]):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), query, np.int64)), pa.array(found), pa.array(scores), pa.array(marks)], ["query_id", "vec_id", "score", "print"])
+
+        codebooks = shared.value[0]
+        key, held, block = None, [], None
         for batch in batches:
-            at, own = vectors_of(batch.column(0))
-            cells = _cell(own, shared.value) if len(own) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), batch.column(1).take(pa.array(at)), pa.array(prints(own))], ["cell", "vec_id", "print"])
-
-    held = np.zeros(len(codebooks[0]) * len(codebooks[1]), np.int64)
-    for r in rows.select("embedding", "vec_id").mapInArrow(count, "cell long, vec_id long, print long").distinct().groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect():
-        held[r["cell"]] = r["n"]
-
-    queries = rows.where(is_query).select("vec_id", "embedding").distinct()
-    queries = queries.repartitionByRange(max(1, spark.sparkContext.defaultParallelism), "vec_id", "embedding").sortWithinPartitions("vec_id", "embedding")
-    enough = max(visited, int(share * held.sum()))
-    parts, block = [], []
-    for r in queries.toLocalIterator():
-        block.append(r)
-        if len(block) == QUERY_BLOCK:
-            parts.append(_search(rows, _block_of(block, codebooks, held, enough), top))
-            block = []
-    if block:
-        parts.append(_search(rows, _block_of(block, codebooks, held, enough), top))
-    if not parts:
-        return spark.createDataFrame([], out)
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.union(p)
+            keys, asked, ids, least = (batch.column(k).to_numpy() for k in range(4))
+            x = matrix_of(batch.column(4), width)
+            cuts = np.flatnonzero((keys[1:] != keys[:-1]) | (asked[1:] != asked[:-1])) + 1
+            for lo, hi in zip(np.r_[0, cuts], np.r_[cuts, len(keys)]):
+                if hi == lo:
+                    continue
+                if keys[lo] != key:
+                    key, held, block = keys[lo], [], None
+                if not asked[lo]:
+                    held.append((ids[lo:hi], x[lo:hi]))
+                elif held or block:
+                    if block is None:
+                        block, held = _Block(*(np.concatenate(p) for p in zip(*held)), codebooks, top), []
+                    yield from answered(block, [(ids[lo:hi], x[lo:hi], least[lo:hi])])
+
+    # A stated number of parts, which isn't reduced for the queries' few bytes: the heap's work is theirs.
+    parts = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    queries = rows.where(is_query).select("vec_id", "embedding").distinct().repartition(parts, "vec_id")
+    both = rows.select("vec_id", "embedding").mapInArrow(place, sent).union(queries.mapInArrow(ask, sent))
+    meet = both.repartition("block").sortWithinPartitions("block", "asked").select(*names)
+    found = meet.mapInArrow(answer, "query_id long, vec_id long, score double, print long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     found = found.groupBy("query_id", "vec_id", "print").agg(F.max("score").alias("score"))
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)

@@ -202,9 +202,10 @@ def test_nearest_finds_nine_of_ten_and_orders_ties(spark):
     assert ann.nearest(df.where("false"), F.lit(True)).count() == 0
 
 
-@pytest.mark.parametrize(("gathered", "width"), [(4096, 8), (64, 8), (64, 1)])
-def test_nearest_counts_repeated_rows_once(spark, monkeypatch, gathered, width):
-    monkeypatch.setattr(ann, "GATHERED", gathered)
+@pytest.mark.parametrize(("held", "width"), [(4096, 8), (16, 8), (16, 1)])
+def test_nearest_counts_repeated_rows_once(spark, monkeypatch, held, width):
+    monkeypatch.setattr(ann, "BLOCK_ROWS", held)
+    monkeypatch.setattr(ann, "TOGETHER", 3)
     rng = np.random.default_rng(6)
     rows = [(i, rng.integers(-9, 10, width).astype(float) + 0.5) for i in range(120)]
     # Ids of several vectors, among them queries, and one near row that is repeated often.
@@ -223,8 +224,21 @@ def test_nearest_counts_repeated_rows_once(spark, monkeypatch, gathered, width):
 def test_cells_come_by_falling_sum():
     rng = np.random.default_rng(4)
     a, b, held = rng.normal(size=6), rng.normal(size=7), np.ones(42, int)
-    sums = [a[c // 7] + b[c % 7] for c in ann.cells_by_sum(a, b, held, 42)]
-    assert len(sums) == 42 and sums == sorted(sums, reverse=True)
+    cells, last = ann.cells_by_sum(a, b, held, 42)
+    sums = [a[c // 7] + b[c % 7] for c in cells]
+    assert sorted(cells.tolist()) == list(range(42)) and sums == sorted(sums, reverse=True) and last == sums[-1]
+    some, last = ann.cells_by_sum(a, b, held * 3, 10)
+    assert some.tolist() == cells[:4].tolist() and last == sums[3]
+
+
+def test_blocks_hold_every_cell():
+    rows = np.array([3, 0, 50, 1, 1, 20, 0])
+    layout = ann._Layout(rows, 10)
+    marks = np.random.default_rng(1).integers(-(2**62), 2**62, 75)
+    cells = np.repeat(np.arange(7), rows)
+    blocks = layout.of_rows(cells, marks)
+    assert all(set(blocks[cells == c]) <= set(layout.of_cells(np.array([c]))) for c in range(7))
+    assert np.bincount(blocks).max() < 25 and layout.of_cells(np.arange(7)).tolist() == list(range(8))
 
 
 def test_mixing_meets_targets(spark):
