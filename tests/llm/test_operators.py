@@ -71,14 +71,15 @@ def brute_classes(rows, n, percent):
             if k and 100 * k >= percent * len(sets[i] | sets[j]):
                 a, b = root[i], root[j]
                 root = [a if x == b else x for x in root]
-    return sorted((d, len(sets[i]), min(rows[k][0] for k in range(len(rows)) if root[k] == root[i])) for i, (d, _) in enumerate(rows))
+    own = lambda i: [rows[k][0] for k in range(len(rows)) if root[k] == root[i] and rows[k][0] is not None]
+    return sorted(((d, len(sets[i]), min(own(i), default=None)) for i, (d, _) in enumerate(rows)), key=repr)
 
 
 @pytest.mark.parametrize(("n", "percent"), [(4, 85), (5, 80)])
 def test_ngram_join_is_brute_force(spark, n, percent):
     rows = corpus()
     found = ngram_join.ngram_jaccard_join(frame(spark, rows), n, percent)
-    assert sorted(tuple(r) for r in found.collect()) == brute_classes(rows, n, percent)
+    assert sorted((tuple(r) for r in found.collect()), key=repr) == brute_classes(rows, n, percent)
 
 
 def test_ngram_join_in_hot_buckets_and_blocks(spark, monkeypatch):
@@ -94,7 +95,43 @@ def test_ngram_join_in_hot_buckets_and_blocks(spark, monkeypatch):
             copy[rng.randrange(60)] = f"e{rng.random()}"
         rows.append((i, " ".join(copy)))
     found = ngram_join.ngram_jaccard_join(frame(spark, rows), 4, 85)
-    assert sorted(tuple(r) for r in found.collect()) == brute_classes(rows, 4, 85)
+    assert sorted((tuple(r) for r in found.collect()), key=repr) == brute_classes(rows, 4, 85)
+
+
+@pytest.mark.parametrize("pivots", [1, 8])
+def test_ngram_join_of_many_blocks_with_outsiders(spark, monkeypatch, pivots):
+    monkeypatch.setattr(ngram_join, "PAIRED", 2)
+    monkeypatch.setattr(ngram_join, "PIVOTS", pivots)
+    monkeypatch.setattr(ngram_join, "BLOCK_DOCUMENTS", 4)
+    rng = random.Random(2)
+    common_part, rows = words(rng, 12, 10**6), []
+    for family in range(6):  # families that share n-grams without a link, chains within them, and sets of other sizes
+        base = common_part + words(rng, 60, 10**6)
+        for i in range(12):
+            base = [*base]
+            base[rng.randrange(12, 72)] = f"f{family}.{i}"
+            rows.append((len(rows) if i % 5 else None, " ".join(base)))
+        rows.append((1000 + family, " ".join(base + words(rng, 40, 10**6))))
+    found = ngram_join.ngram_jaccard_join(frame(spark, rows), 4, 85).collect()
+    assert sorted(map(repr, (tuple(r) for r in found))) == sorted(map(repr, brute_classes(rows, 4, 85)))
+
+
+def test_ngram_join_links_through_rows_without_id(spark):
+    base = [f"w{i}" for i in range(100)]
+    a, c = [*base[:-4], "p", "q", "r", "s"], ["t", "u", "v", "x", *base[4:]]
+    rows = [(1, " ".join(a)), (None, " ".join(base)), (3, " ".join(c))]
+    found = ngram_join.ngram_jaccard_join(frame(spark, rows), 4, 90).collect()
+    assert sorted((r["doc_id"] or 0, r["component_id"]) for r in found) == [(0, 1), (1, 1), (3, 1)]
+
+
+def test_one_of_each_class_stays_by_row(spark):
+    text, other = " ".join(map(str, range(40))), " ".join(map(str, range(100, 140)))
+    rows = [(5, text), (5, text), (5, other), (7, other), (None, text), (None, "own words " + other[:90]), (None, None), (9, ""), (9, "")]
+    df = frame(spark, rows).withColumnRenamed("node", "late").withColumnRenamed("word", "key_tag")
+    kept = ngram_join.one_of_each(df, 5, 80)
+    assert kept.columns == df.columns
+    assert sorted(((r["doc_id"] or 0), r["text"] or "") for r in kept.collect()) == sorted([(5, text), (5, other), (0, "own words " + other[:90]), (0, ""), (9, ""), (9, "")])
+    assert ngram_join.one_of_each(df.where("false"), 5, 80).count() == 0
 
 
 def test_local_links_joins_a_set_with_unshared_ngrams():
