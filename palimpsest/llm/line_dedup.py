@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import cut, table
+from .common import cut, named_apart, table
 
 #: Lines in more than this share of a host's pages, and in this many pages at least, are boilerplate.
 RATIO, PAGES = 0.05, 5
@@ -44,26 +44,27 @@ def dedup_lines(pages: DataFrame, host: str = "source", ratio: float = RATIO, le
     Lines are split at newlines and compared trimmed of spaces; blank lines stay. Null texts stay
     null and have no lines; a null host is a host of its own; repeated rows count as pages of
     their own; a page whose lines all go keeps an empty text; an empty table gives no rows.
-    Columns named n_lines or n_dropped are replaced.
+    Columns named n_lines or n_dropped are replaced; others may have any names.
     """
     pages = pages.drop("n_lines", "n_dropped")
+    site, found_lines, part, deal, left = (named_apart(c, pages) for c in ("site", "boilerplate", "part", "deal", "left_lines"))
     found = cut(boilerplate_lines(pages, host, ratio, least))
     held = found.agg(F.sum(F.size("boilerplate"))).first()[0] or 0
-    named = found.select(F.col("host").alias("__host"), "boilerplate")
+    named = found.select(F.col("host").alias(site), F.col("boilerplate").alias(found_lines))
     if held <= BROADCAST_LINES:
-        joined = pages.join(F.broadcast(named), F.col(host).eqNullSafe(F.col("__host")), "left")
+        joined = pages.join(F.broadcast(named), F.col(host).eqNullSafe(F.col(site)), "left")
     else:
-        salted = named.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        dealt = pages.withColumn("__deal", F.pmod(F.xxhash64("text"), F.lit(SALTS)).cast("int"))
-        joined = dealt.join(salted, F.col(host).eqNullSafe(F.col("__host")) & (F.col("__deal") == F.col("__part")), "left").drop("__deal", "__part")
+        salted = named.withColumn(part, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        dealt = pages.withColumn(deal, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+        joined = dealt.join(salted, F.col(host).eqNullSafe(F.col(site)) & (F.col(deal) == F.col(part)), "left").drop(deal, part)
     lines = _lines(F.col("text"))
-    kept = F.filter(lines, lambda x: ~F.array_contains("boilerplate", _key(x)) | (F.trim(x) == ""))
-    joined = joined.withColumn("__kept", F.when(F.col("boilerplate").isNull(), lines).otherwise(kept))
+    kept = F.filter(lines, lambda x: ~F.array_contains(found_lines, _key(x)) | (F.trim(x) == ""))
+    joined = joined.withColumn(left, F.when(F.col(found_lines).isNull(), lines).otherwise(kept))
     n_lines = F.coalesce(F.size(F.when(F.col("text").isNotNull(), lines)), F.lit(0))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(n_lines).cast("long")
-    n_kept = F.when(F.col("text").isNull(), 0).otherwise(F.size("__kept")).cast("long")
+    n_kept = F.when(F.col("text").isNull(), 0).otherwise(F.size(left)).cast("long")
     joined = joined.withColumn("n_lines", n_lines).withColumn("n_dropped", F.col("n_lines") - n_kept)
-    return joined.withColumn("text", F.array_join("__kept", "\n")).drop("__kept", "__host", "boilerplate")
+    return joined.withColumn("text", F.array_join(left, "\n")).drop(left, site, found_lines)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,9 @@
 Words and their character n-grams are hashed to learned vectors; a word's vector is the sum of
 its own, a document's the average of its words', and a softmax gives the class. Vectors and output
 are trained by stochastic gradient descent in numpy from a bounded sample of labelled rows.
+
+Besides, two marks of the text as a whole have vectors of their own, which the averages of words
+can't tell: its length, and the share of words that repeat the one before (MARKS turns them off).
 """
 
 from __future__ import annotations
@@ -15,13 +18,15 @@ from .common import fold_of, hashed_words, labelled_sample, mix, small_batches,
 
 #: Labelled rows to train from, at most.
 LEARN_ROWS = 4_000
-#: Hash buckets, components, n-gram sizes in bytes of UTF-8.
+#: Hash buckets, components, n-gram sizes in characters.
 BUCKETS, DIMENSIONS, SHORTEST, LONGEST = 1 << 16, 8, 2, 4
 #: Passes, step size, and seed.
 EPOCHS, RATE, SEED = 8, 0.1, 31
 #: Rows with this score or more are of quality.
 THRESHOLD = 0.7
 
+#: Whether texts have marks of their length and repetition.
+MARKS = True
 #: Buckets of the marks of a text: its length's binary digits, and words that follow their like.
 _MARKS = 40
 _REPEATED = 39
@@ -30,17 +35,20 @@ _REPEATED = 39
 def features_of(column):
     """Yields (row, buckets, weights) for every text of an Arrow column.
 
-    A word has a bucket for itself and for the n-grams of its bytes between marks, which weigh
-    alike, as words do. Each bucket comes once. Texts without words have the length mark alone.
+    A word has a bucket for itself and for the n-grams of its characters between marks, which weigh
+    alike, as words do. A text without words has the length mark alone.
     """
     for row, data, offsets in text_chunks(column):
         h, first, starts, ends = hashed_words(data, offsets, places=True)
+        points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+        before = np.r_[0, np.cumsum((data & 0xC0) != 0x80)]
+        starts, ends = before[starts], before[ends]
         size = ends - starts
         at = np.r_[0, np.cumsum(size + 2)]
         marked = np.zeros(at[-1], np.uint64)
         marked[at[:-1]], marked[at[1:] - 1] = 1, 2
         inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        marked[np.repeat(at[:-1] + 1, size) + inner] = data[np.repeat(starts, size) + inner].astype(np.uint64) + np.uint64(3)
+        marked[np.repeat(at[:-1] + 1, size) + inner] = points[np.repeat(starts, size) + inner].astype(np.uint64) + np.uint64(3)
         word = np.repeat(np.arange(len(size)), size + 2)
         grams = 1 + sum((np.maximum(0, size + 2 - n + 1) for n in range(SHORTEST, LONGEST + 1)), np.zeros(len(size), np.int64))
         share = (1.0 / grams).astype(np.float32)
@@ -57,11 +65,11 @@ def features_of(column):
         same = np.r_[False, h[1:] == h[:-1]] if len(h) else np.zeros(0, bool)
         for i in range(len(offsets) - 1):
             a, b = int(first[i]), int(first[i + 1])
-            marks, held = [min(_REPEATED - 1, int(b - a).bit_length())], [0.1]
-            if b - a > 1 and (n := int(same[a + 1 : b].sum())):
+            marks, held = ([min(_REPEATED - 1, int(b - a).bit_length())], [0.1]) if MARKS else ([], [])
+            if MARKS and b - a > 1 and (n := int(same[a + 1 : b].sum())):
                 marks.append(_REPEATED)
                 held.append(n / (b - a))
-            parts, weights = [np.array(marks)], [np.array(held, np.float32)]
+            parts, weights = [np.array(marks, np.int64)], [np.array(held, np.float32)]
             for k, o in zip(keys, owners):
                 lo, hi = np.searchsorted(o, (a, b))
                 parts.append(k[lo:hi])
@@ -127,7 +135,11 @@ def learn_from(documents: DataFrame, labels: DataFrame) -> Model:
 
     found = sample.select("doc_id", "text", F.col("quality").cast("int").alias("quality")).mapInArrow(run, "doc_id long, buckets array<int>, weights array<float>, quality int")
     found = found.toArrow().sort_by([("doc_id", "ascending")])
-    rows = [(np.array(b, np.int64), np.array(w, np.float32)) for b, w in zip(found["buckets"].to_numpy(), found["weights"].to_numpy())]
+    rows = []
+    for chunk in found.select(["buckets", "weights"]).combine_chunks().to_batches():
+        cuts = chunk.column(0).offsets.to_numpy()
+        buckets, weights = (chunk.column(k).values.to_numpy() for k in (0, 1))
+        rows += [(buckets[a:b], weights[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
     return train(rows, found["quality"].to_pylist())
 
 

@@ -43,6 +43,8 @@ class _Fold(dict):
     def __missing__(self, point: int) -> str:
         char = chr(point)
         plain = HOMOGLYPHS.get(char) or DIGITS.get(char)
+        if plain is None and unicodedata.category(char) == "Cf":
+            plain = ""  # such as zero-width blanks
         if plain is None:
             parts = unicodedata.normalize("NFKD", char)
             plain = "".join(HOMOGLYPHS.get(c, c) for c in parts if not unicodedata.combining(c)).lower()
@@ -80,23 +82,24 @@ class Lexicon:
             self.automaton.make_automaton()
 
     def rate(self, text: str | None) -> float:
-        """Weights of matched words over the number of words; of overlapping matches the longest counts."""
+        """Weights of matched words over the number of words; of overlapping matches the first counts, of those the longest.
+
+        Words and phrases are matched in the text's words, joined by blanks, whatever stood between them.
+        """
         if not text or not len(self.automaton):
             return 0.0
-        folded = fold(text)
+        own = tokens(fold(text))
+        line = " ".join(own)
         total, taken, hits = 0.0, -1, []
-        for end, (size, weight) in self.automaton.iter(folded):
+        for end, (size, weight) in self.automaton.iter(line):
             start = end - size + 1
-            if (start and (folded[start - 1].isalnum() or folded[start - 1] == "_")) or (end + 1 < len(folded) and (folded[end + 1].isalnum() or folded[end + 1] == "_")):
-                continue
-            hits.append((start, -size, weight))
-        if not hits:
-            return 0.0
+            if (start == 0 or line[start - 1] == " ") and (end + 1 == len(line) or line[end + 1] == " "):
+                hits.append((start, -size, weight))
         for start, size, weight in sorted(hits):
             if start > taken:
                 total += weight
                 taken = start - size - 1
-        return total / max(1, len(folded.split()))
+        return total / max(1, len(own))
 
     def score(self, text: str | None) -> float:
         return 1.0 - math.exp(-self.scale * self.rate(text))
