@@ -1,4 +1,4 @@
-"""The entity graph: co-occurrence, degrees, aliases, relations, topics."""
+"""The entity graph: co-occurrence, degrees, aliases, relations, topics."""
 
 from __future__ import annotations
 
@@ -68,7 +68,10 @@ def _cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the cluster's folder; a temporary one only where none is named."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "checkpoints"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "checkpoints"))
     return df.checkpoint()
 
 
@@ -116,14 +119,36 @@ def centroids(links: DataFrame, vectors: DataFrame, most: int = 50) -> DataFrame
     return listed.select("topic", F.transform("v", lambda s: s["x"]).alias("centroid"))
 
 
+def aliases_of(aliases: DataFrame) -> DataFrame:
+    """The aliases of each entity, in order (C11)."""
+    return aliases.groupBy("entity").agg(F.array_sort(F.collect_set("alias")).alias("aliases"))
+
+
+def merged_entities(entities: DataFrame, canonical: DataFrame, at) -> tuple[DataFrame, DataFrame]:
+    """The entities with those that stand for another marked merged, and the rows (alias, entity_id) of their names."""
+    known = canonical.where("canonical IS NOT NULL AND canonical <> alias").select(F.col("alias").alias("id"), "canonical")
+    joined = entities.drop("canonical_id", "is_merged", "merged_at").join(known, "id", "left")
+    gone = F.col("canonical").isNotNull()
+    marked = joined.withColumn("is_active", F.coalesce("is_active", F.lit(True)) & ~gone).withColumn("is_merged", gone).withColumn("merged_at", F.when(gone, at))
+    marked = marked.withColumnRenamed("canonical", "canonical_id")
+    names = marked.where("is_merged").select(F.col("name").alias("alias"), F.col("canonical_id").alias("entity_id"))
+    return marked, names
+
+
 def mount(vectors: DataFrame, topic_centroids: DataFrame, least: float = 0.6, most: int = 1000) -> DataFrame:
     """The nearest topic of each memory, if it is nearer than ``least``.
 
-    Topics are few: ``most`` of them become literals of one projection, without a join; more are refused.
+    Topics are few: ``most`` of them become literals of one projection, without a join. Of more, each memory
+    is joined to all in blocks of topics, and its best is kept by a maximum that is combined before the shuffle.
     """
     rows = topic_centroids.select("topic", "centroid").orderBy("topic").limit(most + 1).collect()
     if len(rows) > most:
-        raise ValueError(f"over {most} topics; search them by an index instead")
+        part = F.pmod(F.xxhash64("topic"), F.lit(32))
+        many = topic_centroids.select("topic", "centroid", part.alias("part"))
+        asked = vectors.select("id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(31))).alias("part"))
+        scored = asked.join(many, "part").select("id", "topic", cosine(F.col("embedding"), F.col("centroid")).alias("similarity"))
+        best = scored.groupBy("id").agg(F.max(F.struct("similarity", (-F.col("topic")).alias("order"))).alias("b"))
+        return best.select("id", (-F.col("b.order")).cast("long").alias("topic"), F.col("b.similarity").alias("similarity")).where(F.col("similarity") > least)
     if not rows:
         return vectors.select("id", F.lit(None).cast("long").alias("topic"), F.lit(0.0).alias("similarity")).where("false")
     scored = [F.struct(cosine(F.col("embedding"), F.array(*map(F.lit, r["centroid"]))).alias("similarity"), F.lit(-r["topic"]).alias("order")) for r in rows]

@@ -1,4 +1,4 @@
-"""Retrieval: vector and graph search, merging, reranking."""
+"""Retrieval: vector and graph search, merging, reranking."""
 
 from __future__ import annotations
 
@@ -80,7 +80,7 @@ def graph_search(edges: DataFrame, entities: list, k: int = 20) -> DataFrame:
 def topic_search(topics: DataFrame, links: DataFrame, parents: list, k: int = 10) -> DataFrame:
     """The heaviest memories of each topic under the entities, a memory once under its first topic."""
     chosen = topics.where(F.col("parent").isin(*parents)).select("topic", "created_at")
-    own = top_by(links.join(F.broadcast(chosen), "topic") if len(parents) <= 1000 else links.join(chosen, "topic"), k, "topic", F.desc("weight"), F.asc("memory"))
+    own = top_by(links.join(chosen, "topic"), k, "topic", F.desc("weight"), F.asc("memory"))
     first = F.min_by(F.struct("topic", "weight"), F.struct(-F.unix_micros("created_at"), -F.col("weight"), F.col("topic")))
     return own.groupBy("memory").agg(first.alias("f")).select("memory", "f.topic", "f.weight")
 
@@ -138,3 +138,37 @@ def retrieve(vectors: DataFrame, edges: DataFrame, links: DataFrame, topics: Dat
     merged = top(merge_three(found, graph, topic), 30, F.desc("score"), F.asc("id"))
     ranked = rerank(merged.join(contents.select("id", "content"), "id").withColumn("cluster", F.lit(None).cast("string")))
     return top(ranked.where(F.col("score") >= (max(threshold, 0.85) if short else threshold)), k, F.desc("score"), F.asc("rank"))
+
+
+def retrieve_multi_degree(vectors: DataFrame, edges: DataFrame, relations: DataFrame, contents: DataFrame, query: list[float], entities: list, k: int = 5, threshold: float = 0.6, degree: int = 2) -> DataFrame:
+    """Vector and graph paths, with what shares entities with the first entity's three heaviest memories over ``degree`` steps (C20).
+
+    Merged, reranked, cut by the threshold and to k rows.
+    """
+    many = max(4 * k, 20)
+    found = vector_search(vectors, query, many).select("id", F.col("similarity").alias("score"))
+    graph = graph_search(edges, entities, many).select(F.col("memory").alias("id"), F.col("weight").alias("score"))
+    if entities and degree > 1:
+        seeds = top(edges.where(F.col("entity") == entities[0]), 3, F.desc("weight"), F.asc("memory")).select(F.col("memory").alias("seed"))
+        graph = graph.union(spread(edges, relations, seeds, many).join(graph, "id", "left_anti"))
+    merged = top(merge_two(found, graph.groupBy("id").agg(F.max("score").alias("score"))), 30, F.desc("score"), F.asc("id"))
+    ranked = rerank(merged.join(contents.select("id", "content"), "id").withColumn("cluster", F.lit(None).cast("string")))
+    return top(ranked.where(F.col("score") >= threshold), k, F.desc("score"), F.asc("rank"))
+
+
+def spread(edges: DataFrame, relations: DataFrame, seeds: DataFrame, k: int, least: float = 0.1) -> DataFrame:
+    """(id, score): for each seed its k heaviest memories over two steps, other than itself; a memory once with its greatest weight."""
+    mine = edges.join(seeds, edges["memory"] == seeds["seed"]).select("seed", F.col("entity").alias("in")).distinct()
+    reach = relations.where(F.col("weight") >= least).join(mine, "in").select("seed", F.col("out").alias("entity")).distinct()
+    met = edges.join(reach, "entity").where(F.col("memory") != F.col("seed")).groupBy("seed", "memory").agg(F.max("weight").alias("weight"))
+    first = top_by(met, k, "seed", F.desc("weight"), F.asc("memory"))
+    return first.groupBy(F.col("memory").alias("id")).agg(F.max("weight").alias("score"))
+
+
+def funnel(vector: DataFrame, graph: DataFrame, merged: DataFrame, final: DataFrame) -> DataFrame:
+    """One row of counts: what the paths found, what was merged, what stayed, and its mean score."""
+    paths = {"vector": vector, "graph": graph, "merged": merged, "final": final}
+    tagged = [df.select(F.lit(n).alias("path"), F.col("score").cast("double").alias("score")) for n, df in paths.items()]
+    rows = tagged[0].union(tagged[1]).union(tagged[2]).union(tagged[3])
+    mean = F.coalesce(F.avg(F.when(F.col("path") == "final", F.col("score"))), F.lit(0.0)).alias("mean")
+    return rows.agg(*[F.count(F.when(F.col("path") == n, 1)).alias(n) for n in paths], mean)

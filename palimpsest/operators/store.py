@@ -1,4 +1,4 @@
-"""Tables of the store: keyed merges, patches, deletes, upkeep."""
+"""Tables of the store: keyed merges, patches, deletes, upkeep."""
 
 from __future__ import annotations
 
@@ -15,13 +15,29 @@ def scroll(table: DataFrame, predicate: Column, limit: int, *order: Column) -> D
     return table.where(predicate).orderBy(*order).limit(limit)
 
 
-def upsert(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
-    """New rows replace those of the same key (A10, K3, K4, K6)."""
+def latest(rows: DataFrame, key: str, *order: Column) -> DataFrame:
+    """One row a key: the first by ``order``; without one, that whose JSON is largest, so that reruns agree."""
+    order = order or (F.to_json(F.struct(*[F.col(f"`{c}`") for c in sorted(rows.columns)])).desc(),)
+    place = "place"
+    while place in rows.columns:
+        place = f"_{place}"
+    return rows.withColumn(place, F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col(place) == 1).drop(place)
+
+
+def upsert(table: DataFrame, rows: DataFrame, key: str, *order: Column) -> DataFrame:
+    """New rows replace those of the same key, one a key (A10, K3, K4, K6); ``order`` says which of several."""
+    rows = latest(rows, key, *order)
     return table.join(rows.select(key), key, "left_anti").unionByName(rows, allowMissingColumns=True)
 
 
-def patch(table: DataFrame, changes: DataFrame, key: str) -> DataFrame:
-    """Columns that a change gives, where they are not null, replace the row's."""
+def patch(table: DataFrame, changes: DataFrame, key: str, *order: Column, at: Column | None = None) -> DataFrame:
+    """Columns that a change gives, where they are not null, replace the row's (A11, A35); ``order`` says which of several changes of a key.
+
+    With ``at``, the changed rows' ``updated_at`` is that.
+    """
+    changes = latest(changes, key, *order)
+    if at is not None and "updated_at" in table.columns:
+        changes = changes.withColumn("updated_at", at)
     names = [c for c in changes.columns if c != key and c in table.columns]
     new = changes.select(key, *[F.col(c).alias(f"__{c}") for c in names])
     joined = table.join(new, key, "left")
@@ -47,6 +63,118 @@ def payload(table: DataFrame) -> DataFrame:
     )
 
 
+def defaults(rows: DataFrame, values: dict) -> DataFrame:
+    """Columns that are missing, or null, get these values (A10)."""
+    put = {c: F.coalesce(F.col(c), F.lit(v)) if c in rows.columns else F.lit(v) for c, v in values.items()}
+    return rows.withColumns(put)
+
+
+def fitting(table: DataFrame, type: str | None = None, session: str | None = None, active: bool = True) -> DataFrame:
+    """Rows of a type and a session, where these are given, that are active (B1)."""
+    kept = table.where(F.coalesce("is_active", F.lit(True))) if active else table
+    kept = kept.where(F.col("type") == type) if type is not None else kept
+    return kept.where(F.col("session_id") == session) if session is not None else kept
+
+
+def by_importance(table: DataFrame, type: str, n: int) -> DataFrame:
+    """The most important rows of a type (F3 with 20 semantic ones, F4 with 5 reflections)."""
+    return fitting(table, type).orderBy(F.desc("importance"), F.asc("id")).limit(n)
+
+
+def type_counts(table: DataFrame, by: str = "type") -> DataFrame:
+    """Rows of each type and, with a null type, of all."""
+    return table.groupingSets([[], [F.col(by)]], F.col(by)).agg(F.count(F.lit(1)).alias("n"))
+
+
+def entity_stats(entities: DataFrame, edges: DataFrame, topics: DataFrame) -> DataFrame:
+    """Links and topics of every entity."""
+    links = edges.groupBy("entity").agg(F.count(F.lit(1)).alias("links"))
+    under = topics.groupBy(F.col("parent").alias("entity")).agg(F.count(F.lit(1)).alias("topics"))
+    both = entities.select("entity").join(links, "entity", "left").join(under, "entity", "left")
+    return both.select("entity", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("topics", F.lit(0)).alias("topics"))
+
+
+def entity_type_stats(entities: DataFrame, edges: DataFrame) -> DataFrame:
+    """Entities and links of every type of entity."""
+    counts = edges.groupBy("entity").agg(F.count(F.lit(1)).alias("n"))
+    return entities.join(counts, "entity", "left").groupBy("type").agg(F.count(F.lit(1)).alias("entities"), F.sum(F.coalesce("n", F.lit(0))).alias("links"))
+
+
+def pending(state: DataFrame, status: str | None = None) -> DataFrame:
+    """Documents of a status, or all that aren't completed, the oldest first."""
+    due = F.col("status") == status if status is not None else ~F.col("status").eqNullSafe(F.lit("completed"))
+    return state.where(due).orderBy(F.asc("imported_at"), F.asc("file_path"))
+
+
+def processed(state: DataFrame) -> DataFrame:
+    """Documents that need nothing more."""
+    return state.where((F.col("status") == "completed") & F.col("entities_extracted") & F.col("relations_extracted"))
+
+
+def changed_files(files: DataFrame, state: DataFrame) -> DataFrame:
+    """Files (path, file_hash) that are new, or not as they were imported (A23, A24, A30, A31); files that are gone change nothing."""
+    known = state.where(F.col("status") != "error").select(F.col("file_path").alias("path"), "file_hash")
+    return files.join(known, ["path", "file_hash"], "left_anti")
+
+
+def set_version(spark, folder: str, version: int = 1) -> None:
+    """(A15)"""
+    spark.createDataFrame([("schema_version", version)], "name string, value int").coalesce(1).write.mode("overwrite").parquet(f"{folder}/metadata")
+
+
+def get_version(spark, folder: str) -> int | None:
+    """The version stored in the folder, or None."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        row = spark.read.schema("name string, value int").parquet(f"{folder}/metadata").where("name = 'schema_version'").first()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return row["value"] if row else None
+
+
+def near_duplicates(rows: DataFrame, near: float = 0.95, within: str | None = "session_id") -> DataFrame:
+    """(id, other, similarity): the nearest row of a smaller id, of the same ``within``, for each row that it resembles this much.
+
+    Rows: id, embedding and ``within``. A session is compared in blocks of pairs, so that a long one is shared by tasks.
+    """
+    from ..functions.scores import cosine
+
+    blocks = 8
+    own = rows.where(F.col("embedding").isNotNull()).select("id", "embedding", (F.col(within) if within else F.lit(0)).alias("group"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"))
+    ids = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    a = own.withColumn("other_block", ids)
+    b = own.select(F.col("id").alias("other"), F.col("embedding").alias("e2"), F.col("group").alias("group2"), F.col("block").alias("other_block"), ids.alias("block2"))
+    met = (a["group"] == b["group2"]) & (a["block"] == b["block2"]) & (a["other_block"] == b["other_block"]) & (F.col("other") < F.col("id"))
+    pairs = a.join(b, met).select("id", "other", cosine(F.col("embedding"), F.col("e2")).alias("similarity")).where(F.col("similarity") >= near)
+    return pairs.groupBy("id").agg(F.max_by("other", F.struct("similarity", -F.col("other"))).alias("other"), F.max("similarity").alias("similarity"))
+
+
+def known_before(new: DataFrame, stored: DataFrame, near: float = 0.95, within: str | None = None) -> DataFrame:
+    """Keys of new rows that a stored row resembles this much, of the same ``within`` if that is given."""
+    from ..functions.scores import cosine
+
+    blocks = 8
+    old = stored.where(F.size("embedding") > 0).select(F.col("embedding").alias("e2"), (F.col(within) if within else F.lit(0)).alias("group2"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"))
+    own = new.where(F.size("embedding") > 0).select("id", "embedding", (F.col(within) if within else F.lit(0)).alias("group"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("part"))
+    met = own.join(old, F.col("group").eqNullSafe(F.col("group2")) & (F.col("part") == F.col("block")))
+    return met.where(cosine(F.col("embedding"), F.col("e2")) >= near).select("id").distinct()
+
+
+def maintain(memories: DataFrame, days: Column, least: int = 10) -> DataFrame:
+    """Decayed importance and promotions of all rows."""
+    from ..functions.scores import half_life
+
+    return promote(memories.withColumn("importance", half_life(F.col("importance"), days)), least)
+
+
+def record_key(record: Column) -> Column:
+    """What follows the last colon of ``table:id``, without the brackets of a quoted id; null if nothing does."""
+    return F.nullif(F.btrim(F.element_at(F.split(record, ":"), -1), F.lit("⟨⟩` ")), F.lit(""))
+
+
 def record_id(record: Column) -> Column:
     """The number after the last colon of ``table:id``, or null."""
     return F.element_at(F.split(record, ":"), -1).try_cast("bigint")

@@ -1,52 +1,68 @@
-"""Term extraction: domains, n-grams, scores, filter."""
+"""Term extraction: domains, n-grams, scores, filter."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
-
-from ..functions.texts import plain_tokens, runs, shape_factor, special_tokens, term_kind, term_tokens
-
-# Keywords that speak for a domain.
-DOMAINS = {
-    "database": """sql postgres postgresql mysql mongodb redis index query table schema database wal checkpoint vacuum transaction
-        commit acid mvcc lock deadlock isolation gin gist brin btree hash pg_dump pg_restore pg_basebackup libpq join select insert
-        update delete trigger procedure function cursor psql vacuumdb reindexdb analyze initdb pg_ctl pgbench replication standby
-        primary backup streaming logical physical""".split(),
-    "legal": """contract tort civil criminal statute regulation compliance liability damages plaintiff defendant jurisdiction court
-        judge verdict judgment appeal injunction remedy settlement arbitration patent trademark copyright privacy gdpr ccpa breach
-        negligence fraud""".split(),
-    "medical": """diagnosis treatment therapy medication patient symptom disease condition clinical trial study mri ct x-ray pet
-        ultrasound imaging radiology pathology histology cardiology neurology oncology hematology immunology genetics pharmacology
-        icd snomed loinc hipaa fda surgery procedure test examination prescription dosage pharma""".split(),
-}
+from collections import Counter
 
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-def domain_scores(docs: DataFrame, domains: dict[str, list[str]], core: dict[str, list[str]] | None = None) -> DataFrame:
-    """A point for each keyword that a text contains, two more for each core one.
+from ..functions.texts import case_pattern, plain_tokens, shape_factor, special_tokens, term_kind, term_tokens
 
-    The dictionaries are literals of one projection, so that no text is joined or moved.
+# The core terms of each domain, in the domains' order, which decides ties. Fuller lists of keywords are a parameter.
+CORE = {
+    "database": ["postgres", "postgresql", "mysql", "mongodb", "redis", "wal", "mvcc", "acid", "checkpoint", "vacuum", "pg_dump", "pg_restore", "libpq", "psql"],
+    "ai": ["transformer", "bert", "gpt", "llama", "claude", "llm", "rag", "fine-tuning", "pytorch", "tensorflow"],
+    "medical": ["mri", "ct", "pet", "icd", "snomed", "diagnosis", "pathology", "clinical trial"],
+    "legal": ["gdpr", "ccpa", "contract", "tort", "liability", "jurisdiction", "injunction"],
+    "finance": ["roi", "ebitda", "ipo", "derivative", "gaap", "sec", "portfolio"],
+    "devops": ["docker", "kubernetes", "terraform", "prometheus", "grafana", "cicd", "gitops"],
+}
+# Words of SQL, which are no terms.
+SQL_WORDS = [
+    "SELECT", "FROM", "WHERE", "ORDER", "GROUP", "HAVING", "LIMIT",
+    "OFFSET", "INSERT", "UPDATE", "DELETE", "CREATE", "DROP", "ALTER",
+    "JOIN", "LEFT", "RIGHT", "INNER", "OUTER", "CROSS", "NATURAL",
+    "UNION", "EXCEPT", "INTERSECT", "WITH", "AS", "ON", "USING",
+    "AND", "OR", "NOT", "IN", "IS", "LIKE", "BETWEEN", "EXISTS",
+    "NULL", "TRUE", "FALSE", "CASE", "WHEN", "THEN", "ELSE", "END",
+    "CAST", "COALESCE", "NULLIF", "DISTINCT", "ALL", "ANY", "SOME",
+]
+# What a type is called.
+LABELS = {"component": "组件", "parameter": "参数", "algorithm": "算法", "tool": "工具", "concept": "概念", "protocol": "协议", "api": "API", "metric": "指标", "entity": "实体"}
+
+
+def merge_settings(primary: dict, secondary: dict) -> dict:
+    """Settings of two domains: lists one after the other, all else the first's, or the second's where that has none."""
+    both = {k: [*primary.get(k, []), *secondary.get(k, [])] for k in ("whitelist", "blacklist", "roots", "patterns")}
+    return {**secondary, **{k: v for k, v in primary.items() if v not in (None, "")}, **both}
+
+
+def domain_scores(docs: DataFrame, domains: dict[str, list[str]] = CORE, core: dict[str, list[str]] | None = None) -> DataFrame:
+    """doc_id and scores (domain, score, place), best first (H16): a point for each keyword that a text contains, two more for each core one.
+
+    The dictionaries are literals of one projection, so that no text is joined or moved, and a row is answered by itself.
     """
-    text, core = F.lower(F.col("text")), core or {}
+    text, core = F.lower(F.coalesce("text", F.lit(""))), CORE if core is None else core
     held = lambda words, points: [F.when(F.contains(text, F.lit(w)), points).otherwise(0) for w in words]
     total = lambda parts: sum(parts, F.lit(0))
-    scores = [F.struct(F.lit(d).alias("domain"), total(held(sorted(set(w)), 1) + held(core.get(d, []), 2)).alias("score"), F.lit(k).alias("place")) for k, (d, w) in enumerate(domains.items())]
-    return docs.select("doc_id", F.explode(F.array(*scores)).alias("s")).select("doc_id", "s.*")
+    scores = [F.struct((-total(held(sorted(set(w)), 1) + held(core.get(d, []), 2))).alias("minus"), F.lit(k).alias("place"), F.lit(d).alias("domain")) for k, (d, w) in enumerate(domains.items())]
+    ordered = F.transform(F.array_sort(F.array(*scores)), lambda s: F.struct(s["domain"].alias("domain"), (-s["minus"]).alias("score"), s["place"].alias("place")))
+    return docs.select("doc_id", ordered.alias("scores"))
 
 
 def detect_domain(scores: DataFrame, least: float = 0.3) -> DataFrame:
     """The domain of the best score, with the lead over the second as confidence; general if that is low."""
-    ordered = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), "place", "domain")))
-    top = scores.groupBy("doc_id").agg(ordered.alias("o"))
-    first, second = -F.col("o")[0]["minus"], F.when(F.size("o") > 1, -F.get("o", F.lit(1))["minus"]).otherwise(0)
+    first, second = F.col("scores")[0]["score"], F.coalesce(F.get("scores", F.lit(1))["score"], F.lit(0))
     confidence = (first - second) / (first + 1)
     good = (first > 0) & (confidence >= least)
-    return top.select("doc_id", F.when(good, F.col("o")[0]["domain"]).otherwise("general").alias("domain"), confidence.cast("double").alias("confidence"))
+    return scores.select("doc_id", F.when(good, F.col("scores")[0]["domain"]).otherwise("general").alias("domain"), confidence.cast("double").alias("confidence"))
 
 
 def fallback_domains(scores: DataFrame, most: int = 3) -> DataFrame:
     """Up to three domains with a score, best first."""
-    ordered = F.array_sort(F.collect_list(F.when(F.col("score") > 0, F.struct((-F.col("score")).alias("minus"), "place", "domain"))))
-    return scores.groupBy("doc_id").agg(F.slice(F.transform(ordered, lambda s: s["domain"]), 1, most).alias("domains"))
+    some = F.filter("scores", lambda s: s["score"] > 0)
+    return scores.select("doc_id", F.slice(F.transform(some, lambda s: s["domain"]), 1, most).alias("domains"))
 
 
 def effective_domain(doc_domain: Column, doc_confidence: Column, block_domain: Column, block_confidence: Column) -> Column:
@@ -54,12 +70,43 @@ def effective_domain(doc_domain: Column, doc_confidence: Column, block_domain: C
     return F.when((block_confidence >= 0.5) & (block_confidence > 1.2 * doc_confidence), block_domain).otherwise(doc_domain)
 
 
+def block_domains(docs: DataFrame, blocks: DataFrame, domains: dict[str, list[str]] = CORE, core: dict[str, list[str]] | None = None) -> DataFrame:
+    """doc_id, block and domain of rows (doc_id, block, text): a block's own where it is sure enough, else its document's."""
+    whole = detect_domain(domain_scores(docs, domains, core)).select("doc_id", F.col("domain").alias("doc_domain"), F.col("confidence").alias("doc_confidence"))
+    keyed = blocks.select(F.struct("doc_id", "block").alias("doc_id"), "text")
+    part = detect_domain(domain_scores(keyed, domains, core)).select("doc_id.*", "domain", "confidence")
+    return part.join(whole, "doc_id").select("doc_id", "block", effective_domain(F.col("doc_domain"), F.col("doc_confidence"), F.col("domain"), F.col("confidence")).alias("domain"))
+
+
 def term_counts(docs: DataFrame, most: int = 3, least: int = 3) -> DataFrame:
-    """Occurrences of each n-gram in each document."""
+    """Occurrences of each n-gram in each row: special tokens, and runs of 2 to ``most`` plain words of eight characters or more.
+
+    They are counted where the text is, so that only different terms leave the row, and nothing is shuffled.
+    """
     tokens = docs.select("doc_id", term_tokens(F.col("text"), least).alias("tokens"))
     parts = tokens.select("doc_id", special_tokens(F.col("tokens"), least).alias("special"), plain_tokens(F.col("tokens")).alias("plain"))
-    grams = parts.select("doc_id", F.explode(F.concat("special", runs(F.col("plain"), most))).alias("term"))
-    return grams.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("freq"))
+
+    def run(batches):
+        for batch in batches:
+            ids, terms, counts = [], [], []
+            for doc, special, plain in zip(*(c.to_pylist() for c in batch.columns)):
+                held = Counter(special or ())
+                plain = plain or []
+                for n in range(2, most + 1):
+                    held.update(g for g in map(" ".join, zip(*(plain[k:] for k in range(n)))) if len(g) >= 8)
+                ids += [doc] * len(held)
+                terms += held.keys()
+                counts += held.values()
+            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(terms, pa.string()), pa.array(counts, pa.int64())], ["doc_id", "term", "freq"])
+
+    return parts.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, term string, freq long")
+
+
+def extract(docs: DataFrame, least_freq: int = 2, shortest: int = 3, longest: int = 50, most: int = 3) -> DataFrame:
+    """Scored terms of every row that are frequent and of fit length (H9): doc_id, term, freq, len, tfidf, cvalue, score."""
+    scored = with_score(with_cvalue(with_tfidf(term_counts(docs, most))), most=most)
+    size = F.length("term")
+    return scored.where((F.col("freq") >= least_freq) & (size >= shortest) & (size <= longest))
 
 
 def with_tfidf(counts: DataFrame) -> DataFrame:
@@ -91,26 +138,49 @@ def with_score(terms: DataFrame, tfidf: float = 1.0, cvalue: float = 1.0, freq:
     return terms.withColumn("score", F.greatest(F.lit(0.0), total))
 
 
+def inferred_type(term: Column) -> Column:
+    """What a whitelisted term is, by its look."""
+    low = F.lower(term)
+    return (
+        F.when(low.contains("_") & ~low.startswith("pg_"), "parameter").when(low.startswith("pg_") & (F.length(low) <= 20), "tool")
+        .when((low.contains("-") & low.contains("join")) | low.contains("tree"), "algorithm").when(low.startswith("lib") | (low == "ecpg"), "protocol").otherwise("concept")
+    )
+
+
+def type_label(kind: Column) -> Column:
+    """(H12)"""
+    names = F.create_map(*[F.lit(x) for kv in LABELS.items() for x in kv])
+    return F.concat(F.lit("T/"), F.coalesce(names[kind], F.lit(LABELS["concept"])))
+
+
 def filter_terms(terms: DataFrame, domain: str, roots: list[str], white: list[str] = (), black: list[str] = ()) -> DataFrame:
-    """Rules in order: lists, prefixes, compounds, hyphens, acronyms, n-grams, each with its confidence."""
+    """Rules in order: lists, words of SQL, prefixes, compounds, hyphens, acronyms, n-grams, each with its confidence.
+
+    Adds confidence, namespace, kind, type, label, source and case_pattern.
+    """
     low = F.lower("term")
     kind = term_kind(F.col("term"))
     parts = F.split(low, "[- ]")
     has_root = F.arrays_overlap(parts, F.array(*map(F.lit, roots))) if roots else F.lit(False)
+    listed = low.isin(*white) if white else F.lit(False)
     letters = F.exists(F.split(low, "-"), lambda p: F.length(p) <= 1)
     camel = F.regexp_extract_all("term", F.lit("[A-Z][a-z]+"), 0)
     noise = (F.size(camel) >= 3) & (F.size(F.array_distinct(camel)) == 1)
     confidence = (
         F.when(low.isin(*black) if black else F.lit(False), None)
-        .when(low.isin(*white) if white else F.lit(False), 1.0)
+        .when(F.upper("term").isin(*SQL_WORDS), None)
+        .when(listed, 1.0)
         .when(kind == "pg_prefix", 0.95)
         .when(kind == "camelcase", F.when(~noise, 0.85))
         .when(kind == "hyphenated", F.when(letters, None).when(has_root, 0.75).when(F.lit(domain == "general"), 0.6))
         .when(kind == "acronym", F.when(F.col("score") > 2, 0.7))
         .otherwise(F.when((F.col("score") > 3) & has_root, 0.6))
     )
+    what = F.when(listed, inferred_type(F.col("term"))).when(kind == "pg_prefix", "tool").when(kind == "camelcase", "component").when(kind == "acronym", "entity").otherwise("concept")
+    source = F.when(listed, "whitelist").when(kind.isin("pg_prefix", "camelcase"), "regex").otherwise("statistical")
     kept = terms.withColumn("confidence", confidence.cast("double")).where(F.col("confidence").isNotNull())
-    return kept.withColumn("namespace", F.concat(F.lit(f"{domain}."), low)).withColumn("kind", kind)
+    kept = kept.withColumn("namespace", F.concat(F.lit(f"{domain}."), low)).withColumn("kind", kind)
+    return kept.withColumn("type", what).withColumn("label", type_label(what)).withColumn("source", source).withColumn("case_pattern", case_pattern(F.col("term")))
 
 
 def top_terms(terms: DataFrame, most: int = 200) -> DataFrame:

@@ -110,15 +110,17 @@ def structural_relations(spark, d):
     return G.structural_relations(read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.expr(TERM).alias("normalized"))).select("id", "target", "type", "weight")
 
 
-CANDIDATE = "CASE p_partkey % 8 WHEN 0 THEN 'pg_stat' WHEN 1 THEN 'PgPgPg' WHEN 2 THEN 'BufferPool' WHEN 3 THEN 'hash-join' WHEN 4 THEN 'x-ray' WHEN 5 THEN 'WAL' WHEN 6 THEN 'nested hash' ELSE 'plain words' END"
+CANDIDATE = "CASE p_partkey % 10 WHEN 8 THEN 'Distinct' WHEN 9 THEN 'max_wal_size' WHEN 0 THEN 'pg_stat' WHEN 1 THEN 'PgPgPg' WHEN 2 THEN 'BufferPool' WHEN 3 THEN 'hash-join' WHEN 4 THEN 'x-ray' WHEN 5 THEN 'WAL' WHEN 6 THEN 'nested hash' ELSE 'plain words' END"
 
 
 @query(f"""WITH t AS (SELECT p_partkey AS id, {CANDIDATE} AS term, p_size / 10.0 AS score FROM part)
-SELECT id, term, CASE term WHEN 'pg_stat' THEN 0.95 WHEN 'BufferPool' THEN 0.85 WHEN 'hash-join' THEN 0.75 WHEN 'WAL' THEN CASE WHEN score > 2 THEN 0.7 END WHEN 'nested hash' THEN CASE WHEN score > 3 THEN 0.6 END END::DOUBLE AS confidence
-FROM t WHERE term IN ('pg_stat', 'BufferPool', 'hash-join') OR (term = 'WAL' AND score > 2) OR (term = 'nested hash' AND score > 3)""")
+SELECT id, term, CASE term WHEN 'pg_stat' THEN 'tool' WHEN 'BufferPool' THEN 'component' WHEN 'WAL' THEN 'entity' WHEN 'max_wal_size' THEN 'parameter' ELSE 'concept' END AS type,
+  CASE term WHEN 'max_wal_size' THEN 'whitelist' WHEN 'pg_stat' THEN 'regex' WHEN 'BufferPool' THEN 'regex' ELSE 'statistical' END AS source, 'database.' || lower(term) AS namespace,
+  CASE term WHEN 'max_wal_size' THEN 1.0 WHEN 'pg_stat' THEN 0.95 WHEN 'BufferPool' THEN 0.85 WHEN 'hash-join' THEN 0.75 WHEN 'WAL' THEN CASE WHEN score > 2 THEN 0.7 END WHEN 'nested hash' THEN CASE WHEN score > 3 THEN 0.6 END END::DOUBLE AS confidence
+FROM t WHERE term IN ('pg_stat', 'BufferPool', 'hash-join', 'max_wal_size') OR (term = 'WAL' AND score > 2) OR (term = 'nested hash' AND score > 3)""")
 def filter_candidates(spark, d):
     terms = read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.expr(CANDIDATE).alias("term"), (F.col("p_size") / 10.0).alias("score"))
-    return X.filter_terms(terms, "database", ["hash", "index"]).select("id", "term", "confidence")
+    return X.filter_terms(terms, "database", ["hash", "index"], ["max_wal_size", "distinct"]).select("id", "term", "type", "source", "namespace", "confidence")
 
 
 @query("""WITH m AS (SELECT concat(event_type, '-', user_id % 50) AS name, event_type AS type, ts FROM events)

@@ -98,8 +98,7 @@ def payload_shaping(spark, d):
 
 @query("SELECT event_type AS type, count(*) AS n FROM events GROUP BY GROUPING SETS ((), (event_type))")
 def type_counts(spark, d):
-    events = read(spark, d, "events").select(F.col("event_type").alias("type"))
-    return events.groupingSets([[], [F.col("type")]], F.col("type")).agg(F.count(F.lit(1)).alias("n"))
+    return M.type_counts(read(spark, d, "events").select(F.col("event_type").alias("type")))
 
 
 @query(f"WITH {EDGES} SELECT entity, count(*) AS links, count(*) >= 400 AS split, count(*) >= 500 AS frozen FROM edges GROUP BY entity")
@@ -109,9 +108,8 @@ def super_nodes(spark, d):
 
 @query(f"WITH {EDGES}, c AS (SELECT entity, count(*) AS n FROM edges GROUP BY 1) SELECT p_type AS type, count(*) AS entities, CAST(sum(coalesce(n, 0)) AS BIGINT) AS links FROM part LEFT JOIN c ON entity = p_partkey GROUP BY 1")
 def global_entity_stats(spark, d):
-    counts = edges(spark, d).groupBy("entity").agg(F.count(F.lit(1)).alias("n"))
     parts = read(spark, d, "part").select(F.col("p_partkey").alias("entity"), F.col("p_type").alias("type"))
-    return parts.join(counts, "entity", "left").groupBy("type").agg(F.count(F.lit(1)).alias("entities"), F.sum(F.coalesce("n", F.lit(0))).alias("links"))
+    return M.entity_type_stats(parts, edges(spark, d))
 
 
 @query("WITH o AS (SELECT l_orderkey, list(l_linenumber) AS t FROM lineitem GROUP BY 1) SELECT o_orderstatus AS version, count(*) AS blocks, CAST(sum(len(t)) AS BIGINT) AS triples FROM orders JOIN o ON l_orderkey = o_orderkey GROUP BY 1")
@@ -224,11 +222,27 @@ def diversity_rerank(spark, d):
     return R.rerank(docs).select("id", F.round("score", 6).alias("score"), "rank")
 
 
-@query(None)
+RETRIEVED = f"""{TOPICS}, {Q},
+v AS (SELECT vec_id AS id, {SIM} AS v FROM embeddings e, q ORDER BY v DESC, id LIMIT 20),
+gr AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY weight DESC, memory) AS gk FROM edges WHERE entity IN (3, 5, 7)),
+g AS (SELECT memory AS id, max(weight) AS g FROM gr WHERE gk <= 20 GROUP BY 1),
+o AS (SELECT *, row_number() OVER (PARTITION BY memory ORDER BY weight DESC, topic) AS f FROM r WHERE k <= 10),
+t AS (SELECT memory AS id, weight AS t FROM o WHERE f = 1),
+j AS (SELECT id, v, g, t, v IS NOT NULL AND g IS NOT NULL AND g > v AS two FROM v FULL JOIN g USING (id) FULL JOIN t USING (id)),
+b AS (SELECT *, CASE WHEN coalesce(two, false) THEN g ELSE coalesce(v, g) END AS base FROM j),
+l AS (SELECT *, coalesce(base IS NOT NULL AND t IS NOT NULL AND NOT two AND t / 0.7::DOUBLE > base, false) AS late FROM b),
+m AS (SELECT id, CASE WHEN late THEN t ELSE coalesce(base, t * 0.7::DOUBLE) END AS score FROM l ORDER BY score DESC, id LIMIT 30),
+h AS (SELECT id, list_distinct(list_filter(string_split_regex(lower(text), '[ \\t\\n\\r\\f\\v]+'), lambda w: length(w) > 3)) AS w, row_number() OVER (ORDER BY score DESC, id) - 1 AS r FROM m JOIN documents ON doc_id = id),
+p AS (SELECT b.id, b.r, count(a.id) FILTER (WHERE len(list_intersect(a.w, b.w)) > 0.5 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)))) AS alike FROM h b LEFT JOIN h a ON a.r < b.r AND a.r < 5 GROUP BY ALL),
+s AS (SELECT id, r AS rank, greatest(0, 1 - 0.05 * r - 0.15 * alike) AS score FROM p)"""
+
+
+@query(f"{RETRIEVED} SELECT id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM s WHERE score >= 0.6 ORDER BY score DESC, rank LIMIT 5")
 def hybrid_retrieve(spark, d):
     topics, links = topic_tables(spark, d)
     texts = read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
-    return R.retrieve(vectors(spark, d), edges(spark, d), links, topics, texts, first_vector(spark, d), "what do we know of part seven", [3, 5, 7], [1, 2, 3])
+    found = R.retrieve(vectors(spark, d), edges(spark, d), links, topics, texts, first_vector(spark, d), "what do we know of part seven", [3, 5, 7], [1, 2, 3])
+    return found.withColumn("score", F.round("score", 6))
 
 
 @query("""WITH RECURSIVE a AS (SELECT n_nationkey::BIGINT AS alias, (n_regionkey * 5)::BIGINT AS target FROM nation WHERE n_nationkey <> n_regionkey * 5),
@@ -241,7 +255,7 @@ def alias_resolution(spark, d):
 
 @query("SELECT n_regionkey AS entity, list_sort(list(DISTINCT n_name)) AS aliases FROM nation GROUP BY 1")
 def alias_groups(spark, d):
-    return read(spark, d, "nation").groupBy(F.col("n_regionkey").alias("entity")).agg(F.array_sort(F.collect_set("n_name")).alias("aliases"))
+    return G.aliases_of(read(spark, d, "nation").select(F.col("n_regionkey").alias("entity"), F.col("n_name").alias("alias")))
 
 
 @query("""WITH p AS (SELECT a.vec_id AS "in", b.vec_id AS "out", list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS w FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id)
@@ -412,13 +426,13 @@ DOMAIN = "points AS (SELECT doc_id, domain, place, score FROM (SELECT doc_id, un
 t AS (SELECT doc_id, max(CASE WHEN k = 1 THEN domain END) AS d, max(CASE WHEN k = 1 THEN score END) AS a, max(CASE WHEN k = 2 THEN score END) AS b FROM r GROUP BY 1)
 SELECT doc_id, CASE WHEN a > 0 AND (a - b) / (a + 1)::DOUBLE >= 0.3 THEN d ELSE 'general' END AS domain, round((a - b) / (a + 1)::DOUBLE, 6) AS confidence FROM t""")
 def domain_detect(spark, d):
-    found = X.detect_domain(X.domain_scores(read(spark, d, "documents"), TONGUES))
+    found = X.detect_domain(X.domain_scores(read(spark, d, "documents"), TONGUES, {}))
     return found.withColumn("confidence", F.round("confidence", 6))
 
 
 @query(f"WITH {DOMAIN} SELECT doc_id, coalesce(list_slice(list(domain ORDER BY score DESC, place) FILTER (WHERE score > 0), 1, 3), []) AS domains FROM points GROUP BY 1")
 def domain_fallback(spark, d):
-    return X.fallback_domains(X.domain_scores(read(spark, d, "documents"), TONGUES))
+    return X.fallback_domains(X.domain_scores(read(spark, d, "documents"), TONGUES, {}))
 
 
 def _tokens():

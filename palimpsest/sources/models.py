@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 import urllib.request
 import zlib
 from collections.abc import Callable
@@ -79,12 +80,17 @@ def embed(df: DataFrame, key: str, text: str, encoder: Encoder, task: str | None
     return df.select(F.col(key).alias("key"), F.col(text).cast("string")).mapInArrow(run, f"key {kind}, embedding array<double>").withColumnRenamed("key", key)
 
 
-def complete(df: DataFrame, key: str, prompt: str, model: Model, at_once: int = 2) -> DataFrame:
-    """Rows (key, answer) for every prompt, cut at ``PROMPT`` characters, ``at_once`` batches at a time (A45, J23); null prompts give null."""
+def complete(df: DataFrame, key: str, prompt: str, model: Model, at_once: int | None = None, pause: float = 0.0) -> DataFrame:
+    """Rows (key, answer) for every prompt, cut at ``PROMPT`` characters (A45); null prompts give null.
+
+    An endpoint's limits are parameters: ``at_once`` tasks ask it at a time, each with ``pause`` seconds between batches (J23).
+    """
 
     def run(batches):
         for batch in batches:
             prompts = batch.column(1).to_pylist()
+            if pause:
+                time.sleep(pause)
             given = [k for k, p in enumerate(prompts) if p is not None]
             out: list[str | None] = [None] * len(prompts)
             for k, answer in zip(given, model([prompts[k][:PROMPT] for k in given]) if given else []):
@@ -92,5 +98,6 @@ def complete(df: DataFrame, key: str, prompt: str, model: Model, at_once: int =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["key", "answer"])
 
     kind = df.schema[key].dataType.simpleString()
-    few = df.select(F.col(key).alias("key"), F.col(prompt).cast("string")).repartition(at_once)
+    few = df.select(F.col(key).alias("key"), F.col(prompt).cast("string"))
+    few = few.repartition(at_once) if at_once else few
     return few.mapInArrow(run, f"key {kind}, answer string").withColumnRenamed("key", key)
