@@ -1,4 +1,4 @@
-"""The engine as one object over a folder of tables, and its command line.
+"""The engine as one object over a folder of tables, and its command line.
 
 ``python -m palimpsest store|search|list|stats|import|terms --folder F [text]``
 """
@@ -9,16 +9,30 @@ import argparse
 import os
 import uuid
 import zlib
+from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .functions import texts as T
-from .operators import documents as D, memories as P, search as R, terms as X
+from .functions import entities as E, texts as T
+from .operators import documents as D, indexing as I, memories as P, search as R, store as M, terms as X
 from .sources import files
-from .sources.models import Encoder, embed, hashed_encoder, unit
-
-MEMORY = "id long, type string, content string, embedding array<double>, importance double, session_id string, created_at timestamp, is_active boolean, content_hash string, source string"
+from .sources.models import Encoder, Model, embed, hashed_encoder, unit
+
+#: The tables of the store.
+SCHEMAS = {
+    "memory": "id long, type string, content string, embedding array<double>, importance double, session_id string, created_at timestamp, is_active boolean, content_hash string, source string",
+    "memory_entity": "memory long, entity string, weight double, created_at timestamp",
+    "topic": "topic long, name string, parent string, created_at timestamp",
+    "topic_memory": "topic long, memory long, weight double",
+    "access": "id long, ts timestamp",
+    "document_import_state": "file_path string, file_hash string, imported_at timestamp, chunks_count long, entities_extracted boolean, relations_extracted boolean, status string, error string",
+    "compiled": "block_id string, content_hash string, content string, raw_content string, triples array<struct<subject: string, relation: string, object: string>>, topic string, embedding array<double>, doc_version string, type string, importance double, status string",
+    "metadata": "name string, value int",
+}
+MEMORY = SCHEMAS["memory"]
+#: The schema's version, the similarity from which a memory is a duplicate, and characters beyond which a document is cut simply.
+VERSION, DUPLICATE, LARGE = 1, 0.95, 100_000
 
 
 class Engine:
@@ -27,48 +41,163 @@ class Engine:
     def __init__(self, spark: SparkSession, folder: str, encoder: Encoder | None = None):
         self.spark, self.folder, self.encoder = spark, folder, encoder or hashed_encoder()
 
-    def memories(self) -> DataFrame:
-        """The table of memories, empty if none was stored."""
+    def table(self, name: str) -> DataFrame:
+        """A table of the store, empty if nothing was written (A4)."""
         try:
-            return self.spark.read.schema(MEMORY).parquet(f"{self.folder}/memory")
+            return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.folder}/{name}")
         except AnalysisException as e:
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return self.spark.createDataFrame([], MEMORY)
+            return self.spark.createDataFrame([], SCHEMAS[name])
+
+    def append(self, name: str, rows: DataFrame) -> None:
+        rows.select(*self.table(name).columns).write.mode("append").parquet(f"{self.folder}/{name}")
+
+    def create(self) -> None:
+        """Empty tables, and the schema's version."""
+        for name in SCHEMAS:
+            if name != "metadata":
+                self.spark.createDataFrame([], SCHEMAS[name]).write.mode("append").parquet(f"{self.folder}/{name}")
+        M.set_version(self.spark, self.folder, VERSION)
+
+    def healthy(self) -> bool:
+        """Whether the tables of the store's version are there."""
+        return M.get_version(self.spark, self.folder) == VERSION
+
+    def memories(self) -> DataFrame:
+        """The table of memories, empty if none was stored."""
+        return self.table("memory")
 
     def vector(self, text: str) -> list[float]:
         return unit(self.encoder([text])[0])
 
-    def add(self, rows: DataFrame, kind: str = "semantic", importance: float = 0.7) -> None:
-        """Appends rows (key, content, session_id, source) with their vectors; contents stored before, or twice in ``rows``, are left out."""
+    def add(self, rows: DataFrame, kind: str = "semantic", importance: float = 0.7) -> int:
+        """Stores rows (key, content, session_id, source) with their vectors and entities; returns how many.
+
+        Left out are contents stored before, or twice in ``rows``, and those that a memory of the same
+        type resembles by DUPLICATE: an episodic one within its session, any other anywhere (C16, C17).
+        Rows without a vector are compared by content alone.
+        """
         hashed = rows.where("content <> ''").withColumn("content_hash", T.content_hash(F.col("content")))
         first = hashed.groupBy("content_hash").agg(F.min_by(F.struct("key", "content", "session_id", "source"), "key").alias("r")).select("content_hash", "r.*")
         new = first.join(self.memories().select("content_hash"), "content_hash", "left_anti")
         vectors = embed(new, "content_hash", "content", self.encoder)
-        typed = P.remember(self.spark.createDataFrame([], MEMORY), new.join(vectors, "content_hash").withColumn("id", F.xxhash64("content_hash")), kind, importance)
-        typed.withColumn("created_at", F.current_timestamp()).select(*self.memories().columns).write.mode("append").parquet(f"{self.folder}/memory")
-
-    def store(self, content: str, kind: str = "semantic", importance: float = 0.7, session: str | None = None) -> None:
-        """One memory."""
-        self.add(self.spark.createDataFrame([(0, content, session, None)], "key long, content string, session_id string, source string"), kind, importance)
+        own = new.join(vectors, "content_hash").withColumn("id", F.xxhash64("content_hash")).persist()
+        within = "session_id" if kind == "episodic" else None
+        alike = M.near_duplicates(own.where(F.size("embedding") > 0), DUPLICATE, within).select("id")
+        alike = alike.union(M.known_before(own, M.fitting(self.memories(), kind), DUPLICATE, within)).distinct()
+        typed = P.remember(self.spark.createDataFrame([], MEMORY), own.join(alike, "id", "left_anti"), kind, importance)
+        typed = typed.withColumn("created_at", F.current_timestamp()).select(*self.memories().columns).persist()
+        try:
+            n = typed.count()
+            if n:
+                found = E.extract_entities(typed, "id", "content").select(F.col("id").alias("memory"), F.col("name").alias("entity"), "confidence")
+                links = found.groupBy("memory", "entity").agg(F.max("confidence").alias("weight")).withColumn("created_at", F.current_timestamp())
+                self.append("memory_entity", links)  # first, as writing memories forgets ``typed``, which was compared with them
+                self.append("memory", typed)
+            return n
+        finally:
+            typed.unpersist()
+            own.unpersist()
+
+    def store(self, content: str, kind: str = "semantic", importance: float = 0.7, session: str | None = None) -> int:
+        """One memory; 0 if it is known already."""
+        return self.add(self.spark.createDataFrame([(0, content, session, None)], "key long, content string, session_id string, source string"), kind, importance)
 
     def search(self, query: str, top_k: int = 5, threshold: float = 0.6, session: str | None = None) -> DataFrame:
-        """The tool of retrieval: active memories by similarity, of one session's if one is given; no vector finds nothing (L1)."""
+        """The tool of retrieval (L1): vector, graph and topic paths, merged, reranked and cut; each row found counts an access.
+
+        Only active memories, of one session's if one is given; a blank query finds nothing.
+        """
+        held = M.fitting(self.memories(), session=session).where(F.size("embedding") > 0)
+        none = held.limit(0).withColumn("score", F.lit(None).cast("double"))
         vector = self.vector(query) if query.strip() else []
-        held = self.memories().where("is_active AND size(embedding) > 0")
-        if session is not None:
-            held = held.where(F.col("session_id") == session)
         if not vector:
-            return held.limit(0).withColumn("similarity", F.lit(None).cast("double"))
-        return R.vector_search(held, vector, top_k, threshold)
+            return none
+        names = [r["name"] for r in E.extract_entities(self.spark.createDataFrame([(0, query)], "id long, t string"), "id", "t").select("name").distinct().orderBy("name").collect()]
+        ids = held.select(F.col("id").alias("memory"))
+        edges = self.table("memory_entity").join(ids, "memory", "left_semi")
+        links = self.table("topic_memory").join(ids, "memory", "left_semi")
+        found = R.retrieve(held, edges, links, self.table("topic"), held, vector, query, names, names, top_k, threshold)
+        rows = held.join(found.select("id", "score"), "id").select(*held.columns, "score").collect()  # top_k at most
+        if not rows:
+            return none
+        self.append("access", self.spark.createDataFrame([(r["id"],) for r in rows], "id long").withColumn("ts", F.current_timestamp()))
+        return self.spark.createDataFrame(rows, none.schema).orderBy(F.desc("score"))
+
+    def accesses(self) -> DataFrame:
+        """How often each memory was found."""
+        return self.table("access").groupBy("id").agg(F.count(F.lit(1)).alias("access_count"), F.max("ts").alias("last_accessed"))
+
+    def make_topics(self, split: int = I.SPLIT, near: float = 0.7) -> int:
+        """Topics for the entities of many links, in the place of those they had (K18); returns the links made."""
+        held = self.memories().select("id", "embedding").where(F.size("embedding") > 0)
+        ids = F.xxhash64("entity", "topic")
+        links = I.supernode_topics(self.table("memory_entity"), held, split=split, near=near).withColumn("id", ids).persist()
+        try:
+            topics = links.select(F.col("id").alias("topic"), F.col("topic").alias("name"), F.col("entity").alias("parent")).distinct().withColumn("created_at", F.current_timestamp())
+            topics.write.mode("overwrite").parquet(f"{self.folder}/topic")
+            links.select(F.col("id").alias("topic"), "memory", "weight").write.mode("overwrite").parquet(f"{self.folder}/topic_memory")
+            return links.count()
+        finally:
+            links.unpersist()
 
     def import_documents(self, folder: str, pdf=None) -> DataFrame:
-        """Stores the chunks of a folder's files; returns path and error of each file (L2)."""
-        found = files.read_documents(self.spark, folder, pdf)
-        keyed = found.where("text IS NOT NULL").select(F.xxhash64("path").alias("doc_id"), "path", "text")
-        parts = D.chunks(keyed).join(keyed.select("doc_id", "path"), "doc_id")
-        self.add(parts.select(F.struct("doc_id", "chunk").alias("key"), "content", F.lit(None).cast("string").alias("session_id"), F.col("path").alias("source")))
-        return found.select("path", "error")
+        """Stores the chunks of a folder's files that are new or changed, and their state; returns path and error of each."""
+        read = files.read_documents(self.spark, folder, pdf)
+        done = self.table("document_import_state").where("status <> 'error'")
+        new = M.changed_files(read, done).persist()
+        try:
+            rows = new.select("path", "error").collect()  # a row for each file of the folder; writing the state forgets ``new``
+            self._store_chunks(new.where("text IS NOT NULL").select(F.col("path").alias("source"), "text"), "doc:")
+            parts = D.split_by_topic(new.select(F.xxhash64("path").alias("doc_id"), "text")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+            state = new.withColumn("doc_id", F.xxhash64("path")).join(parts, "doc_id", "left")
+            ok = F.col("error").isNull()
+            self.append("document_import_state", state.select(
+                F.col("path").alias("file_path"), "file_hash", F.current_timestamp().alias("imported_at"), F.coalesce("n", F.lit(0)).alias("chunks_count"),
+                ok.alias("entities_extracted"), ok.alias("relations_extracted"), F.when(ok, "completed").otherwise("error").alias("status"), "error",
+            ))
+            return self.spark.createDataFrame(rows, "path string, error string")
+        finally:
+            new.unpersist()
+
+    def import_pages(self, pages: DataFrame, session: str | None = None) -> int:
+        """Stores the chunks of pages (url, html); returns how many (A17, A33). Pages are fetched by whoever gives them."""
+        return self._store_chunks(pages.select(F.col("url").alias("source"), T.html_to_text(F.col("html")).alias("text")), "url:", session)
+
+    def _store_chunks(self, texts: DataFrame, prefix: str, session: str | None = None) -> int:
+        parts = D.split_by_topic(texts.select(F.xxhash64("source").alias("doc_id"), "text"))
+        named = texts.select(F.xxhash64("source").alias("doc_id"), "source").distinct()
+        rows = parts.join(named, "doc_id")
+        return self.add(rows.select(F.struct("doc_id", "chunk").alias("key"), "content", F.lit(session).cast("string").alias("session_id"), F.concat(F.lit(prefix), "source").alias("source")))
+
+    def compile(self, folder: str, model: Model, kind: str, version: str, pdf=None, done: Callable[[dict], None] | None = None) -> dict:
+        """Compiles a folder's documents into blocks of triples, a summary and a topic (K37); blocks compiled before only count as skipped.
+
+        Documents of up to LARGE characters are split by their sections, larger ones by topic. Returns the
+        numbers of blocks, stored, skipped and failed ones and of triples, which ``done`` is told too (M3).
+        """
+        docs = files.read_documents(self.spark, folder, pdf).where("text IS NOT NULL").select(F.xxhash64("path").alias("doc_id"), "text")
+        small = D.smart_split(docs.where(F.length("text") <= LARGE)).select("doc_id", "block", "content")
+        large = D.split_by_topic(docs.where(F.length("text") > LARGE), 1500).select("doc_id", F.col("chunk").alias("block"), "content")
+        block = F.concat_ws(":", F.col("doc_id").cast("string"), F.lpad(F.col("block").cast("string"), 8, "0"))
+        blocks = small.union(large).select(block.alias("block_id"), F.col("content").alias("text"), F.lit(f"{kind}:{version}").alias("doc_version")).persist()
+        try:
+            known = self.table("compiled").select("content_hash")
+            hashed = blocks.select(T.content_hash(F.col("text")).alias("content_hash"))
+            total, skipped = blocks.count(), hashed.join(known.distinct(), "content_hash", "left_semi").count()
+            stored, _ = P.compile_blocks(blocks, known, model, self.encoder)
+            stored = stored.persist()
+            row = stored.agg(F.count(F.lit(1)).alias("stored"), F.coalesce(F.sum(F.size("triples")), F.lit(0)).alias("triples")).first()
+            self.append("compiled", stored)
+            stored.unpersist()
+            twice = total - hashed.distinct().count()
+            told = {"total": total, "stored": row["stored"], "skipped": skipped + twice, "failed": max(0, total - skipped - twice - row["stored"]), "triples": row["triples"]}
+            if done:
+                done(told)
+            return told
+        finally:
+            blocks.unpersist()
 
     def list(self, most: int = 20) -> DataFrame:
         """The latest memories."""
@@ -104,7 +233,7 @@ def main(argv: list[str] | None = None) -> None:
     if given.command == "store":
         engine.store(given.text, session=given.session)
     elif given.command == "search":
-        engine.search(given.text, given.top_k, given.threshold, given.session).select("id", "type", "content", "similarity").show(given.top_k, False)
+        engine.search(given.text, given.top_k, given.threshold, given.session).select("id", "type", "content", "score").show(given.top_k, False)
     elif given.command == "import":
         engine.import_documents(given.text).show(100, False)
     elif given.command == "terms":

@@ -361,7 +361,7 @@ def leader_clusters(vectors: DataFrame, group: str, near: float = 0.7, most: int
             out.append(hit)
         return frame[["id"]].assign(group=key[0], cluster=out)
 
-    return few.select(group, "id", "embedding", "place").groupBy(group).applyInPandas(run, "id long, group long, cluster int")
+    return few.select(group, "id", "embedding", "place").groupBy(group).applyInPandas(run, f"id long, group {vectors.schema[group].dataType.simpleString()}, cluster int")
 
 
 def markdown_features(text: Column) -> Column:

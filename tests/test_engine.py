@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.functions import scores, texts
-from palimpsest.operators import documents, graph, search, store, terms
+from palimpsest.operators import cache, documents, graph, indexing, search, store, terms
 from palimpsest.plans.queries import ORACLE_SQL, QUERIES
 from palimpsest.sources import files
 from palimpsest.streaming import messages
@@ -161,3 +161,89 @@ def test_sections_and_pieces(spark):
     assert [(r.doc_id, r.title, r.content) for r in got] == [(1, None, "before\n"), (1, "A", "# A\nx\n"), (1, "B", "## B \ny")]
     pieces = documents.fixed_pieces(frame, 8, 3).orderBy("piece").collect()
     assert [(r.piece, r.content) for r in pieces] == [(0, "before\n#"), (1, "A\nx\n##"), (2, "B \ny")]
+
+
+def test_splitting_keeps_words_and_sizes():
+    rng = np.random.default_rng(3)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 6))
+    paragraphs = [" ".join(word() + ("." if rng.random() < 0.2 else "") for _ in range(rng.integers(1, 160))) for _ in range(30)]
+    text = "\n\n".join(paragraphs)
+    parts = documents.topic_chunks(text, 300)
+    assert " ".join(c for c, _ in parts).split() == text.split()
+    longest = max(len(s) for p in paragraphs for s in documents._SENTENCE.split(p))
+    assert max(len(c) for c, _ in parts) <= max(540, longest) and {k for _, k in parts} <= {"semantic", "sentence", "paragraph"}
+    # Groups against their definition.
+    groups = documents.topic_groups(paragraphs, 450)
+    assert [p for g in groups for p in g] == paragraphs
+    for a, b in zip(groups, groups[1:]):
+        assert documents.shifts(a[-1], b[0]) or sum(map(len, a)) + len(b[0]) > 450
+    for g in groups:
+        assert len(g) == 1 or sum(map(len, g)) <= 450 and not any(documents.shifts(x, y) for x, y in zip(g, g[1:]))
+
+
+def test_smart_blocks():
+    body = "Some words of a section. " * 8
+    text = f"intro\n# One\n{body}\n\n{body}\n## Two\nshort\n# Three\n" + (body + "\n\n") * 14
+    blocks = documents.section_blocks(text, 2000, 100)
+    assert [t for t, _, _ in blocks] == ["One", "Three", "Three"] and max(len(c) for *_, c in blocks) <= 2000
+    assert documents.sections_of("a\n# B c\n### D")[1] == ("D", 3, 8, 13)
+    assert documents.smart_blocks(text) == blocks and documents.smart_blocks("plain words " * 400)[0][0] is None
+    said = documents.said_structure("---DOCTYPE---\nmanual\n---SECTIONS---\nA|2|0\nB|x\n---SEMANTIC---\nconcept|note\nother|x", "")
+    assert said == {"doc_type": "manual", "sections": [("A", 2), ("B", 1)], "units": [("concept", "note")]}
+    units = documents.semantic_units(f"# H\n\n{body}\n\n1. {body}\n\n# I\n\n例如 {body}")
+    assert [(t, k) for t, k, _ in units] == [("H", "procedure"), ("I", "example")]
+
+
+def test_upserts_take_one_row_a_key(spark):
+    base = spark.createDataFrame([(1, "a", 5)], "id long, x string, place int")
+    twice = spark.createDataFrame([(1, "b", 6), (1, "c", 7), (2, "d", 8), (2, "d", 8)], "id long, x string, place int")
+    assert sorted(map(tuple, store.upsert(base, twice, "id", F.desc("place")).collect())) == [(1, "c", 7), (2, "d", 8)]
+    assert sorted(map(tuple, store.patch(base, twice, "id", F.asc("place")).collect())) == [(1, "b", 6)]
+    dated = store.patch(base.withColumn("updated_at", F.lit(0)), twice.select("id", "x"), "id", F.asc("x"), at=F.lit(9)).first()
+    assert tuple(dated) == (1, "b", 5, 9)
+
+
+def test_snippets_and_topics_of_entities(spark):
+    relations = spark.createDataFrame([(1, 2, [10, 11, 12, 13, 10]), (1, 3, [14])], "in long, out long, evidence_memory_ids array<long>")
+    rows = [(10 + i, f"{'x' * 150}Ann met Bob in year {i}{'y' * 150}", i) for i in range(4)] + [(14, "nobody here", 1)]
+    held = spark.createDataFrame(rows, "id long, content string, created_at int")
+    names = spark.createDataFrame([(1, "ann"), (2, "bob"), (3, "eve")], "id long, name string")
+    found = {(r["in"], r["out"]): r["snippets"] for r in indexing.snippets(relations, held, names).collect()}
+    first = found[1, 2].split(" | ")
+    assert len(first) == 3 and first[0] == "x" * 100 + "Ann met Bob in year 0" + "y" * 82 and found[1, 3] == "nobody here"
+    vectors = spark.createDataFrame([(i, [1.0, 0.0] if i % 2 else [0.0, 1.0]) for i in range(10)] + [(10, [-1.0, -1.0])], "id long, embedding array<double>")
+    edges = spark.createDataFrame([(i, 7, 1.0 - i / 100) for i in range(11)] + [(1, 8, 1.0)], "memory long, entity long, weight double")
+    topics = indexing.supernode_topics(edges, vectors, split=5)
+    got = {r["memory"]: (r["entity"], r["topic"], r["weight"]) for r in topics.collect()}
+    assert got[0] == (7, "Topic 1", 0.8) and got[1] == (7, "Topic 2", 0.8) and got[10][1] == "Topic 3" and len(got) == 11
+
+
+def test_term_cache_round_trip(spark, tmp_path):
+    one = spark.createDataFrame([("WAL", "concept"), ("MVCC", "concept")], "term string, type string")
+    held = cache.put(spark.createDataFrame([], cache.TERMS), cache.seeds(one, "database", F.lit("2024-01-01").cast("timestamp")))
+    cache.write_json(held, str(tmp_path / "terms"))
+    assert sorted(map(tuple, cache.read_json(spark, str(tmp_path / "terms")).collect())) == sorted(map(tuple, held.collect()))
+    asked = spark.createDataFrame([("database", "wal"), ("database", "wal"), ("ai", "wal")], "domain string, normalized string")
+    assert {r["term"]: r["hit_count"] for r in cache.hits(held, asked).collect()} == {"WAL": 2, "MVCC": 0}
+    assert tuple(cache.stats(cache.lookup(held, asked)).first()) == (2, 1, 2 / 3)
+
+
+def test_settings_funnel_and_many_topics(spark):
+    merged = terms.merge_settings({"domain": "a", "roots": ["x"], "prompt": ""}, {"domain": "b", "roots": ["y"], "prompt": "p", "whitelist": ["w"]})
+    assert merged["domain"] == "a" and merged["roots"] == ["x", "y"] and merged["prompt"] == "p" and merged["whitelist"] == ["w"]
+    path = lambda *s: spark.createDataFrame([(float(x),) for x in s], "score double")
+    assert tuple(search.funnel(path(1, 2), path(), path(1), path(1, 3)).first()) == (2, 0, 1, 2, 2.0)
+    rng = np.random.default_rng(5)
+    v = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(30)], "id long, embedding array<double>")
+    c = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(40)], "topic long, centroid array<double>")
+    few, many = (sorted(map(tuple, graph.mount(v, c, 0.1, most).collect())) for most in (1000, 5))
+    assert [x[:2] for x in few] == [x[:2] for x in many] and len(few) == 30
+
+
+def test_two_degree_retrieval_adds_memories(spark):
+    v = spark.createDataFrame([(i, [1.0, i / 10]) for i in range(6)], "id long, embedding array<double>")
+    edges = spark.createDataFrame([(10, "a", 0.9), (10, "b", 0.5), (11, "c", 0.95)], "memory long, entity string, weight double")
+    relations = spark.createDataFrame([("b", "c", 0.5)], "in string, out string, weight double")
+    contents = spark.createDataFrame([(i, f"content number {i}") for i in [*range(6), 10, 11]], "id long, content string")
+    run = lambda degree: {r["id"] for r in search.retrieve_multi_degree(v, edges, relations, contents, [1.0, 0.0], ["a"], 20, 0.0, degree).collect()}
+    assert run(1) == {*range(6), 10} and run(2) == {*range(6), 10, 11}

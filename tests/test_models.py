@@ -78,13 +78,39 @@ def test_reflections_hold_related_memories(spark):
 
 def test_the_engine_stores_finds_and_imports(spark, tmp_path):
     e = engine.Engine(spark, str(tmp_path / "store"))
-    assert e.search("red").count() == 0 and e.status()["ready"] is False
-    e.store("red apples taste sweet", session="s")
-    e.store("Red apples  taste sweet")
-    e.store("boats sail the sea")
-    assert [r["content"] for r in e.search("red apples", threshold=0.5).collect()] == ["red apples taste sweet"]
-    assert e.search("sea", threshold=0.1, session="s").count() == 0 and e.search(" ").count() == 0
+    assert not e.healthy() and e.search("red").count() == 0 and e.status()["ready"] is False
+    e.create()
+    assert e.healthy()
+    assert e.store("red apples taste sweet", session="s") == 1
+    assert e.store("Red apples  taste sweet") == 0 and e.store("sweet red apples taste") == 0  # the same, and one of equal vector
+    assert e.store("sweet apples red taste", "episodic", session="s") == 1 and e.store("apples red sweet taste", "episodic", session="s") == 0
+    assert e.store("apples red sweet taste", "episodic", session="other") == 1
+    e.store("PostgreSQL runs on Linux")
+    found = [r["content"] for r in e.search("what of red apples", threshold=0.9).collect()]
+    assert "red apples taste sweet" in found
+    assert [r["content"] for r in e.search("tell me of PostgreSQL please", top_k=1).collect()] == ["PostgreSQL runs on Linux"]
+    assert e.search("the sea far away", session="nobody").count() == 0 and e.search(" ").count() == 0
+    assert e.accesses().agg(F.sum("access_count")).first()[0] >= 2
     (tmp_path / "a.md").write_text("# Title\n\ngreen hills rise far away")
     assert [r["error"] for r in e.import_documents(str(tmp_path)).collect()] == [None]
-    assert e.stats().first()["memories"] == 3 and e.list().count() == 3 and e.status()["dimensions"] == 64
+    assert e.import_documents(str(tmp_path)).count() == 0
+    (tmp_path / "a.md").write_text("# Title\n\nblue hills rise far away, and higher")
+    assert e.import_documents(str(tmp_path)).count() == 1 and e.table("document_import_state").count() == 2
+    pages = spark.createDataFrame([("http://x/y", "<p>yellow birds sing at dawn</p>")], "url string, html string")
+    assert e.import_pages(pages) == 1 and e.import_pages(pages) == 0
+    assert e.status()["dimensions"] == 64 and e.list().count() >= 6
+    model = lambda prompts: ["---TRIPLES---\nhills | rise | away\n---SUMMARY---\nhills that rise far away\n---TOPIC---\nland" for _ in prompts]
+    (tmp_path / "b.md").write_text("# One\n" + "words of a section that is long enough to be a block. " * 4)
+    told = e.compile(str(tmp_path), model, "notes", "1")
+    assert told["stored"] == told["total"] - told["skipped"] >= 1 and told["triples"] >= 1
+    assert e.compile(str(tmp_path), model, "notes", "1")["stored"] == 0
     assert "UserService" in {r["term"] for r in engine.extract_terms(spark, "The UserService calls UserService").collect()}
+
+
+def test_topics_of_entities_with_many_links(spark, tmp_path):
+    e = engine.Engine(spark, str(tmp_path / "store"))
+    rows = [(i, f"Redis {'kernel modules' if i % 2 else 'desktop themes'} note{i}", None, None) for i in range(12)]
+    assert e.add(spark.createDataFrame(rows, "key long, content string, session_id string, source string")) == 12
+    assert e.make_topics(split=5, near=0.6) == 12
+    assert {r["name"] for r in e.table("topic").collect()} >= {"Topic 1", "Topic 2"}
+    assert e.search("anything about Redis kernel", top_k=3, threshold=0.5).count() == 3
