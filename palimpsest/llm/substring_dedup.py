@@ -34,8 +34,8 @@ from .common import WORD, hashed_words, mix, small_batches, table, text_chunks,
 WIDTH, ANCHOR = 20, 8
 #: An anchor is hot if some task's tile holds it so often; at most so many are kept apart (8 bytes each, broadcast).
 HOT, KEPT_APART = 16, 65_536
-#: Runs that are counted together, and passages (and bytes of them) that are compared before they are sent.
-TILE_RUNS, TILE_PASSAGES, TILE_BYTES = 1_000_000, 100_000, 16 << 20
+#: Runs that are counted together, and passages (and bytes of them) that a task holds at once, equal ones once.
+TILE_RUNS, TILE_PASSAGES, TILE_BYTES = 1_000_000, 200_000, 32 << 20
 #: Words in an automaton, and distinct passages of one anchor beyond which it counts as hot.
 SHARD_WORDS, CROWD = 20_000, 4_000
 
@@ -239,33 +239,38 @@ class _Tile:
         self.words += words
         self.bytes += sum(map(len, words))
 
-    def full(self) -> bool:
-        return len(self.words) >= TILE_PASSAGES or self.bytes >= TILE_BYTES
+    def full(self, share: float = 1.0) -> bool:
+        return len(self.words) >= share * TILE_PASSAGES or self.bytes >= share * TILE_BYTES
 
-    def send(self) -> pa.RecordBatch:
-        """Rows to judge, and rows without words, whose windows all repeat one that this tile sends."""
-        route, same, late, ids, tags, a, b = (np.concatenate(c) for c in zip(*self.columns))
-        words = self.words
+    def collapse(self) -> pa.RecordBatch:
+        """Keeps the first of equal passages; rows without words for the others, whose windows all repeat it."""
+        route, same, late, ids, tags, a, b = columns = [np.concatenate(c) for c in zip(*self.columns)]
         order = np.lexsort((tags, a, ids, late, same, route))
         last, now = order[:-1], order[1:]
         alike = np.r_[False, (route[now] == route[last]) & (same[now] == same[last])]
         head = order[np.maximum.accumulate(np.where(alike, 0, np.arange(len(order))))]
         here = (late[order] == late[head]) & (ids[order] == ids[head]) & (a[order] == a[head])
-        twice = np.r_[False, alike[1:] & here[1:] & (tags[now] == tags[last]) & (a[now] == a[last])]
+        twice = np.r_[False, alike[1:] & here[1:] & (tags[now] == tags[last])]
         again = alike & ~here
-        self.__init__()
-        sent, known = order[~twice & ~again], order[again]
-        # What repeats within the tile needs no shard: its windows are joined to spans, which go by the hash of their row.
+        kept, known = order[~twice & ~again], order[again]
+        self.columns, self.words = [tuple(c[kept] for c in columns)], [self.words[i] for i in kept.tolist()]
+        self.bytes = sum(map(len, self.words))
+        # Such windows need no shard: they are joined to spans, which go by the hash of their row.
         known = known[np.lexsort((a[known], tags[known], ids[known], late[known]))]
         last, now = known[:-1], known[1:]
         new = np.r_[True, (late[now] != late[last]) | (ids[now] != ids[last]) | (tags[now] != tags[last]) | (a[now] > b[last])][: len(known)]
         begin, end = known[new], known[np.r_[np.flatnonzero(new)[1:], len(known)] - 1][: int(new.sum())]
-        rows = np.r_[sent, begin]
-        to = np.r_[route[sent].astype(np.int64), tags[begin] ^ ids[begin]]
-        past = np.r_[b[sent], b[end]]
-        columns = [pa.array(c, t) for c, t in zip((late[rows], ids[rows], tags[rows], a[rows], past), _SENT_TYPES[1:6])]
-        text = pa.array([words[i] for i in sent.tolist()] + [None] * len(begin), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(to), *columns, text], _SENT)
+        return _sent(tags[begin] ^ ids[begin], late[begin], ids[begin], tags[begin], a[begin], b[end], [None] * len(begin))
+
+    def send(self) -> pa.RecordBatch:
+        """The passages kept, to be judged; the tile is empty then."""
+        (route, _, late, ids, tags, a, b), words = self.columns[0], self.words
+        self.__init__()
+        return _sent(route.astype(np.int64), late, ids, tags, a, b, words)
+
+
+def _sent(*columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _SENT_TYPES)], _SENT)
 
 
 def _passages(joined: DataFrame, width: int, hot) -> DataFrame:
@@ -295,8 +300,11 @@ def _passages(joined: DataFrame, width: int, hot) -> DataFrame:
                 raw = data.tobytes()
                 tile.add(route, same, late[text + row], ids[text + row], tags[text + row], place, place + count.astype(np.int32), [raw[x:y] for x, y in zip(lo, hi)])
                 if tile.full():
-                    yield tile.send()
+                    yield tile.collapse()
+                    if tile.full(0.5):
+                        yield tile.send()
         if tile.words:
+            yield tile.collapse()
             yield tile.send()
 
     return joined.select(*_KEY, "text", "spans").mapInArrow(run, _SENT_SQL)
