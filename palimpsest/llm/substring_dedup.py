@@ -258,8 +258,8 @@ class _Tile:
         # Such windows need no shard: they are joined to spans, which go by the hash of their row.
         known = known[np.lexsort((a[known], tags[known], ids[known], late[known]))]
         last, now = known[:-1], known[1:]
-        new = np.r_[True, (late[now] != late[last]) | (ids[now] != ids[last]) | (tags[now] != tags[last]) | (a[now] > b[last])][: len(known)]
-        begin, end = known[new], known[np.r_[np.flatnonzero(new)[1:], len(known)] - 1][: int(new.sum())]
+        new = np.r_[True, (late[now] != late[last]) | (ids[now] != ids[last]) | (tags[now] != tags[last]) | (a[now] > b[last]), True]
+        begin, end = known[np.flatnonzero(new[:-1][: len(known)])], known[np.flatnonzero(new[1:][: len(known)])]
         return _sent(tags[begin] ^ ids[begin], late[begin], ids[begin], tags[begin], a[begin], b[end], [None] * len(begin))
 
     def send(self) -> pa.RecordBatch:

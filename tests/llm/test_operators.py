@@ -179,6 +179,14 @@ def test_substring_dedup_is_brute_force(spark, monkeypatch, hot, crowd, passages
     assert sorted(map(repr, found.collect())) == sorted(map(repr, (Row(doc_id=d, n_words=n, n_removed=r, kept=k) for d, n, r, k in brute_substrings(rows, 20))))
 
 
+def test_substring_dedup_of_passages_that_repeat_in_other_tasks_only(spark):
+    rng = random.Random(8)
+    shared = words(rng, 30, 10**6)
+    rows = [(i, " ".join(words(rng, 10, 10**6) + shared + words(rng, 10, 10**6))) for i in range(4)]
+    found = substring_dedup.dedup_substrings(frame(spark, rows).repartitionByRange(4, "doc_id"))
+    assert sorted(tuple(r) for r in found.collect()) == brute_substrings(rows, 20)
+
+
 def test_substring_dedup_of_very_long_texts(spark, monkeypatch):
     monkeypatch.setattr(common, "CHUNK_BYTES", 1 << 12)
     rng = random.Random(4)
