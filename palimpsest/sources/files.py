@@ -1,4 +1,4 @@
-"""Documents by file type, and text sinks."""
+"""Documents by file type, and text sinks."""
 
 from __future__ import annotations
 

@@ -1 +1 @@
-"""Streams of messages and events (J1-J12): the batch operators over Structured Streaming sources."""
+"""Streams of messages, mentions and documents."""
