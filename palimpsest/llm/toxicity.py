@@ -1,8 +1,9 @@
 """Toxicity by a weighted lexicon, matched by Aho-Corasick over folded text.
 
 Texts are folded (case, accents, homoglyphs, digits that stand for letters); the automaton finds
-lexicon words at word bounds, but not inside exception phrases; the summed weights over the
-number of words give the score. The lexicon, the exceptions and the scale are learned from labels.
+lexicon words at word bounds and stems (written with ``*``) where words begin, but not inside
+exception phrases; the summed weights over the number of words, plus LENGTH, give the score. The
+lexicon, the exceptions and the scale are learned from labels.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +25,10 @@ LEARN_ROWS = 20_000
 LEXICON, EXCEPTIONS = 20_000, 5_000
 #: A lexicon word follows this many different words in toxic texts, and is so many times likelier there.
 CONTEXTS, ODDS = 4, 20.0
+#: A stem has so many letters, begins so many words of so many toxic texts, goes on with so many letters there, and is so much denser there.
+STEM_LETTERS, STEM_WORDS, STEM_TEXTS, STEM_NEXT, STEM_ODDS = range(4, 11), 8, 3, 4, 8.0
+#: Words added to every text's number of words, so that one match in a short text isn't a high rate.
+LENGTH = 20
 #: Rows with this score or more are toxic.
 THRESHOLD = 0.7
 
@@ -65,19 +71,21 @@ def tokens(folded: str) -> list[str]:
 
 
 class Lexicon:
-    """Weights of words and phrases that excuse them; scores folded text."""
+    """Weights of words and stems (``stem*``, which longer words begin with) and phrases that excuse them; scores folded text."""
 
     def __init__(self, weights: dict[str, float], exceptions: list[str], scale: float):
         import ahocorasick
 
         self.scale = scale
         self.automaton = ahocorasick.Automaton()
+        found: dict[str, list] = {}
         for word, weight in weights.items():
-            if word:
-                self.automaton.add_word(word, (len(word), float(weight)))
+            found.setdefault(word.rstrip("*"), [None, None])[word.endswith("*")] = float(weight)
         for phrase in exceptions:
-            if phrase:
-                self.automaton.add_word(phrase, (len(phrase), 0.0))
+            found.setdefault(phrase, [None, None])[0] = 0.0
+        for word, (whole, stem) in found.items():
+            if word:
+                self.automaton.add_word(word, (len(word), whole, stem))
         if len(self.automaton):
             self.automaton.make_automaton()
 
@@ -91,15 +99,16 @@ class Lexicon:
         own = tokens(fold(text))
         line = " ".join(own)
         total, taken, hits = 0.0, -1, []
-        for end, (size, weight) in self.automaton.iter(line):
+        for end, (size, whole, stem) in self.automaton.iter(line):
             start = end - size + 1
-            if (start == 0 or line[start - 1] == " ") and (end + 1 == len(line) or line[end + 1] == " "):
+            weight = whole if end + 1 == len(line) or line[end + 1] == " " else stem
+            if weight is not None and (start == 0 or line[start - 1] == " "):
                 hits.append((start, -size, weight))
         for start, size, weight in sorted(hits):
             if start > taken:
                 total += weight
                 taken = start - size - 1
-        return total / max(1, len(own))
+        return total / (len(own) + LENGTH)
 
     def score(self, text: str | None) -> float:
         return 1.0 - math.exp(-self.scale * self.rate(text))
@@ -116,8 +125,52 @@ def _words_of(batches):
         yield pa.RecordBatch.from_arrays([pa.array(w, pa.string()), pa.array(p, pa.string()), pa.array(y, pa.int32())], ["word", "previous", "toxic"])
 
 
+def _stems_of(batches):
+    """(stem, next letter, toxic, texts, words) of each batch: texts with words that begin so, and such words, once for each text.
+
+    An empty letter stands for all letters, and the empty stem for all words.
+    """
+    for batch in batches:
+        texts, words = Counter(), Counter()
+        for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            own = set(tokens(fold(text or "")))
+            begun = Counter((w[:n], after) for w in own for n in STEM_LETTERS if n < len(w) for after in ("", w[n]))
+            begun["", ""] = len(own)
+            for (stem, after), count in begun.items():
+                texts[stem, after, label] += 1
+                words[stem, after, label] += count
+        stems, after, labels = zip(*texts) if texts else ((), (), ())
+        columns = [pa.array(stems, pa.string()), pa.array(after, pa.string()), pa.array(labels, pa.int32())]
+        counts = [pa.array(texts.values(), pa.int64()), pa.array(words.values(), pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns + counts, ["stem", "next", "toxic", "texts", "words"])
+
+
+def learn_stems(sample: DataFrame) -> dict[str, float]:
+    """Stems and their log odds. Of stems that extend each other the most telling stays: words in toxic texts times log odds, then the longest."""
+    one, total = F.col("toxic") == 1, F.col("next") == ""
+    counts = sample.select("text", "toxic").mapInArrow(_stems_of, "stem string, next string, toxic int, texts long, words long").groupBy("stem", "next")
+    counts = counts.agg(F.sum(F.when(one, F.col("texts"))).alias("texts"), F.sum(F.when(one, F.col("words"))).alias("bad"), F.sum(F.when(~one, F.col("words"))).alias("good"))
+    of_all = [F.coalesce(F.sum(F.when(total, F.col(c))), F.lit(0)).alias(c) for c in ("texts", "bad", "good")]
+    counts = counts.groupBy("stem").agg(*of_all, F.count(F.when(~total & (F.col("bad") > 0), 1)).alias("letters")).persist()
+    try:
+        whole = counts.where("stem = ''").first()
+        odds = F.log((F.col("bad") + 0.5) / (whole["bad"] + 1)) - F.log((F.col("good") + 0.5) / (whole["good"] + 1))
+        found = counts.where((F.col("texts") >= STEM_TEXTS) & (F.col("bad") >= STEM_WORDS) & (F.col("letters") >= STEM_NEXT)).withColumn("odds", odds)
+        found = found.where(F.col("odds") >= math.log(STEM_ODDS)).orderBy(F.desc(F.col("bad") * F.col("odds")), F.desc(F.length("stem")), "stem").limit(LEXICON).collect()
+    finally:
+        counts.unpersist()
+    chosen: dict[str, float] = {}
+    within: set[str] = set()  # the chosen stems' own beginnings
+    for row in found:
+        stem = row["stem"]
+        if stem not in within and not any(stem[:n] in chosen for n in STEM_LETTERS):
+            chosen[stem] = row["odds"]
+            within.update(stem[:n] for n in range(len(stem) + 1))
+    return chosen
+
+
 def learn_lexicon(sample: DataFrame) -> tuple[dict[str, float], list[str], float]:
-    """Lexicon weights (0 to 1), exception phrases and scale from rows (text, toxic)."""
+    """Lexicon weights (0 to 1) of words and stems, exception phrases and scale from rows (text, toxic)."""
     sample = sample.select(F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic")).distinct().persist()
     try:
         sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
@@ -131,10 +184,13 @@ def learn_lexicon(sample: DataFrame) -> tuple[dict[str, float], list[str], float
         odds = F.log((F.col("bad") + 0.5) / (bad + 1)) - F.log((F.col("good") + 0.5) / (good + 1))
         found = seen.where(F.col("contexts") >= CONTEXTS).withColumn("odds", odds).where(F.col("odds") >= math.log(ODDS))
         found = found.orderBy(F.desc("odds"), "word").limit(LEXICON).collect()
+        stems = learn_stems(sample)
+        found = {r["word"]: r["odds"] for r in found if not any(r["word"][:n] in stems for n in STEM_LETTERS if n < len(r["word"]))}
+        found |= {f"{stem}*": odds for stem, odds in stems.items()}
         if not found:
             return {}, [], 1.0
-        top = max(r["odds"] for r in found)
-        weights = {r["word"]: r["odds"] / top for r in found}
+        top = max(found.values())
+        weights = {word: odds / top for word, odds in found.items()}
         # Pairs of a lexicon word and the word before it that clean texts have as often are no sign of toxicity.
         known = sample.sparkSession.createDataFrame([(w,) for w in weights], "word string")
         excused = pairs.join(F.broadcast(known), "word").groupBy("word", "previous").agg(*by_context).where("previous <> '' AND good >= 3")
@@ -152,7 +208,7 @@ def _scale(sample: DataFrame, weights: dict, exceptions: list) -> float:
     order = np.argsort(x, kind="stable")
     x, y = x[order], y[order]
     # Cutting before place k calls k.. toxic; the middle of the best gap is the cut.
-    right = np.r_[0, np.cumsum(~y)] / max(1, (~y).sum()) + np.r_[np.cumsum(y[::-1])[::-1], 0] / max(1, y.sum())
+    right = np.r_[0, np.cumsum(~y)] + np.r_[np.cumsum(y[::-1])[::-1], 0]
     usable = np.r_[True, x[1:] > x[:-1], True]
     k = int(np.argmax(np.where(usable, right, -1.0)))
     low, high = (x[k - 1] if k else 0.0), (x[k] if k < len(x) else x[-1] * 2 + 1e-6)

@@ -334,11 +334,30 @@ def test_toxicity_learns_folds_and_excuses(spark):
     scores = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(frame(spark, odd), model).collect()}
     assert scores[1] > 0.7 and scores[2] > 0.7 and scores[None] > 0.7 and scores[3] == scores[4] == scores[5] == 0
     excused = toxicity.Lexicon({"trash": 1.0}, ["take trash"], 10.0)
-    assert [excused.rate(t) for t in ("take trash out", "Take, trash", "take\ntrash", "trash", "you trash out")] == [0, 0, 0, 1, 1 / 3]
+    assert [excused.rate(t) for t in ("take trash out", "Take, trash", "take\ntrash", "trash", "you trash out")] == [0, 0, 0, 1 / (1 + toxicity.LENGTH), 1 / (3 + toxicity.LENGTH)]
+    stems = toxicity.Lexicon({"gru": 0.5, "gru*": 0.25, "grumb*": 1.0}, ["no grul"], 10.0)
+    assert [round(stems.rate(t) * (t.count(" ") + 1 + toxicity.LENGTH), 9) for t in ("gru", "grul", "GRUMBEL", "agrul", "grumb", "no grul", "no gruls", "grul grumbo")] == [0.5, 0.25, 1, 0, 0.25, 0, 0.25, 1.25]
     assert toxicity.score_toxicity(frame(spark, []), model).count() == 0
     assert toxicity.learn_from(docs.where("false"), marks) == ({}, [], 1.0)
 
 
+def test_toxicity_learns_stems(spark):
+    rng = random.Random(10)
+    rows, ends = [], ["a", "b", "cu", "do", "e", "fin"]
+    for i in range(300):
+        text = words(rng, 50)
+        for _ in range(4 if i % 5 == 0 else 0):
+            text[rng.randrange(50)] = "grobian" + rng.choice(ends)
+        rows.append((" ".join(text), int(i % 5 == 0)))
+    sample = spark.createDataFrame(rows, "text string, toxic int")
+    assert set(toxicity.learn_stems(sample)) == {"grobian"}
+    weights, excused, scale = toxicity.learn_lexicon(sample)
+    assert "grobian*" in weights and not any(w.startswith("grobian") and w != "grobian*" for w in weights)
+    lexicon = toxicity.Lexicon(weights, excused, scale)
+    assert lexicon.score("a grobianxyz here") >= 0.7 and lexicon.score("a grobian here") == 0
+    assert toxicity.learn_stems(sample.where("toxic = 0")) == {} and toxicity.learn_stems(sample.where("false").unionByName(sample.where("toxic = 1").limit(1))) == {}
+
+
 def test_language(spark):
     rows = [(i, "the thing and that other with " * 3, "a", "en") for i in range(20)] + [(100 + i, "der die und nicht für über " * 3, "a", "de") for i in range(20)]
     model = language_id.learn_from(frame(spark, rows))
