@@ -11,7 +11,6 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +24,8 @@ LEARN_ROWS = 20_000
 LEXICON, EXCEPTIONS = 20_000, 5_000
 #: A lexicon word follows this many different words in toxic texts, and is so many times likelier there.
 CONTEXTS, ODDS = 4, 20.0
-#: A stem has so many letters, begins so many words of so many toxic texts, goes on with so many letters there, and is so much denser there.
-STEM_LETTERS, STEM_WORDS, STEM_TEXTS, STEM_NEXT, STEM_ODDS = range(4, 11), 8, 3, 4, 8.0
+#: A stem has so many letters, begins so many words of toxic texts, goes on with so many different letters there, and is so much denser there.
+STEM_LETTERS, STEM_WORDS, STEM_NEXT, STEM_ODDS = range(4, 11), 8, 4, 8.0
 #: Words added to every text's number of words, so that one match in a short text isn't a high rate.
 LENGTH = 20
 #: Rows with this score or more are toxic.
@@ -125,40 +124,18 @@ def _words_of(batches):
         yield pa.RecordBatch.from_arrays([pa.array(w, pa.string()), pa.array(p, pa.string()), pa.array(y, pa.int32())], ["word", "previous", "toxic"])
 
 
-def _stems_of(batches):
-    """(stem, next letter, toxic, texts, words) of each batch: texts with words that begin so, and such words, once for each text.
+def learn_stems(words: DataFrame) -> dict[str, float]:
+    """Stems and their log odds from rows (word, bad, good), how often a word stands in toxic and in other texts.
 
-    An empty letter stands for all letters, and the empty stem for all words.
+    Of stems that extend each other the most telling stays: words in toxic texts times log odds, then the longest.
     """
-    for batch in batches:
-        texts, words = Counter(), Counter()
-        for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            own = set(tokens(fold(text or "")))
-            begun = Counter((w[:n], after) for w in own for n in STEM_LETTERS if n < len(w) for after in ("", w[n]))
-            begun["", ""] = len(own)
-            for (stem, after), count in begun.items():
-                texts[stem, after, label] += 1
-                words[stem, after, label] += count
-        stems, after, labels = zip(*texts) if texts else ((), (), ())
-        columns = [pa.array(stems, pa.string()), pa.array(after, pa.string()), pa.array(labels, pa.int32())]
-        counts = [pa.array(texts.values(), pa.int64()), pa.array(words.values(), pa.int64())]
-        yield pa.RecordBatch.from_arrays(columns + counts, ["stem", "next", "toxic", "texts", "words"])
-
-
-def learn_stems(sample: DataFrame) -> dict[str, float]:
-    """Stems and their log odds. Of stems that extend each other the most telling stays: words in toxic texts times log odds, then the longest."""
-    one, total = F.col("toxic") == 1, F.col("next") == ""
-    counts = sample.select("text", "toxic").mapInArrow(_stems_of, "stem string, next string, toxic int, texts long, words long").groupBy("stem", "next")
-    counts = counts.agg(F.sum(F.when(one, F.col("texts"))).alias("texts"), F.sum(F.when(one, F.col("words"))).alias("bad"), F.sum(F.when(~one, F.col("words"))).alias("good"))
-    of_all = [F.coalesce(F.sum(F.when(total, F.col(c))), F.lit(0)).alias(c) for c in ("texts", "bad", "good")]
-    counts = counts.groupBy("stem").agg(*of_all, F.count(F.when(~total & (F.col("bad") > 0), 1)).alias("letters")).persist()
-    try:
-        whole = counts.where("stem = ''").first()
-        odds = F.log((F.col("bad") + 0.5) / (whole["bad"] + 1)) - F.log((F.col("good") + 0.5) / (whole["good"] + 1))
-        found = counts.where((F.col("texts") >= STEM_TEXTS) & (F.col("bad") >= STEM_WORDS) & (F.col("letters") >= STEM_NEXT)).withColumn("odds", odds)
-        found = found.where(F.col("odds") >= math.log(STEM_ODDS)).orderBy(F.desc(F.col("bad") * F.col("odds")), F.desc(F.length("stem")), "stem").limit(LEXICON).collect()
-    finally:
-        counts.unpersist()
+    whole = words.agg(F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"), F.coalesce(F.sum("good"), F.lit(0)).alias("good")).first()
+    starts = F.filter(F.array(*[F.struct(F.substring("word", 1, n).alias("stem"), F.substring("word", n + 1, 1).alias("next")) for n in STEM_LETTERS]), lambda x: x["next"] != "")
+    counts = words.select(F.explode(starts).alias("start"), "bad", "good").groupBy("start").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    counts = counts.groupBy("start.stem").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.count(F.when(F.col("bad") > 0, 1)).alias("letters"))
+    odds = F.log((F.col("bad") + 0.5) / (whole["bad"] + 1)) - F.log((F.col("good") + 0.5) / (whole["good"] + 1))
+    found = counts.where((F.col("bad") >= STEM_WORDS) & (F.col("letters") >= STEM_NEXT)).withColumn("odds", odds).where(F.col("odds") >= math.log(STEM_ODDS))
+    found = found.orderBy(F.desc(F.col("bad") * F.col("odds")), F.desc(F.length("stem")), "stem").limit(LEXICON).collect()
     chosen: dict[str, float] = {}
     within: set[str] = set()  # the chosen stems' own beginnings
     for row in found:
@@ -180,11 +157,12 @@ def learn_lexicon(sample: DataFrame) -> tuple[dict[str, float], list[str], float
         pairs = sample.mapInArrow(_words_of, "word string, previous string, toxic int")
         one = F.col("toxic") == 1
         by_context = [F.count(F.when(one, 1)).alias("bad"), F.count(F.when(~one, 1)).alias("good")]
-        seen = pairs.groupBy("word", "previous").agg(*by_context).groupBy("word").agg(F.count(F.when(F.col("bad") > 0, 1)).alias("contexts"), F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+        seen = pairs.groupBy("word", "previous").agg(*by_context).groupBy("word").agg(F.count(F.when(F.col("bad") > 0, 1)).alias("contexts"), F.sum("bad").alias("bad"), F.sum("good").alias("good")).persist()
         odds = F.log((F.col("bad") + 0.5) / (bad + 1)) - F.log((F.col("good") + 0.5) / (good + 1))
         found = seen.where(F.col("contexts") >= CONTEXTS).withColumn("odds", odds).where(F.col("odds") >= math.log(ODDS))
         found = found.orderBy(F.desc("odds"), "word").limit(LEXICON).collect()
-        stems = learn_stems(sample)
+        stems = learn_stems(seen)
+        seen.unpersist()
         found = {r["word"]: r["odds"] for r in found if not any(r["word"][:n] in stems for n in STEM_LETTERS if n < len(r["word"]))}
         found |= {f"{stem}*": odds for stem, odds in stems.items()}
         if not found:

@@ -350,12 +350,15 @@ def test_toxicity_learns_stems(spark):
             text[rng.randrange(50)] = "grobian" + rng.choice(ends)
         rows.append((" ".join(text), int(i % 5 == 0)))
     sample = spark.createDataFrame(rows, "text string, toxic int")
-    assert set(toxicity.learn_stems(sample)) == {"grobian"}
+    counts = [(f"grobian{e}", 9, 1) for e in ends] + [("plain", 3, 2000), ("grob", 0, 4)]
+    seen = spark.createDataFrame(counts, "word string, bad long, good long")
+    assert set(toxicity.learn_stems(seen)) == {"grobian"}
+    assert toxicity.learn_stems(seen.limit(3)) == {} and toxicity.learn_stems(seen.where("false")) == {}
     weights, excused, scale = toxicity.learn_lexicon(sample)
     assert "grobian*" in weights and not any(w.startswith("grobian") and w != "grobian*" for w in weights)
     lexicon = toxicity.Lexicon(weights, excused, scale)
     assert lexicon.score("a grobianxyz here") >= 0.7 and lexicon.score("a grobian here") == 0
-    assert toxicity.learn_stems(sample.where("toxic = 0")) == {} and toxicity.learn_stems(sample.where("false").unionByName(sample.where("toxic = 1").limit(1))) == {}
+    assert toxicity.learn_lexicon(sample.where("toxic = 0")) == ({}, [], 1.0)
 
 
 def test_language(spark):
