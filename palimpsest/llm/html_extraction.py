@@ -28,6 +28,8 @@ LINKED = 0.33
 #: Elements nested deeper count as children of the last one, as in browsers.
 DEEPEST = 512
 
+SENTENCE_ENDS = (".", "!", "?", "…", "。", '."', ".”")
+
 # Common words of four languages.
 STOP_WORDS = frozenset("""
 a about after all also an and are as at be been but by can for from had has have he her his i if in into is it its more no not of on one or our out she so that the their there they
@@ -279,7 +281,7 @@ def judge(blocks: list[Block]) -> list[Block]:
         if not nearest:
             b.good = b.at.box is not None  # nothing decided in the same main part: the part decides, or there is none
         elif len(nearest) == 2 and nearest[0][:2] == nearest[1][:2] and nearest[0][2] != nearest[1][2]:
-            b.good = b.at.box is not None
+            b.good = b.at.box is not None or (b.linked == 0 and b.text.endswith(SENTENCE_ENDS))
         else:
             b.good = nearest[0][2]
     if any(b.good and _semantic(b.at.box) for b in blocks):
@@ -308,7 +310,7 @@ def extract_main_text(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url
     gives a repeated row; an empty table gives none; other columns of ``pages``, also ones named text
     or n_chars, are left out. Pages are read whole, one at a time, in time that grows with their length.
     Blocks that are unsure between a good and a bad neighbour equally near are main text within an
-    article, or an element named as content, and not elsewhere. Where an article or main element holds
+    article, or an element named as content, and elsewhere if they end as sentences do and hold no link. Where an article or main element holds
     good text, what stands outside such elements isn't main text. In a language whose stop words aren't
     listed, length and links decide alone.
     """
