@@ -34,7 +34,7 @@ def tokens(text: str | None) -> list[str]:
 
 
 def alignment(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
-    """Best local alignment score of two word sequences, and the place past its end in the second."""
+    """Best local alignment score of two word sequences, and the smallest place in the second past which an alignment of that score ends."""
     row = np.zeros(len(b) + 1, np.int64)
     gaps = GAP * np.arange(len(b) + 1)
     best, end = 0, 0
@@ -44,11 +44,19 @@ def alignment(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
         row = np.concatenate([[0], here])
         row = np.maximum.accumulate(row - gaps) + gaps
         k = int(np.argmax(row))
-        if row[k] > best:
+        if row[k] > best or (row[k] == best and k < end):
             best, end = int(row[k]), k
     return best, end
 
 
+def passage(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
+    """Best score of ``a`` in ``b``, and start and end in ``b`` of the first, then shortest, passage that has it."""
+    score, end = alignment(a, b)
+    # No alignment of this score ends before ``end``, so that backwards from there each begins at it.
+    _, back = alignment(a[::-1], b[:end][::-1])
+    return score, end - back, end
+
+
 class Items:
     """Test items, their words as numbers, and the seeds that lead to them; items of equal words are one."""
 
@@ -125,7 +133,12 @@ class Items:
                 continue
             score, end = alignment(words, line[lo:hi])
             if score > best[0]:
-                best = score, max(0, lo + end - size), lo + end
+                best = score, lo, lo + end
+        if best[0] >= least:
+            score, lo, end = best
+            # such a score takes under 2 * size words
+            lo = max(lo, end - 2 * size)
+            best = score, lo + passage(words, line[lo:end])[1], end
         return best
 
 
@@ -143,7 +156,8 @@ def _blocks(items: DataFrame) -> list[list[tuple[int, str]]]:
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, item_id, score (share of a whole copy's alignment score), start and end (words of the document).
 
-    A row for each document and test item found in it. Null or wordless texts and items find
+    A row for each document and test item found in it; its place is that of the first passage with the best score,
+    of those that end there the shortest. Null or wordless texts and items find
     nothing; repeated rows are each answered; items with equal texts are all reported; other columns are ignored;
     empty tables give no rows.
     """

@@ -650,3 +650,43 @@ def test_decontamination_finds_copies_with_replaced_words(spark):
     texts = [(d, coded(t.split())) for d, t in rows]
     best = [(d, i, decontamination.alignment(coded(t), b)[0] / (2 * len(t))) for i, t in items for d, b in texts]
     assert found == sorted(x for x in best if x[2] >= 0.6) and len(found) > 40
+
+
+def whole_score(a, b):
+    h = np.zeros((len(a) + 1, len(b) + 1), int)
+    for i in range(len(a)):
+        for j in range(len(b)):
+            h[i + 1, j + 1] = max(0, h[i, j] + (2 if a[i] == b[j] else -1), h[i, j + 1] - 1, h[i + 1, j] - 1)
+    return int(h.max())
+
+
+def first_passage(a, b):
+    """Score, start and end of the best-scoring passage that ends first, and of those the shortest, by trying all."""
+    best = whole_score(a, b)
+    end = next(e for e in range(len(b) + 1) if whole_score(a, b[:e]) == best)
+    return best, max(s for s in range(end + 1) if whole_score(a, b[s:end]) == best), end
+
+
+def test_passages_are_those_of_brute_force():
+    rng = np.random.default_rng(31)
+    for _ in range(60):
+        a, b = rng.integers(0, 4, rng.integers(1, 9)), rng.integers(0, 4, rng.integers(1, 14))
+        assert decontamination.passage(a, b) == first_passage(list(a), list(b))
+
+
+def test_decontamination_tells_where_edited_copies_stand(spark):
+    rng = random.Random(32)
+    item = words(rng, 30, 10**6)
+    gone = [w for k, w in enumerate(item) if k not in (3, 8, 13, 18, 23, 27)]
+    more = [x for k, w in enumerate(item) for x in ([w, f"new{k}"] if k % 3 == 2 and k < 29 else [w])]
+    ends = ["x", *item[1:-1], "y"]
+    rows = [(1, gone), (2, more), (3, item), (4, ends)]
+    before, after = words(rng, 10, 10**6), words(rng, 25, 10**6)
+    texts = [(d, " ".join(before + t + after)) for d, t in rows]
+    table = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    found = {r["doc_id"]: (r["start"], r["end"]) for r in decontamination.contaminated(frame(spark, texts), table).collect()}
+    assert found == {1: (10, 34), 2: (10, 10 + len(more)), 3: (10, 40), 4: (11, 39)}
+    number = {}
+    for d, t in texts:
+        a, b = ([number.setdefault(w, len(number)) for w in x] for x in (item, t.split()))
+        assert first_passage(a, b)[1:] == found[d]
