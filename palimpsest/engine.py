@@ -216,7 +216,7 @@ class Engine:
 def extract_terms(spark: SparkSession, text: str, most: int = 200) -> DataFrame:
     """The best terms of one text."""
     docs = spark.createDataFrame([(zlib.crc32(text.encode()), text)], "doc_id long, text string")
-    return X.top_terms(X.with_score(X.with_cvalue(X.with_tfidf(X.term_counts(docs, least=1)))), most)
+    return X.scored_terms(docs, least=1, best=most)
 
 
 def main(argv: list[str] | None = None) -> None:

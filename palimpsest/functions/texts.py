@@ -1,4 +1,4 @@
-"""Text expressions: HTML, hashes, keywords, rules for messages."""
+"""Text expressions: HTML, hashes, keywords, rules for messages."""
 
 from __future__ import annotations
 
@@ -61,38 +61,6 @@ def overlap(a: Column, b: Column) -> Column:
     return F.when((F.size(a) > 0) & (F.size(b) > 0), F.size(F.array_intersect(a, b)) / larger).otherwise(0.0)
 
 
-def term_tokens(text: Column, least: int = 3) -> Column:
-    """Matches of the four special patterns, then words that are no stopwords (H1, H2)."""
-    special = [F.regexp_extract_all(text, F.lit(p), 0) for p in TERM_PATTERNS]
-    words = F.regexp_extract_all(text, F.lit(WORD_PATTERN), 0)
-    return F.concat(*special, F.filter(words, lambda w: ~F.lower(w).isin(*TERM_STOPWORDS) & (F.length(w) >= least)))
-
-
-def is_special(token: Column) -> Column:
-    return token.startswith("pg_") | token.contains("-") | token.rlike(CAMEL_PART) | ((F.upper(token) == token) & (F.length(token) <= 8))
-
-
-def special_tokens(tokens: Column, least: int = 3) -> Column:
-    return F.filter(tokens, lambda t: is_special(t) & (F.length(t) >= least))
-
-
-def plain_tokens(tokens: Column) -> Column:
-    return F.filter(tokens, lambda t: ~is_special(t))
-
-
-def runs(plain: Column, most: int = 3) -> Column:
-    """Runs of 2 to ``most`` plain words of eight characters or more (H3).
-
-    ``plain`` is to be a column that is there already: it is read again for every run.
-    """
-    def of(n: int) -> Column:
-        joined = F.transform(F.sequence(F.lit(1), F.size(plain) - (n - 1)), lambda i: F.array_join(F.slice(plain, i, n), " "))
-        return F.when(F.size(plain) >= n, joined).otherwise(F.array().cast("array<string>"))
-
-    parts = [of(n) for n in range(2, most + 1)]
-    return F.filter(F.concat(*parts), lambda g: F.length(g) >= 8)
-
-
 def term_kind(term: Column) -> Column:
     """(H7)"""
     return (
@@ -101,12 +69,6 @@ def term_kind(term: Column) -> Column:
     )
 
 
-def shape_factor(term: Column) -> Column:
-    """(H4)"""
-    kind = term_kind(term)
-    return F.when(kind == "pg_prefix", 3.0).when(kind.isin("camelcase", "acronym"), 2.0).when(kind == "hyphenated", 1.5).otherwise(1.0)
-
-
 def case_pattern(term: Column) -> Column:
     """(H6)"""
     capital = F.concat(F.upper(F.left(term, F.lit(1))), F.lower(F.right(term, F.length(term) - 1)))

@@ -2,35 +2,87 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.scores import cosine
+from . import similar
+from .checkpoints import cut
 
+#: Sizes that are broadcast; more are joined by shuffle.
+BROADCAST = 100_000
 
-def cooccurrence(edges: DataFrame, least: int = 3, block: int = 1000) -> DataFrame:
-    """Pairs of entities in ``least`` memories or more, weighted by their mentions.
 
-    A memory of more than ``block`` entities is dealt into blocks of about that many by their hash,
-    and every two of its blocks are paired in a task of their own.
+def entity_pairs(links: DataFrame, block: int = 1000) -> DataFrame:
+    """(memory, in, out) with in < out: all pairs of a memory's entities that hold a new link, each once.
+
+    Rows (memory, entity, new), one a link. The memories are dealt once, and joined where they are; one of more than
+    ``block`` links is cut into blocks by its entities' hash, and every two blocks are paired in a task of their own.
     """
-    own = edges.select("memory", "entity").distinct()
-    # At most one memory in ``block`` rows is large.
-    sizes = edges.groupBy("memory").agg(F.approx_count_distinct("entity").alias("size")).where(F.col("size") > block)
-    dealt = own.join(F.broadcast(sizes), "memory", "left").withColumn("blocks", F.coalesce(F.ceil(F.col("size") / block), F.lit(1)))
-    dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("entity"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.select("memory", "entity", "mine", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"))
-    a, b = dealt.alias("a"), dealt.alias("b")
-    met = (F.col("a.memory") == F.col("b.memory")) & (F.col("a.low") == F.col("b.low")) & (F.col("a.high") == F.col("b.high")) & (F.col("a.entity") < F.col("b.entity"))
+    own = links.repartition("memory")
+    sizes = links.groupBy("memory").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > block)
+    sizes = cut(sizes.withColumn("blocks", F.ceil(F.col("size") / block).cast("int")).drop("size"))
+    ends = [F.least("a.entity", "b.entity").alias("in"), F.greatest("a.entity", "b.entity").alias("out")]
+    new = F.col("a.new") | F.col("b.new")
+    known = sizes.limit(BROADCAST + 1).count()
+    if not known:
+        return own.alias("a").join(own.alias("b"), "memory").where((F.col("a.entity") < F.col("b.entity")) & new).select("memory", *ends)
+    sizes = F.broadcast(sizes) if known <= BROADCAST else sizes
+    small = own.join(sizes, "memory", "left_anti")
+    pairs = small.alias("a").join(small.alias("b"), "memory").where((F.col("a.entity") < F.col("b.entity")) & new).select("memory", *ends)
+    dealt = links.join(sizes, "memory").withColumn("mine", F.pmod(F.xxhash64("entity"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("memory", "entity", "new", "mine", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"))
+    met = dealt.alias("a").join(dealt.alias("b"), ["memory", "low", "high"])
     # Two entities of one block meet wherever it is paired, and count where it is paired with itself.
-    pairs = a.join(b, met & ((F.col("a.mine") != F.col("b.mine")) | (F.col("a.low") == F.col("a.high"))))
-    counts = pairs.groupBy(F.col("a.entity").alias("in"), F.col("b.entity").alias("out")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    mentions = own.groupBy("entity").agg(F.count(F.lit(1)).alias("m"))
-    left = mentions.select(F.col("entity").alias("in"), F.col("m").alias("ma"))
-    right = mentions.select(F.col("entity").alias("out"), F.col("m").alias("mb"))
-    return counts.join(left, "in").join(right, "out").select("in", "out", "n", (F.col("n") / F.sqrt(F.col("ma") * F.col("mb"))).alias("weight"))
+    met = met.where((F.col("a.entity") < F.col("b.entity")) & new & ((F.col("a.mine") != F.col("b.mine")) | (F.col("low") == F.col("high"))))
+    return pairs.unionByName(met.select("memory", *ends))
+
+
+def _links(edges: DataFrame, new: bool = True) -> DataFrame:
+    return edges.select("memory", "entity").where("memory IS NOT NULL AND entity IS NOT NULL").distinct().withColumn("new", F.lit(new))
+
+
+def cooccurrence(edges: DataFrame, least: int = 3, block: int = 1000) -> DataFrame:
+    """Pairs of entities in ``least`` memories or more, weighted by their mentions."""
+    own = _links(edges)
+    counts = entity_pairs(own, block).groupBy("in", "out").agg(F.count(F.lit(1)).alias("n"))
+    return weighted(counts, mentions(own), least).select("in", "out", "n", "weight")
+
+
+def mentions(links: DataFrame) -> DataFrame:
+    """Memories of each entity."""
+    return links.groupBy("entity").agg(F.count(F.lit(1)).alias("m"))
+
+
+def weighted(counts: DataFrame, held: DataFrame, least: int = 3, refined: DataFrame | None = None) -> DataFrame:
+    """Relations of the pairs (in, out, n) in ``least`` memories or more, over the roots of their mentions.
+
+    A pair that ``refined`` (in, out, type) has keeps that type; others co-occur.
+    """
+    left = held.select(F.col("entity").alias("in"), F.col("m").alias("ma"))
+    right = held.select(F.col("entity").alias("out"), F.col("m").alias("mb"))
+    known = counts.where(F.col("n") >= least).join(left, "in").join(right, "out")
+    known = known.withColumn("weight", F.col("n") / F.sqrt(F.col("ma") * F.col("mb"))).drop("ma", "mb")
+    if refined is None:
+        return known.withColumn("type", F.lit("co_occurs"))
+    types = refined.groupBy("in", "out").agg(F.max("type").alias("type"))
+    return known.join(types, ["in", "out"], "left").withColumn("type", F.coalesce("type", F.lit("co_occurs")))
+
+
+def added_pairs(held: DataFrame, new: DataFrame, block: int = 1000) -> tuple[DataFrame, DataFrame]:
+    """The pairs (memory, in, out) and the links (memory, entity) that new links add to those held: only memories with a new link are paired.
+
+    A link that is held already, or comes twice, adds nothing. The pairs are the evidence of their relation; their numbers add up to its count.
+    """
+    fresh = _links(new).join(held.select("memory", "entity"), ["memory", "entity"], "left_anti")
+    old = _links(held.join(fresh.select("memory").distinct(), "memory", "left_semi"), False)
+    return entity_pairs(fresh.unionByName(old), block), fresh.select("memory", "entity")
+
+
+def merged_counts(held: DataFrame, added: DataFrame, *keys: str) -> DataFrame:
+    """Counts by key: those held (the keys and a number), and one for each row added."""
+    number = next(c for c in held.columns if c not in keys)
+    more = added.groupBy(*keys).agg(F.count(F.lit(1)).alias(number))
+    return held.unionByName(more).groupBy(*keys).agg(F.sum(number).alias(number))
 
 
 def prune(relations: DataFrame, least: float) -> DataFrame:
@@ -55,26 +107,15 @@ def resolve_aliases(aliases: DataFrame) -> DataFrame:
     Rows (alias, target); of several targets of an alias the largest counts. Every round doubles
     the steps taken, so that chains among n aliases end within log n rounds, and what still moves is circular.
     """
-    step = _cut(aliases.groupBy("alias").agg(F.max("target").alias("canonical")))
+    step = cut(aliases.groupBy("alias").agg(F.max("target").alias("canonical")))
     for _ in range(step.count().bit_length()):
         further = step.select(F.col("alias").alias("canonical"), F.col("canonical").alias("further"))
         moved = step.join(further, "canonical", "left").groupBy("alias").agg(F.max(F.coalesce("further", "canonical")).alias("canonical"))
-        step = _cut(moved)
+        step = cut(moved)
     known = step.select(F.col("alias").alias("canonical"), F.lit(True).alias("circle"))
     return step.join(known, "canonical", "left").select("alias", F.when(F.col("circle").isNull(), F.col("canonical")).alias("canonical"))
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the cluster's folder; a temporary one only where none is named."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "checkpoints"))
-    return df.checkpoint()
-
-
 def repoint(edges: DataFrame, canonical: DataFrame, weight: float = 0.9) -> DataFrame:
     """Edges of aliases become edges of what they stand for, with the weight of a merge; each pair once."""
     known = canonical.select(F.col("alias").alias("entity"), "canonical")
@@ -96,18 +137,9 @@ def upsert_relations(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def semantic_pairs(vectors: DataFrame, related: float = 0.7, synonym: float = 0.85) -> DataFrame:
-    """Pairs of terms by cosine (C13), for vocabularies: each side is compared in blocks by the other's.
-
-    ``block`` keys spread the pairs over tasks; beyond some ten thousand terms use an index instead.
-    """
-    blocks = 8
-    v = vectors.select("id", "embedding").withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    others = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    a = v.withColumn("other", others)
-    b = v.withColumn("other", F.col("block")).withColumn("mine", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(F.col("id").alias("id2"), F.col("embedding").alias("e2"), "other", "mine")
-    pairs = a.join(b, (a["other"] == b["other"]) & (a["block"] == b["mine"]) & (F.col("id") < F.col("id2")))
-    scored = pairs.select(F.col("id").alias("in"), F.col("id2").alias("out"), cosine(F.col("embedding"), F.col("e2")).alias("weight")).where(F.col("weight") >= related)
-    return scored.withColumn("type", F.when(F.col("weight") > synonym, "synonym").otherwise("related_to"))
+    """Pairs of terms by cosine."""
+    found = similar.pairs(vectors, related).select(F.col("a").alias("in"), F.col("b").alias("out"), F.col("similarity").alias("weight"))
+    return found.withColumn("type", F.when(F.col("weight") > synonym, "synonym").otherwise("related_to"))
 
 
 def centroids(links: DataFrame, vectors: DataFrame, most: int = 50) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from . import similar
+
 
 def lookup(table: DataFrame, key: str, value) -> DataFrame:
     """A row by key; the predicate reaches the scan."""
@@ -138,29 +140,15 @@ def get_version(spark, folder: str) -> int | None:
 def near_duplicates(rows: DataFrame, near: float = 0.95, within: str | None = "session_id") -> DataFrame:
     """(id, other, similarity): the nearest row of a smaller id, of the same ``within``, for each row that it resembles this much.
 
-    Rows: id, embedding and ``within``. A session is compared in blocks of pairs, so that a long one is shared by tasks.
+    Rows: id, embedding and ``within``; one without ``within`` resembles none.
     """
-    from ..functions.scores import cosine
-
-    blocks = 8
-    own = rows.where(F.col("embedding").isNotNull()).select("id", "embedding", (F.col(within) if within else F.lit(0)).alias("group"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"))
-    ids = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    a = own.withColumn("other_block", ids)
-    b = own.select(F.col("id").alias("other"), F.col("embedding").alias("e2"), F.col("group").alias("group2"), F.col("block").alias("other_block"), ids.alias("block2"))
-    met = (a["group"] == b["group2"]) & (a["block"] == b["block2"]) & (a["other_block"] == b["other_block"]) & (F.col("other") < F.col("id"))
-    pairs = a.join(b, met).select("id", "other", cosine(F.col("embedding"), F.col("e2")).alias("similarity")).where(F.col("similarity") >= near)
-    return pairs.groupBy("id").agg(F.max_by("other", F.struct("similarity", -F.col("other"))).alias("other"), F.max("similarity").alias("similarity"))
+    rows = rows.where(F.col(within).isNotNull()) if within else rows
+    return similar.nearest_earlier(rows, near, F.col(within) if within else None)
 
 
 def known_before(new: DataFrame, stored: DataFrame, near: float = 0.95, within: str | None = None) -> DataFrame:
     """Keys of new rows that a stored row resembles this much, of the same ``within`` if that is given."""
-    from ..functions.scores import cosine
-
-    blocks = 8
-    old = stored.where(F.size("embedding") > 0).select(F.col("embedding").alias("e2"), (F.col(within) if within else F.lit(0)).alias("group2"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"))
-    own = new.where(F.size("embedding") > 0).select("id", "embedding", (F.col(within) if within else F.lit(0)).alias("group"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("part"))
-    met = own.join(old, F.col("group").eqNullSafe(F.col("group2")) & (F.col("part") == F.col("block")))
-    return met.where(cosine(F.col("embedding"), F.col("e2")) >= near).select("id").distinct()
+    return similar.alike(new, stored, near, F.col(within) if within else None)
 
 
 def maintain(memories: DataFrame, days: Column, least: int = 10) -> DataFrame:

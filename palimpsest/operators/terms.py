@@ -1,13 +1,15 @@
-"""Term extraction: domains, n-grams, scores, filter."""
+"""Term extraction: domains, n-grams, scores, filter."""
 
 from __future__ import annotations
 
+import math
+import re
 from collections import Counter
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.texts import case_pattern, plain_tokens, shape_factor, special_tokens, term_kind, term_tokens
+from ..functions.texts import CAMEL_PART, TERM_PATTERNS, TERM_STOPWORDS, WORD_PATTERN, case_pattern, term_kind
 
 # The core terms of each domain, in the domains' order, which decides ties. Fuller lists of keywords are a parameter.
 CORE = {
@@ -78,64 +80,110 @@ def block_domains(docs: DataFrame, blocks: DataFrame, domains: dict[str, list[st
     return part.join(whole, "doc_id").select("doc_id", "block", effective_domain(F.col("doc_domain"), F.col("doc_confidence"), F.col("domain"), F.col("confidence")).alias("domain"))
 
 
-def term_counts(docs: DataFrame, most: int = 3, least: int = 3) -> DataFrame:
-    """Occurrences of each n-gram in each row: special tokens, and runs of 2 to ``most`` plain words of eight characters or more.
+_SPECIAL = [re.compile(p, re.ASCII) for p in TERM_PATTERNS]
+_WORD, _CAMEL = re.compile(WORD_PATTERN), re.compile(CAMEL_PART)
+_STOP = frozenset(TERM_STOPWORDS)
+
+
+def _is_special(token: str) -> bool:
+    return token.startswith("pg_") or "-" in token or (len(token) <= 8 and token.upper() == token) or _CAMEL.search(token) is not None
+
+
+def grams(text: str, most: int = 3, least: int = 3) -> Counter:
+    """Special tokens of a text, and runs of 2 to ``most`` of its plain words of eight characters or more, with their numbers."""
+    special: list[str] = []
+    plain: list[str] = []
+    for pattern in _SPECIAL:
+        for token in pattern.findall(text):
+            (special if _is_special(token) else plain).append(token)
+    plain += [w for w in _WORD.findall(text) if len(w) >= least and w.lower() not in _STOP]
+    held = Counter(t for t in special if len(t) >= least)
+    for n in range(2, most + 1):
+        held.update(g for g in map(" ".join, zip(*(plain[k:] for k in range(n)))) if len(g) >= 8)
+    return held
 
-    They are counted where the text is, so that only different terms leave the row, and nothing is shuffled.
-    """
-    tokens = docs.select("doc_id", term_tokens(F.col("text"), least).alias("tokens"))
-    parts = tokens.select("doc_id", special_tokens(F.col("tokens"), least).alias("special"), plain_tokens(F.col("tokens")).alias("plain"))
+
+def _shape(term: str) -> float:
+    if term[:3].lower() == "pg_":
+        return 3.0
+    if "-" in term:
+        return 1.5
+    return 2.0 if (len(term) <= 8 and term.upper() == term) or _CAMEL.search(term) else 1.0
+
+
+def term_counts(docs: DataFrame, most: int = 3, least: int = 3) -> DataFrame:
+    """doc_id, term and freq of each row's n-grams (H3, D10), counted where the text is, so that only different terms leave the row."""
 
     def run(batches):
         for batch in batches:
             ids, terms, counts = [], [], []
-            for doc, special, plain in zip(*(c.to_pylist() for c in batch.columns)):
-                held = Counter(special or ())
-                plain = plain or []
-                for n in range(2, most + 1):
-                    held.update(g for g in map(" ".join, zip(*(plain[k:] for k in range(n)))) if len(g) >= 8)
+            for doc, text in zip(*(c.to_pylist() for c in batch.columns)):
+                held = grams(text or "", most, least)
                 ids += [doc] * len(held)
                 terms += held.keys()
                 counts += held.values()
             yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(terms, pa.string()), pa.array(counts, pa.int64())], ["doc_id", "term", "freq"])
 
-    return parts.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, term string, freq long")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, term string, freq long")
 
 
-def extract(docs: DataFrame, least_freq: int = 2, shortest: int = 3, longest: int = 50, most: int = 3) -> DataFrame:
-    """Scored terms of every row that are frequent and of fit length (H9): doc_id, term, freq, len, tfidf, cvalue, score."""
-    scored = with_score(with_cvalue(with_tfidf(term_counts(docs, most))), most=most)
-    size = F.length("term")
-    return scored.where((F.col("freq") >= least_freq) & (size >= shortest) & (size <= longest))
+#: Weights of the measures in a term's score.
+WEIGHTS = {"tfidf": 1.0, "cvalue": 1.0, "freq": 0.5, "length": 0.5}
 
 
-def with_tfidf(counts: DataFrame) -> DataFrame:
-    """Share of the document's n-grams, times a factor for the term's shape (H4)."""
-    totals = counts.groupBy("doc_id").agg(F.sum("freq").alias("total"))
-    return counts.join(totals, "doc_id").withColumn("tfidf", F.col("freq") / F.col("total") * shape_factor(F.col("term"))).drop("total")
+def measured(held: Counter, most: int = 3, weights: dict[str, float] = WEIGHTS) -> list[tuple[str, int, int, float, float, float]]:
+    """(term, freq, len, tfidf, cvalue, score) of a text's n-grams.
 
+    tfidf is the share of the text's n-grams, times a factor for the term's shape (H4). cvalue is log2(words) times
+    the frequency, less the mean frequency of the longer terms that hold it: a term of two words is held by one of three that has both in this order (H5, C15).
+    The score is their weighted sum with the logarithm of the frequency and the length, 0 at least (H8).
+    """
+    total = sum(held.values())
+    nested: dict[str, list[int]] = {}
+    for term, freq in held.items():
+        w = term.split(" ")
+        if len(w) == 3:
+            for pair in {f"{w[0]} {w[1]}", f"{w[0]} {w[2]}", f"{w[1]} {w[2]}"}:
+                if pair in held:
+                    nested.setdefault(pair, []).append(freq)
+    out = []
+    for term, freq in held.items():
+        size = term.count(" ") + 1
+        tfidf, cvalue = freq / total * _shape(term), math.log2(size) * freq
+        if term in nested:
+            cvalue = max(0.0, math.log2(size) * (freq - sum(nested[term]) / len(nested[term])))
+        score = weights["tfidf"] * tfidf + weights["cvalue"] * cvalue + weights["freq"] * math.log2(1 + freq) + weights["length"] * size / most
+        out.append((term, freq, size, tfidf, cvalue, max(0.0, score)))
+    return out
+
+
+def scored_terms(docs: DataFrame, most: int = 3, least: int = 3, weights: dict[str, float] = WEIGHTS, least_freq: int = 1, shortest: int = 0, longest: int | None = None, best: int | None = None) -> DataFrame:
+    """doc_id, term, freq, len, tfidf, cvalue, score and rank of each row's terms, the best first.
+
+    A row is read, counted and measured in one task, and only the terms that are frequent and of fit length, ``best``
+    of them at most, leave it: nothing is shuffled. Scores are compared to nine digits, ties go by the term. Rows of one doc_id are texts of their own; null texts have no terms.
+    """
+    names = ["doc_id", "term", "freq", "len", "tfidf", "cvalue", "score", "rank"]
 
-def with_cvalue(counts: DataFrame) -> DataFrame:
-    """log2(words) times frequency, less the mean frequency of the longer terms that hold it.
+    def run(batches):
+        for batch in batches:
+            ids, rows = [], []
+            for doc, text in zip(*(c.to_pylist() for c in batch.columns)):
+                kept = [r for r in measured(grams(text or "", most, least), most, weights) if r[1] >= least_freq and shortest <= len(r[0]) and (longest is None or len(r[0]) <= longest)]
+                kept.sort(key=lambda r: (-round(r[5], 9), r[0]))
+                kept = kept[:best]
+                ids += [doc] * len(kept)
+                rows += [(*r, k) for k, r in enumerate(kept, 1)]
+            columns = zip(*rows) if rows else ((),) * 7
+            types = [pa.string(), pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), *[pa.array(c, t) for c, t in zip(columns, types)]], names)
 
-    A term of two words is held by one of three that has both in this order; so each longer term
-    gives its ordered pairs, and equal pairs join.
-    """
-    words = F.split("term", " ")
-    sized = counts.withColumn("len", F.size(words))
-    three = sized.where("len = 3").select("doc_id", F.col("freq").alias("held_freq"), words.alias("w"))
-    pair = lambda i, j: F.concat_ws(" ", F.col("w")[i], F.col("w")[j])
-    pairs = three.select("doc_id", "held_freq", F.explode(F.array_distinct(F.array(pair(0, 1), pair(0, 2), pair(1, 2)))).alias("term"))
-    held = pairs.groupBy("doc_id", "term").agg(F.avg("held_freq").alias("nested"))
-    joined = sized.join(held, ["doc_id", "term"], "left")
-    value = F.log2("len") * (F.col("freq") - F.coalesce("nested", F.lit(0.0)))
-    return joined.withColumn("cvalue", F.when(F.col("nested").isNull(), value).otherwise(F.greatest(F.lit(0.0), value))).drop("nested")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, term string, freq long, len int, tfidf double, cvalue double, score double, rank int")
 
 
-def with_score(terms: DataFrame, tfidf: float = 1.0, cvalue: float = 1.0, freq: float = 0.5, length: float = 0.5, most: int = 3) -> DataFrame:
-    """Weighted sum of the measures, 0 at least (H8)."""
-    total = tfidf * F.col("tfidf") + cvalue * F.col("cvalue") + freq * F.log2(1 + F.col("freq")) + length * F.col("len") / most
-    return terms.withColumn("score", F.greatest(F.lit(0.0), total))
+def extract(docs: DataFrame, least_freq: int = 2, shortest: int = 3, longest: int = 50, most: int = 3, weights: dict[str, float] = WEIGHTS) -> DataFrame:
+    """Scored terms of every row that are frequent and of fit length (H9): doc_id, term, freq, len, tfidf, cvalue, score."""
+    return scored_terms(docs, most, 3, weights, least_freq, shortest, longest).drop("rank")
 
 
 def inferred_type(term: Column) -> Column:
@@ -153,42 +201,41 @@ def type_label(kind: Column) -> Column:
     return F.concat(F.lit("T/"), F.coalesce(names[kind], F.lit(LABELS["concept"])))
 
 
-def filter_terms(terms: DataFrame, domain: str, roots: list[str], white: list[str] = (), black: list[str] = ()) -> DataFrame:
+def _holds(words: Column | list[str], term: Column) -> Column:
+    """Whether a list of words, a literal one or a column, has the term."""
+    return F.array_contains(words, term) if isinstance(words, Column) else term.isin(*words) if words else F.lit(False)
+
+
+def filter_terms(terms: DataFrame, domain: str | Column, roots: list[str] | Column, white: list[str] | Column = (), black: list[str] | Column = ()) -> DataFrame:
     """Rules in order: lists, words of SQL, prefixes, compounds, hyphens, acronyms, n-grams, each with its confidence.
 
-    Adds confidence, namespace, kind, type, label, source and case_pattern.
+    Adds confidence, namespace, kind, type, label, source and case_pattern. Domain and lists are those of all rows, or columns.
     """
-    low = F.lower("term")
+    low, domain = F.lower("term"), F.lit(domain) if isinstance(domain, str) else domain
     kind = term_kind(F.col("term"))
     parts = F.split(low, "[- ]")
-    has_root = F.arrays_overlap(parts, F.array(*map(F.lit, roots))) if roots else F.lit(False)
-    listed = low.isin(*white) if white else F.lit(False)
+    has_root = F.arrays_overlap(parts, roots if isinstance(roots, Column) else F.array(*map(F.lit, roots)).cast("array<string>"))
+    listed = _holds(white, low)
     letters = F.exists(F.split(low, "-"), lambda p: F.length(p) <= 1)
     camel = F.regexp_extract_all("term", F.lit("[A-Z][a-z]+"), 0)
     noise = (F.size(camel) >= 3) & (F.size(F.array_distinct(camel)) == 1)
     confidence = (
-        F.when(low.isin(*black) if black else F.lit(False), None)
+        F.when(_holds(black, low), None)
         .when(F.upper("term").isin(*SQL_WORDS), None)
         .when(listed, 1.0)
         .when(kind == "pg_prefix", 0.95)
         .when(kind == "camelcase", F.when(~noise, 0.85))
-        .when(kind == "hyphenated", F.when(letters, None).when(has_root, 0.75).when(F.lit(domain == "general"), 0.6))
+        .when(kind == "hyphenated", F.when(letters, None).when(has_root, 0.75).when(domain == "general", 0.6))
         .when(kind == "acronym", F.when(F.col("score") > 2, 0.7))
         .otherwise(F.when((F.col("score") > 3) & has_root, 0.6))
     )
     what = F.when(listed, inferred_type(F.col("term"))).when(kind == "pg_prefix", "tool").when(kind == "camelcase", "component").when(kind == "acronym", "entity").otherwise("concept")
     source = F.when(listed, "whitelist").when(kind.isin("pg_prefix", "camelcase"), "regex").otherwise("statistical")
     kept = terms.withColumn("confidence", confidence.cast("double")).where(F.col("confidence").isNotNull())
-    kept = kept.withColumn("namespace", F.concat(F.lit(f"{domain}."), low)).withColumn("kind", kind)
+    kept = kept.withColumn("namespace", F.concat_ws(".", domain, low)).withColumn("kind", kind)
     return kept.withColumn("type", what).withColumn("label", type_label(what)).withColumn("source", source).withColumn("case_pattern", case_pattern(F.col("term")))
 
 
-def top_terms(terms: DataFrame, most: int = 200) -> DataFrame:
-    """(H15)"""
-    order = Window.partitionBy("doc_id").orderBy(F.desc("score"), "term")
-    return terms.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
-
-
 def term_cooccurrence(terms: DataFrame, least: int = 3, weight: float = 0.1) -> DataFrame:
     """Pairs of terms in ``least`` documents or more, by the rarer one's documents."""
     own = terms.select("doc_id", "term").distinct()

@@ -1,3 +1,3 @@
 """Queries of the engine."""
 
-from . import model_queries, more_queries, queries, upkeep_queries  # noqa: F401
+from . import import_queries, model_queries, more_queries, queries, upkeep_queries  # noqa: F401

@@ -469,8 +469,8 @@ scored AS (SELECT doc_id, term, freq, freq / total::DOUBLE * shape AS tfidf, CAS
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, term) AS k FROM t)
 SELECT doc_id, term, freq, round(tfidf, 6) AS tfidf, round(cvalue, 6) AS cvalue, round(score, 6) AS score FROM r WHERE k <= 20""")
 def term_scores(spark, d):
-    terms = X.with_score(X.with_cvalue(X.with_tfidf(X.term_counts(read(spark, d, "documents"))))).withColumn("score", F.round("score", 9))
-    return X.top_terms(terms, 20).select("doc_id", "term", "freq", *[F.round(c, 6).alias(c) for c in ("tfidf", "cvalue", "score")])
+    terms = X.scored_terms(read(spark, d, "documents"), best=20)
+    return terms.select("doc_id", "term", "freq", *[F.round(c, 6).alias(c) for c in ("tfidf", "cvalue", "score")])
 
 
 @query(r"""WITH m AS (SELECT conv_id, turn, lower(text) AS t, length(trim(text, ' ')) AS n FROM conversations)

@@ -290,19 +290,23 @@ def block_domain_override(spark, d):
 
 @query(f"WITH {SCORED} SELECT doc_id, count(*) AS terms, round(sum(tfidf), 4) AS total, round(max(tfidf), 6) AS most FROM scored GROUP BY 1")
 def term_tfidf(spark, d):
-    t = X.with_tfidf(X.term_counts(read(spark, d, "documents")))
+    t = X.scored_terms(read(spark, d, "documents"))
     return t.groupBy("doc_id").agg(F.count(F.lit(1)).alias("terms"), F.round(F.sum("tfidf"), 4).alias("total"), F.round(F.max("tfidf"), 6).alias("most"))
 
 
 @query(f"WITH {SCORED} SELECT doc_id, round(sum(cvalue), 4) AS total, round(max(cvalue), 6) AS most FROM scored GROUP BY 1")
 def term_cvalue(spark, d):
-    t = X.with_cvalue(X.term_counts(read(spark, d, "documents")))
+    t = X.scored_terms(read(spark, d, "documents"))
     return t.groupBy("doc_id").agg(F.round(F.sum("cvalue"), 4).alias("total"), F.round(F.max("cvalue"), 6).alias("most"))
 
 
-@query(f"WITH {SCORED}, t AS (SELECT *, greatest(0, tfidf + cvalue + 0.5 * log2(1 + freq) + 0.5 * len / 3) AS score FROM scored) SELECT doc_id, term, freq, round(score, 6) AS score FROM t WHERE freq >= 3 AND length(term) BETWEEN 3 AND 50")
+@query(f"""WITH {SCORED}, t AS (SELECT *, greatest(0, tfidf + cvalue + 0.5 * log2(1 + freq) + 0.5 * len / 3) AS score FROM scored WHERE freq >= 3 AND length(term) BETWEEN 3 AND 50)
+SELECT doc_id, count(*) AS terms, sum(freq)::BIGINT AS freq, round(sum(score), 4) AS total, round(max(score), 6) AS most, min(term) AS first, max(term) AS last FROM t GROUP BY 1""")
 def extracted_terms(spark, d):
-    return X.extract(read(spark, d, "documents"), 3).select("doc_id", "term", "freq", F.round("score", 6).alias("score"))
+    t = X.extract(read(spark, d, "documents"), 3)
+    return t.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("terms"), F.sum("freq").alias("freq"), F.round(F.sum("score"), 4).alias("total"), F.round(F.max("score"), 6).alias("most"), F.min("term").alias("first"), F.max("term").alias("last"),
+    )
 
 
 @query("SELECT p_name AS term, CASE WHEN p_name = upper(p_name) THEN 'UPPER' WHEN p_name = lower(p_name) THEN 'LOWER' WHEN p_name = upper(left(p_name, 1)) || lower(substr(p_name, 2)) THEN 'CAPITALIZED' ELSE 'MIXED' END AS pattern FROM (SELECT DISTINCT CASE p_partkey % 4 WHEN 0 THEN upper(p_name) WHEN 1 THEN lower(p_name) WHEN 2 THEN upper(left(p_name, 1)) || lower(substr(p_name, 2)) ELSE 'x' || upper(p_name) END AS p_name FROM part)")
