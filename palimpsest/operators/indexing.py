@@ -1,4 +1,4 @@
-"""Indexing of new memories into the entity graph, and labels for its edges."""
+"""Indexing of new memories into the entity graph, and labels for its edges."""
 
 from __future__ import annotations
 
@@ -19,6 +19,12 @@ def recent_mentions(mentions: DataFrame, by: str, ts: str = "ts", hours: int = 2
     return mentions.withColumn("n", F.count(F.lit(1)).over(near))
 
 
+def known_entities(edges: DataFrame, most: int = 10_000) -> DataFrame:
+    """(entity, mentions, confidence) of the entities of most links: sure by 0.05 a link from 0.7 on, up to 0.95 (F2)."""
+    counted = edges.groupBy("entity").agg(F.count(F.lit(1)).alias("mentions")).withColumn("confidence", F.least(F.lit(0.95), 0.7 + 0.05 * F.col("mentions")))
+    return counted.orderBy(F.desc("mentions"), F.asc("entity")).limit(most)
+
+
 def entity_ids(names: DataFrame, entities: DataFrame) -> DataFrame:
     """Rows with ``name`` and the entity of exactly that name as ``entity``, 0 without one (B10); of several the smallest."""
     known = entities.groupBy("name").agg(F.min("id").alias("entity"))

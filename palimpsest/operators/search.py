@@ -1,11 +1,13 @@
-"""Retrieval: vector and graph search, merging, reranking."""
+"""Retrieval: vector and graph search, merging, reranking."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.answers import ranking
 from ..functions.scores import cosine
 from ..functions.texts import jaccard, words_over_three
+from ..sources.models import Model, complete
 
 #: A merged path's score counts by this much.
 PRIORITY = {"vector": 1.0, "graph": 1.0, "topic": 0.7}
@@ -35,6 +37,11 @@ def vector_search(vectors: DataFrame, query: list[float], k: int = 10, threshold
     return top(near.where(F.col("similarity") > threshold), k, F.desc("similarity"), F.asc("id"))
 
 
+def by_score(memories: DataFrame, score: Column, historical: bool = False) -> DataFrame:
+    """The rows of the highest scores, to nine digits: three, or ten for a question about the past."""
+    return top(memories.withColumn("score", F.round(score, 9)), 10 if historical else 3, F.desc("score"), F.asc("id"))
+
+
 def typed_search(vectors: DataFrame, query: list[float], limits: dict) -> DataFrame:
     """The nearest rows of each type, as many as the type's limit."""
     limit = F.create_map(*[F.lit(x) for kv in limits.items() for x in kv])[F.col("type")]
@@ -110,14 +117,30 @@ def merge_three(vector: DataFrame, graph: DataFrame, topic: DataFrame) -> DataFr
     return joined.select("id", score.alias("score"), source.alias("source"))
 
 
-def rerank(results: DataFrame, first: int = 30, step: float = 0.05, penalty: float = 0.15, alike: float = 0.5, cluster_penalty: float = 0.2) -> DataFrame:
-    """The first rows by score, given scores by rank, less penalties for what stands above.
+def said_order(results: DataFrame, query: str, model: Model, first: int = 30) -> DataFrame:
+    """(id, place): the first rows (id, content, score) in the order that a model gives of their numbers; those it doesn't name follow by score."""
+    head = top(results, first, F.desc("score"), F.asc("id")).select("id", "content", "score")
+    ranked = head.withColumn("at", F.row_number().over(Window.orderBy(F.desc("score"), "id")) - 1)
+    line = F.concat(F.lit("["), F.col("at"), F.lit("] "), F.substring(F.coalesce("content", F.lit("")), 1, 200))
+    listed = F.array_sort(F.collect_list(F.struct("at", line.alias("line"), "id")))
+    prompts = ranked.agg(listed.alias("rows")).where(F.size("rows") > 0).select(F.lit(0).alias("key"), F.transform("rows", lambda r: r["id"]).alias("ids"), F.concat(F.lit(f"Order by relevance to: {query}\n"), F.array_join(F.transform("rows", lambda r: r["line"]), "\n")).alias("prompt"))
+    answers = complete(prompts, "key", "prompt", model)
+    named = prompts.join(answers, "key").select("ids", F.posexplode(ranking(F.col("answer"), first)).alias("place", "at"))
+    found = named.select(F.get("ids", F.col("at").cast("int")).alias("id"), "place").where("id IS NOT NULL")
+    return found.groupBy("id").agg(F.min("place").alias("place"))
+
+
+def rerank(results: DataFrame, first: int = 30, step: float = 0.05, penalty: float = 0.15, alike: float = 0.5, cluster_penalty: float = 0.2, order: DataFrame | None = None) -> DataFrame:
+    """The first rows by score, or by ``order`` (id, place), given scores by rank, less penalties for what stands above.
 
     A row loses ``penalty`` for each of the first five rows above it that is alike, and
     ``cluster_penalty`` if a row above is of its cluster. The pairs are of ``first`` rows only.
     """
     head = top(results, first, F.desc("score"), F.asc("id"))
-    ranked = head.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")) - 1)
+    by = [F.desc("score"), F.asc("id")]
+    if order is not None:
+        head, by = head.join(F.broadcast(order.select("id", "place")), "id", "left"), [F.asc_nulls_last("place"), *by]
+    ranked = head.withColumn("rank", F.row_number().over(Window.orderBy(*by)) - 1)
     ranked = ranked.withColumn("score", 1.0 - step * F.col("rank")).withColumn("words", words_over_three(F.col("content")))
     seen = F.row_number().over(Window.partitionBy("cluster").orderBy("rank")) > 1
     ranked = ranked.withColumn("repeated", F.col("cluster").isNotNull() & seen)
@@ -129,14 +152,15 @@ def rerank(results: DataFrame, first: int = 30, step: float = 0.05, penalty: flo
     return out.select("id", F.greatest(F.lit(0.0), F.col("score") - lost).alias("score"), "rank")
 
 
-def retrieve(vectors: DataFrame, edges: DataFrame, links: DataFrame, topics: DataFrame, contents: DataFrame, query: list[float], text: str, entities: list, parents: list, k: int = 5, threshold: float = 0.6) -> DataFrame:
-    """Vector, graph and topic paths merged, reranked, cut by the threshold and to k rows."""
+def retrieve(vectors: DataFrame, edges: DataFrame, links: DataFrame, topics: DataFrame, contents: DataFrame, query: list[float], text: str, entities: list, parents: list, k: int = 5, threshold: float = 0.6, model: Model | None = None) -> DataFrame:
+    """Vector, graph and topic paths merged, reranked, cut by the threshold and to k rows (C21); a model may say the order."""
     short = len(text) < 10
     found = vector_search(vectors, query, k if short else max(4 * k, 20)).select("id", F.col("similarity").alias("score"))
     graph = graph_search(edges, entities).select(F.col("memory").alias("id"), F.col("weight").alias("score"))
     topic = topic_search(topics, links, parents).select(F.col("memory").alias("id"), F.col("weight").alias("score"))
-    merged = top(merge_three(found, graph, topic), 30, F.desc("score"), F.asc("id"))
-    ranked = rerank(merged.join(contents.select("id", "content"), "id").withColumn("cluster", F.lit(None).cast("string")))
+    merged = F.broadcast(top(merge_three(found, graph, topic), 30, F.desc("score"), F.asc("id")))
+    told = contents.select("id", "content").join(merged, "id").withColumn("cluster", F.lit(None).cast("string"))
+    ranked = rerank(told, order=said_order(told, text, model) if model else None)
     return top(ranked.where(F.col("score") >= (max(threshold, 0.85) if short else threshold)), k, F.desc("score"), F.asc("rank"))
 
 
@@ -151,8 +175,8 @@ def retrieve_multi_degree(vectors: DataFrame, edges: DataFrame, relations: DataF
     if entities and degree > 1:
         seeds = top(edges.where(F.col("entity") == entities[0]), 3, F.desc("weight"), F.asc("memory")).select(F.col("memory").alias("seed"))
         graph = graph.union(spread(edges, relations, seeds, many).join(graph, "id", "left_anti"))
-    merged = top(merge_two(found, graph.groupBy("id").agg(F.max("score").alias("score"))), 30, F.desc("score"), F.asc("id"))
-    ranked = rerank(merged.join(contents.select("id", "content"), "id").withColumn("cluster", F.lit(None).cast("string")))
+    merged = F.broadcast(top(merge_two(found, graph.groupBy("id").agg(F.max("score").alias("score"))), 30, F.desc("score"), F.asc("id")))
+    ranked = rerank(contents.select("id", "content").join(merged, "id").withColumn("cluster", F.lit(None).cast("string")))
     return top(ranked.where(F.col("score") >= threshold), k, F.desc("score"), F.asc("rank"))
 
 

@@ -88,15 +88,17 @@ class Cells:
         return float((home * (home - 1) / 2 + home * visits).sum() / max(1, len(x) * (len(x) - 1) / 2))
 
 
-def _cells(rows: DataFrame, least: float) -> Cells | None:
+def _cells(rows: DataFrame, least: float) -> tuple[Cells | None, int | None]:
+    """Cells, if they are worth it, and the number of rows if there are fewer than SAMPLE."""
     sample = [r["embedding"] for r in rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("embedding").collect()]
     units = [v for v in unit_rows(pa.array(sample, pa.list_(pa.float64()))) if v is not None]
+    few = len(sample) if len(sample) < SAMPLE else None
     if len(units) < 4 * PIVOTS:
-        return None
+        return None, few
     sizes, counts = np.unique([len(v) for v in units], return_counts=True)
     x = np.array([v for v in units if len(v) == sizes[counts.argmax()]])
     found = Cells(np.unique(x[:PIVOTS], axis=0), least)
-    return found if found.share(x) <= WORTH else None
+    return (found if found.share(x) <= WORTH else None), few
 
 
 def _placed(rows: DataFrame, cells: Cells | None, both: bool) -> DataFrame:
@@ -199,7 +201,10 @@ def _rows(rows: DataFrame, within: Column | None, side: bool) -> DataFrame:
 def _joined(rows: DataFrame, least: float, both: bool, emit: Callable, block: int) -> DataFrame:
     if not 0 < least <= 1:
         raise ValueError("the threshold must be above 0, and 1 at most")
-    units = _units(_placed(rows, _cells(rows, least), both), block)
+    cells, few = _cells(rows, least)
+    placed = _placed(rows, cells, both)
+    # a cell has a copy of a row at most, so that of few rows none is beyond one block
+    units = placed.withColumns({c: F.lit(0) for c in ("block", "lo", "hi")}) if few is not None and few <= block else _units(placed, block)
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(key, table):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.scores import days_between, half_life
 from . import similar
 
 
@@ -102,6 +103,11 @@ def entity_type_stats(entities: DataFrame, edges: DataFrame) -> DataFrame:
     return entities.join(counts, "entity", "left").groupBy("type").agg(F.count(F.lit(1)).alias("entities"), F.sum(F.coalesce("n", F.lit(0))).alias("links"))
 
 
+def compiled_stats(blocks: DataFrame) -> DataFrame:
+    """Blocks and triples of each version of documents."""
+    return blocks.groupBy("doc_version").agg(F.count(F.lit(1)).alias("blocks"), F.sum(F.size("triples")).alias("triples"))
+
+
 def pending(state: DataFrame, status: str | None = None) -> DataFrame:
     """Documents of a status, or all that aren't completed, the oldest first."""
     due = F.col("status") == status if status is not None else ~F.col("status").eqNullSafe(F.lit("completed"))
@@ -151,11 +157,25 @@ def known_before(new: DataFrame, stored: DataFrame, near: float = 0.95, within:
     return similar.alike(new, stored, near, F.col(within) if within else None)
 
 
-def maintain(memories: DataFrame, days: Column, least: int = 10) -> DataFrame:
-    """Decayed importance and promotions of all rows."""
-    from ..functions.scores import half_life
+def maintained(memories: DataFrame, uses: DataFrame, at: Column, days: int = 90, least: int = 10) -> DataFrame:
+    """The memories with ``change``: ``kept``, ``changed`` or ``deleted``.
 
-    return promote(memories.withColumn("importance", half_life(F.col("importance"), days)), least)
+    Importance halves every 30 days since a memory was made or last changed; an episodic one of ``least`` uses becomes
+    semantic; one that wasn't used for ``days`` becomes inactive, and is deleted when it has been so for as long again.
+    ``uses`` has id, access_count and last_accessed. What was changed at ``at`` isn't changed by a second run.
+    """
+    held = memories.join(uses.select("id", "access_count", F.col("last_accessed").alias("__last")), "id", "left")
+    since, idle = days_between(F.coalesce("updated_at", "created_at"), at), days_between(F.greatest("created_at", "__last"), at)
+    active = F.coalesce("is_active", F.lit(True))
+    new = {
+        "importance": half_life(F.col("importance"), since), "type": F.when((F.col("type") == "episodic") & (F.coalesce("access_count", F.lit(0)) >= least), "semantic").otherwise(F.col("type")),
+        "is_active": active & ~F.coalesce(idle >= days, F.lit(False)),
+    }
+    gone = ~active & F.coalesce((since >= days) & (idle >= days), F.lit(False))
+    differs = ~new["importance"].eqNullSafe(F.col("importance")) | ~new["type"].eqNullSafe(F.col("type")) | (new["is_active"] != active)
+    told = held.withColumn("change", F.when(gone, "deleted").when(differs, "changed").otherwise("kept"))
+    put = {c: F.when(F.col("change") == "changed", e).otherwise(F.col(c)) for c, e in {**new, "updated_at": at}.items()}
+    return told.select(*[put[c].alias(c) if c in put else F.col(c) for c in memories.columns], "change")
 
 
 def record_key(record: Column) -> Column:

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import scores as S, texts as T
-from ..operators import documents as D, graph as G, search as R, store as M, terms as X
+from ..operators import documents as D, graph as G, indexing as I, search as R, store as M, terms as X
 from ..streaming import messages as stream
 
 NOW = "TIMESTAMP '2024-01-31 00:00:00'"
@@ -116,7 +116,7 @@ def global_entity_stats(spark, d):
 def triple_stats(spark, d):
     nested = read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_linenumber").alias("triples"))
     both = read(spark, d, "orders").join(nested, F.col("o_orderkey") == F.col("l_orderkey"))
-    return both.groupBy(F.col("o_orderstatus").alias("version")).agg(F.count(F.lit(1)).alias("blocks"), F.sum(F.size("triples")).alias("triples"))
+    return M.compiled_stats(both.withColumn("doc_version", F.col("o_orderstatus"))).withColumnRenamed("doc_version", "version")
 
 
 @query(f"WITH {EDGES}, n AS (SELECT * FROM edges WHERE entity = 7 ORDER BY weight DESC, memory LIMIT 10) SELECT memory, entity, weight, o_orderpriority AS content FROM n LEFT JOIN orders ON o_orderkey = memory")
@@ -323,8 +323,7 @@ def keyword_overlap(spark, d):
 
 @query(f"WITH {EDGES} SELECT entity, count(*) AS mentions, round(least(0.95, 0.7 + 0.05 * count(*)), 6) AS confidence FROM edges GROUP BY 1 ORDER BY mentions DESC, entity LIMIT 10000")
 def known_entities(spark, d):
-    counted = edges(spark, d).groupBy("entity").agg(F.count(F.lit(1)).alias("mentions"))
-    return R.top(counted, 10_000, F.desc("mentions"), F.asc("entity")).withColumn("confidence", F.round(F.least(F.lit(0.95), 0.7 + 0.05 * F.col("mentions")), 6))
+    return I.known_entities(edges(spark, d)).withColumn("confidence", F.round("confidence", 6))
 
 
 DAYS = f"(epoch_us({NOW}) - epoch_us(ts)) / 86400000000.0::DOUBLE"

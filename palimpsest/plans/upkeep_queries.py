@@ -374,8 +374,8 @@ def fitting_memories(spark, d):
 SELECT event_id, round(s, 6) AS score FROM s ORDER BY round(s, 9) DESC, event_id LIMIT 10""")
 def memories_by_score(spark, d):
     e = read(spark, d, "events").withColumn("days", S.days_between(F.col("ts"), F.expr(NOW)))
-    scored = e.select("event_id", F.round(S.memory_score(F.lit("episodic"), F.lit("semantic"), F.lit(False), F.col("days"), F.col("value") / 100), 9).alias("score"))
-    return R.top(scored, 10, F.desc("score"), F.asc("event_id")).withColumn("score", F.round("score", 6))
+    score = S.memory_score(F.lit("episodic"), F.lit("semantic"), F.lit(False), F.col("days"), F.col("value") / 100)
+    return R.by_score(e.withColumn("id", F.col("event_id")), score, True).select("event_id", F.round("score", 6).alias("score"))
 
 
 @query("SELECT user_id, max(ts) AS last, count(*) >= 50 AND count(*) % 50 = 0 AS reflect FROM events GROUP BY 1")

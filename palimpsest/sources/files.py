@@ -39,6 +39,11 @@ def parse(path: str, content: bytes, pdf=None) -> tuple[str | None, str | None]:
 def read_documents(spark: SparkSession, folder: str, pdf=None) -> DataFrame:
     """path, text, file_hash and error of each supported file."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{pdf,docx,md,markdown}").option("recursiveFileLookup", "true").load(folder)
+    return parsed(files.select("path", "content", F.md5("content").alias("file_hash")), pdf)
+
+
+def parsed(files: DataFrame, pdf=None) -> DataFrame:
+    """path, text, file_hash and error of files (path, content, file_hash)."""
 
     def run(batches):
         for batch in batches:
@@ -46,12 +51,13 @@ def read_documents(spark: SparkSession, folder: str, pdf=None) -> DataFrame:
             found = [parse(p, c, pdf) for p, c in zip(paths, batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t for t, _ in found], pa.string()), batch.column(2), pa.array([e for _, e in found], pa.string())], ["path", "text", "file_hash", "error"])
 
-    return files.select("path", "content", F.md5("content").alias("file_hash")).mapInArrow(run, "path string, text string, file_hash string, error string")
+    return files.select("path", "content", "file_hash").mapInArrow(run, "path string, text string, file_hash string, error string")
 
 
 def write_daily(messages: DataFrame, folder: str) -> None:
-    """A bullet for each message, in a folder for each day."""
-    line = F.concat(F.lit("- ["), F.date_format("ts", "HH:mm"), F.lit("] "), F.col("content"))
+    """A bullet for each message (ts, content, and session_id if there is one), in a folder for each day."""
+    session = F.when(F.col("session_id").isNotNull(), F.concat(F.lit(" ("), "session_id", F.lit(")"))).otherwise("") if "session_id" in messages.columns else F.lit("")
+    line = F.concat(F.lit("- ["), F.date_format("ts", "HH:mm"), F.lit("]"), session, F.lit(" "), F.col("content"))
     messages.select(F.to_date("ts").alias("day"), line.alias("value")).write.mode("append").partitionBy("day").text(folder)
 
 

@@ -40,8 +40,9 @@ def first_messages(messages: DataFrame, session: str, text: str, ts: str = "ts",
 
 
 def documents_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """Files with their MD5 as they appear or change; hidden and other files aside."""
-    files = spark.readStream.format("binaryFile").option("pathGlobFilter", "*.{pdf,docx,md,markdown}").load(folder)
+    """Files with their MD5 as they appear; hidden and other files aside."""
+    held = "path string, modificationTime timestamp, length long, content binary"
+    files = spark.readStream.format("binaryFile").schema(held).option("pathGlobFilter", "*.{pdf,docx,md,markdown}").load(folder)
     return files.select("path", "modificationTime", "length", F.md5("content").alias("file_hash"), "content")
 
 
