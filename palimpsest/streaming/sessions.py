@@ -21,15 +21,16 @@ STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.e
 
 
 class Sessions(StatefulProcessor):
-    """State of a session: how many messages, the ids of the batch begun, and the last ids; forgotten ``keep_ms`` after the last change."""
+    """State of a session: how many messages, the ids of the batch begun, and the last ids; forgotten ``keep_ms`` after its last message, by the stream's watermark."""
 
     def __init__(self, size: int = BATCH, last: int = LAST, every: int = EVERY, keep_ms: int | None = None):
         self.size, self.last, self.every, self.keep_ms = size, last, every, keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.count = handle.getValueState("count", "n long, at timestamp", ttlDurationMs=self.keep_ms)
-        self.begun = handle.getListState("begun", "id long", ttlDurationMs=self.keep_ms)
-        self.recent = handle.getListState("recent", "id long", ttlDurationMs=self.keep_ms)
+        self.handle = handle
+        self.count = handle.getValueState("count", "n long, at timestamp")
+        self.begun = handle.getListState("begun", "id long")
+        self.recent = handle.getListState("recent", "id long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         new = pd.concat(list(rows)).sort_values(["ts", "id"])
@@ -48,6 +49,10 @@ class Sessions(StatefulProcessor):
         at = at if latest is None else max(at, pd.Timestamp(latest))
         recent = (recent + ids)[-self.last :]
         self.count.update((n, at.to_pydatetime()))
+        if self.keep_ms:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(int(at.timestamp() * 1000) + self.keep_ms)
         self._put(self.begun, waiting[whole:])
         self._put(self.recent, recent)
         yield pd.DataFrame({
@@ -55,6 +60,11 @@ class Sessions(StatefulProcessor):
             "batches": [[b.asDict() for b in batches]], "recent": [recent[::-1]],
         })
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        for state in (self.count, self.begun, self.recent):
+            state.clear()
+        return iter(())
+
     @staticmethod
     def _put(state, ids: list[int]) -> None:
         if ids:
@@ -66,16 +76,18 @@ class Sessions(StatefulProcessor):
         pass
 
 
-def session_states(messages: DataFrame, session: str, id: str, ts: str = "ts", size: int = BATCH, last: int = LAST, every: int = EVERY, keep_ms: int | None = None) -> DataFrame:
+def session_states(messages: DataFrame, session: str, id: str, ts: str = "ts", size: int = BATCH, last: int = LAST, every: int = EVERY, keep_ms: int | None = None, late: str = "0 seconds") -> DataFrame:
     """A row for each session with new messages: its number of messages, its last time, whether that number calls for a
     reflection, how many were due since the row before, the batches that became complete, and its last ids, the latest first.
 
     Messages of a trigger are taken in the order of time and id; those of a later trigger count as later. Null sessions are one.
+    With ``keep_ms``, a session without a message for so long, by the time of the messages, begins anew; ``late`` messages may come so late.
     """
     key = messages.schema[session].dataType.simpleString()
     rows = messages.select(F.col(session).alias("session"), F.col(id).cast("long").alias("id"), F.col(ts).cast("timestamp").alias("ts"))
+    rows = rows.withWatermark("ts", late) if keep_ms else rows
     return rows.groupBy("session").transformWithStateInPandas(
-        statefulProcessor=Sessions(size, last, every, keep_ms), outputStructType=OUTPUT.format(key=key), outputMode="Update", timeMode="ProcessingTime" if keep_ms else "None",
+        statefulProcessor=Sessions(size, last, every, keep_ms), outputStructType=OUTPUT.format(key=key), outputMode="Update", timeMode="EventTime" if keep_ms else "None",
     )
 
 
@@ -88,8 +100,8 @@ def run_sessions(spark: SparkSession, messages: DataFrame, sink: str, checkpoint
         rows.write.mode("overwrite").parquet(f"{sink}/trigger={number}")
 
     try:
-        query = session_states(messages, session, id, ts, **settings).writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-        query.awaitTermination()
+        stream = session_states(messages, session, id, ts, **settings).writeStream.foreachBatch(write).outputMode("update")
+        stream.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     finally:
         spark.conf.unset(STORE[0]) if before is None else spark.conf.set(STORE[0], before)
 

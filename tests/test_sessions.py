@@ -32,11 +32,12 @@ def test_sessions_of_a_stream_equal_those_of_a_table_after_a_restart(spark, tmp_
     assert sorted(map(tuple, states.groupBy("session").agg(F.sum("reflections")).collect())) == sorted(map(tuple, due.collect()))
 
 
-def test_an_old_state_is_forgotten(spark, tmp_path):
+def test_a_session_that_was_silent_for_long_begins_anew(spark, tmp_path):
     folder, sink, checkpoint = (str(tmp_path / n) for n in ("in", "out", "state"))
     schema = "event_id long, user_id string, ts timestamp"
-    for round_ in range(2):
-        rows = spark.range(7).select((F.col("id") + 7 * round_).alias("event_id"), F.lit("a").alias("user_id"), F.current_timestamp().alias("ts"))
+    for n, (user, hour) in enumerate((("a", 1), ("a", 2), ("b", 9), ("b", 10), ("a", 11))):
+        rows = spark.range(7).select((F.col("id") + 7 * n).alias("event_id"), F.lit(user).alias("user_id"), F.lit(f"2024-01-01 {hour:02}:00:00").cast("timestamp").alias("ts"))
         rows.coalesce(1).write.mode("append").parquet(folder)
-        sessions.run_sessions(spark, messages.event_stream(spark, folder, schema), sink, checkpoint, "user_id", "event_id", keep_ms=1)
-    assert [r["n"] for r in spark.read.parquet(sink).orderBy("trigger").collect()] == [7, 7]
+        sessions.run_sessions(spark, messages.event_stream(spark, folder, schema), sink, checkpoint, "user_id", "event_id", keep_ms=4 * 3_600_000)
+    found = [(r["session"], r["n"]) for r in spark.read.parquet(sink).where("session IS NOT NULL").orderBy("last", "trigger").collect()]
+    assert found == [("a", 7), ("a", 14), ("b", 7), ("b", 14), ("a", 7)]
