@@ -36,7 +36,7 @@ def bm25(docs: DataFrame, query: str, k: int = 10, held: DataFrame | None = None
         return docs.select("id", F.lit(0.0).alias("score")).limit(0)
     if held is None:
         all_words = words(F.col("text"))
-        sized = docs.select("id", all_words.alias("w")).select("id", F.size("w").cast("long").alias("size"), *[F.size(F.filter("w", lambda x, a=a: x == a)).cast("long").alias(f"n{i}") for i, a in enumerate(asked)])
+        sized = docs.select("id", all_words.alias("w")).select("id", F.size("w").cast("long").alias("size"), *[_count("w", a).alias(f"n{i}") for i, a in enumerate(asked)])
         total = sized.agg(F.count(F.when(F.col("size") > 0, 1)).alias("docs"), F.coalesce(F.avg(F.when(F.col("size") > 0, F.col("size"))), F.lit(1.0)).alias("mean"), *[F.count(F.when(F.col(f"n{i}") > 0, 1)).alias(f"d{i}") for i in range(len(asked))]).first()
         weights = [_idf(total["docs"], total[f"d{i}"]) for i in range(len(asked))]
         score = sum((F.lit(weights[i]) * _saturated(F.col(f"n{i}"), F.col("size"), total["mean"], k1, b) for i in range(len(asked))), F.lit(0.0))
@@ -50,6 +50,10 @@ def bm25(docs: DataFrame, query: str, k: int = 10, held: DataFrame | None = None
     return found.orderBy(F.desc(F.round("score", 9)), F.asc("id")).limit(k)
 
 
+def _count(words_: str, word: str) -> Column:
+    return F.size(F.filter(words_, lambda x: x == word)).cast("long")
+
+
 def query_words(query: str) -> list[str]:
     return re.findall("[a-z0-9_]+", query.lower())
 

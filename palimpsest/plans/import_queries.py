@@ -1,12 +1,12 @@
-"""Queries of the import of terms and of similarity joins at their own threshold, with their SQL."""
+"""Queries of the import of terms, similarity joins, components, co-occurrence by batches, BM25 and retrieval over two steps, with their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import graph as G, similar, store as M, term_import as I, terms as X
+from ..operators import components as K, graph as G, ranking as T, search as R, similar, store as M, term_import as I, terms as X
 from ..operators.checkpoints import cut
-from .queries import DOMAIN, SCORED, TONGUES, query, read, vectors
+from .queries import DOMAIN, EDGES, PAIRS, Q, SCORED, SIM, TONGUES, cooccurring, edges, first_vector, query, read, vectors
 
 # Words of the driver's texts that stand in for the lists of a domain.
 LISTS = {
@@ -101,3 +101,80 @@ def cooccurrence_merge(spark, d):
         links = cut(links.unionByName(fresh))
     refined = counts.where((F.col("in") + F.col("out")) % 5 == 0).select("in", "out", F.lit("supplies").alias("type"))
     return G.weighted(counts, held, 3, refined).withColumn("weight", F.round("weight", 6))
+
+
+@query(f"""WITH RECURSIVE p AS (SELECT a.vec_id AS u, b.vec_id AS v FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) > 0.4),
+e AS (SELECT u, v FROM p UNION SELECT v, u FROM p), reach AS (SELECT u AS node, u AS r FROM e UNION SELECT e.v, reach.r FROM reach JOIN e ON e.u = reach.node),
+roots AS (SELECT vec_id AS id, label + 1 AS frequency, 't' || vec_id AS name, coalesce(m, vec_id) AS root FROM embeddings LEFT JOIN (SELECT node, min(r) AS m FROM reach GROUP BY 1) ON node = vec_id),
+classes AS (SELECT root, arg_min(id, (-frequency, id)) AS primary_id, sum(frequency)::BIGINT AS total, list(name ORDER BY name) AS names FROM roots GROUP BY 1)
+SELECT id, primary_id, id = primary_id AS is_primary, CASE WHEN id = primary_id THEN total ELSE frequency END AS frequency, CASE WHEN id = primary_id THEN array_to_string(list_filter(names, lambda x: x <> name), ' ') ELSE '' END AS aliases FROM roots JOIN classes USING (root)""")
+def synonym_classes(spark, d):
+    v = vectors(spark, d)
+    relations = similar.pairs(v, 0.4).select(F.col("a").alias("in"), F.col("b").alias("out"), F.lit("synonym").alias("type"), F.col("similarity").alias("weight"))
+    terms = v.select("id", F.concat(F.lit("t"), "id").alias("name"), (F.col("type") + 1).cast("long").alias("frequency"))
+    return K.synonym_classes(relations, terms, 0.4).select("id", "primary_id", "is_primary", "frequency", F.array_join("aliases", " ").alias("aliases"))
+
+
+@query(f"""WITH RECURSIVE {COPIED}, e AS (SELECT a.id AS u, b.id AS v FROM copied a JOIN copied b ON a.id <> b.id AND list_cosine_similarity(a.v, b.v) >= 0.45),
+reach AS (SELECT u AS node, u AS r FROM e UNION SELECT e.v, reach.r FROM reach JOIN e ON e.u = reach.node) SELECT min(r) AS cluster, node AS memory FROM reach GROUP BY node""")
+def similar_clusters(spark, d):
+    return K.similar_clusters(_copied(spark, d), 0.45)
+
+
+ASKED = "the thing of anea nothere the"
+RANKED = f"""w AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS word FROM documents), sizes AS (SELECT id, count(*) AS size FROM w GROUP BY 1),
+total AS (SELECT count(*) AS docs, avg(size)::DOUBLE AS mean FROM sizes), n AS (SELECT id, word, count(*) AS n FROM w WHERE word IN ({", ".join(f"'{x}'" for x in sorted(set(ASKED.split())))}) GROUP BY ALL),
+d AS (SELECT word, count(*) AS d FROM n GROUP BY 1),
+ranked AS (SELECT id, sum(ln(1 + (docs - d + 0.5) / (d + 0.5)) * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * size / mean)))::DOUBLE AS score FROM n JOIN d USING (word) JOIN sizes USING (id), total GROUP BY 1)"""
+
+
+@query(f"WITH {RANKED} SELECT id, round(score, 6) AS score FROM ranked ORDER BY round(score, 9) DESC, id LIMIT 20")
+def bm25_topk(spark, d):
+    docs = read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    return T.bm25(docs, ASKED, 20).select("id", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {RANKED} SELECT id, round(score, 6) AS score FROM ranked ORDER BY round(score, 9) DESC, id LIMIT 20")
+def bm25_postings(spark, d):
+    docs = read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    return T.bm25(docs, ASKED, 20, T.postings(docs)).select("id", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH {RANKED}, q AS (SELECT embedding FROM embeddings WHERE vec_id = 0), s AS (SELECT e.vec_id AS id, {SIM} AS similarity FROM embeddings e, q),
+said AS (SELECT id, score AS bm25 FROM ranked ORDER BY round(score, 9) DESC, id LIMIT 100), near AS (SELECT * FROM s ORDER BY similarity DESC, id LIMIT 100),
+found AS (SELECT id, coalesce(bm25, 0) AS bm25 FROM said FULL JOIN near USING (id)), told AS (SELECT id, 0.5::DOUBLE * coalesce(similarity, 0) + 0.5::DOUBLE * bm25 / (SELECT max(bm25) FROM found) AS score FROM found LEFT JOIN s USING (id))
+SELECT id, round(score, 6) AS score FROM told ORDER BY score DESC, id LIMIT 10""")
+def hybrid_bm25(spark, d):
+    texts = read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    memories = texts.join(vectors(spark, d).select("id", "embedding"), "id", "left")
+    return T.hybrid_bm25(memories, ASKED, first_vector(spark, d)).select("id", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH {EDGES}, {PAIRS.format(least=1)}, {Q}, v AS (SELECT vec_id AS id, {SIM} AS v FROM embeddings e, q ORDER BY v DESC, id LIMIT 20),
+gr AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY weight DESC, memory) AS gk FROM edges WHERE entity IN (3, 5, 7)), g0 AS (SELECT memory AS id, max(weight) AS g FROM gr WHERE gk <= 20 GROUP BY 1),
+seeds AS (SELECT memory AS seed FROM edges WHERE entity = 3 ORDER BY weight DESC, memory LIMIT 3), mine AS (SELECT DISTINCT seed, entity AS i FROM edges JOIN seeds ON memory = seed),
+reach AS (SELECT DISTINCT seed, "out" AS entity FROM rel JOIN mine ON i = "in" WHERE weight >= 0.1), met AS (SELECT seed, memory, max(weight) AS weight FROM edges JOIN reach USING (entity) WHERE memory <> seed GROUP BY ALL),
+sp AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY weight DESC, memory) AS k FROM met), g AS (SELECT * FROM g0 UNION ALL SELECT memory, max(weight) FROM sp WHERE k <= 20 AND memory NOT IN (SELECT id FROM g0) GROUP BY 1),
+mg AS (SELECT id, greatest(v, g) AS score FROM v FULL JOIN g USING (id) ORDER BY score DESC, id LIMIT 30),
+h AS (SELECT id, list_distinct(list_filter(string_split_regex(lower(text), '[ \\t\\n\\r\\f\\v]+'), lambda w: length(w) > 3)) AS w, row_number() OVER (ORDER BY score DESC, id) - 1 AS r FROM mg JOIN documents ON doc_id = id),
+p AS (SELECT b.id, b.r, count(a.id) FILTER (WHERE len(list_intersect(a.w, b.w)) > 0.5 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)))) AS alike FROM h b LEFT JOIN h a ON a.r < b.r AND a.r < 5 GROUP BY ALL),
+s AS (SELECT id, r AS rank, greatest(0, 1 - 0.05 * r - 0.15 * alike) AS score FROM p) SELECT id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM s WHERE score >= 0.6 ORDER BY score DESC, rank LIMIT 5""")
+def multi_degree_retrieve(spark, d):
+    texts = read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    found = R.retrieve_multi_degree(vectors(spark, d), edges(spark, d), cooccurring(spark, d), texts, first_vector(spark, d), [3, 5, 7])
+    return found.withColumn("score", F.round("score", 6))
+
+
+def _longest_first(prompts):
+    """A model that orders the numbered lines of a prompt by their length, the first of equals first."""
+    rows = [[line for line in p.split("\n") if line.startswith("[")] for p in prompts]
+    return [" ".join(str(k) for k in sorted(range(len(r)), key=lambda k: (-len(r[k].split("] ", 1)[1]), k))) for r in rows]
+
+
+@query(r"""WITH h AS (SELECT doc_id AS id, n_chars, least(length(regexp_extract(text, '^[^\n]*', 0)), 200) AS size, list_distinct(list_filter(string_split_regex(lower(text), '[ \t\n\r\f\v]+'), lambda w: length(w) > 3)) AS w FROM documents ORDER BY n_chars DESC, doc_id LIMIT 30),
+o AS (SELECT *, row_number() OVER (ORDER BY size DESC, n_chars DESC, id) - 1 AS r FROM h),
+p AS (SELECT b.id, b.r, count(a.id) FILTER (WHERE len(list_intersect(a.w, b.w)) > 0.5 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)))) AS alike FROM o b LEFT JOIN o a ON a.r < b.r AND a.r < 5 GROUP BY ALL)
+SELECT id, round(greatest(0, 1 - 0.05 * r - 0.15 * alike), 6) AS score, CAST(r AS INTEGER) AS rank FROM p""")
+def model_rerank(spark, d):
+    docs = read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), F.col("n_chars").alias("score"), F.lit(None).cast("string").alias("cluster"))
+    return R.rerank(docs, order=R.said_order(docs, "the longest first line", _longest_first)).select("id", F.round("score", 6).alias("score"), "rank")
