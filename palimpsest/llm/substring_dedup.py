@@ -228,6 +228,11 @@ def _span_ends(spans) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(spans)), sizes), *(flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
 
 
+def _equal_words(a: bytes, b: bytes) -> bool:
+    """Whether two passages are the same words, whatever blanks stand between them."""
+    return a == b or a.split() == b.split()
+
+
 class _Tile:
     """Passages of a task that wait to be sent; of equal ones only the first is, the others are known to repeat it."""
 
@@ -249,6 +254,9 @@ class _Tile:
         last, now = order[:-1], order[1:]
         alike = np.r_[False, (route[now] == route[last]) & (same[now] == same[last])]
         head = order[np.maximum.accumulate(np.where(alike, 0, np.arange(len(order))))]
+        # hashes only bring passages together; that they are equal is told by their words
+        for k in np.flatnonzero(alike).tolist():
+            alike[k] = _equal_words(self.words[order[k]], self.words[head[k]])
         here = (late[order] == late[head]) & (ids[order] == ids[head]) & (a[order] == a[head])
         twice = np.r_[False, alike[1:] & here[1:] & (tags[now] == tags[last])]
         again = alike & ~here

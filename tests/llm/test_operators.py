@@ -690,3 +690,12 @@ def test_decontamination_tells_where_edited_copies_stand(spark):
     for d, t in texts:
         a, b = ([number.setdefault(w, len(number)) for w in x] for x in (item, t.split()))
         assert first_passage(a, b)[1:] == found[d]
+
+
+def test_passages_of_equal_hashes_are_told_apart_by_their_words():
+    tile = substring_dedup._Tile()
+    one = np.array([5, 5, 5], np.uint64)
+    tile.add(one, one, np.zeros(3, np.int32), np.array([1, 2, 3]), np.array([7, 8, 9]), np.zeros(3, np.int32), np.full(3, 2, np.int32), [b"a b c", b"a b d", b"a\nb  c"])
+    known = tile.collapse().to_pylist()
+    assert [(r["doc_id"], r["a"], r["b"]) for r in known] == [(3, 0, 2)]  # the same words, other blanks
+    assert [(r["doc_id"], r["words"]) for r in tile.send().to_pylist()] == [(1, b"a b c"), (2, b"a b d")]
