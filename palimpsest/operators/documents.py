@@ -301,27 +301,28 @@ def structure_class(score: Column) -> Column:
     return F.when(score >= 0.7, "structured").when(score >= 0.4, "semi").otherwise("unstructured")
 
 
-def context_windows(docs: DataFrame, word: str, around: int = 100, most: int = 3) -> DataFrame:
-    """The first stretches of text around a word, in any case, those that touch joined (E5); without the word, the text's start.
+def context_windows(docs: DataFrame, words: str | list[str], around: int = 100, most: int = 3) -> DataFrame:
+    """The first stretches of text around any of the words, in any case, those that touch joined (E5); without one, the text's start.
 
-    A row is answered by itself: the places of the word, then one fold that joins their stretches.
+    A row is answered by itself: the places of the words, then one fold that joins their stretches. Of words that begin at one place the first named counts.
     """
     blank = "array<struct<a: int, b: int>>"
-    pieces = F.split("text", F.concat(F.lit(r"(?iu)\Q"), F.lit(word), F.lit(r"\E")), -1)
-    size = len(word)
+    said = F.lit("(?iu)" + "|".join(rf"\Q{w}\E" for w in ([words] if isinstance(words, str) else words)))
     # The fold's state: the end of the text before the next place, the stretches that are done, and the one in hand.
     start = F.struct(F.lit(0).alias("at"), F.array().cast(blank).alias("done"), F.lit(-1).alias("a"), F.lit(-1).alias("b"))
 
     def step(s, n):
-        at = s["at"] + n
-        lo, hi = F.greatest(F.lit(0), at - around), at + size + around
+        at = s["at"] + n["before"]
+        lo, hi = F.greatest(F.lit(0), at - around), at + n["size"] + around
         joined = (s["a"] >= 0) & (lo <= s["b"])
         done = F.when(joined | (s["a"] < 0) | (F.size(s["done"]) >= most), s["done"]).otherwise(F.concat(s["done"], F.array(F.struct(s["a"].alias("a"), s["b"].alias("b")))))
-        return F.struct((at + size).alias("at"), done.alias("done"), F.when(joined, s["a"]).otherwise(lo).alias("a"), hi.alias("b"))
+        return F.struct((at + n["size"]).alias("at"), done.alias("done"), F.when(joined, s["a"]).otherwise(lo).alias("a"), hi.alias("b"))
 
-    lengths = F.transform(F.slice("p", 1, F.greatest(F.size("p") - 1, F.lit(0))), F.length)
-    folded = F.aggregate(lengths, start, step, lambda s: F.when(s["a"] < 0, s["done"]).otherwise(F.concat(s["done"], F.array(F.struct(s["a"].alias("a"), s["b"].alias("b"))))))
-    found = docs.where("text IS NOT NULL").select("doc_id", F.length("text").alias("n"), pieces.alias("p")).select("doc_id", "n", folded.alias("s"))
+    pieces = F.transform(F.slice("p", 1, F.greatest(F.size("p") - 1, F.lit(0))), F.length)
+    places = F.zip_with(pieces, F.transform("m", F.length), lambda before, size: F.struct(before.alias("before"), size.alias("size")))
+    folded = F.aggregate(places, start, step, lambda s: F.when(s["a"] < 0, s["done"]).otherwise(F.concat(s["done"], F.array(F.struct(s["a"].alias("a"), s["b"].alias("b"))))))
+    held = docs.where("text IS NOT NULL").select("doc_id", F.length("text").alias("n"), F.split("text", said, -1).alias("p"), F.regexp_extract_all("text", said, F.lit(0)).alias("m"))
+    found = held.select("doc_id", "n", folded.alias("s"))
     whole = F.array(F.struct(F.lit(0).alias("a"), F.lit(2 * around).alias("b")))
     rows = found.select("doc_id", "n", F.posexplode(F.slice(F.when(F.size("s") > 0, F.col("s")).otherwise(whole), 1, most)).alias("k", "s"))
     return rows.select("doc_id", (F.col("k") + 1).cast("long").alias("island"), F.col("s.a").cast("long").alias("start"), F.least("s.b", "n").cast("long").alias("end"))

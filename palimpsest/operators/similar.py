@@ -23,6 +23,8 @@ BLOCK = 2048
 PIVOTS, SAMPLE, WORTH = 64, 2048, 0.5
 #: Share of a block's pairs from which all are multiplied in full at once.
 DENSE = 0.05
+#: The share of the dimensions that bound a product, and the threshold, add up to this.
+HEAD = 1.2
 #: Rows of sizes that are broadcast; more are joined by shuffle.
 BROADCAST = 100_000
 _SLACK = 1e-9
@@ -33,7 +35,9 @@ def compare(a: np.ndarray, b: np.ndarray, least: float) -> tuple[np.ndarray, np.
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     full, width = 0, a.shape[1]
     order = np.argsort(-(a * a).sum(axis=0) - (b * b).sum(axis=0), kind="stable")
-    head, tail = order[: max(8, width // 4)], order[max(8, width // 4) :]
+    # the others can add their share of the norm, which the threshold must exceed by enough
+    size = max(8, int(np.ceil(width * min(1.0, HEAD - least))))
+    head, tail = order[:size], order[size:]
     for i in range(0, len(a), BLOCK):
         x = a[i : i + BLOCK]
         for j in range(0, len(b), BLOCK):

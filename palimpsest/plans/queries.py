@@ -537,9 +537,16 @@ def diverse_sample(spark, d):
     return D.diverse_sample(read(spark, d, "documents"), "source").select("source", "doc_id")
 
 
-@query(None)
+@query("""WITH s AS (SELECT doc_id, length(text) AS n, string_split_regex(text, '(?i)idiot|stupid|license') AS p, regexp_extract_all(text, '(?i)idiot|stupid|license') AS m FROM documents WHERE text IS NOT NULL),
+u AS (SELECT *, unnest(range(1, len(m) + 1)) AS k FROM s),
+places AS (SELECT doc_id, n, k, list_sum(list_transform(list_slice(p, 1, k), lambda x: length(x))) + coalesce(list_sum(list_transform(list_slice(m, 1, k - 1), lambda x: length(x))), 0) AS spot, length(m[k]) AS size FROM u),
+spans AS (SELECT doc_id, n, k, greatest(0, spot - 100) AS lo, spot + size + 100 AS hi FROM places),
+opened AS (SELECT *, CASE WHEN lo <= lag(hi) OVER (PARTITION BY doc_id ORDER BY k) THEN 0 ELSE 1 END AS new FROM spans),
+islands AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY k) AS island FROM opened)
+SELECT doc_id, island::BIGINT AS island, min(lo)::BIGINT AS start, least(max(hi), any_value(n))::BIGINT AS "end" FROM islands WHERE island <= 3 GROUP BY ALL
+UNION ALL SELECT doc_id, 1, 0, least(200, n) FROM s WHERE len(m) = 0""")
 def context_windows(spark, d):
-    return D.context_windows(read(spark, d, "documents"), "idiot")
+    return D.context_windows(read(spark, d, "documents"), ["idiot", "stupid", "license"])
 
 
 @query(None)
