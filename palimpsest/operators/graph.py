@@ -42,10 +42,9 @@ def _links(edges: DataFrame, new: bool = True) -> DataFrame:
 
 
 def cooccurrence(edges: DataFrame, least: int = 3, block: int = 1000) -> DataFrame:
-    """Pairs of entities in ``least`` memories or more, weighted by their mentions."""
-    own = _links(edges)
-    counts = entity_pairs(own, block).groupBy("in", "out").agg(F.count(F.lit(1)).alias("n"))
-    return weighted(counts, mentions(own), least).select("in", "out", "n", "weight")
+    """Pairs of entities in ``least`` memories or more, weighted by their mentions (C12); a mention without a memory counts as one."""
+    counts = entity_pairs(_links(edges), block).groupBy("in", "out").agg(F.count(F.lit(1)).alias("n"))
+    return weighted(counts, mentions(edges.select("memory", "entity").distinct()), least).select("in", "out", "n", "weight")
 
 
 def mentions(links: DataFrame) -> DataFrame:
@@ -71,7 +70,7 @@ def weighted(counts: DataFrame, held: DataFrame, least: int = 3, refined: DataFr
 def added_pairs(held: DataFrame, new: DataFrame, block: int = 1000) -> tuple[DataFrame, DataFrame]:
     """The pairs (memory, in, out) and the links (memory, entity) that new links add to those held: only memories with a new link are paired.
 
-    A link that is held already, or comes twice, adds nothing. The pairs are the evidence of their relation; their numbers add up to its count.
+    A link that is held already, or comes twice, or has a null end adds nothing. The pairs are the evidence of their relation; their numbers add up to its count.
     """
     fresh = _links(new).join(held.select("memory", "entity"), ["memory", "entity"], "left_anti")
     old = _links(held.join(fresh.select("memory").distinct(), "memory", "left_semi"), False)
