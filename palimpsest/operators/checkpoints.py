@@ -1,4 +1,4 @@
-"""Cuts of lineage in the folder that the cluster names."""
+"""Cuts of lineage in the folder that the cluster names, and rows spread over its cores."""
 
 from __future__ import annotations
 
@@ -17,3 +17,9 @@ def cut(df: DataFrame) -> DataFrame:
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "checkpoints"))
     return df.checkpoint()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows of a scan in as many partitions as there are cores, if it has fewer: a table so small that dealing it out costs less than the work on each row."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

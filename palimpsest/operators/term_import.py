@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import graph as G, terms as X
-from .checkpoints import cut
+from .checkpoints import cut, spread
 
 #: Terms of a block that are judged, and kept; what a term must have to become a seed.
 BEST, LEAST_FREQ, SEED_CONFIDENCE, SEED_FREQ = 200, 2, 0.95, 50
@@ -80,9 +80,8 @@ def candidates(blocks: DataFrame, settings: Settings, best: int = BEST, least_fr
             return [(GENERAL, 0.0, [GENERAL], None, None, None, None, "no text")]
         domain, confidence, lists = domains.detect(text)
         weights = {**X.WEIGHTS, **settings.get(domain, {}).get("weights", {})}
-        kept = [m for m in X.measured(X.grams(text), weights=weights) if m[1] >= least_freq and 3 <= len(m[0]) <= 50]
-        kept.sort(key=lambda m: (-round(m[5], 9), m[0]))
-        return [(domain, confidence, lists, None, None, None, None, None)] + [(domain, confidence, lists, m[0], m[1], m[2], m[5], None) for m in kept[:best]]
+        kept = X.best_terms(X.grams(text), weights=weights, least_freq=least_freq, shortest=3, longest=50, best=best)
+        return [(domain, confidence, lists, None, None, None, None, None)] + [(domain, confidence, lists, m[0], m[1], m[2], m[5], None) for m in kept]
 
     def run(batches):
         domains = Domains(settings)
@@ -100,7 +99,7 @@ def candidates(blocks: DataFrame, settings: Settings, best: int = BEST, least_fr
             columns = zip(*rows) if rows else ((),) * 8
             yield pa.RecordBatch.from_arrays([batch.column(0).take(took), batch.column(1).take(took), *[pa.array(c, t) for c, t in zip(columns, types)]], names)
 
-    return blocks.select("doc", "block", "text").mapInArrow(run, schema)
+    return spread(blocks.select("doc", "block", "text")).mapInArrow(run, schema)
 
 
 def judged(found: DataFrame, settings: Settings, cache: DataFrame | None = None) -> DataFrame:

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.texts import CAMEL_PART, TERM_PATTERNS, TERM_STOPWORDS, WORD_PATTERN, case_pattern, term_kind
+from .checkpoints import spread
 
 # The core terms of each domain, in the domains' order, which decides ties. Fuller lists of keywords are a parameter.
 CORE = {
@@ -106,6 +107,8 @@ def grams(text: str, most: int = 3, least: int = 3) -> Counter:
 def _shape(term: str) -> float:
     if term[:3].lower() == "pg_":
         return 3.0
+    if " " in term:  # runs hold plain words only, without hyphens and inner capitals
+        return 2.0 if len(term) <= 8 and term.upper() == term else 1.0
     if "-" in term:
         return 1.5
     return 2.0 if (len(term) <= 8 and term.upper() == term) or _CAMEL.search(term) else 1.0
@@ -124,7 +127,7 @@ def term_counts(docs: DataFrame, most: int = 3, least: int = 3) -> DataFrame:
                 counts += held.values()
             yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(terms, pa.string()), pa.array(counts, pa.int64())], ["doc_id", "term", "freq"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, term string, freq long")
+    return spread(docs.select("doc_id", "text")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, term string, freq long")
 
 
 #: Weights of the measures in a term's score.
@@ -138,23 +141,43 @@ def measured(held: Counter, most: int = 3, weights: dict[str, float] = WEIGHTS)
     the frequency, less the mean frequency of the longer terms that hold it: a term of two words is held by one of three that has both in this order (H5, C15).
     The score is their weighted sum with the logarithm of the frequency and the length, 0 at least (H8).
     """
-    total = sum(held.values())
+    terms, freq, _, size, tfidf, cvalue, score = _measures(held, most, weights)
+    return list(zip(terms, freq.tolist(), size.tolist(), tfidf.tolist(), cvalue.tolist(), score.tolist()))
+
+
+def _measures(held: Counter, most: int, weights: dict[str, float]) -> tuple:
+    """Terms, and arrays of their freq, length in characters, len, tfidf, cvalue and score."""
+    terms, freq = list(held), np.fromiter(held.values(), np.int64, len(held))
+    size = np.fromiter((t.count(" ") + 1 for t in terms), np.int64, len(terms))
     nested: dict[str, list[int]] = {}
-    for term, freq in held.items():
-        w = term.split(" ")
-        if len(w) == 3:
-            for pair in {f"{w[0]} {w[1]}", f"{w[0]} {w[2]}", f"{w[1]} {w[2]}"}:
-                if pair in held:
-                    nested.setdefault(pair, []).append(freq)
-    out = []
-    for term, freq in held.items():
-        size = term.count(" ") + 1
-        tfidf, cvalue = freq / total * _shape(term), math.log2(size) * freq
-        if term in nested:
-            cvalue = max(0.0, math.log2(size) * (freq - sum(nested[term]) / len(nested[term])))
-        score = weights["tfidf"] * tfidf + weights["cvalue"] * cvalue + weights["freq"] * math.log2(1 + freq) + weights["length"] * size / most
-        out.append((term, freq, size, tfidf, cvalue, max(0.0, score)))
-    return out
+    for k in np.flatnonzero(size == 3).tolist():
+        a, b, c = terms[k].split(" ")
+        for pair in {f"{a} {b}", f"{a} {c}", f"{b} {c}"}:
+            if pair in held:
+                nested.setdefault(pair, []).append(int(freq[k]))
+    shape = np.fromiter(map(_shape, terms), np.float64, len(terms))
+    tfidf = freq / max(1, int(freq.sum())) * shape
+    mean = np.zeros(len(terms))
+    if nested:
+        own = np.flatnonzero(size == 2)
+        mean[own] = [sum(n) / len(n) if (n := nested.get(terms[k])) else 0.0 for k in own.tolist()]
+    cvalue = np.log2(size) * (freq - mean)
+    cvalue = np.where(mean > 0, np.maximum(0.0, cvalue), cvalue)
+    score = weights["tfidf"] * tfidf + weights["cvalue"] * cvalue + weights["freq"] * np.log2(1 + freq) + weights["length"] * size / most
+    return terms, freq, np.fromiter(map(len, terms), np.int64, len(terms)), size, tfidf, cvalue, np.maximum(0.0, score)
+
+
+def best_terms(held: Counter, most: int = 3, weights: dict[str, float] = WEIGHTS, least_freq: int = 1, shortest: int = 0, longest: int | None = None, best: int | None = None) -> list[tuple]:
+    """As ``measured``, the frequent ones of fit length, the best first, ``best`` of them at most; scores count to nine digits, ties go by the term."""
+    if not held:
+        return []
+    terms, freq, letters, size, tfidf, cvalue, score = _measures(held, most, weights)
+    fit = np.flatnonzero((freq >= least_freq) & (letters >= shortest) & (letters <= (longest or letters.max())))
+    rounded = np.round(score, 9)
+    if best is not None and len(fit) > best:
+        fit = fit[rounded[fit] >= -np.partition(-rounded[fit], best - 1)[best - 1]]
+    order = sorted(fit.tolist(), key=lambda k: (-rounded[k], terms[k]))[:best]
+    return [(terms[k], int(freq[k]), int(size[k]), float(tfidf[k]), float(cvalue[k]), float(score[k])) for k in order]
 
 
 def scored_terms(docs: DataFrame, most: int = 3, least: int = 3, weights: dict[str, float] = WEIGHTS, least_freq: int = 1, shortest: int = 0, longest: int | None = None, best: int | None = None) -> DataFrame:
@@ -169,16 +192,14 @@ def scored_terms(docs: DataFrame, most: int = 3, least: int = 3, weights: dict[s
         for batch in batches:
             ids, rows = [], []
             for doc, text in zip(*(c.to_pylist() for c in batch.columns)):
-                kept = [r for r in measured(grams(text or "", most, least), most, weights) if r[1] >= least_freq and shortest <= len(r[0]) and (longest is None or len(r[0]) <= longest)]
-                kept.sort(key=lambda r: (-round(r[5], 9), r[0]))
-                kept = kept[:best]
+                kept = best_terms(grams(text or "", most, least), most, weights, least_freq, shortest, longest, best)
                 ids += [doc] * len(kept)
                 rows += [(*r, k) for k, r in enumerate(kept, 1)]
             columns = zip(*rows) if rows else ((),) * 7
             types = [pa.string(), pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), *[pa.array(c, t) for c, t in zip(columns, types)]], names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, term string, freq long, len int, tfidf double, cvalue double, score double, rank int")
+    return spread(docs.select("doc_id", "text")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, term string, freq long, len int, tfidf double, cvalue double, score double, rank int")
 
 
 def extract(docs: DataFrame, least_freq: int = 2, shortest: int = 3, longest: int = 50, most: int = 3, weights: dict[str, float] = WEIGHTS) -> DataFrame:
