@@ -8,6 +8,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from . import search as R
+from .checkpoints import cut, spread
 
 #: How soon a word's count saturates, and how far a document's length counts.
 K1, B = 1.2, 0.75
@@ -36,7 +37,8 @@ def bm25(docs: DataFrame, query: str, k: int = 10, held: DataFrame | None = None
         return docs.select("id", F.lit(0.0).alias("score")).limit(0)
     if held is None:
         all_words = words(F.col("text"))
-        sized = docs.select("id", all_words.alias("w")).select("id", F.size("w").cast("long").alias("size"), *[_count("w", a).alias(f"n{i}") for i, a in enumerate(asked)])
+        sized = spread(docs.select("id", "text")).select("id", all_words.alias("w")).select("id", F.size("w").cast("long").alias("size"), *[_count("w", a).alias(f"n{i}") for i, a in enumerate(asked)])
+        sized = cut(sized)  # a few numbers a document, so that the texts are read once
         total = sized.agg(F.count(F.when(F.col("size") > 0, 1)).alias("docs"), F.coalesce(F.avg(F.when(F.col("size") > 0, F.col("size"))), F.lit(1.0)).alias("mean"), *[F.count(F.when(F.col(f"n{i}") > 0, 1)).alias(f"d{i}") for i in range(len(asked))]).first()
         weights = [_idf(total["docs"], total[f"d{i}"]) for i in range(len(asked))]
         score = sum((F.lit(weights[i]) * _saturated(F.col(f"n{i}"), F.col("size"), total["mean"], k1, b) for i in range(len(asked))), F.lit(0.0))
