@@ -46,6 +46,12 @@ def test_query_without_sql_runs(spark, name):
     assert QUERIES[name](spark, FOLDER).count() >= 0
 
 
+def test_extracted_terms_are_rows(spark):
+    texts = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text").collect()
+    wanted = sorted((r.doc_id, t, n) for r in texts for t, n in terms.grams(r.text or "").items() if n >= 3 and 3 <= len(t) <= 50)
+    assert sorted(tuple(r) for r in QUERIES["extracted_terms"](spark, FOLDER).select("doc_id", "term", "freq").collect()) == wanted
+
+
 def test_chunks_keep_every_word():
     text = "\n\n".join(" ".join(f"w{i}-{j}." for j in range(n)) for i, n in enumerate([3, 400, 1, 50, 2]))
     parts = documents.chunk_text(text, 200)
