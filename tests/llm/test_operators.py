@@ -134,6 +134,19 @@ def test_one_of_each_class_stays_by_row(spark):
     assert ngram_join.one_of_each(df.where("false"), 5, 80).count() == 0
 
 
+def test_one_of_each_keeps_no_prefixes_on_disk(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(i, " ".join(words(rng, 400, 10**6))) for i in range(300)]
+    held = spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    try:
+        spark.sparkContext.setCheckpointDir(str(tmp_path))
+        assert ngram_join.one_of_each(frame(spark, rows), 5, 80).count() == 300
+    finally:
+        spark.sparkContext._jsc.sc().setCheckpointDir(held)
+    written = sum(f.stat().st_size for f in tmp_path.rglob("*") if f.is_file())
+    assert written < 0.1 * sum(len(t) for _, t in rows)
+
+
 def test_local_links_joins_a_set_with_unshared_ngrams():
     a, b = np.arange(58, dtype=np.uint64), np.arange(100, 106, dtype=np.uint64)
     sets = [np.r_[a, b], np.r_[a, np.arange(200, 203, dtype=np.uint64)]]
