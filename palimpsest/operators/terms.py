@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.texts import CAMEL_PART, TERM_PATTERNS, TERM_STOPWORDS, WORD_PATTERN, case_pattern, term_kind
-from .checkpoints import spread
+from .checkpoints import short_batches, spread
 
 # The core terms of each domain, in the domains' order, which decides ties. Fuller lists of keywords are a parameter.
 CORE = {
@@ -114,19 +115,38 @@ def _shape(term: str) -> float:
     return 2.0 if (len(term) <= 8 and term.upper() == term) or _CAMEL.search(term) else 1.0
 
 
+#: Rows of a batch that leaves a task, after which it holds at most one text's more.
+TOLD = 20_000
+
+
+def _told(batches, make: Callable, fields: list[tuple[str, pa.DataType]]):
+    """Batches of doc_id and the rows that ``make`` gives for each text: some texts' at a time, as terms are many times larger than their text."""
+    ids, rows, kind = [], [], None
+
+    def batch_of():
+        columns = list(zip(*rows))
+        return pa.RecordBatch.from_arrays([pa.array(ids, kind), *[pa.array(c, t) for c, (_, t) in zip(columns, fields)]], ["doc_id", *[n for n, _ in fields]])
+
+    for batch in batches:
+        kind = batch.schema.field(0).type
+        for doc, text in zip(*batch.columns):
+            made = make(text.as_py() or "")
+            ids += [doc.as_py()] * len(made)
+            rows += made
+            if len(rows) >= TOLD:
+                yield batch_of()
+                ids, rows = [], []
+    if rows:
+        yield batch_of()
+
+
 def term_counts(docs: DataFrame, most: int = 3, least: int = 3) -> DataFrame:
     """doc_id, term and freq of each row's n-grams (H3, D10), counted where the text is, so that only different terms leave the row."""
 
     def run(batches):
-        for batch in batches:
-            ids, terms, counts = [], [], []
-            for doc, text in zip(*(c.to_pylist() for c in batch.columns)):
-                held = grams(text or "", most, least)
-                ids += [doc] * len(held)
-                terms += held.keys()
-                counts += held.values()
-            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(terms, pa.string()), pa.array(counts, pa.int64())], ["doc_id", "term", "freq"])
+        yield from _told(batches, lambda text: list(grams(text, most, least).items()), [("term", pa.string()), ("freq", pa.int64())])
 
+    short_batches(docs.sparkSession)
     return spread(docs.select("doc_id", "text")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, term string, freq long")
 
 
@@ -186,19 +206,17 @@ def scored_terms(docs: DataFrame, most: int = 3, least: int = 3, weights: dict[s
     A row is read, counted and measured in one task, and only the terms that are frequent and of fit length, ``best``
     of them at most, leave it: nothing is shuffled. Scores are compared to nine digits, ties go by the term. Rows of one doc_id are texts of their own; null texts have no terms.
     """
-    names = ["doc_id", "term", "freq", "len", "tfidf", "cvalue", "score", "rank"]
+    types = [pa.string(), pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.int32()]
+    fields = list(zip(["term", "freq", "len", "tfidf", "cvalue", "score", "rank"], types))
+
+    def ranked(text):
+        kept = best_terms(grams(text, most, least), most, weights, least_freq, shortest, longest, best)
+        return [(*r, k) for k, r in enumerate(kept, 1)]
 
     def run(batches):
-        for batch in batches:
-            ids, rows = [], []
-            for doc, text in zip(*(c.to_pylist() for c in batch.columns)):
-                kept = best_terms(grams(text or "", most, least), most, weights, least_freq, shortest, longest, best)
-                ids += [doc] * len(kept)
-                rows += [(*r, k) for k, r in enumerate(kept, 1)]
-            columns = zip(*rows) if rows else ((),) * 7
-            types = [pa.string(), pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), *[pa.array(c, t) for c, t in zip(columns, types)]], names)
+        yield from _told(batches, ranked, fields)
 
+    short_batches(docs.sparkSession)
     return spread(docs.select("doc_id", "text")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, term string, freq long, len int, tfidf double, cvalue double, score double, rank int")
 
 

@@ -52,6 +52,18 @@ def test_extracted_terms_are_rows(spark):
     assert sorted(tuple(r) for r in QUERIES["extracted_terms"](spark, FOLDER).select("doc_id", "term", "freq").collect()) == wanted
 
 
+def test_terms_leave_a_task_in_short_batches(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(terms, "TOLD", 50)
+    texts_ = [f"alpha-{chr(97 + i)}x BETA GammaDelta some plain words follow here {'pg_x ' * i}" for i in range(20)] + [None, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(22)), pa.array(texts_)], ["doc_id", "text"])
+    found = list(terms._told([batch, batch], lambda t: list(terms.grams(t).items()), [("term", pa.string()), ("freq", pa.int64())]))
+    most = max(len(terms.grams(t or "")) for t in texts_)
+    assert len(found) > 2 and all(b.num_rows < 50 + most for b in found)
+    assert [tuple(r.values()) for b in found for r in b.to_pylist()] == [(i, *kv) for _ in range(2) for i, t in enumerate(texts_) for kv in terms.grams(t or "").items()]
+
+
 def test_chunks_keep_every_word():
     text = "\n\n".join(" ".join(f"w{i}-{j}." for j in range(n)) for i, n in enumerate([3, 400, 1, 50, 2]))
     parts = documents.chunk_text(text, 200)
