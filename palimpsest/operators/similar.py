@@ -2,8 +2,9 @@
 
 Vectors are normalised once and dealt to cells of pivots where that prunes: a pair at the threshold can
 stand in two cells only if one of its vectors lies near the plane between their pivots, so that
-vector visits the other's cell. A cell is cut into blocks, every two of which meet in a task of their
-own; so tasks follow the data, whatever a group holds. In a task the products of the dimensions that
+vector visits the other's cell. A cell that is large is cut into blocks, each one row, and every two of them meet in
+a Cartesian product, which reads the blocks where they were saved: nothing is copied for it, so that disk grows with the
+vectors and only the work with the pairs. In a task the products of the dimensions that
 vary most bound each cosine (what the others can add is at most the product of their norms), and
 only pairs whose bound reaches the threshold are multiplied in full.
 """
@@ -17,8 +18,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-#: Rows of a block, at most about.
-BLOCK = 2048
+from .checkpoints import cut, short_batches
+
+#: Rows that are multiplied at once, and rows of a block, at most about.
+BLOCK, PACKED = 2048, 8192
 #: Pivots, the vectors that they are drawn from, and the share of pairs up to which cells are worth their copies.
 PIVOTS, SAMPLE, WORTH = 64, 2048, 0.5
 #: Share of a block's pairs from which all are multiplied in full at once.
@@ -135,25 +138,32 @@ def _placed(rows: DataFrame, cells: Cells | None, both: bool) -> DataFrame:
     return placed.withColumn("cell", F.struct("cell", F.size("v").alias("size")))
 
 
-def _units(placed: DataFrame, block: int) -> DataFrame:
-    """Rows with ``lo`` and ``hi``, the blocks of their cell that meet, and ``block``, their own: a copy for each block of the cell."""
+def _sized(placed: DataFrame, block: int) -> tuple[DataFrame, int]:
+    """Groups' cells (g, c) of more than ``block`` rows with the number of their blocks, broadcast if they are few; and the blocks of all."""
     large = placed.groupBy("group", "cell").count().where(F.col("count") > block)
-    large = large.select(F.col("group").alias("g"), F.col("cell").alias("c"), F.ceil(F.col("count") / block).cast("int").alias("blocks"))
-    few = large.limit(BROADCAST + 1).count() <= BROADCAST
-    same = F.col("group").eqNullSafe(F.col("g")) & (F.col("cell") == F.col("c"))
-    dealt = placed.join(F.broadcast(large) if few else large, same, "left").drop("g", "c")
-    dealt = dealt.withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return dealt.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).drop("other", "blocks")
+    large = cut(large.select(F.col("group").alias("g"), F.col("cell").alias("c"), F.ceil(F.col("count") / block).cast("int").alias("blocks")))
+    cells, blocks = large.agg(F.count(F.lit(1)), F.sum("blocks")).first()
+    return (F.broadcast(large) if cells <= BROADCAST else large), blocks or 0
 
 
-def _meet(least: float, both: bool, emit: Callable, key: tuple, table: pa.Table) -> pa.Table:
-    """What ``emit`` makes of all matches of two blocks (or of one with itself)."""
+def _pack(key: tuple, table: pa.Table) -> pa.Table:
+    """A block as one row."""
     table = table.combine_chunks()
-    ids, block = table["id"].to_numpy(), table["block"].to_numpy()
-    v = table["v"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
-    first = ~table["side"].to_numpy() if both else table["home"].to_numpy()
-    lo, hi = key[2].as_py(), key[3].as_py()
+    lists = {c: pa.array([table[c].to_pylist()], pa.list_(table[c].type)) for c in ("id", "side", "home")}
+    v = table["v"].combine_chunks().flatten().to_numpy()
+    return pa.table({"group": pa.array([key[0].as_py()], key[0].type), "cell": pa.array([key[1].as_py()], key[1].type), "block": pa.array([key[2].as_py()], key[2].type), **lists, "v": pa.array([v.tobytes()], pa.binary())})
+
+
+def _packed(dealt: DataFrame, blocks: int) -> DataFrame:
+    kind, group = (dealt.schema[c].dataType.simpleString() for c in ("id", "group"))
+    dealt = dealt.repartition(blocks, "group", "cell", "block")
+    packed = dealt.groupBy("group", "cell", "block").applyInArrow(_pack, f"`group` {group}, cell struct<cell:int,size:int>, block int, id array<{kind}>, side array<boolean>, home array<boolean>, v binary")
+    return cut(packed).coalesce(blocks)
+
+
+def _meet(least: float, both: bool, emit: Callable, lo: int, hi: int, ids: np.ndarray, kind, block: np.ndarray, v: np.ndarray, side: np.ndarray, home: np.ndarray) -> pa.Table:
+    """What ``emit`` makes of all matches of two blocks (or of one with itself)."""
+    first = ~side if both else home
     rows = lambda condition: np.flatnonzero(condition)
     if both:  # new ones with stored ones
         meetings = [(rows(first & (block == lo)), rows(~first & (block == hi)))] + ([(rows(first & (block == hi)), rows(~first & (block == lo)))] if lo < hi else [])
@@ -167,8 +177,8 @@ def _meet(least: float, both: bool, emit: Callable, key: tuple, table: pa.Table)
             p, q, s, _ = compare(v[a[k : k + BLOCK]], v[b], least)
             p, q = a[k : k + BLOCK][p], b[q]
             once = p < q if not both and lo == hi and n == 0 else np.ones(len(p), bool)
-            found.append(emit(ids[p[once]], ids[q[once]], s[once], table["id"].type))
-    return pa.concat_tables(found) if found else emit(ids[:0], ids[:0], np.zeros(0), table["id"].type)
+            found.append(emit(ids[p[once]], ids[q[once]], s[once], kind))
+    return pa.concat_tables(found) if found else emit(ids[:0], ids[:0], np.zeros(0), kind)
 
 
 def _ordered(a, b):
@@ -197,6 +207,23 @@ def _emit_new(a, b, s, kind):
     return pa.table({"a": pa.array(one, kind), "b": pa.array(one, kind), "similarity": pa.array(np.zeros(len(one)))})
 
 
+def _emit_roots(a, b, s, kind):
+    """Each id with the smallest one that the matches connect it to: no more rows than ids."""
+    names, ends = np.unique(np.r_[a, b], return_inverse=True)
+    u, v = ends[: len(a)], ends[len(a) :]
+    root = np.arange(len(names))
+    while True:
+        least = root.copy()
+        np.minimum.at(least, u, root[v])
+        np.minimum.at(least, v, root[u])
+        least = least[least]
+        if (least == root).all():
+            break
+        root = least
+    moved = np.flatnonzero(root != np.arange(len(names)))
+    return pa.table({"a": pa.array(names[root[moved]], kind), "b": pa.array(names[moved], kind), "similarity": pa.array(np.zeros(len(moved)))})
+
+
 def _rows(rows: DataFrame, within: Column | None, side: bool) -> DataFrame:
     group = within if within is not None else F.lit(0)
     return rows.select("id", F.col("embedding").cast("array<double>").alias("embedding"), group.alias("group"), F.lit(side).alias("side")).where(F.size("embedding") > 0)
@@ -207,17 +234,42 @@ def _joined(rows: DataFrame, least: float, both: bool, emit: Callable, block: in
         raise ValueError("the threshold must be above 0, and 1 at most")
     cells, few = _cells(rows, least)
     placed = _placed(rows, cells, both)
-    # a cell has a copy of a row at most, so that of few rows none is beyond one block
-    units = placed.withColumns({c: F.lit(0) for c in ("block", "lo", "hi")}) if few is not None and few <= block else _units(placed, block)
     kind = rows.schema["id"].dataType.simpleString()
+    found = f"a {kind}, b {kind}, similarity double"
 
-    def run(key, table):
-        return _meet(least, both, emit, key, table)
+    def alone(key, table):
+        table = table.combine_chunks()
+        ids = table["id"].to_numpy()
+        v = table["v"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+        return _meet(least, both, emit, 0, 0, ids, table["id"].type, np.zeros(len(ids), np.int64), v, table["side"].to_numpy(), table["home"].to_numpy())
+
+    def together(batches):
+        for batch in batches:
+            for row in range(batch.num_rows):
+                at = {c: batch.column(c)[row] for c in batch.schema.names}
+                lo, hi = at["lo"].as_py(), at["hi"].as_py()
+                ends = "a" if lo == hi else "ab"
+                held = {c: [at[f"{c}_{e}"].values.to_numpy(zero_copy_only=False) for e in ends] for c in ("id", "side", "home")}
+                v = [np.frombuffer(at[f"v_{e}"].as_py(), np.float64).reshape(len(i), -1) for e, i in zip(ends, held["id"])]
+                block = np.repeat([lo, hi][: len(ends)], [len(i) for i in held["id"]])
+                ids, side, home = (np.concatenate(held[c]) for c in ("id", "side", "home"))
+                yield from _meet(least, both, emit, lo, hi, ids, batch.schema.field("id_a").type.value_type, block, np.concatenate(v), side, home).to_batches()
 
-    return units.groupBy("group", "cell", "lo", "hi").applyInArrow(run, f"a {kind}, b {kind}, similarity double")
+    # a cell has a copy of a row at most, so that of few rows none is beyond one block
+    large, blocks = (None, 0) if few is not None and few <= block else _sized(placed, block)
+    if not blocks:
+        return placed.groupBy("group", "cell").applyInArrow(alone, found)
+    same = F.col("group").eqNullSafe(F.col("g")) & (F.col("cell") == F.col("c"))
+    small = placed.join(large, same, "left_anti").groupBy("group", "cell").applyInArrow(alone, found)
+    dealt = placed.join(large, same).drop("g", "c").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    packed = _packed(dealt, blocks)
+    sides = [packed.select(F.col("group").alias(f"group_{e}"), F.col("cell").alias(f"cell_{e}"), F.col("block").alias(name), *[F.col(c).alias(f"{c}_{e}") for c in ("id", "side", "home", "v")]) for e, name in (("a", "lo"), ("b", "hi"))]
+    meet = sides[0].hint("shuffle_replicate_nl").join(sides[1], F.col("group_a").eqNullSafe(F.col("group_b")) & (F.col("cell_a") == F.col("cell_b")) & (F.col("lo") <= F.col("hi")))
+    short_batches(rows.sparkSession)
+    return small.unionByName(meet.drop("group_a", "group_b", "cell_a", "cell_b").mapInArrow(together, found))
 
 
-def pairs(rows: DataFrame, least: float, within: Column | None = None, block: int = BLOCK) -> DataFrame:
+def pairs(rows: DataFrame, least: float, within: Column | None = None, block: int = PACKED) -> DataFrame:
     """(a, b, similarity) with a < b: all pairs of rows (id, embedding) of one ``within`` whose cosine is ``least`` or more.
 
     Vectors of unlike lengths, without length, null, or with entries that aren't finite have no partner; null entries
@@ -226,13 +278,18 @@ def pairs(rows: DataFrame, least: float, within: Column | None = None, block: in
     return _joined(_rows(rows, within, False), least, False, _emit_pairs, block)
 
 
-def nearest_earlier(rows: DataFrame, least: float, within: Column | None = None, block: int = BLOCK) -> DataFrame:
+def links(rows: DataFrame, least: float, block: int = PACKED) -> DataFrame:
+    """(a, b) that connect the same rows as ``pairs``: of each two blocks no more than their rows, however many pairs they hold."""
+    return _joined(_rows(rows, None, False), least, False, _emit_roots, block).select("a", "b")
+
+
+def nearest_earlier(rows: DataFrame, least: float, within: Column | None = None, block: int = PACKED) -> DataFrame:
     """(id, other, similarity): of each row that has one, the most alike row of a smaller id, as ``pairs``; a task sends one row an id."""
     found = _joined(_rows(rows, within, False), least, False, _emit_best, block)
     return found.groupBy(F.col("b").alias("id")).agg(F.min_by("a", F.struct(-F.col("similarity"), "a")).alias("other"), F.max("similarity").alias("similarity"))
 
 
-def alike(new: DataFrame, stored: DataFrame, least: float, within: Column | None = None, block: int = BLOCK) -> DataFrame:
+def alike(new: DataFrame, stored: DataFrame, least: float, within: Column | None = None, block: int = PACKED) -> DataFrame:
     """Ids of new rows with a cosine of ``least`` or more to a stored row of the same ``within``; stored rows need no id that differs."""
     rows = _rows(new, within, False).unionByName(_rows(stored, within, True))
     return _joined(rows, least, True, _emit_new, block).select(F.col("a").alias("id")).distinct()

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palimpsest import engine
-from palimpsest.operators import graph, search, similar, store, term_import, terms
+from palimpsest.operators import components, graph, search, similar, store, term_import, terms
 
 ROWS = "key long, content string, session_id string, source string"
 
@@ -251,6 +251,17 @@ def test_similar_pairs_are_all_pairs(spark, clustered, least, block):
     assert {r["id"] for r in similar.alike(new, old, least, F.col("g"), block).collect()} == met
 
 
+def test_blocks_meet_without_copies_and_links_connect_what_pairs_do(spark):
+    rows = vectors(spark, 400, clustered=True)
+    table = spark.createDataFrame(rows, "id long, embedding array<double>, g long")
+    plan = similar.pairs(table, 0.6, block=40)._jdf.queryExecution().toString()
+    assert "CartesianProduct" in plan and "explode" not in plan.lower()
+    found = components.components(similar.links(table, 0.6, block=40).toDF("u", "v")).collect()
+    whole = components.components(similar.pairs(table, 0.6, block=40).select("a", "b").toDF("u", "v")).collect()
+    assert whole and sorted(map(tuple, found)) == sorted(map(tuple, whole))
+    assert similar.links(table, 0.6).count() < similar.pairs(table, 0.6).count()
+
+
 def test_cells_are_used_where_they_prune_and_few_pairs_are_multiplied(spark):
     import numpy as np
 
