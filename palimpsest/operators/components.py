@@ -16,7 +16,7 @@ def components(edges: DataFrame) -> DataFrame:
     links is one row of an aggregate, and its links are dealt by both ends. Loops and null ends are no edges, but a node that only has a loop is its own root.
     """
     u, v = F.col("u"), F.col("v")
-    own = edges.where(u.isNotNull() & v.isNotNull())
+    own = cut(edges.where(u.isNotNull() & v.isNotNull()).select("u", "v").distinct())
     nodes = own.select(u.alias("node")).union(own.select(v)).distinct()
     links = cut(own.where(u != v).select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct())
     while True:
@@ -57,6 +57,6 @@ def synonym_classes(relations: DataFrame, terms: DataFrame, least: float = 0.99)
 
 def similar_clusters(memories: DataFrame, near: float = 0.9, least: int = 2) -> DataFrame:
     """(cluster, memory) of the memories (id, embedding) that chains of cosines of ``near`` or more connect, ``least`` in each, by its smallest id."""
-    roots = components(similar.pairs(memories, near).select(F.col("a").alias("u"), F.col("b").alias("v")))
+    roots = components(similar.links(memories, near).select(F.col("a").alias("u"), F.col("b").alias("v")))
     sizes = roots.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
     return roots.join(sizes, "root").select(F.col("root").alias("cluster"), F.col("node").alias("memory"))

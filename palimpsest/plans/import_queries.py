@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..operators import components as K, graph as G, ranking as T, search as R, similar, store as M, term_import as I, terms as X
@@ -110,7 +112,8 @@ classes AS (SELECT root, arg_min(id, (-frequency, id)) AS primary_id, sum(freque
 SELECT id, primary_id, id = primary_id AS is_primary, CASE WHEN id = primary_id THEN total ELSE frequency END AS frequency, CASE WHEN id = primary_id THEN array_to_string(list_filter(names, lambda x: x <> name), ' ') ELSE '' END AS aliases FROM roots JOIN classes USING (root)""")
 def synonym_classes(spark, d):
     v = vectors(spark, d)
-    relations = similar.pairs(v, 0.4).select(F.col("a").alias("in"), F.col("b").alias("out"), F.lit("synonym").alias("type"), F.col("similarity").alias("weight"))
+    # Links of classes are enough, and theirs are above 0.4, as they connect pairs of the next larger number or more.
+    relations = similar.links(v, math.nextafter(0.4, 1)).select(F.col("a").alias("in"), F.col("b").alias("out"), F.lit("synonym").alias("type"), F.lit(1.0).alias("weight"))
     terms = v.select("id", F.concat(F.lit("t"), "id").alias("name"), (F.col("type") + 1).cast("long").alias("frequency"))
     return K.synonym_classes(relations, terms, 0.4).select("id", "primary_id", "is_primary", "frequency", F.array_join("aliases", " ").alias("aliases"))
 
