@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import answers as A, entities as E, scores as S, texts as T
 from ..sources.models import Encoder, Model, complete, embed
 from . import search as R, store as M
+from .checkpoints import cut
 
 
 def _joined(rows: DataFrame, by: str, line: Column, end: str = "\n", *kept: Column) -> DataFrame:
@@ -158,17 +159,27 @@ def store_checked(memories: DataFrame, new: DataFrame, content: str, vector: lis
 def hierarchy(memories: DataFrame, episodic: float = 0.7, semantic: float = 0.8, reflection: float = 0.85, alike: float = 0.5) -> DataFrame:
     """Similar memories on three levels; reflections hold the semantic ones that share over half of their words.
 
-    Texts meet by the words that a pair of such a similarity must share one of, half of each
-    text's; texts that are the same, or null, aren't related.
+    Different texts meet by the words that a pair of such a similarity must share one of, the rarer half of each
+    text's, and are compared once, however many words they share or memories hold them; texts that are the same, or null, aren't related.
     """
     level = F.expr(f"CASE WHEN type = 'episodic' AND coalesce(similarity, 0) >= {episodic} THEN 1 WHEN type = 'semantic' AND coalesce(similarity, 0) >= {semantic} THEN 2 WHEN type = 'reflection' AND coalesce(similarity, 0) >= {reflection} THEN 3 END")
     held = memories.select("id", "content", "importance", "similarity", level.alias("level")).where("level IS NOT NULL")
-    worded = held.withColumn("words", T.words_over_three(F.col("content"))).where(F.size("words") > 0)
-    ordered = F.transform(F.array_sort(F.transform("words", lambda w: F.struct(F.xxhash64(w).alias("h"), w.alias("w")))), lambda x: x["w"])
-    need = F.floor(F.size("words") * alike).cast("int") + 1  # shared with any text that is alike
-    worded = worded.withColumn("word", F.explode(F.slice(ordered, F.lit(1), F.size("words") - need + 1)))
-    upper = worded.where("level = 3").select(F.col("id").alias("parent"), F.col("content").alias("c"), F.col("words").alias("w"), "word")
-    met = upper.join(worded.where("level = 2"), "word").where((F.col("c") != F.col("content")) & (T.jaccard(F.col("w"), F.col("words")) > alike))
+    worded = cut(held.where("level > 1").withColumn("words", T.words_over_three(F.col("content"))).where(F.size("words") > 0).select("id", "content", "level", "words"))
+    texts = cut(worded.select(F.xxhash64("content").alias("text"), "content", "level", "words").dropDuplicates(["content", "level"]))
+    # rare words first, so that few texts meet; the order decides no result
+    posts = texts.select("content", "level", F.size("words").alias("size"), F.explode("words").alias("word"))
+    ranked = posts.join(posts.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "word").groupBy("content", "level", "size").agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("ordered"))
+    need = F.floor(F.col("size") * alike).cast("int") + 1  # shared with any text that is alike
+    ranked = ranked.select("content", "level", "size", F.explode(F.slice(F.transform("ordered", lambda x: x["word"]), F.lit(1), F.col("size") - need + 1)).alias("word"))
+    ranked = cut(ranked.select(F.xxhash64("content").alias("text"), "level", "size", "word"))
+    upper = ranked.where("level = 3").select(F.col("text").alias("above"), F.col("size").alias("s"), "word")
+    fit = F.least("s", "size") > F.greatest("s", "size") * alike
+    met = upper.join(ranked.where("level = 2"), "word").where(fit).select("above", "text").distinct()
+    tops = worded.where("level = 3").select(F.col("id").alias("parent"), F.col("content").alias("c"))
+    one = texts.where("level = 3").select(F.col("text").alias("above"), F.col("content").alias("c"), F.col("words").alias("w"))
+    two = texts.where("level = 2").select("text", "content", "words")
+    same = met.join(one, "above").join(two, "text").where((F.col("c") != F.col("content")) & (T.jaccard(F.col("w"), F.col("words")) > alike)).select("c", "content")
+    met = tops.select("parent", "c").join(same, "c").join(held.where("level = 2"), "content")
     child = F.struct("id", "content", "importance", "similarity")
     children = met.groupBy("parent", "id").agg(F.first(child).alias("child")).groupBy("parent").agg(F.array_sort(F.collect_list("child")).alias("children"))
     return held.join(children, (F.col("id") == F.col("parent")) & (F.col("level") == 3), "left").select("level", "id", "content", "importance", "similarity", "children")

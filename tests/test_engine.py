@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.functions import scores, texts
-from palimpsest.operators import cache, documents, graph, indexing, search, store, terms
+from palimpsest.operators import cache, documents, graph, indexing, memories, search, store, terms
 from palimpsest.plans.queries import ORACLE_SQL, QUERIES
 from palimpsest.sources import files
 from palimpsest.streaming import messages
@@ -64,6 +64,16 @@ def test_terms_leave_a_task_in_short_batches(monkeypatch):
     assert [tuple(r.values()) for b in found for r in b.to_pylist()] == [(i, *kv) for _ in range(2) for i, t in enumerate(texts_) for kv in terms.grams(t or "").items()]
 
 
+def test_hierarchy_compares_repeated_texts_once_and_keeps_all_memories(spark):
+    told = ["alpha beta1 gamma delta", "alpha beta1 gamma other", "alpha beta1 gamma delta", "alpha lone1 lone2 lone3", None, ""]
+    rows = [(k * 10 + i, kind, t, 0.5, 0.9) for k, kind in enumerate(["reflection", "semantic", "episodic"]) for i, t in enumerate(told)]
+    found = memories.hierarchy(spark.createDataFrame(rows, "id long, type string, content string, importance double, similarity double"))
+    sets = [set((t or "").split()) for t in told]
+    near = lambda i: [10 + j for j in range(6) if told[i] != told[j] and sets[i] | sets[j] and len(sets[i] & sets[j]) > 0.5 * len(sets[i] | sets[j])]
+    held = {r["id"]: [c["id"] for c in r["children"] or []] for r in found.collect()}
+    assert held == {r[0]: near(r[0]) if r[0] < 10 else [] for r in rows} and held[0] == [11] and held[1] == [10, 12]
+
+
 def test_chunks_keep_every_word():
     text = "\n\n".join(" ".join(f"w{i}-{j}." for j in range(n)) for i, n in enumerate([3, 400, 1, 50, 2]))
     parts = documents.chunk_text(text, 200)
