@@ -1,9 +1,11 @@
 """Approximate nearest neighbours by an inverted multi-index.
 
 Each half of the vectors is quantised by its own centroids, learned from a bounded sample; the
-pair of centroids is a row's cell. A query visits cells from a heap, by falling sum of its halves'
-inner products with the centroids, until the cells visited hold enough vectors; only rows of these
-cells are scored, by the exact measure.
+pair of centroids is a row's cell. A query visits cells in the multi-sequence order, by falling sum of
+its halves' inner products with the centroids, until the cells visited hold enough vectors; only rows
+of these cells count: they are scored in single precision, and those that can be among the first by
+the exact measure. As a share of all cells is visited, their sums are sorted at once; a heap would
+take a step of Python for each cell.
 
 Cells lie in blocks of bounded size: small ones share a block, and a hot one is dealt over many.
 A query travels to the blocks of its cells with the sum at which it stopped, from which a block
@@ -13,8 +15,6 @@ tells its cells. Rows travel to their block once; nothing but centroids and the
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -27,8 +27,12 @@ LEARN_ROWS, CENTROIDS, ROUNDS, SEED = 16_384, 256, 12, 99
 SHARE, VISITED = 0.3, 4_000
 #: Rows of a block, at most and at least (fewer give small tables more tasks), and queries answered together.
 BLOCK_ROWS, LEAST_ROWS, TOGETHER = 65_536, 1_024, 256
-#: GEMM results may differ from the exact sum by less than this, relative to the largest.
-SLACK = 1e-9
+#: A query that visits this share of the rows of a run (a block's cells of one first centroid), or more, meets the run in one product with others (what it doesn't visit there is left out).
+DENSE = 0.5
+#: Sums with centroids may differ by less than this between tasks, relative to the largest; the rounding of single precision.
+SLACK, EPSILON = 1e-9, 2.0**-24
+#: Bins of sums, of which only those that are visited are sorted, and numbers of vectors whose exact scores are added together.
+BINS, NUMBERS = 1_024, 1 << 22
 
 
 def matrix_of(column, width: int) -> np.ndarray:
@@ -69,30 +73,18 @@ def _cell(x: np.ndarray, codebooks) -> np.ndarray:
 
 
 def cells_by_sum(first: np.ndarray, second: np.ndarray, held: np.ndarray, enough: int) -> tuple[np.ndarray, float]:
-    """Cells (i, j) that hold something by falling first[i] + second[j], until they hold ``enough``, and the last one's sum.
-
-    The next cell of each i waits in the heap.
-    """
-    i, j = np.nonzero(held.reshape(len(first), len(second)))
-    rank = np.empty(len(second), np.int64)
-    rank[np.argsort(-second, kind="stable")] = np.arange(len(second))
-    j = j[np.argsort(i * len(second) + rank[j])]
-    cells = i * len(second) + j
-    falling, n = (-(first[i] + second[j])).tolist(), held[cells].tolist()
-    cuts = np.flatnonzero(np.r_[True, i[1:] != i[:-1], True][: len(i) + 1]).tolist()
-    heap = [(falling[p], p, end) for p, end in zip(cuts[:-1], cuts[1:])]
-    heapq.heapify(heap)
-    out, rows, last = [], 0, float("inf")
-    while heap and rows < enough:
-        s, p, end = heap[0]
-        if p + 1 < end:
-            heapq.heapreplace(heap, (falling[p + 1], p + 1, end))
-        else:
-            heapq.heappop(heap)
-        out.append(p)
-        rows += n[p]
-        last = -s
-    return cells[out], last
+    """Cells (i, j) that hold something by falling first[i] + second[j], until they hold ``enough``, and the last one's sum."""
+    some = np.flatnonzero(held > 0)
+    sums = np.add.outer(first, second).ravel().take(some)
+    span = float(sums.max() - sums.min()) if len(sums) else 0.0
+    if 0 < span < float("inf"):
+        bins = ((sums - sums.min()) * (BINS / span)).astype(np.int64)
+        past = np.cumsum(np.bincount(bins, held[some])[::-1])
+        top = np.flatnonzero(bins >= len(past) - 1 - np.searchsorted(past, enough))
+        some, sums = some[top], sums[top]
+    order = np.argsort(-sums)
+    order = order[: np.searchsorted(np.cumsum(held[some[order]]), enough) + 1]
+    return some[order], float(sums[order[-1]]) if len(order) else float("inf")
 
 
 def exact_scores(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -111,15 +103,12 @@ def prints(x: np.ndarray) -> np.ndarray:
     return total.view(np.int64)
 
 
-def _best(ids: np.ndarray, x: np.ndarray, marks: np.ndarray, q: np.ndarray, rough: np.ndarray, top: int):
-    """The first ``top`` rows by exact score, ties by id; no row is repeated."""
-    if len(ids) > top:
-        least = np.partition(rough, len(rough) - top)[len(rough) - top]
-        near = rough >= least - SLACK * max(1.0, np.abs(rough).max())
-        ids, x, marks = ids[near], x[near], marks[near]
-    scores = exact_scores(np.broadcast_to(q, x.shape), x)
-    order = np.lexsort((marks, ids, -scores))[:top]
-    return ids[order], scores[order], marks[order]
+def _near(rough: np.ndarray, error: np.ndarray, top: int) -> np.ndarray:
+    """Places that can be among the first ``top`` by exact score, which is within ``error`` of ``rough``."""
+    if len(rough) <= top:
+        return np.arange(len(rough))
+    least = np.partition(rough - error, len(rough) - top)[len(rough) - top]
+    return np.flatnonzero(rough + error >= least)
 
 
 def _few_copies(ids: np.ndarray, x: np.ndarray, top: int) -> np.ndarray:
@@ -160,23 +149,50 @@ class _Block:
         order = np.argsort(cells, kind="stable")
         self.ids, self.x, self.codebooks, self.top = ids[order], x[order], codebooks, top
         self.marks = prints(self.x)
+        # In single precision for the rough scores; scaled, so that nothing overflows.
+        self.rough = (self.x / np.abs(self.x).max()).astype(np.float32)
+        self.error = (2 * (x.shape[1] + 4) * EPSILON * (np.linalg.norm(self.rough, axis=1) + 1e-30)).astype(np.float32)
         self.cells, self.starts = np.unique(cells[order], return_index=True)
-        self.ends = np.r_[self.starts[1:], len(ids)]
+        self.held = np.diff(np.r_[self.starts, len(ids)])
+        _, self.runs = np.unique(self.cells // len(codebooks[1]), return_index=True)
+        self.run_starts = self.starts[self.runs]
+        self.run_rows = np.diff(np.r_[self.run_starts, len(ids)])
 
     def answer(self, query_ids: np.ndarray, q: np.ndarray, least: np.ndarray):
-        """(query, ids, scores, prints) of the best rows in the cells whose sum is ``least`` or more."""
+        """Queries, ids, scores and prints of each query's best rows in the cells whose sum is ``least`` or more, some queries at a time."""
         half, other = self.codebooks[0].shape[1], len(self.codebooks[1])
         first, second = q[:, :half] @ self.codebooks[0].T, q[:, half:] @ self.codebooks[1].T
-        visit = first[:, self.cells // other] + second[:, self.cells % other] >= least[:, None] - SLACK * np.maximum(1.0, np.abs(least[:, None]))
-        rough = np.full((len(q), len(self.ids)), -np.inf)
-        for k in np.flatnonzero(visit.any(0)).tolist():
-            asking, lo, hi = np.flatnonzero(visit[:, k]), self.starts[k], self.ends[k]
-            rough[asking, lo:hi] = q[asking] @ self.x[lo:hi].T
-        rough[query_ids[:, None] == self.ids] = -np.inf
+        visit = first.take(self.cells // other, 1) + second.take(self.cells % other, 1) >= least[:, None] - SLACK * np.maximum(1.0, np.abs(least[:, None]))
+        dense = np.add.reduceat(visit * self.held, self.runs, axis=1) >= DENSE * self.run_rows
+        visited = np.repeat(visit, self.held, axis=1)
+        single = visited & ~np.repeat(dense, self.run_rows, axis=1)
+        visited &= query_ids[:, None] != self.ids
+        y = (q / np.abs(q).max(1, keepdims=True)).astype(np.float32)
+        rough = np.empty(visited.shape, np.float32)
+        for k, (lo, n) in enumerate(zip(self.run_starts.tolist(), self.run_rows.tolist())):
+            asking = np.flatnonzero(dense[:, k])
+            rough[asking, lo : lo + n] = y[asking] @ self.rough[lo : lo + n].T
+        length, near, waiting = np.linalg.norm(y, axis=1), [], 0
         for k in range(len(q)):
-            seen = np.flatnonzero(rough[k] > -np.inf)
-            if len(seen):
-                yield query_ids[k], *_best(self.ids[seen], self.x[seen], self.marks[seen], q[k], rough[k, seen], self.top)
+            rows = np.flatnonzero(single[k])
+            rough[k, rows] = self.rough.take(rows, 0) @ y[k]
+            seen = np.flatnonzero(visited[k])
+            near.append(seen[_near(rough[k, seen], self.error[seen] * length[k], self.top)])
+            waiting += len(near[-1])
+            if waiting >= NUMBERS // q.shape[1] or k + 1 == len(q):
+                asked, rows = np.repeat(np.arange(k + 1 - len(near), k + 1), [len(n) for n in near]), np.concatenate(near)
+                yield self._best(query_ids, q, asked, rows)
+                near, waiting = [], 0
+
+    def _best(self, query_ids: np.ndarray, q: np.ndarray, asked: np.ndarray, rows: np.ndarray):
+        """The first ``top`` of each query's rows by exact score, ties by id; no row is repeated."""
+        step = max(1, NUMBERS // q.shape[1])
+        scores = np.concatenate([exact_scores(q[asked[lo : lo + step]], self.x[rows[lo : lo + step]]) for lo in range(0, len(rows) or 1, step)])
+        order = np.lexsort((self.marks[rows], self.ids[rows], -scores, asked))
+        asked = asked[order]
+        first = np.arange(len(asked)) - np.searchsorted(asked, asked) < self.top
+        order, asked = order[first], asked[first]
+        return query_ids[asked], self.ids[rows[order]], scores[order], self.marks[rows[order]]
 
 
 def _index(rows: DataFrame, width: int, learn: int):
@@ -250,12 +266,11 @@ def nearest(vectors: DataFrame, is_query, top: int = 20, share: float = SHARE, v
                 yield batch_of(np.concatenate(blocks), 1, ids[lo + at], least[at], batch.column(1).take(pa.array(lo + at)))
 
     def answer(batches):
-        def answered(block, parts):
-            ids, q, least = (np.concatenate(p) for p in zip(*parts))
+        def answered(block, ids, q, least):
             for lo in range(0, len(ids), TOGETHER):
                 some = slice(lo, lo + TOGETHER)
-                for query, found, scores, marks in block.answer(ids[some], q[some], least[some]):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), query, np.int64)), pa.array(found), pa.array(scores), pa.array(marks)], ["query_id", "vec_id", "score", "print"])
+                for best in block.answer(ids[some], q[some], least[some]):
+                    yield pa.RecordBatch.from_arrays([pa.array(column) for column in best], ["query_id", "vec_id", "score", "print"])
 
         codebooks = shared.value[0]
         key, held, block = None, [], None
@@ -273,9 +288,9 @@ def nearest(vectors: DataFrame, is_query, top: int = 20, share: float = SHARE, v
                 elif held or block:
                     if block is None:
                         block, held = _Block(*(np.concatenate(p) for p in zip(*held)), codebooks, top), []
-                    yield from answered(block, [(ids[lo:hi], x[lo:hi], least[lo:hi])])
+                    yield from answered(block, ids[lo:hi], x[lo:hi], least[lo:hi])
 
-    # A stated number of parts, which isn't reduced for the queries' few bytes: the heap's work is theirs.
+    # A stated number of parts, which isn't reduced for the queries' few bytes: the ordering of cells is theirs.
     parts = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     queries = rows.where(is_query).select("vec_id", "embedding").distinct().repartition(parts, "vec_id")
     both = rows.select("vec_id", "embedding").mapInArrow(place, sent).union(queries.mapInArrow(ask, sent))

@@ -2,6 +2,7 @@
 
 import random
 import re
+import sys
 
 import numpy as np
 import pyarrow as pa
@@ -289,6 +290,74 @@ def test_cells_come_by_falling_sum():
     assert some.tolist() == cells[:4].tolist() and last == sums[3]
 
 
+def _calls(work):
+    """How many functions ``work`` calls, in Python or C, and what it returns."""
+    calls = 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        result = work()
+    finally:
+        sys.setprofile(None)
+    return calls, result
+
+
+def test_work_of_a_query_is_not_a_call_for_each_cell_or_row():
+    rng = np.random.default_rng(12)
+    x, k, top, queries = rng.normal(size=(4_000, 8)), 64, 5, 128
+    x[:300, :] = x[0] + rng.normal(size=(300, 8)) * 1e-3  # a cell of many rows beside those of one or two
+    ids, codebooks = np.arange(len(x)), (rng.normal(size=(k, 4)), rng.normal(size=(k, 4)))
+    cells = ann._cell(x, codebooks)
+    held = np.bincount(cells, minlength=k * k)
+    assert held.max() > 100 and (held == 1).sum() > 500
+    q = x[:queries]
+    first, second = q[:, :4] @ codebooks[0].T, q[:, 4:] @ codebooks[1].T
+    calls, found = _calls(lambda: [ann.cells_by_sum(f, s, held, 1_200) for f, s in zip(first, second)])
+    assert calls < 100 * queries
+    for (visited, last), f, s in zip(found, first, second):
+        sums = f[:, None] + s
+        assert set(visited) == set(np.flatnonzero((sums.ravel() >= last) & (held > 0))) and held[visited].sum() >= 1_200 > held[visited[:-1]].sum()
+    block, least = ann._Block(ids, x, codebooks, top), np.array([last for _, last in found])
+    calls, parts = _calls(lambda: list(block.answer(ids[:queries], q, least)))
+    assert calls < 100 * queries and len(parts) < 5
+    got = {}
+    for columns in parts:
+        for query, row, score, _ in zip(*(c.tolist() for c in columns)):
+            got.setdefault(query, []).append((row, score))
+    for n, (visited, _) in enumerate(found):
+        rows = [r for r in np.flatnonzero(np.isin(cells, visited)).tolist() if r != n]
+        scores = ann.exact_scores(q[[n] * len(rows)], x[rows])
+        assert got[n] == [(r, s) for s, r in sorted(zip(scores.tolist(), rows), key=lambda p: (-p[0], p[1]))[:top]]
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-180, 1e150])
+def test_best_rows_are_exact_among_lengths_far_apart(scale):
+    rng = np.random.default_rng(13)
+    x = rng.normal(size=(500, 6)) * 10.0 ** rng.integers(-60, 3, (500, 1)) * scale
+    x[100:120] = x[99] * (1 + np.arange(1, 21)[:, None] * 1e-12)  # told apart in double precision only
+    codebooks = np.zeros((1, 3)), np.zeros((1, 3))
+    block, q = ann._Block(np.arange(500), x, codebooks, 7), np.r_[x[[99, 3]] / scale, rng.normal(size=(9, 6))]
+    parts = list(block.answer(np.arange(1000, 1011), q, np.full(11, -1.0)))
+    got = [(a, b, c) for columns in parts for a, b, c in zip(*(c.tolist() for c in columns[:3]))]
+    want = []
+    for k in range(11):
+        scores = ann.exact_scores(np.broadcast_to(q[k], x.shape), x).tolist()
+        want += [(1000 + k, r, scores[r]) for r in sorted(range(500), key=lambda r: (-scores[r], r))[:7]]
+    assert got == want
+
+
+def test_near_rows_are_scored_in_bounded_pieces(monkeypatch):
+    monkeypatch.setattr(ann, "NUMBERS", 60)
+    x = np.c_[np.ones(50), np.arange(50.0)]  # all of them tie for every query
+    block = ann._Block(np.arange(50), x, (np.ones((1, 1)), np.ones((1, 1))), 4)
+    parts = list(block.answer(np.array([3, 100, 1]), np.array([[2.0, 0.0]] * 3), np.full(3, -np.inf)))
+    assert [np.c_[a, b, c].tolist() for a, b, c, _ in parts] == [[[query, row, 2.0] for row in rows] for query, rows in ((3, (0, 1, 2, 4)), (100, (0, 1, 2, 3)), (1, (0, 2, 3, 4)))]
+
+
 def test_blocks_hold_every_cell():
     rows = np.array([3, 0, 50, 1, 1, 20, 0])
     layout = ann._Layout(rows, 10)
