@@ -154,6 +154,33 @@ def test_local_links_joins_a_set_with_unshared_ngrams():
     assert len(set(ngram_join.local_links(sets, 85).tolist())) == 1
 
 
+def shuffled(spark):
+    """Bytes written by shuffles of the session so far."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+    held = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    return sum(held.apply(i).totalShuffleWrite() for i in range(held.size()))
+
+
+@pytest.mark.parametrize("marks", [1 << 24, 64])
+def test_texts_that_no_key_names_are_not_shuffled(spark, monkeypatch, tmp_path, marks):
+    monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(ngram_join, "MARKS", marks)
+    rng = random.Random(5)
+    rows = [(i if i else None, " ".join(words(rng, 300, 10**6))) for i in range(300)]
+    frame(spark, rows).select("doc_id", "text").write.parquet(str(tmp_path / "docs"))
+    docs = ngram_join.keyed(spark.read.parquet(str(tmp_path / "docs")))
+    few = docs.where("doc_id % 20 = 0").select(*ngram_join.KEY)
+    asked = few.select(*ngram_join.KEY, F.lit(b"n").alias("node"), F.lit(1).cast("long").alias("key"))
+    before = shuffled(spark)
+    kept = ngram_join.without(docs, few, ngram_join.KEY)
+    assert kept.columns == docs.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == [i for i in range(300) if i % 20]
+    fetched = ngram_join._fetched(docs, asked).collect()
+    assert sorted(r["text"] for r in fetched) == sorted(t for i, t in rows if (i or 0) % 20 == 0)
+    if marks > 64:
+        assert shuffled(spark) - before < 0.3 * sum(len(t) for _, t in rows)
+
+
 def test_ngram_join_without_ids_or_rows(spark):
     assert ngram_join.ngram_jaccard_join(frame(spark, [])).count() == 0
     text = " ".join(map(str, range(30)))
