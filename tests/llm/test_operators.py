@@ -181,6 +181,31 @@ def test_texts_that_no_key_names_are_not_shuffled(spark, monkeypatch, tmp_path,
         assert shuffled(spark) - before < 0.3 * sum(len(t) for _, t in rows)
 
 
+@pytest.mark.parametrize("n", [1, 4])
+def test_ngram_sets_prefixes_and_fingerprints_of_many_texts_at_once(n):
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    texts = [None, "", "a", "b a", "a b a b a b a b", *(" ".join(rng.choices("abcdefgh", k=rng.randint(1, 60))) for _ in range(60))]
+    sets = {}
+    for i, text in enumerate(texts):
+        (_, values, edges), *more = ngram_join.shingle_runs(pa.array([text], pa.string()), n)
+        assert not more and edges.tolist() == [0, len(values)]
+        sets[i] = values
+    grams, counts = np.unique(np.concatenate(list(sets.values())), return_counts=True)
+    frequent = grams[np.argsort(counts, kind="stable")][len(grams) // 2 :]
+    place = {g: k for k, g in enumerate(frequent.tolist())}
+    ((_, values, edges),) = ngram_join.shingle_runs(pa.array(texts), n)
+    take = (np.diff(edges) + 1) // 2
+    firsts = np.split(ngram_join.Order(frequent).firsts(values, edges, take), np.cumsum(take)[:-1])
+    prints = ngram_join._fingerprints(values, edges)
+    for i, s in sets.items():
+        naive = {hash_ for hash_ in s.tolist()}
+        assert values[edges[i] : edges[i + 1]].tolist() == s.tolist() == sorted(naive)
+        assert firsts[i].tolist() == sorted(s.tolist(), key=lambda g: (place.get(g, -1), g))[: take[i]]
+        assert prints[i] == ngram_join._fingerprint(s)
+
+
 def test_ngram_join_without_ids_or_rows(spark):
     assert ngram_join.ngram_jaccard_join(frame(spark, [])).count() == 0
     text = " ".join(map(str, range(30)))
