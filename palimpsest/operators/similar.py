@@ -4,9 +4,8 @@ Vectors are normalised once and dealt to cells of pivots where that prunes: a pa
 stand in two cells only if one of its vectors lies near the plane between their pivots, so that
 vector visits the other's cell. A cell that is large is cut into blocks, each one row, and every two of them meet in
 a Cartesian product, which reads the blocks where they were saved: nothing is copied for it, so that disk grows with the
-vectors and only the work with the pairs. In a task the products of the dimensions that
-vary most bound each cosine (what the others can add is at most the product of their norms), and
-only pairs whose bound reaches the threshold are multiplied in full.
+vectors and only the work with the pairs. In a task all pairs are multiplied in single precision, and
+those that may reach the threshold, by a bound of its error, in double precision, which decides.
 """
 
 from __future__ import annotations
@@ -24,47 +23,64 @@ from .checkpoints import cut, short_batches
 BLOCK, PACKED = 2048, 8192
 #: Pivots, the vectors that they are drawn from, and the share of pairs up to which cells are worth their copies.
 PIVOTS, SAMPLE, WORTH = 64, 2048, 0.5
-#: Share of a block's pairs from which all are multiplied in full at once.
-DENSE = 0.05
-#: The share of the dimensions that bound a product, and the threshold, add up to this.
-HEAD = 1.2
+#: Rows of two blocks whose products lie in a cache, and the share of such pairs from which all are multiplied in double precision at once.
+TILE, DENSE = 1024, 0.05
+#: Blocks of a partition, at most about.
+HELD = 8
 #: Rows of sizes that are broadcast; more are joined by shuffle.
 BROADCAST = 100_000
 _SLACK = 1e-9
 
 
 def compare(a: np.ndarray, b: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """Rows of ``a`` and of ``b``, and cosines, of the pairs of unit vectors that reach ``least``; and how many pairs were multiplied in full."""
+    """Rows of ``a`` and of ``b``, and cosines, of the pairs of unit vectors that reach ``least``; and how many pairs were multiplied in double precision."""
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     full, width = 0, a.shape[1]
-    order = np.argsort(-(a * a).sum(axis=0) - (b * b).sum(axis=0), kind="stable")
-    # the others can add their share of the norm, which the threshold must exceed by enough
-    size = max(8, int(np.ceil(width * min(1.0, HEAD - least))))
-    head, tail = order[:size], order[size:]
-    for i in range(0, len(a), BLOCK):
-        x = a[i : i + BLOCK]
-        for j in range(0, len(b), BLOCK):
-            y = b[j : j + BLOCK]
-            bound = x[:, head] @ y[:, head].T
-            bound += np.outer(np.sqrt((x[:, tail] ** 2).sum(axis=1)), np.sqrt((y[:, tail] ** 2).sum(axis=1)))
-            p, q = np.nonzero(bound >= least - _SLACK)
-            if len(p) > DENSE * bound.size:
-                product = x @ y.T
+    single = [x.astype(np.float32) for x in (a, b)]
+    # Entries rounded once each and a sum of ``width`` products in any order: what unit vectors can lose.
+    floor = np.nextafter(np.float32(least - (width + 8) * 2.0**-23 - _SLACK), np.float32(-2))
+    for i in range(0, len(a), TILE):
+        x = single[0][i : i + TILE]
+        for j in range(0, len(b), TILE):
+            y = single[1][j : j + TILE]
+            p, q = _where(x @ y.T >= floor)
+            if len(p) > DENSE * len(x) * len(y):
+                product = a[i : i + TILE] @ b[j : j + TILE].T
                 full += product.size
                 p, q = np.nonzero(product >= least)
                 s = product[p, q]
-            else:
+            elif len(p):
                 full += len(p)
-                s = np.concatenate([np.einsum("ij,ij->i", x[p[k : k + BLOCK]], y[q[k : k + BLOCK]]) for k in range(0, len(p), BLOCK)] or [np.zeros(0)])
+                s = np.concatenate([np.einsum("ij,ij->i", a[i + p[k : k + TILE]], b[j + q[k : k + TILE]]) for k in range(0, len(p), TILE)])
                 p, q, s = p[s >= least], q[s >= least], s[s >= least]
+            else:
+                continue
             found.append((p + i, q + j, s))
     if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), 0
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), full
     return *(np.concatenate(c) for c in zip(*found)), full
 
 
+def _where(true: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the few true entries; eight are looked at at once."""
+    flat = true.reshape(-1)
+    even = len(flat) // 8 * 8
+    words = np.flatnonzero(flat[:even].view(np.uint64))
+    at = (words[:, None] * 8 + np.arange(8)).reshape(-1)
+    at = np.r_[at[flat[at]], even + np.flatnonzero(flat[even:])]
+    return np.divmod(at, true.shape[1])
+
+
 def unit_rows(column: pa.Array) -> list[np.ndarray | None]:
     """Vectors over their length, null entries as 0; None for those without length or with entries that aren't finite."""
+    if isinstance(column, pa.ListArray) and not column.null_count and len(column):
+        sizes = np.diff(column.offsets.to_numpy())
+        if sizes[0] and (sizes == sizes[0]).all():
+            x = pc.fill_null(column.flatten(), 0).to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+            with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+                size = np.sqrt((x * x).sum(axis=1))
+                x = x / size[:, None]
+            return [v if k else None for v, k in zip(x, np.isfinite(size) & (size > 0))]
     out: list[np.ndarray | None] = []
     for v in column:
         x = np.array(pc.fill_null(v.values, 0)) if v.is_valid else np.zeros(0)
@@ -131,7 +147,8 @@ def _placed(rows: DataFrame, cells: Cells | None, both: bool) -> DataFrame:
                     home.append(cell == own)
                     out.append(v)
             took = pa.array(take, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(took), pa.array(out, pa.list_(pa.float64())), batch.column(2).take(took), batch.column(3).take(took), pa.array(place, pa.int32()), pa.array(home, pa.bool_())], ["id", "v", "group", "side", "cell", "home"])
+            v = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, out)]), pa.int32()), pa.array(np.concatenate(out) if out else np.zeros(0)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(took), v, batch.column(2).take(took), batch.column(3).take(took), pa.array(place, pa.int32()), pa.array(home, pa.bool_())], ["id", "v", "group", "side", "cell", "home"])
 
     kind, group = (rows.schema[c].dataType.simpleString() for c in ("id", "group"))
     placed = rows.mapInArrow(run, f"id {kind}, v array<double>, `group` {group}, side boolean, cell int, home boolean")
@@ -158,7 +175,9 @@ def _packed(dealt: DataFrame, blocks: int) -> DataFrame:
     kind, group = (dealt.schema[c].dataType.simpleString() for c in ("id", "group"))
     dealt = dealt.repartition(blocks, "group", "cell", "block")
     packed = dealt.groupBy("group", "cell", "block").applyInArrow(_pack, f"`group` {group}, cell struct<cell:int,size:int>, block int, id array<{kind}>, side array<boolean>, home array<boolean>, v binary")
-    return cut(packed).coalesce(blocks)
+    # Every two partitions meet in a task, which reads both: few partitions of several blocks are read less often.
+    cores = dealt.sparkSession.sparkContext.defaultParallelism
+    return cut(packed).coalesce(min(blocks, max(2 * cores, -(-blocks // HELD))))
 
 
 def _meet(least: float, both: bool, emit: Callable, lo: int, hi: int, ids: np.ndarray, kind, block: np.ndarray, v: np.ndarray, side: np.ndarray, home: np.ndarray) -> pa.Table:

@@ -278,6 +278,20 @@ def test_cells_are_used_where_they_prune_and_few_pairs_are_multiplied(spark):
         similar.pairs(table, 0.0)
 
 
+@pytest.mark.parametrize("least", [0.3, 0.45, 0.6, 0.95])
+def test_few_pairs_beside_those_found_are_multiplied_in_double_precision(least):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(2100, 64))
+    x[::7] = x[rng.integers(0, 2100, 300)] + rng.normal(size=(300, 64)) * 0.4
+    x /= np.sqrt((x * x).sum(axis=1))[:, None]
+    p, q, s, full = similar.compare(x, x[:1501], least)
+    whole = x @ x[:1501].T
+    assert set(zip(p.tolist(), q.tolist())) == set(zip(*(i.tolist() for i in np.nonzero(whole >= least))))
+    assert np.allclose(s, whole[p, q], atol=1e-12) and full < 1.01 * len(p)
+
+
 def test_a_third_of_all_rows_may_be_one_session_of_equal_vectors(spark):
     rows = [(i, [1.0, 0.0, 0.0], 1) for i in range(300)] + vectors(spark, 300, 3, clustered=True)[:0] + [(1000 + i, [float(i), 1.0, 2.0], i % 5 + 2) for i in range(600)]
     table = spark.createDataFrame(rows, "id long, embedding array<double>, session_id long")
