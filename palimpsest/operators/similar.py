@@ -25,8 +25,8 @@ BLOCK, PACKED = 2048, 8192
 PIVOTS, SAMPLE, WORTH = 64, 2048, 0.5
 #: Rows of two blocks whose products lie in a cache, and the share of such pairs from which all are multiplied in double precision at once.
 TILE, DENSE = 1024, 0.05
-#: Blocks of a partition, at most about.
-HELD = 8
+#: Blocks of a partition, at most about, and how many of the next ones a block meets before what is connected by them is known.
+HELD, NEAR = 8, 4
 #: Rows of sizes that are broadcast; more are joined by shuffle.
 BROADCAST = 100_000
 _SLACK = 1e-9
@@ -248,6 +248,61 @@ def _rows(rows: DataFrame, within: Column | None, side: bool) -> DataFrame:
     return rows.select("id", F.col("embedding").cast("array<double>").alias("embedding"), group.alias("group"), F.lit(side).alias("side")).where(F.size("embedding") > 0)
 
 
+def _outside(least: float, asking: tuple, asked: tuple, kind) -> pa.Table:
+    """Links of rows (ids, home, v) with those of another block."""
+    (ids, home, v), (others, at_home, w) = asking, asked
+    found = []
+    for a, b in ((np.flatnonzero(home), np.arange(len(others))), (np.flatnonzero(~home), np.flatnonzero(at_home))):
+        if len(a) and len(b):
+            p, q, s, _ = compare(v[a], w[b], least)
+            found.append((ids[a[p]], others[b[q]], s))
+    return _emit_roots(*(np.concatenate(c) for c in zip(*found)), kind) if found else _emit_roots(ids[:0], ids[:0], np.zeros(0), kind)
+
+
+def _sides(packed: DataFrame, asked: DataFrame) -> DataFrame:
+    """Every two blocks (lo, hi) of one group and cell."""
+    sides = [p.select(F.col("group").alias(f"group_{e}"), F.col("cell").alias(f"cell_{e}"), F.col("block").alias(name), *[F.col(c).alias(f"{c}_{e}") for c in ("id", "side", "home", "v")]) for p, e, name in ((packed, "a", "lo"), (asked, "b", "hi"))]
+    return sides[0].hint("shuffle_replicate_nl").join(sides[1], F.col("group_a").eqNullSafe(F.col("group_b")) & (F.col("cell_a") == F.col("cell_b")))
+
+
+def _unpacked(batch: pa.RecordBatch, row: int, end: str) -> tuple:
+    at = lambda c: batch.column(f"{c}_{end}")[row]
+    ids = at("id").values.to_numpy(zero_copy_only=False)
+    return ids, at("home").values.to_numpy(zero_copy_only=False), np.frombuffer(at("v").as_py(), np.float64).reshape(len(ids), -1)
+
+
+def _connected(first: DataFrame, dealt: DataFrame, packed: DataFrame, meet: DataFrame, together: Callable, least: float, block: int, found: str) -> DataFrame:
+    """Links (a, b, similarity) that connect what all pairs do, of which ``first`` and those of blocks that are NEAR come first.
+
+    Rows of the largest component so far need no comparison with each other. If it holds half of the rows or more,
+    only the others meet the blocks; else all blocks meet.
+    """
+    from .components import components
+
+    near = meet.where(F.col("hi") - F.col("lo") <= NEAR).drop("group_a", "group_b", "cell_a", "cell_b").mapInArrow(together, found)
+    roots = cut(components(first.unionByName(near).select(F.col("a").alias("u"), F.col("b").alias("v"))))
+    links = roots.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b"), F.lit(0.0).alias("similarity"))
+    largest = roots.groupBy("root").count().orderBy(F.desc("count"), "root").first()
+    ids = dealt.select("id").distinct()
+    outside = cut(ids.join(roots.where(F.col("root") == largest["root"]).select(F.col("node").alias("id")), "id", "left_anti") if largest else ids)
+    left = outside.count()
+    if not left:
+        return links
+    if largest is None or left > largest["count"]:
+        far = meet.where(F.col("hi") - F.col("lo") > NEAR)
+        return links.unionByName(far.drop("group_a", "group_b", "cell_a", "cell_b").mapInArrow(together, found))
+
+    def asking(batches):
+        for batch in batches:
+            for row in range(batch.num_rows):
+                yield from _outside(least, _unpacked(batch, row, "a"), _unpacked(batch, row, "b"), batch.schema.field("id_a").type.value_type).to_batches()
+
+    parts = -(-left // block)
+    few = dealt.join(F.broadcast(outside) if left <= BROADCAST else outside, "id").withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(parts)).cast("int"))
+    far = _sides(_packed(few.select(dealt.columns), parts), packed)
+    return links.unionByName(far.drop("group_a", "group_b", "cell_a", "cell_b").mapInArrow(asking, found))
+
+
 def _joined(rows: DataFrame, least: float, both: bool, emit: Callable, block: int) -> DataFrame:
     if not 0 < least <= 1:
         raise ValueError("the threshold must be above 0, and 1 at most")
@@ -282,9 +337,10 @@ def _joined(rows: DataFrame, least: float, both: bool, emit: Callable, block: in
     small = placed.join(large, same, "left_anti").groupBy("group", "cell").applyInArrow(alone, found)
     dealt = placed.join(large, same).drop("g", "c").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     packed = _packed(dealt, blocks)
-    sides = [packed.select(F.col("group").alias(f"group_{e}"), F.col("cell").alias(f"cell_{e}"), F.col("block").alias(name), *[F.col(c).alias(f"{c}_{e}") for c in ("id", "side", "home", "v")]) for e, name in (("a", "lo"), ("b", "hi"))]
-    meet = sides[0].hint("shuffle_replicate_nl").join(sides[1], F.col("group_a").eqNullSafe(F.col("group_b")) & (F.col("cell_a") == F.col("cell_b")) & (F.col("lo") <= F.col("hi")))
+    meet = _sides(packed, packed).where(F.col("lo") <= F.col("hi"))
     short_batches(rows.sparkSession)
+    if emit is _emit_roots and blocks > 4 * NEAR:
+        return _connected(small, dealt, packed, meet, together, least, block, found)
     return small.unionByName(meet.drop("group_a", "group_b", "cell_a", "cell_b").mapInArrow(together, found))
 
 
@@ -298,7 +354,10 @@ def pairs(rows: DataFrame, least: float, within: Column | None = None, block: in
 
 
 def links(rows: DataFrame, least: float, block: int = PACKED) -> DataFrame:
-    """(a, b) that connect the same rows as ``pairs``: of each two blocks no more than their rows, however many pairs they hold."""
+    """(a, b) that connect the same rows as ``pairs``: of each two blocks no more than their rows, however many pairs they hold.
+
+    Of many blocks, rows that the first meetings bring to one component aren't compared again with each other.
+    """
     return _joined(_rows(rows, None, False), least, False, _emit_roots, block).select("a", "b")
 
 

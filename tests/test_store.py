@@ -278,6 +278,20 @@ def test_cells_are_used_where_they_prune_and_few_pairs_are_multiplied(spark):
         similar.pairs(table, 0.0)
 
 
+@pytest.mark.parametrize("least, connected, clustered", [(0.45, True, False), (0.8, False, False), (0.3, True, True)])
+def test_links_of_many_blocks_spare_what_is_connected(spark, monkeypatch, least, connected, clustered):
+    rows = vectors(spark, 500, clustered=clustered)
+    table = spark.createDataFrame(rows, "id long, embedding array<double>, g long")
+    met = []
+    held = similar._sides
+    monkeypatch.setattr(similar, "_sides", lambda packed, asked: met.append((packed, asked)) or held(packed, asked))
+    found = components.components(similar.links(table, least, block=20).toDF("u", "v")).collect()
+    near = set(brute(rows, least))
+    whole = components.components(similar.pairs(table, least, block=20).select("a", "b").toDF("u", "v")).collect()
+    assert sorted(map(tuple, found)) == sorted(map(tuple, whole)) and {r["node"] for r in found} == {i for ab in near for i in ab}
+    assert (len(met) > 2) == connected
+
+
 @pytest.mark.parametrize("least", [0.3, 0.45, 0.6, 0.95])
 def test_few_pairs_beside_those_found_are_multiplied_in_double_precision(least):
     import numpy as np
